@@ -1 +1,164 @@
-"""Registered queries: ranking metrics, slices, bootstrap, calibration."""
+"""Registered queries: ranking metrics, rule baseline and scored runs."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from txrisk import schema as S
+from txrisk.operators import metrics as M
+from txrisk.operators.baselines import fit_rule_thresholds, rule_scores, rule_threshold_frame
+from txrisk.plans.build import round_doubles
+from txrisk.plans.q_build import dataset
+from txrisk.plans.registry import register
+from txrisk.plans.sqltext import dataset_sql
+from txrisk.sources.testbind import BLEND_RUNS, blend_scores, blend_scores_sql, read_table
+
+LABS = S.LABEL_COLUMNS
+
+
+# ---------------------------------------------------------------------------
+# scored runs (Spark) and their SQL twin
+# ---------------------------------------------------------------------------
+def scored_runs(spark: SparkSession, sf_dir: str, split: str = "test", ds: DataFrame | None = None,
+                extra: list[str] = ()) -> DataFrame:
+    """Score runs aligned with labels by tx_id (not by row position)."""
+    ds = ds if ds is not None else dataset(spark, sf_dir)
+    part = ds.where(F.col("split") == split)
+    runs = [blend_scores(part, r, w) for r, w in BLEND_RUNS.items()]
+    thr = fit_rule_thresholds(ds.where(F.col("split") == "train"))
+    runs.append(rule_scores(part, thr).withColumn("run_id", F.lit("rules")))
+    scores = reduce(lambda a, b: a.unionByName(b), [r.select("run_id", "tx_id", *[
+        F.col(f"{t}_score").cast("double").alias(f"{t}_score") for t in S.TASKS]) for r in runs])
+    return scores.join(part.select("tx_id", *LABS, *extra), "tx_id")
+
+
+def scored_runs_sql(split: str = "test", extra: str = "") -> str:
+    runs = " UNION ALL ".join(blend_scores_sql("part", r, w) for r, w in BLEND_RUNS.items())
+    return f"""WITH {dataset_sql()},
+part AS (SELECT * FROM ds WHERE split = '{split}'),
+thr AS (SELECT quantile_cont(log_gas_fee, 0.05) AS fee_t, quantile_cont(log_gas_tip, 0.5) AS tip_m,
+               quantile_cont(log_gas, 0.10) AS gas_t FROM ds WHERE split = 'train'),
+runs AS ({runs} UNION ALL
+  SELECT 'rules' AS run_id, tx_id,
+    CAST(CAST(log_gas AS FLOAT) < gas_t AS DOUBLE) AS revert_score,
+    CAST(data_4bytes_hash <> 0 AND CAST(log_gas_tip AS FLOAT) > 2.0 * tip_m AS DOUBLE) AS mev_score,
+    CAST(CAST(log_gas_fee AS FLOAT) < fee_t AS DOUBLE) AS drop_score
+  FROM part, thr),
+scored AS (SELECT r.*, p.is_reverted, p.is_mev_victim, p.is_dropped {extra}
+           FROM runs r JOIN part p USING (tx_id)),
+long AS (
+  SELECT run_id, tx_id, 'revert' AS task, revert_score AS score, CAST(is_reverted AS DOUBLE) AS label
+    {extra.replace('p.', '')} FROM scored
+  UNION ALL SELECT run_id, tx_id, 'mev', mev_score, CAST(is_mev_victim AS DOUBLE)
+    {extra.replace('p.', '')} FROM scored
+  UNION ALL SELECT run_id, tx_id, 'drop', drop_score, CAST(is_dropped AS DOUBLE)
+    {extra.replace('p.', '')} FROM scored)"""
+
+
+def bundle_sql(keys: str, src: str = "long", min_valid: int = 10) -> str:
+    """SQL twin of metrics.metric_bundle; ``keys`` excludes task."""
+    k = f"{keys}, task" if keys else "task"
+    return f""",
+v AS (SELECT * FROM {src} WHERE label >= 0),
+cnt AS (SELECT {k},
+   CAST(sum(CASE WHEN score > 0.5 AND label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+   CAST(sum(CASE WHEN score > 0.5 AND label = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+   CAST(sum(CASE WHEN score <= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+   CAST(sum(CASE WHEN score <= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn,
+   CAST(count(*) AS DOUBLE) AS n_valid, sum(label) AS n_pos FROM v GROUP BY {k}),
+g AS (SELECT {k}, score, CAST(count(*) AS DOUBLE) AS n, sum(label) AS pos FROM v GROUP BY {k}, score),
+curve AS (SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+                    sum(n) OVER (PARTITION BY {k} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn
+          FROM g),
+cs AS (SELECT {k}, sum((n - pos) * (ctp - pos / 2.0)) AS auc_s, sum(pos * ctp / cn) AS ap_s
+       FROM curve GROUP BY {k}),
+top AS (SELECT {k}, label, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, tx_id) AS rn FROM v),
+hits AS (SELECT {k}, sum(CASE WHEN rn <= 100 THEN label ELSE 0 END) AS h100,
+                     sum(CASE WHEN rn <= 1000 THEN label ELSE 0 END) AS h1000 FROM top GROUP BY {k}),
+m AS (SELECT * FROM cnt JOIN cs USING ({k}) JOIN hits USING ({k})),
+mm AS (
+  SELECT {k}, 'revert_f1' AS metric, CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS value
+    FROM m WHERE task = 'revert' AND n_valid >= {min_valid}
+  UNION ALL SELECT {k}, 'revert_accuracy', (tp + tn) / n_valid FROM m WHERE task = 'revert' AND n_valid >= {min_valid}
+  UNION ALL SELECT {k}, 'revert_auc', auc_s / (n_pos * (n_valid - n_pos)) FROM m
+    WHERE task = 'revert' AND n_valid >= {min_valid} AND n_pos > 0 AND n_pos < n_valid
+  UNION ALL SELECT {k}, 'drop_f1', CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END
+    FROM m WHERE task = 'drop' AND n_valid >= {min_valid}
+  UNION ALL SELECT {k}, 'drop_auc', auc_s / (n_pos * (n_valid - n_pos)) FROM m
+    WHERE task = 'drop' AND n_valid >= {min_valid} AND n_pos > 0 AND n_pos < n_valid
+  UNION ALL SELECT {k}, 'mev_pr_auc', ap_s / n_pos FROM m
+    WHERE task = 'mev' AND n_pos >= 1 AND n_pos < n_valid
+  UNION ALL SELECT {k}, 'mev_p_at_100', h100 / least(100, n_valid) FROM m WHERE task = 'mev' AND n_pos >= 1
+  UNION ALL SELECT {k}, 'mev_p_at_1000', h1000 / least(1000, n_valid) FROM m WHERE task = 'mev' AND n_pos >= 1
+  UNION ALL SELECT {k}, 'mev_recall_at_1000', h1000 / n_pos FROM m WHERE task = 'mev' AND n_pos >= 1)
+SELECT {k}, metric, round(value, 6) AS value FROM mm"""
+
+
+# ---------------------------------------------------------------------------
+# queries
+# ---------------------------------------------------------------------------
+@register("metric_bundle", scored_runs_sql() + bundle_sql("run_id"))
+def q_metric_bundle(spark, sf_dir):
+    """Per run and task, with guards."""
+    long = M.unpivot_tasks(scored_runs(spark, sf_dir), keep=["run_id", "tx_id"])
+    return round_doubles(M.metric_bundle(long, by=["run_id"]))
+
+
+_LI_SQL = """WITH li AS (SELECT l_linestatus, l_discount AS score,
+                CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem),
+g AS (SELECT l_linestatus, score, count(*) AS n, sum(label) AS pos FROM li GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER (PARTITION BY l_linestatus ORDER BY score DESC ROWS UNBOUNDED PRECEDING) ctp,
+                sum(n) OVER (PARTITION BY l_linestatus ORDER BY score DESC ROWS UNBOUNDED PRECEDING) cn FROM g),
+t AS (SELECT l_linestatus, CAST(sum(pos) AS DOUBLE) AS tot_p, CAST(sum(n) - sum(pos) AS DOUBLE) AS tot_q FROM g GROUP BY ALL)
+SELECT l_linestatus,
+  round(CASE WHEN tot_p > 0 AND tot_q > 0 THEN sum((n - pos) * (ctp - pos / 2.0)) / (tot_p * tot_q) END, 6) AS auc,
+  round(CASE WHEN tot_p > 0 THEN sum(pos * ctp / CAST(cn AS DOUBLE)) / tot_p END, 6) AS ap
+FROM c JOIN t USING (l_linestatus) GROUP BY l_linestatus, tot_p, tot_q"""
+
+
+@register("lineitem_rank_metrics_ties", _LI_SQL)
+def q_lineitem_ties(spark, sf_dir):
+    """M3/M4 on a tie-heavy score (11 distinct discounts over all lineitems)."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_linestatus", F.col("l_discount").alias("score"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    curve = M.score_curve(li, "score", "label", ["l_linestatus"])
+    out = M.roc_auc(curve, ["l_linestatus"]).join(M.average_precision(curve, ["l_linestatus"]),
+                                                  "l_linestatus")
+    return round_doubles(out)
+
+
+@register("pr_curve", scored_runs_sql() + """
+, v AS (SELECT run_id, score, label FROM long WHERE task = 'mev' AND label >= 0),
+g AS (SELECT run_id, score, count(*) AS n, sum(label) AS pos FROM v GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER (PARTITION BY run_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+                sum(n) OVER (PARTITION BY run_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn FROM g),
+t AS (SELECT run_id, sum(pos) AS P FROM g GROUP BY ALL)
+SELECT run_id, score AS threshold, round(ctp / CAST(cn AS DOUBLE), 6) AS precision,
+       round(CASE WHEN P > 0 THEN ctp / P ELSE 1.0 END, 6) AS recall FROM c JOIN t USING (run_id)
+UNION ALL SELECT DISTINCT run_id, NULL, 1.0, 0.0 FROM v""")
+def q_pr_curve(spark, sf_dir):
+    """M7 (and the S9 payload): MEV precision-recall curve per run."""
+    long = M.unpivot_tasks(scored_runs(spark, sf_dir), keep=["run_id", "tx_id"])
+    v = M.valid(long.where(F.col("task") == "mev"))
+    return round_doubles(M.pr_curve(M.score_curve(v, "score", "label", ["run_id"]), "score", ["run_id"]))
+
+
+@register("rule_thresholds", f"""WITH {dataset_sql()}
+SELECT round(quantile_cont(log_gas_fee, 0.05), 6) AS log_gas_fee_threshold,
+       round(quantile_cont(log_gas_tip, 0.5), 6) AS log_gas_tip_median,
+       round(quantile_cont(log_gas, 0.10), 6) AS log_gas_threshold FROM ds WHERE split = 'train'""")
+def q_rule_thresholds(spark, sf_dir):
+    """A6 (+S10 payload): NaN-skipping exact percentiles on train."""
+    return round_doubles(rule_threshold_frame(dataset(spark, sf_dir).where(F.col("split") == "train")))
+
+
+@register("rule_scores", scored_runs_sql() + """
+SELECT tx_id, revert_score, mev_score, drop_score FROM runs WHERE run_id = 'rules'""")
+def q_rule_scores(spark, sf_dir):
+    """Rule-baseline scores on the test split."""
+    s = scored_runs(spark, sf_dir).where(F.col("run_id") == "rules")
+    return s.select("tx_id", "revert_score", "mev_score", "drop_score")

@@ -90,3 +90,29 @@ SELECT event_id AS tx_id,
          AS BIGINT) AS included_at_block_height
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
 """
+
+
+# Score runs used by the evaluation queries: a seeded uniform per
+# (run, task, tx) blended with the task label, rounded to 4 places so tied
+# scores occur.  Deterministic in any engine with md5.
+BLEND_RUNS = {"blend_a": 0.5, "blend_b": 1.5}
+
+
+def blend_scores(ds: DataFrame, run_id: str, weight: float, digits: int = 4) -> DataFrame:
+    from txrisk.functions.scalar import seeded_uniform
+    cols = {}
+    for task, lab in S.TASKS.items():
+        u = seeded_uniform(run_id, task, F.col("tx_id"))
+        pos = F.greatest(F.col(lab), F.lit(0.0)).cast("double")
+        cols[f"{task}_score"] = F.round((u + F.lit(weight) * pos) / F.lit(1.0 + weight), digits)
+    return ds.select(F.lit(run_id).alias("run_id"), "tx_id", *[v.alias(k) for k, v in cols.items()])
+
+
+def blend_scores_sql(src: str, run_id: str, weight: float, digits: int = 4) -> str:
+    from txrisk.plans.sqltext import uniform_sql
+    parts = []
+    for task, lab in S.TASKS.items():
+        u = uniform_sql(f"'{run_id}'", f"'{task}'", "tx_id")
+        parts.append(f"round(({u} + {weight!r}::DOUBLE * CAST(greatest({lab}, 0.0) AS DOUBLE)) "
+                     f"/ {1.0 + weight!r}::DOUBLE, {digits}) AS {task}_score")
+    return f"SELECT '{run_id}' AS run_id, tx_id, {', '.join(parts)} FROM {src}"
