@@ -19,15 +19,22 @@ DS_COLS = ["tx_id", S.SORT_KEY, "split", "row_idx", *S.FEATURE_COLUMNS, *S.LABEL
 _OTHER = [c for c in DS_COLS if c not in FEATURE_DOUBLES]
 
 
-def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_dataset(tx_view(spark, sf_dir), TEST_SPLITS)
 
 
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed table, built once per session folder and read back (S3);
+    evaluation queries prune it by split partition."""
+    from txrisk.sources.sinks import materialized
+    return materialized(spark, "processed", f"{sf_dir}|{TEST_SPLITS!r}", lambda: build(spark, sf_dir))
+
+
 @register("dataset_features", f"WITH {dataset_sql()} "
           f"SELECT {', '.join([f'round({c}, 6) AS {c}' for c in FEATURE_DOUBLES] + _OTHER)} FROM ds")
 def q_dataset_features(spark, sf_dir):
-    """The full processed table."""
-    return round_doubles(dataset(spark, sf_dir))
+    """The full processed table (computed, not read back)."""
+    return round_doubles(build(spark, sf_dir))
 
 
 _RATES = ", ".join(

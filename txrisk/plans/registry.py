@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the modules fills the registry
-    from txrisk.plans import q_build, q_metrics  # noqa: F401
+    from txrisk.plans import q_build, q_metrics, q_slices  # noqa: F401
     try:
         from txrisk.plans import q_more  # noqa: F401
     except ImportError:
