@@ -35,7 +35,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tx_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-schema transactions derived from ``events`` (one row per event)."""
-    ev = read_table(spark, sf_dir, "events")
+    return tx_from_events(read_table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a file stream (schema from the batch table)."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def tx_from_events(ev: DataFrame) -> DataFrame:
+    """Row-local projection, so it applies to a batch table or a stream."""
     k = F.get_json_object("props", "$.k").cast("int")
     eid = F.col("event_id")
     sel = F.lit(None).cast("string")
