@@ -7,6 +7,7 @@ come from a seeded hash, so the same resamples are reproducible anywhere.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +18,14 @@ WEIGHTED = ("f1", "auc", "ap", "p_at_k")
 
 
 def weighted_metric(df: DataFrame, metric: str, by: list[str], k: int = 100,
-                    key: str = "tx_id") -> DataFrame:
+                    key: str = "tx_id", max_group_rows: int | None = None) -> DataFrame:
     """One value per group for a weighted metric (weight column ``w``)."""
     w = F.col("w")
     if metric == "f1":
         c = M.confusion(df, (F.col("score") > 0.5).cast("int"), "label", by, weight=w)
         return c.select(*by, M.f1_from_counts().alias("value"))
     if metric in ("auc", "ap"):
-        curve = M.score_curve(df, "score", "label", by, weight=w)
+        curve = M.score_curve(df, "score", "label", by, weight=w, max_group_rows=max_group_rows)
         if metric == "auc":
             return M.roc_auc(curve, by).withColumnRenamed("auc", "value")
         return M.average_precision(curve, by).withColumnRenamed("ap", "value")
@@ -43,14 +44,18 @@ def weighted_metric(df: DataFrame, metric: str, by: list[str], k: int = 100,
 
 
 def bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95, seed: int = 42,
-                 by: list[str] = (), k: int = 100, key: str = "tx_id") -> DataFrame:
+                 by: list[str] = (), k: int = 100, key: str = "tx_id", boot: DataFrame | None = None,
+                 biggest: int | None = None) -> DataFrame:
     """(by…, point, lower, upper).  Replicates with an undefined metric
-    (e.g. one class) are skipped; if all are, the interval is the point."""
+    (e.g. one class) are skipped; if all are, the interval is the point.
+    ``boot`` may pass precomputed replicate weights (T7) shared by several metrics."""
     by = list(by)
-    point = weighted_metric(df.withColumn("w", F.lit(1)), metric, by, k, key) \
+    if biggest is None:  # a replicate has at most as many distinct rows as its group
+        biggest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    point = weighted_metric(df.withColumn("w", F.lit(1)), metric, by, k, key, biggest) \
         .withColumnRenamed("value", "point")
-    boot = bootstrap_weights(df, reps, seed, key)
-    vals = weighted_metric(boot, metric, [*by, "rep"], k, key)
+    boot = bootstrap_weights(df, reps, seed, key) if boot is None else boot
+    vals = weighted_metric(boot, metric, [*by, "rep"], k, key, biggest)
     a = (1 - ci) / 2
     q = vals.where(F.col("value").isNotNull()).groupBy(*by).agg(
         F.percentile("value", [a, 1 - a]).alias("_q"))
@@ -80,12 +85,17 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     ok = stats.where(((F.col("task") != "mev") & (F.col("_n") >= min_valid))
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
     v = v.join(F.broadcast(ok), keys, "left_semi")  # one row per (group, task)
+    biggest = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    # replicate weights once for every metric; persisted (recomputed from
+    # lineage if an executor is lost), released when the session ends
+    boot = bootstrap_weights(v, reps, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for task, mets in CI_BUNDLE.items():
         t = v.where(F.col("task") == task)
+        bt = boot.where(F.col("task") == task)
         for m in mets:
             base, kk = (m, 100) if not m.startswith("p_at_") else ("p_at_k", int(m.split("_")[-1]))
-            r = bootstrap_ci(t, base, reps, 0.95, seed, keys, kk, key)
+            r = bootstrap_ci(t, base, reps, 0.95, seed, keys, kk, key, boot=bt, biggest=biggest)
             parts.append(r.withColumn("metric", F.lit(f"{task}_{_NAMES[m]}")))
     out = parts[0]
     for p in parts[1:]:

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators.scan import plan_ranges, running_totals
+import math
+
+from txrisk.operators.scan import Ranges, plan_ranges, running_totals
 
 DEFAULT_SCORE_ROWS_PER_RANGE = 2_000_000
 
@@ -25,21 +27,31 @@ def valid(df: DataFrame, label: str = "label") -> DataFrame:
 
 def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: list[str] = (),
                 weight: Column | None = None,
-                rows_per_range: int = DEFAULT_SCORE_ROWS_PER_RANGE) -> DataFrame:
+                rows_per_range: int = DEFAULT_SCORE_ROWS_PER_RANGE,
+                max_group_rows: int | None = None) -> DataFrame:
     """One row per (by, distinct score), high to low, with cumulative counts.
 
     Columns: by..., score, n, pos, ctp (positives at score >= this one),
     cn (rows at score >= this one), tot_pos, tot_neg (group totals).  ``weight`` counts a
     row several times (bootstrap).  The running sums go through
     ``running_totals`` on score ranges, so a slice with N distinct scores
-    is split over ceil(N / rows_per_range) tasks.
+    is split over ceil(N / rows_per_range) tasks.  Ranges are planned from
+    the largest group (``max_group_rows``, measured when not given): many
+    small groups already spread over tasks through ``by``.
     """
     by = list(by)
     w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     y = F.col(label).cast("bigint")
     g = df.groupBy(*by, score).agg(F.sum(w).alias("n"), F.sum(w * y).alias("pos"))
     g = g.where(F.col("n") > 0)
-    ranges = plan_ranges(g, score, rows_per_range)
+    if max_group_rows is None:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+        max_group_rows = sizes.agg(F.max("_c")).first()[0] or 0
+    if max_group_rows <= rows_per_range:
+        ranges = Ranges(score, (-math.inf, math.inf))
+    else:
+        ranges = plan_ranges(g, score, rows_per_range,
+                             n_rows=max_group_rows * max(1, math.ceil(max_group_rows / rows_per_range)))
     g = ranges.assign(g, out="_rng", src=score)
     g = running_totals(g, by, "_rng", ranges.n, [F.col(score).desc()],
                        {"ctp": (F.col("pos"), True), "cn": (F.col("n"), True)}, descending=True)

@@ -50,7 +50,9 @@ def bootstrap_weights(df: DataFrame, reps: int, seed: int = 42, key: str = "tx_i
     """One Poisson(1) weight per (replicate, row): the with-replacement
     resample as counts.  Rows with weight 0 are dropped."""
     d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    d = d.withColumn("w", poisson1(seeded_uniform(seed, F.col("rep"), F.col(key))))
+    # the uniform is its own column so the 16-step inverse CDF reads it once
+    d = d.withColumn("_u", seeded_uniform(seed, F.col("rep"), F.col(key)))
+    d = d.withColumn("w", poisson1(F.col("_u"))).drop("_u")
     return d.where(F.col("w") > 0)
 
 
