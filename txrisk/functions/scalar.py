@@ -17,7 +17,7 @@ __all__ = [
     "is_dex", "label_is_reverted", "label_is_mev_victim", "label_is_dropped", "epoch_ms",
     "digitize", "quantize", "sigmoid", "softplus", "softplus_delta", "calibrate_b",
     "feature_fingerprint", "bce_with_logits", "focal_loss", "seeded_uniform", "poisson1",
-    "predict_gt", "predict_ge", "logit",
+    "predict_gt", "predict_ge", "logit", "ablate", "poisson1_sql", "POISSON1_CDF",
 ]
 
 
@@ -214,6 +214,7 @@ _acc = 0.0
 for _k in range(16):
     _acc += math.exp(-1.0) / math.factorial(_k)
     _POISSON1_CDF.append(round(_acc, 15))
+POISSON1_CDF = tuple(_POISSON1_CDF)
 
 
 def poisson1(u) -> Column:
@@ -228,3 +229,9 @@ def poisson1(u) -> Column:
 def poisson1_sql(u_sql: str) -> str:
     """The same draw as SQL text (for oracle queries)."""
     return "(" + " + ".join(f"CAST({u_sql} >= {c!r} AS INTEGER)" for c in _POISSON1_CDF) + ")"
+
+
+# P12 ------------------------------------------------------------------------
+def ablate(df, cols=tuple(S.CATEGORICAL_BINS)):
+    """Identity ablation: hashed identity columns set to bin 0, shape kept."""
+    return df.withColumns({c: F.lit(0).cast("bigint") for c in cols})

@@ -24,8 +24,6 @@ def time_features(tx: DataFrame, ranges: Ranges, window_ms: int = S.PRESSURE_WIN
     """W1 inter-arrival seconds (clipped [0, 300]; ``first_delta`` for the row
     with no predecessor), W4 trailing 60 s arrival count, W9 row index.  Keyed by tx_id."""
     t = time_order(tx, ranges, lookback_ms=window_ms)
-    ts = tx.select("tx_id", S.SORT_KEY)
-    t = t.join(ts, "tx_id")
     delta = (F.col(S.SORT_KEY) - F.col("prev_ts")).cast("double") / 1000.0
     return t.select(
         "tx_id", "row_idx",

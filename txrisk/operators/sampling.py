@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.scalar import poisson1, seeded_uniform
+from txrisk.functions.scalar import POISSON1_CDF, poisson1, seeded_uniform
 from txrisk.operators.scan import plan_ranges, with_row_index
 from txrisk.sources.raw import smoke_slice
 
@@ -50,10 +50,11 @@ def bootstrap_weights(df: DataFrame, reps: int, seed: int = 42, key: str = "tx_i
     """One Poisson(1) weight per (replicate, row): the with-replacement
     resample as counts.  Rows with weight 0 are dropped."""
     d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    # the uniform is its own column so the 16-step inverse CDF reads it once
     d = d.withColumn("_u", seeded_uniform(seed, F.col("rep"), F.col(key)))
-    d = d.withColumn("w", poisson1(F.col("_u"))).drop("_u")
-    return d.where(F.col("w") > 0)
+    # w > 0  <=>  u >= P(K = 0).  Filtering on u keeps the pushed-down
+    # predicate to one hash; a filter on w would inline all 16 CDF steps.
+    d = d.where(F.col("_u") >= F.lit(POISSON1_CDF[0]))
+    return d.withColumn("w", poisson1(F.col("_u"))).drop("_u")
 
 
 def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, seed: int = 42,

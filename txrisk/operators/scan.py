@@ -112,7 +112,7 @@ def time_order(tx: DataFrame, ranges: Ranges, ts: str = "timestamp_ms", key: str
     second term is read off "probe" rows at ts_i - lookback that sort before
     data rows of equal ts.  Data and probes share one ranged window, so no
     range has to see rows of another (no halo, any burst is split).
-    Output: (key, row_idx, prev_ts, pressure), clustered by ``key``.
+    Output: (key, ts, row_idx, prev_ts, pressure), clustered by ``key``.
     """
     base = tx.select(F.col(key).alias("_k"), F.col(ts).alias("_t"))
     data = base.withColumn("_d", F.lit(1))
@@ -138,8 +138,9 @@ def time_order(tx: DataFrame, ranges: Ranges, ts: str = "timestamp_ms", key: str
         F.max(F.when(F.col("_d") == 1, F.col("_before"))).alias("row_idx"),
         F.max(F.when(F.col("_d") == 0, F.col("_before"))).alias("_lt"),
         F.max(F.when(F.col("_d") == 1, F.col("_prev"))).alias("prev_ts"),
+        F.max(F.when(F.col("_d") == 1, F.col("_t"))).alias("_ts"),
     )
-    return out.select(F.col("_k").alias(key), "row_idx", "prev_ts",
+    return out.select(F.col("_k").alias(key), F.col("_ts").alias(ts), "row_idx", "prev_ts",
                       (F.col("row_idx") - F.col("_lt")).alias("pressure"))
 
 

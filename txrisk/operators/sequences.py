@@ -96,3 +96,9 @@ def quantize_delta(df: DataFrame, edges: list[float], medians: list[float],
                    closed: str = "right") -> DataFrame:
     """F14 + J4: snap Δt to its bin median (bins applied right-closed, Q9)."""
     return df.withColumn(out or f"{col}_quantized", quantize(col, edges, medians, closed))
+
+
+def gather_windows(draws: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of every drawn window, repeated once per draw.  Both sides
+    are keyed by window_id; a window holds at most L rows."""
+    return draws.join(rows, "window_id")

@@ -52,3 +52,9 @@ def build_increment(tx: DataFrame, start_ms: int, end_ms: int, splits: SplitRang
     out = with_labels(feats, splits)
     out = out.where((F.col(S.SORT_KEY) >= F.lit(start_ms)) & (F.col(S.SORT_KEY) < F.lit(end_ms)))
     return assign_split(out, splits)
+
+
+def append_increment(existing: DataFrame, increment: DataFrame) -> DataFrame:
+    """Stack a new slice under earlier output; columns matched by name,
+    types widened, columns missing on one side filled with NULL."""
+    return existing.unionByName(increment, allowMissingColumns=True)
