@@ -129,3 +129,16 @@ def test_bootstrap_is_deterministic_and_brackets_point(spark):
     b = bootstrap_ci(df.repartition(5), "auc", reps=30, seed=5).first()
     assert tuple(a) == pytest.approx(tuple(b))
     assert a["lower"] <= a["point"] <= a["upper"]
+
+
+@pytest.mark.parametrize("rows_per_range", [10**9, 50])
+def test_exact_percentiles_match_numpy(spark, rows_per_range):
+    from txrisk.operators.quantiles import exact_percentiles
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=700), 2)
+    x[::50] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [0.0, 0.05, 0.1, 0.5, 0.75, 1.0]
+    got = exact_percentiles(df, "x", probs, rows_per_range=rows_per_range)
+    exp = np.nanpercentile(x, [p * 100 for p in probs])
+    np.testing.assert_allclose(got, exp, rtol=1e-12, atol=1e-12)

@@ -36,18 +36,22 @@ def _no_nan(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def rule_threshold_frame(train: DataFrame, drop_pct: float = 5.0) -> DataFrame:
-    """A6 as a one-row DataFrame: NaN-skipping exact percentiles (numpy-linear)."""
-    return train.agg(
-        F.percentile(_no_nan("log_gas_fee"), drop_pct / 100.0).alias("log_gas_fee_threshold"),
-        F.percentile(_no_nan("log_gas_tip"), 0.5).alias("log_gas_tip_median"),
-        F.percentile(_no_nan("log_gas"), 0.10).alias("log_gas_threshold"),
-    )
+def fit_rule_thresholds(train: DataFrame, drop_pct: float = 5.0) -> RuleThresholds:
+    """NaN-skipping exact percentiles (numpy-linear) of three continuous
+    columns, through the ranged scan so no task holds all distinct values."""
+    from txrisk.operators.quantiles import exact_percentiles
+    fee, = exact_percentiles(train, "log_gas_fee", [drop_pct / 100.0])
+    tip, = exact_percentiles(train, "log_gas_tip", [0.5])
+    gas, = exact_percentiles(train, "log_gas", [0.10])
+    return RuleThresholds(log_gas_fee_threshold=fee, log_gas_tip_median=tip, log_gas_threshold=gas)
 
 
-def fit_rule_thresholds(train: DataFrame, drop_pct: float = 5.0) -> RuleThresholds:
-    row = rule_threshold_frame(train, drop_pct).first()
-    return RuleThresholds(**{k: float(row[k]) for k in row.asDict()})
+def rule_threshold_frame(train: DataFrame, drop_pct: float = 5.0) -> DataFrame:
+    """A6 / S10 as a one-row DataFrame."""
+    t = fit_rule_thresholds(train, drop_pct)
+    return train.sparkSession.createDataFrame(
+        [(t.log_gas_fee_threshold, t.log_gas_tip_median, t.log_gas_threshold)],
+        "log_gas_fee_threshold double, log_gas_tip_median double, log_gas_threshold double")
 
 
 def rule_scores(df: DataFrame, t: RuleThresholds, keep: list[str] = ("tx_id",)) -> DataFrame:

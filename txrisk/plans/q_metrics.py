@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txrisk import schema as S
 from txrisk.operators import metrics as M
-from txrisk.operators.baselines import fit_rule_thresholds, rule_scores, rule_threshold_frame
+from txrisk.operators.baselines import RuleThresholds, rule_scores, rule_threshold_frame
 from txrisk.plans.build import round_doubles
 from txrisk.plans.q_build import dataset
 from txrisk.plans.registry import register
@@ -19,6 +19,15 @@ from txrisk.sources.testbind import BLEND_RUNS, blend_scores, blend_scores_sql,
 LABS = S.LABEL_COLUMNS
 
 
+def rule_thresholds(spark: SparkSession, sf_dir: str, ds: DataFrame | None = None) -> RuleThresholds:
+    """L4 fit on train, stored once as a one-row table (S10) and reused."""
+    from txrisk.sources.sinks import materialized
+    ds = ds if ds is not None else dataset(spark, sf_dir)
+    t = materialized(spark, "rule-thresholds", f"{sf_dir}|train",
+                     lambda: rule_threshold_frame(ds.where(F.col("split") == "train"))).first()
+    return RuleThresholds(**t.asDict())
+
+
 # ---------------------------------------------------------------------------
 # scored runs (Spark) and their SQL twin
 # ---------------------------------------------------------------------------
@@ -28,7 +37,7 @@ def scored_runs(spark: SparkSession, sf_dir: str, split: str = "test", ds: DataF
     ds = ds if ds is not None else dataset(spark, sf_dir)
     part = ds.where(F.col("split") == split)
     runs = [blend_scores(part, r, w) for r, w in BLEND_RUNS.items()]
-    thr = fit_rule_thresholds(ds.where(F.col("split") == "train"))
+    thr = rule_thresholds(spark, sf_dir, ds)
     runs.append(rule_scores(part, thr).withColumn("run_id", F.lit("rules")))
     scores = reduce(lambda a, b: a.unionByName(b), [r.select("run_id", "tx_id", *[
         F.col(f"{t}_score").cast("double").alias(f"{t}_score") for t in S.TASKS]) for r in runs])
@@ -153,7 +162,8 @@ SELECT round(quantile_cont(log_gas_fee, 0.05), 6) AS log_gas_fee_threshold,
        round(quantile_cont(log_gas, 0.10), 6) AS log_gas_threshold FROM ds WHERE split = 'train'""")
 def q_rule_thresholds(spark, sf_dir):
     """A6 (+S10 payload): NaN-skipping exact percentiles on train."""
-    return round_doubles(rule_threshold_frame(dataset(spark, sf_dir).where(F.col("split") == "train")))
+    ds = dataset(spark, sf_dir)
+    return round_doubles(rule_threshold_frame(ds.where(F.col("split") == "train")))
 
 
 @register("rule_scores", scored_runs_sql() + """

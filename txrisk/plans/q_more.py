@@ -266,3 +266,57 @@ def q_leakage_audit(spark, sf_dir):
     passed, auc = leakage_audit(tr)
     return spark.createDataFrame([(bool(passed), None if auc is None else float(auc))],
                                  "passed boolean, shuffled_auc double")
+
+
+@register("corruption_audit")
+def q_corruption_audit(spark, sf_dir):
+    """M21 + W7 + A7 + F14 + L5: metric bundle of an MLlib baseline on the test
+    split with Δt intact, shuffled within 1024-row windows, or quantized to
+    train-bin medians.  (Model fit is iterative: no SQL twin.)"""
+    from txrisk.operators.baselines import fit_logreg
+    from txrisk.plans.evaluate import corruption_audit
+    ds = dataset(spark, sf_dir)
+    models = fit_logreg(ds.where(F.col("split") == "train"))
+    return round_doubles(corruption_audit(models, ds, "test", SEQ_LEN, WARMUP, SEED))
+
+
+@register("gbt_baseline")
+def q_gbt(spark, sf_dir):
+    """L2 + A8 + S11: boosted trees per task (depth 8, step 0.05, >= 200 rows per
+    leaf, 0.9 row sampling, neg/pos class weight, up to 1000 rounds stopped on the
+    val split); saved, reloaded and scored on test.  (No SQL twin.)"""
+    import os
+    import uuid
+    from txrisk.operators.baselines import fit_gbt, score_models
+    from txrisk.plans.evaluate import load_models, save_models
+    from txrisk.session import checkpoint_dir
+    ds = dataset(spark, sf_dir)
+    models = fit_gbt(ds.where(F.col("split") == "train"), max_iter=1000,
+                     val=ds.where(F.col("split") == "val"))
+    path = os.path.join(checkpoint_dir(spark), "models", f"gbt-{uuid.uuid4().hex[:8]}")
+    save_models(models, path)
+    te = ds.where(F.col("split") == "test")
+    scores = score_models(load_models(path), te).join(te.select("tx_id", *S.LABEL_COLUMNS), "tx_id") \
+        .withColumn("run_id", F.lit("gbt"))
+    return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))
+
+
+def _store_sql() -> str:
+    from txrisk.plans.q_metrics import bundle_sql
+    inner = scored_runs_sql() + bundle_sql("run_id")
+    return (f"SELECT run_id, 'all' AS slice, metric, value, CAST(NULL AS DOUBLE) AS lower, "
+            f"CAST(NULL AS DOUBLE) AS upper FROM ({inner})")
+
+
+@register("metrics_store_roundtrip", _store_sql())
+def q_metrics_store(spark, sf_dir):
+    """S6 + S7 + S8 + S9: scores written keyed by (run, split), read back per
+    run, metrics appended to the long store, latest value per metric."""
+    import os
+    import uuid
+    from txrisk.plans.evaluate import store_scores_and_metrics
+    from txrisk.session import checkpoint_dir
+    root = os.path.join(checkpoint_dir(spark), "eval", uuid.uuid4().hex[:8])
+    scores = scored_runs(spark, sf_dir).select("run_id", "tx_id", "revert_score", "mev_score", "drop_score")
+    out = store_scores_and_metrics(spark, scores, dataset(spark, sf_dir), root)
+    return round_doubles(out)

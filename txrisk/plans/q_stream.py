@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from txrisk import schema as S
 from txrisk.functions.scalar import epoch_ms
-from txrisk.operators.baselines import fit_rule_thresholds
 from txrisk.plans.build import round_doubles
 from txrisk.plans.incremental import sender_snapshot
-from txrisk.plans.q_build import dataset
+from txrisk.plans.q_build import dataset  # noqa: F401
+from txrisk.plans.q_metrics import rule_thresholds
 from txrisk.plans.registry import register
 from txrisk.plans.sqltext import dataset_sql
 from txrisk.sources.testbind import TEST_SPLITS, TX_SQL, event_stream, tx_from_events, tx_view
@@ -50,7 +50,7 @@ SELECT tx_id, mev_score FROM s ORDER BY mev_score DESC, tx_id LIMIT 100""")
 def q_stream_triage(spark, sf_dir):
     """R4 + R5: de-duplicated arrivals scored by the rule model on arrival;
     the 100 highest MEV scores of the micro-batch (a top-k report)."""
-    thr = fit_rule_thresholds(dataset(spark, sf_dir).where(F.col("split") == "train"))
+    thr = rule_thresholds(spark, sf_dir)
     stream = tx_from_events(event_stream(spark, sf_dir))
     out = J.run_available_now(spark, J.triage_stream(stream, thr), "triage",
                               foreach_batch=J.top_k_per_batch(100))
@@ -72,3 +72,22 @@ def q_stream_outcome(spark, sf_dir):
     out = J.run_available_now(spark, J.outcome_stream(tx, inc), "outcome")
     cutoff = tx_view(spark, sf_dir).agg(F.max(S.SORT_KEY)).first()[0] - 25 * 3_600_000
     return spark.read.parquet(out).where(F.col(S.SORT_KEY) < F.lit(cutoff))
+
+
+@register("stream_sender_sessions", f"""WITH tx AS ({TX_SQL}),
+s AS (SELECT from_addr, timestamp_ms, tx_id,
+        CASE WHEN timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY from_addr ORDER BY timestamp_ms, tx_id)
+             < 1800000 THEN 0 ELSE 1 END AS brk FROM tx WHERE from_addr IS NOT NULL),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY from_addr ORDER BY timestamp_ms, tx_id ROWS UNBOUNDED PRECEDING)
+        AS sid FROM s),
+ss AS (SELECT from_addr, min(timestamp_ms) AS session_start_ms, max(timestamp_ms) + 1800000 AS session_end_ms,
+         count(*) AS n FROM g GROUP BY from_addr, sid)
+SELECT * FROM ss WHERE session_end_ms < (SELECT max(timestamp_ms) - 3600000 FROM tx)""")
+def q_stream_sender_sessions(spark, sf_dir):
+    """Per-sender sessions (30 min gap) in append mode: a session is final
+    once the watermark (max event time - 1 h) passes its end; later ones are
+    still open in state."""
+    stream = tx_from_events(event_stream(spark, sf_dir))
+    out = J.run_available_now(spark, J.sender_sessions(stream), "sessions")
+    cutoff = tx_view(spark, sf_dir).agg(F.max(S.SORT_KEY)).first()[0] - 3_600_000
+    return spark.read.parquet(out).where(F.col("session_end_ms") < F.lit(cutoff))

@@ -176,3 +176,18 @@ def top_k_per_batch(k: int = 100):
         top = batch.orderBy(F.col("mev_score").desc(), F.col("tx_id")).limit(k)
         top.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
     return write
+
+
+# ---------------------------------------------------------------------------
+# Per-sender bursts as session windows
+# ---------------------------------------------------------------------------
+def sender_sessions(tx_stream: DataFrame, gap: str = "30 minutes",
+                    watermark: str = "1 hour") -> DataFrame:
+    """A sender's session closes after ``gap`` without a transaction;
+    one row per (sender, session) with its row count."""
+    e = with_event_time(tx_stream).where(F.col("from_addr").isNotNull())
+    return (e.withWatermark("event_time", watermark)
+             .groupBy("from_addr", F.session_window("event_time", gap).alias("s"))
+             .agg(F.count(F.lit(1)).alias("n"))
+             .select("from_addr", F.unix_millis(F.col("s.start")).alias("session_start_ms"),
+                     F.unix_millis(F.col("s.end")).alias("session_end_ms"), "n"))
