@@ -62,3 +62,22 @@ def test_incremental_and_stream_equal_full_build(spark, name):
             assert (a[c].astype(float).round(6) == b[c].astype(float).round(6)).all(), c
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
+
+
+def test_manifest_and_stores_roundtrip(spark, tmp_path):
+    from txrisk.sources import sinks
+    df = spark.createDataFrame([("train", 1.0, 0.0, -1.0), ("val", 0.0, 1.0, 0.0)],
+                               "split string, is_reverted float, is_mev_victim float, is_dropped float")
+    doc = sinks.write_manifest(sinks.manifest_frame(df), str(tmp_path / "manifest"))
+    assert doc["total_rows"] == 2 and doc["splits"]["train"]["label_rates"]["is_dropped"] == 0.0
+    text = "".join(r[0] for r in spark.read.text(str(tmp_path / "manifest")).collect())
+    assert '"feature_hash"' in text
+    m = spark.createDataFrame([("r", "auc", 0.5)], "run_id string, metric string, value double")
+    sinks.upsert_metrics(m, str(tmp_path / "metrics"))
+    sinks.upsert_metrics(m.withColumn("value", F.lit(0.7)), str(tmp_path / "metrics"))
+    got = sinks.latest_metrics(spark, str(tmp_path / "metrics")).collect()
+    assert len(got) == 1 and got[0]["value"] == 0.7
+    with pytest.raises(FileNotFoundError):
+        s = spark.createDataFrame([("a", 1, 0.1)], "run_id string, tx_id long, mev_score double")
+        sinks.write_scores(s.withColumn("split", F.lit("test")), str(tmp_path / "scores"))
+        sinks.read_scores(spark, str(tmp_path / "scores"), "missing")

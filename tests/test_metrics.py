@@ -142,3 +142,14 @@ def test_exact_percentiles_match_numpy(spark, rows_per_range):
     got = exact_percentiles(df, "x", probs, rows_per_range=rows_per_range)
     exp = np.nanpercentile(x, [p * 100 for p in probs])
     np.testing.assert_allclose(got, exp, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("rows_per_range", [10**9, 40])
+def test_first_n_exact(spark, rows_per_range):
+    from txrisk.operators.sampling import first_n
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"timestamp_ms": rng.integers(0, 60, 400), "tx_id": np.arange(400)})
+    df = spark.createDataFrame(pdf)
+    got = first_n(df, 123, rows_per_range=rows_per_range).toPandas().sort_values(["timestamp_ms", "tx_id"])
+    exp = pdf.sort_values(["timestamp_ms", "tx_id"]).head(123)
+    assert list(got["tx_id"]) == list(exp["tx_id"])

@@ -15,9 +15,30 @@ from txrisk.operators.scan import plan_ranges, with_row_index
 from txrisk.sources.raw import smoke_slice
 
 
-def first_n(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows in time order (top-k plan, not a full sort)."""
-    return smoke_slice(df, n)
+def first_n(df: DataFrame, n: int, order: list[str] = (S.SORT_KEY, "tx_id"),
+            rows_per_range: int | None = None) -> DataFrame:
+    """The first n rows in time order, exactly, for any n.
+
+    Whole leading time ranges are taken as they are (counts per range come
+    back, <= P rows); only the range that crosses n is ranked.  No task
+    receives more than n + one range of rows (a plain top-k merge would pull
+    n rows from every partition into one task).
+    """
+    from txrisk.operators.scan import DEFAULT_ROWS_PER_RANGE
+    order = list(order)
+    ranges = plan_ranges(df, order[0], rows_per_range or DEFAULT_ROWS_PER_RANGE)
+    if ranges.n == 1:
+        return smoke_slice(df, n, order[0], order[1])
+    d = ranges.assign(df, "_rng", order[0])
+    counts = sorted(d.groupBy("_rng").count().collect())
+    acc, last = 0, None
+    for r, c in counts:
+        last = r
+        acc += c
+        if acc >= n:
+            break
+    head = d.where(F.col("_rng") <= F.lit(last)).drop("_rng")
+    return row_index(head, order, "_i").where(F.col("_i") < n).drop("_i")
 
 
 def row_index(df: DataFrame, order: list[str] = (S.SORT_KEY, "tx_id"), out: str = "row_idx") -> DataFrame:

@@ -31,9 +31,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S3: one keyed table partitioned by split, rows sorted by time inside
-    files so parquet min/max stats prune time ranges."""
-    (df.repartition("split").sortWithinPartitions(S.SORT_KEY, "tx_id")
+    """S3: one keyed table partitioned by split.  Range-partitioned on
+    (split, time): a large split is written by many tasks, each file covers
+    one time range and is sorted inside, so parquet min/max stats prune."""
+    (df.repartitionByRange("split", S.SORT_KEY).sortWithinPartitions(S.SORT_KEY, "tx_id")
        .write.mode(mode).partitionBy("split").parquet(path))
 
 
@@ -77,7 +78,8 @@ def manifest_frame(ds: DataFrame, mode: str = "full", audit: str = "passed",
 
 
 def write_manifest(manifest: DataFrame, path: str) -> dict:
-    """The JSON document (a handful of rows: one per split)."""
+    """The JSON document (a handful of rows: one per split), written through
+    Spark so ``path`` may be any shared file system."""
     rows = [r.asDict(recursive=True) for r in manifest.collect()]
     doc = {
         "mode": rows[0]["mode"] if rows else None,
@@ -89,9 +91,9 @@ def write_manifest(manifest: DataFrame, path: str) -> dict:
         "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S"),
         "leakage_audit": rows[0]["leakage_audit"] if rows else None,
     }
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(doc, f, indent=2)
+    spark = manifest.sparkSession
+    spark.createDataFrame([(json.dumps(doc, indent=2),)], "value string") \
+         .coalesce(1).write.mode("overwrite").text(path)
     return doc
 
 
