@@ -86,9 +86,14 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
     v = v.join(F.broadcast(ok), keys, "left_semi")  # one row per (group, task)
     biggest = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    # replicate weights once for every metric; persisted (recomputed from
-    # lineage if an executor is lost), released when the session ends
-    boot = bootstrap_weights(v, reps, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+    # replicate weights once for every metric.  The N rows are spread over the
+    # cluster before the B-fold explode (a small shuffle next to N x B rows),
+    # then persisted and materialised so every metric reads the same blocks
+    # (recomputed from lineage if an executor is lost).
+    par = 2 * v.sparkSession.sparkContext.defaultParallelism
+    boot = bootstrap_weights(v.repartition(par, key), reps, seed, key) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    boot.count()
     parts = []
     for task, mets in CI_BUNDLE.items():
         t = v.where(F.col("task") == task)

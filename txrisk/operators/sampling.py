@@ -69,13 +69,17 @@ def half_split(df: DataFrame, order: list[str] = (S.SORT_KEY, "tx_id")) -> tuple
 
 def bootstrap_weights(df: DataFrame, reps: int, seed: int = 42, key: str = "tx_id") -> DataFrame:
     """One Poisson(1) weight per (replicate, row): the with-replacement
-    resample as counts.  Rows with weight 0 are dropped."""
-    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    d = d.withColumn("_u", seeded_uniform(seed, F.col("rep"), F.col(key)))
-    # w > 0  <=>  u >= P(K = 0).  Filtering on u keeps the pushed-down
-    # predicate to one hash; a filter on w would inline all 16 CDF steps.
-    d = d.where(F.col("_u") >= F.lit(POISSON1_CDF[0]))
-    return d.withColumn("w", poisson1(F.col("_u"))).drop("_u")
+    resample as counts.  Rows with weight 0 are dropped.
+
+    The uniform is computed once per (row, replicate) inside an array of
+    (rep, u) structs; replicates with u below P(K = 0) are dropped before the
+    explode (w > 0  <=>  u >= P(K = 0)), so no predicate re-evaluates the hash.
+    """
+    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)),
+                        lambda r: F.struct(r.alias("rep"), seeded_uniform(seed, r, F.col(key)).alias("u")))
+    kept = F.filter(draws, lambda d: d["u"] >= F.lit(POISSON1_CDF[0]))
+    d = df.withColumn("_d", F.explode(kept))
+    return d.withColumns({"rep": F.col("_d.rep"), "w": poisson1(F.col("_d.u"))}).drop("_d")
 
 
 def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, seed: int = 42,

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS_PER_RANGE = 2_000_000
+MIN_ROWS_PER_RANGE = 250_000  # below this a range is not worth its own task
 MAX_RANGES = 50_000
 BROADCAST_RANGE_ROWS = 200_000  # a range table above this is joined by shuffle
 
@@ -49,14 +50,20 @@ class Ranges:
 
 
 def plan_ranges(df: DataFrame, column: str, rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
-                max_ranges: int = MAX_RANGES, n_rows: int | None = None) -> Ranges:
-    """Equal-count ranges of ``column``: P = ceil(N / rows_per_range), capped.
+                max_ranges: int = MAX_RANGES, n_rows: int | None = None,
+                min_rows_per_range: int = MIN_ROWS_PER_RANGE) -> Ranges:
+    """Equal-count ranges of ``column``: P = ceil(N / rows_per_range), capped,
+    and at least the default parallelism while ranges keep >= min_rows_per_range.
 
     Costs one count and one approxQuantile pass over a single pruned column;
     only P-1 boundary values come back to the driver.
     """
     n = df.count() if n_rows is None else n_rows
-    p = int(min(max_ranges, max(1, math.ceil(n / max(1, rows_per_range)))))
+    p = math.ceil(n / max(1, rows_per_range))
+    if rows_per_range >= min_rows_per_range:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        p = max(p, min(par, n // min_rows_per_range))
+    p = int(min(max_ranges, max(1, p)))
     if p <= 1:
         return Ranges(column, (-math.inf, math.inf))
     probs = [i / p for i in range(1, p)]
@@ -88,8 +95,7 @@ def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, orde
     d = d.withColumns(cols)
     if n_ranges == 1:
         return d.drop(*tmp.values())
-    # one row per (key, range): the window output is already clustered on
-    # (keys, rng), so this aggregate adds no exchange
+    # one row per (key, range), then a prefix over at most P rows per key
     tot = d.groupBy(*keys, rng).agg(*[F.sum(tmp[n]).alias(tmp[n]) for n in sums])
     o = F.col(rng).desc() if descending else F.col(rng).asc()
     w_k = Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)

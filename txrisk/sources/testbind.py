@@ -55,7 +55,9 @@ def tx_from_events(ev: DataFrame) -> DataFrame:
     return (
         ev.select(
             eid.alias("tx_id"),
-            F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("timestamp_ms"),
+            # wall-clock ts as UTC, independent of the session time zone
+            F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
+             .alias("timestamp_ms"),
             wei(1e9).alias("gas_price"),
             wei(1e8).alias("gas_tip_cap"),
             wei(2e9).alias("gas_fee_cap"),
