@@ -84,7 +84,7 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_p"))
     ok = stats.where(((F.col("task") != "mev") & (F.col("_n") >= min_valid))
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
-    v = v.join(F.broadcast(ok), keys, "left_semi")  # one row per (group, task)
+    v = v.join(ok, keys, "left_semi")  # one row per (group, task); AQE sizes the join
     biggest = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
     # replicate weights once for every metric.  The N rows are spread over the
     # cluster before the B-fold explode (a small shuffle next to N x B rows),

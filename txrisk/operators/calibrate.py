@@ -43,7 +43,7 @@ def f1_at_threshold(scored: DataFrame, thresholds: DataFrame, by: list[str],
     """M18 + P14: F1 of ``score >= threshold`` per group; 0 if tp = 0 or < min_valid rows.
 
     ``thresholds`` has one row per group (by…, threshold)."""
-    v = M.valid(scored).join(F.broadcast(thresholds.select(*by, "threshold")), by)
+    v = M.valid(scored).join(thresholds.select(*by, "threshold"), by)  # one row per group
     c = M.confusion(v, (F.col("score") >= F.col("threshold")).cast("int"), "label", by)
     return c.select(*by, F.when((F.col("tp") > 0) & (F.col("n_valid") >= min_valid),
                                 M.f1_from_counts()).otherwise(F.lit(0.0)).alias("f1"))

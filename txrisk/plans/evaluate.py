@@ -49,18 +49,17 @@ def evaluate(scores: DataFrame, processed: DataFrame, split: str = "test", reps:
 
 def store_scores_and_metrics(spark: SparkSession, scores: DataFrame, processed: DataFrame,
                              root: str, split: str = "test") -> DataFrame:
-    """S6 -> S7 -> M8 -> S8 -> S9: write keyed scores, read each run back,
-    append its metrics and PR curve, return the latest metric values."""
+    """S6 -> S7 -> M8 -> S8 -> S9: write keyed scores, read them back (all runs
+    in one job, pruned to the split's partitions), append the metrics of every
+    run and the PR curves, return the latest metric values."""
     score_path, metric_path = os.path.join(root, "scores"), os.path.join(root, "metrics")
     sinks.write_scores(scores.withColumn("split", F.lit(split)), score_path, mode="overwrite")
-    runs = [r["run_id"] for r in scores.select("run_id").distinct().collect()]  # run names only
-    for run in runs:
-        s = sinks.read_scores(spark, score_path, run, split).drop("split")
-        long = M.unpivot_tasks(align(s, processed, split, extra=[]), keep=["run_id", "tx_id"])
-        sinks.upsert_metrics(M.metric_bundle(long, by=["run_id"]), metric_path)
-        mev = M.valid(long.where(F.col("task") == "mev"))
-        sinks.write_pr_curve(M.pr_curve(M.score_curve(mev, "score", "label", ["run_id"]), "score",
-                                        ["run_id"]), os.path.join(root, "pr_curve", run))
+    s = spark.read.parquet(score_path).where(F.col("split") == split).drop("split")
+    long = M.unpivot_tasks(align(s, processed, split, extra=[]), keep=["run_id", "tx_id"])
+    sinks.upsert_metrics(M.metric_bundle(long, by=["run_id"]), metric_path)
+    mev = M.valid(long.where(F.col("task") == "mev"))
+    sinks.write_pr_curve(M.pr_curve(M.score_curve(mev, "score", "label", ["run_id"]), "score", ["run_id"]),
+                         os.path.join(root, "pr_curve"))
     return sinks.latest_metrics(spark, metric_path)
 
 

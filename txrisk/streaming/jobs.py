@@ -34,8 +34,9 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def run_available_now(spark: SparkSession, df: DataFrame, name: str, mode: str = "append",
-                      foreach_batch=None) -> str:
-    """Process everything available, then stop.  Returns the output path."""
+                      foreach_batch=None, progress: list | None = None) -> str:
+    """Process everything available, then stop.  Returns the output path;
+    ``progress`` (a list) receives the per-batch progress reports."""
     out, ckpt = _paths(spark, name)
     w = df.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
     if foreach_batch is not None:
@@ -46,9 +47,17 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str, mode: str =
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return out
 
 
+def late_rows_dropped(progress: list) -> int:
+    """Rows dropped by stateful operators for arriving behind the watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in progress for op in (p.get("stateOperators") or []))
+
+
 # ---------------------------------------------------------------------------
 # Per-sender running state, seeded from a snapshot
 # ---------------------------------------------------------------------------
@@ -159,13 +168,19 @@ def outcome_stream(tx_stream: DataFrame, incl_stream: DataFrame,
 # ---------------------------------------------------------------------------
 # R4 + R5: triage on arrival
 # ---------------------------------------------------------------------------
+def dedup_stream(tx_events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """Exact replays (same tx_id and event time) are removed; rows arriving
+    behind the watermark are dropped and counted (``late_rows_dropped``).
+    With the event time in the key, dedup state expires with the watermark."""
+    return tx_events.withWatermark("event_time", watermark).dropDuplicates(["tx_id", "event_time"])
+
+
 def triage_stream(tx_stream: DataFrame, thresholds, watermark: str = "10 minutes") -> DataFrame:
     """R5 duplicates removed within the watermark, then R4 stateless features
     (F1-F5) and rule scores (F11) per arriving row."""
     from txrisk.operators.baselines import rule_scores
     from txrisk.operators.features import scalar_features
-    d = with_event_time(tx_stream).withWatermark("event_time", watermark) \
-        .dropDuplicatesWithinWatermark(["tx_id"])
+    d = dedup_stream(with_event_time(tx_stream), watermark)
     f = scalar_features(d)
     return rule_scores(f, thresholds, keep=["tx_id", S.SORT_KEY, "is_dex_candidate"])
 
