@@ -153,3 +153,17 @@ def test_first_n_exact(spark, rows_per_range):
     got = first_n(df, 123, rows_per_range=rows_per_range).toPandas().sort_values(["timestamp_ms", "tx_id"])
     exp = pdf.sort_values(["timestamp_ms", "tx_id"]).head(123)
     assert list(got["tx_id"]) == list(exp["tx_id"])
+
+
+@pytest.mark.parametrize("metric", ["f1", "auc", "ap", "p_at_k"])
+def test_grouped_bootstrap_matches_row_bootstrap(spark, metric):
+    """Group-level Poisson(n) weights have the law of the summed row weights:
+    same point, near-identical interval (P@k: identical per-row draws)."""
+    from txrisk.operators.bootstrap import bootstrap_ci, grouped_bootstrap_ci
+    df, _ = _scored(spark, n=600)
+    rows = bootstrap_ci(df, metric, reps=200, seed=11, k=50).first()
+    grp = grouped_bootstrap_ci(df, metric, reps=200, seed=11, k=50).first()
+    assert grp["point"] == pytest.approx(rows["point"], abs=1e-12)
+    tol = 1e-12 if metric == "p_at_k" else 0.03
+    assert grp["lower"] == pytest.approx(rows["lower"], abs=tol)
+    assert grp["upper"] == pytest.approx(rows["upper"], abs=tol)

@@ -235,3 +235,55 @@ def poisson1_sql(u_sql: str) -> str:
 def ablate(df, cols=tuple(S.CATEGORICAL_BINS)):
     """Identity ablation: hashed identity columns set to bin 0, shape kept."""
     return df.withColumns({c: F.lit(0).cast("bigint") for c in cols})
+
+
+# Poisson(n) from a uniform ----------------------------------------------------
+# Rational approximation of the standard normal quantile (Acklam), used for
+# Poisson(n) with large n; relative error about 1e-9.
+_NQ_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_NQ_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+         6.680131188771972e+01, -1.328068155288572e+01)
+_NQ_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_NQ_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00)
+
+
+def _poly(coefs, x):
+    acc = F.lit(coefs[0])
+    for c in coefs[1:]:
+        acc = acc * x + F.lit(c)
+    return acc
+
+
+def normal_quantile(u) -> Column:
+    u = _c(u)
+    lo, hi = 0.02425, 1 - 0.02425
+    q = u - 0.5
+    r = q * q
+    central = _poly(_NQ_A, r) * q / (_poly(_NQ_B, r) * r + 1)
+    tl = F.sqrt(-2 * F.log(u))
+    tail_lo = _poly(_NQ_C, tl) / (_poly(_NQ_D, tl) * tl + 1)
+    th = F.sqrt(-2 * F.log(1 - u))
+    tail_hi = -_poly(_NQ_C, th) / (_poly(_NQ_D, th) * th + 1)
+    return F.when(u < lo, tail_lo).when(u > hi, tail_hi).otherwise(central)
+
+
+def poisson_n(n, u, exact_max: int = 400) -> Column:
+    """Poisson(n) draw by inverse CDF of a uniform u.  Exact for n <= exact_max
+    (the pmf recursion summed in a higher-order aggregate, all JVM-side);
+    normal quantile with continuity correction above."""
+    n, u = _c(n).cast("double"), _c(u)
+    kmax = F.least(F.lit(exact_max + int(10 * exact_max ** 0.5) + 20),
+                   (n + F.lit(10.0) * F.sqrt(n) + F.lit(20.0)).cast("int"))
+    init = F.struct(F.lit(0).alias("k"), F.exp(-n).alias("p"), F.exp(-n).alias("c"))
+    exact = F.aggregate(
+        F.sequence(F.lit(1), kmax), init,
+        lambda acc, i: F.struct(
+            (acc["k"] + (acc["c"] < u).cast("int")).alias("k"),
+            (acc["p"] * n / i).alias("p"),
+            (acc["c"] + acc["p"] * n / i).alias("c")),
+        lambda acc: acc["k"])
+    approx = F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * normal_quantile(u) + 0.5)).cast("int")
+    return F.when(n <= 0, F.lit(0)).when(n <= exact_max, exact).otherwise(approx)

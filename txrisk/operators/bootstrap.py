@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.operators import metrics as M
+import math
+
+from txrisk.functions.scalar import poisson_n, seeded_uniform
 from txrisk.operators.sampling import bootstrap_weights
 
 WEIGHTED = ("f1", "auc", "ap", "p_at_k")
@@ -38,8 +41,11 @@ def weighted_metric(df: DataFrame, metric: str, by: list[str], k: int = 100,
         take = F.greatest(F.least(w, F.lit(k) - F.col("_before")), F.lit(0))
         n = df.groupBy(*by).agg(F.sum(w).alias("_n"))
         hits = top.groupBy(*by).agg(F.sum(take * F.col("label")).alias("_h"))
-        return hits.join(n, by).select(*by, (F.col("_h") / F.least(F.lit(k), F.col("_n")))
-                                       .cast("double").alias("value"))
+        if by:
+            j = hits.join(n, by)
+        else:  # one row each
+            j = hits.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one")
+        return j.select(*by, (F.col("_h") / F.least(F.lit(k), F.col("_n"))).cast("double").alias("value"))
     raise ValueError(f"unknown metric {metric!r}; have {WEIGHTED}")
 
 
@@ -69,12 +75,98 @@ def bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95,
                       F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
 
 
+# ---------------------------------------------------------------------------
+# grouped Poisson bootstrap: same resampling distribution, cost independent of N
+# ---------------------------------------------------------------------------
+GROUPED_ABOVE = 2_000_000_000  # N x B weighted rows above which "auto" groups
+
+
+def _group_weights(g: DataFrame, reps: int, seed: int, parts: list[str]) -> DataFrame:
+    """Explode groups (with row count ``n``) into replicates; weight ~ Poisson(n),
+    the exact law of the sum of the group's per-row Poisson(1) weights."""
+    d = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    u = seeded_uniform(seed, "g", F.col("rep"), *[F.col(c) for c in parts])
+    d = d.withColumn("w", poisson_n(F.col("n"), u))
+    return d.where(F.col("w") > 0)
+
+
+def grouped_metric_values(df: DataFrame, metric: str, reps: int, seed: int, by: list[str],
+                          k: int = 100, key: str = "tx_id", score_digits: int | None = None):
+    """(point, per-replicate values) with group-level weights.
+
+    f1: the 4 confusion cells per group; auc / ap: distinct (score, label)
+    (``score_digits`` rounds scores first = binned AUC/AP); p_at_k: per-row
+    weights for the top rows only plus one Poisson(N - M) for the rest, with
+    M grown until every replicate's top rows hold >= k weight.
+    """
+    by = list(by)
+    if metric == "f1":
+        cells = df.groupBy(*by, (F.col("score") > 0.5).cast("int").alias("pred"), "label") \
+                  .agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.withColumn("score", F.when(F.col("pred") == 1, F.lit(1.0)).otherwise(F.lit(0.0)))
+        point = weighted_metric(cells.withColumn("w", F.col("n")), "f1", by, k, key)
+        boot = _group_weights(cells, reps, seed, [*by, "pred", "label"])
+        return point, weighted_metric(boot, "f1", [*by, "rep"], k, key)
+    if metric in ("auc", "ap"):
+        sc = F.round("score", score_digits) if score_digits is not None else F.col("score")
+        g = df.groupBy(*by, sc.alias("score"), "label").agg(F.count(F.lit(1)).alias("n"))
+        point = weighted_metric(g.withColumn("w", F.col("n")), metric, by, k, key)
+        boot = _group_weights(g, reps, seed, [*by, "score", "label"])
+        return point, weighted_metric(boot, metric, [*by, "rep"], k, key)
+    if metric == "p_at_k":
+        return _grouped_p_at_k(df, reps, seed, by, k, key)
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+def _grouped_p_at_k(df, reps, seed, by, k, key):
+    n_by = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_N"))
+    point = weighted_metric(df.withColumn("w", F.lit(1)), "p_at_k", by, k, key)
+    m = k + 10 * math.ceil(math.sqrt(k)) + 10
+    while True:
+        win = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col(key).asc())
+        top = df.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= m)
+        tw = bootstrap_weights(top, reps, seed, key)  # same per-row draws as the row method
+        run = Window.partitionBy(*by, "rep").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+        tw = tw.withColumn("_before", F.coalesce(F.sum("w").over(run), F.lit(0)))
+        take = F.greatest(F.least(F.col("w"), F.lit(k) - F.col("_before")), F.lit(0))
+        per = tw.groupBy(*by, "rep").agg(F.sum(take * F.col("label")).alias("_h"),
+                                          F.sum("w").alias("_wtop"), F.count(F.lit(1)).alias("_c"))
+        reps_df = n_by.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+        per = reps_df.join(per, [*by, "rep"], "left").fillna(0, ["_h", "_wtop"])
+        short = per.where((F.col("_wtop") < k) & (F.col("_N") > m)).limit(1).count()
+        if short == 0:
+            break
+        m *= 4  # rare: some replicate's top rows weigh < k
+    rest = poisson_n(F.greatest(F.col("_N") - F.lit(m), F.lit(0)),
+                     seeded_uniform(seed, "rest", F.col("rep"), *[F.col(c) for c in by]))
+    vals = per.withColumn("_tot", F.col("_wtop") + rest).select(
+        *by, "rep", F.when(F.col("_tot") > 0, F.col("_h") / F.least(F.lit(k), F.col("_tot")))
+        .cast("double").alias("value"))
+    return point, vals
+
+
+def grouped_bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95,
+                         seed: int = 42, by: list[str] = (), k: int = 100, key: str = "tx_id",
+                         score_digits: int | None = None) -> DataFrame:
+    """M15 at any N: (by…, point, lower, upper) from group-level Poisson weights."""
+    by = list(by)
+    point, vals = grouped_metric_values(df, metric, reps, seed, by, k, key, score_digits)
+    point = point.withColumnRenamed("value", "point")
+    a = (1 - ci) / 2
+    q = vals.where(F.col("value").isNotNull()).groupBy(*by).agg(F.percentile("value", [a, 1 - a]).alias("_q"))
+    out = point.join(q, by, "left") if by else \
+        point.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return out.select(*by, "point", F.coalesce(F.col("_q")[0], F.col("point")).alias("lower"),
+                      F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
+
+
 CI_BUNDLE = {"revert": ["f1", "auc"], "mev": ["ap", "p_at_100", "p_at_1000"], "drop": ["f1", "auc"]}
 _NAMES = {"f1": "f1", "auc": "auc", "ap": "pr_auc", "p_at_100": "p_at_100", "p_at_1000": "p_at_1000"}
 
 
 def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list[str] = (),
-                     min_valid: int = 10, key: str = "tx_id") -> DataFrame:
+                     min_valid: int = 10, key: str = "tx_id", method: str = "auto",
+                     score_digits: int | None = None) -> DataFrame:
     """CI bundle over the task-unpivoted score table (by…, task, metric,
     point, lower, upper).  Guards: revert/drop need >= min_valid valid rows,
     mev needs a positive."""
@@ -85,7 +177,20 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     ok = stats.where(((F.col("task") != "mev") & (F.col("_n") >= min_valid))
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
     v = v.join(ok, keys, "left_semi")  # one row per (group, task); AQE sizes the join
-    biggest = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c"), F.sum("_c")).first()
+    biggest, total = sizes[0] or 0, sizes[1] or 0
+    if method == "grouped" or (method == "auto" and total * reps > GROUPED_ABOVE):
+        parts = []
+        for task, mets in CI_BUNDLE.items():
+            t = v.where(F.col("task") == task)
+            for m in mets:
+                base, kk = (m, 100) if not m.startswith("p_at_") else ("p_at_k", int(m.split("_")[-1]))
+                r = grouped_bootstrap_ci(t, base, reps, 0.95, seed, keys, kk, key, score_digits)
+                parts.append(r.withColumn("metric", F.lit(f"{task}_{_NAMES[m]}")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.select(*keys, "metric", "point", "lower", "upper")
     # replicate weights once for every metric.  The N rows are spread over the
     # cluster before the B-fold explode (a small shuffle next to N x B rows),
     # then persisted and materialised so every metric reads the same blocks

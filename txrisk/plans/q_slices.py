@@ -249,3 +249,12 @@ def q_f1_calibration(spark, sf_dir):
     test = M.unpivot_tasks(scored_runs(spark, sf_dir, "test", ds=ds), keep=keep)
     sel = F.col("task").isin("revert", "drop")
     return round_doubles(calibrate(val.where(sel), test.where(sel), ["run_id", "task"]))
+
+
+@register("bootstrap_ci_grouped")
+def q_bootstrap_ci_grouped(spark, sf_dir):
+    """M15 + M16 at any N: group-level Poisson(n) weights (confusion cells,
+    distinct (score, label) groups, top rows + one remainder draw).  Same
+    resampling law as ``bootstrap_ci``, other draws: no SQL twin."""
+    long = M.unpivot_tasks(scored_runs(spark, sf_dir), keep=["run_id", "tx_id"])
+    return round_doubles(metric_bundle_ci(long, BOOT_REPS, SEED, by=["run_id"], method="grouped"))
