@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,20 +271,65 @@ def normal_quantile(u) -> Column:
     return F.when(u < lo, tail_lo).when(u > hi, tail_hi).otherwise(central)
 
 
-def poisson_n(n, u, exact_max: int = 400) -> Column:
-    """Poisson(n) draw by inverse CDF of a uniform u.  Exact for n <= exact_max
-    (the pmf recursion summed in a higher-order aggregate, all JVM-side);
-    normal quantile with continuity correction above."""
-    n, u = _c(n).cast("double"), _c(u)
-    kmax = F.least(F.lit(exact_max + int(10 * exact_max ** 0.5) + 20),
-                   (n + F.lit(10.0) * F.sqrt(n) + F.lit(20.0)).cast("int"))
-    init = F.struct(F.lit(0).alias("k"), F.exp(-n).alias("p"), F.exp(-n).alias("c"))
-    exact = F.aggregate(
-        F.sequence(F.lit(1), kmax), init,
-        lambda acc, i: F.struct(
-            (acc["k"] + (acc["c"] < u).cast("int")).alias("k"),
-            (acc["p"] * n / i).alias("p"),
-            (acc["c"] + acc["p"] * n / i).alias("c")),
-        lambda acc: acc["k"])
-    approx = F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * normal_quantile(u) + 0.5)).cast("int")
-    return F.when(n <= 0, F.lit(0)).when(n <= exact_max, exact).otherwise(approx)
+POISSON_EXACT_MAX = 400
+
+
+def _poisson_n_np(n, u, exact_max: int = POISSON_EXACT_MAX):
+    """Vectorised inverse CDF of Poisson(n) at u (numpy arrays)."""
+    import numpy as np
+    n = np.asarray(n, dtype=float)
+    u = np.asarray(u, dtype=float)
+    out = np.zeros(len(n), dtype=np.int64)
+    small = (n > 0) & (n <= exact_max)
+    if small.any():
+        ns, us = n[small], u[small]
+        p = np.exp(-ns)
+        c = p.copy()
+        k = np.zeros(len(ns), dtype=np.int64)
+        kmax = int(ns.max() + 10 * np.sqrt(ns.max()) + 20)
+        for i in range(1, kmax + 1):  # all elements step through the CDF together
+            below = c < us
+            if not below.any():
+                break
+            k += below
+            p = p * ns / i
+            c = c + p
+        out[small] = k
+    big = n > exact_max
+    if big.any():
+        z = _normal_quantile_np(u[big])
+        out[big] = np.maximum(0.0, np.floor(n[big] + np.sqrt(n[big]) * z + 0.5)).astype(np.int64)
+    return out
+
+
+def _normal_quantile_np(u):
+    import numpy as np
+    u = np.asarray(u, dtype=float)
+    pa = lambda cs, x: np.polyval(cs, x)
+    q = u - 0.5
+    r = q * q
+    out = pa(_NQ_A, r) * q / (pa(_NQ_B, r) * r + 1)
+    lo = u < 0.02425
+    hi = u > 1 - 0.02425
+    t = np.sqrt(-2 * np.log(np.where(lo, u, 0.5)))
+    out = np.where(lo, pa(_NQ_C, t) / (pa(_NQ_D, t) * t + 1), out)
+    t = np.sqrt(-2 * np.log(np.where(hi, 1 - u, 0.5)))
+    out = np.where(hi, -pa(_NQ_C, t) / (pa(_NQ_D, t) * t + 1), out)
+    return out
+
+
+def _poisson_n_batch(nn: pd.Series, uu: pd.Series) -> pd.Series:
+    return pd.Series(_poisson_n_np(nn.to_numpy(), uu.to_numpy()).astype("int32"))
+
+
+_POISSON_N_UDF = None
+
+
+def poisson_n(n, u) -> Column:
+    """Poisson(n) draw by inverse CDF of a uniform u: exact up to n = 400 (pmf
+    recursion), normal quantile with continuity correction above.  An
+    Arrow-batched pandas UDF: numpy steps a whole batch through the CDF."""
+    global _POISSON_N_UDF
+    if _POISSON_N_UDF is None:  # needs an active session
+        _POISSON_N_UDF = F.pandas_udf(_poisson_n_batch, "int")
+    return _POISSON_N_UDF(_c(n).cast("double"), _c(u).cast("double"))
