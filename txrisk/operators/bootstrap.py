@@ -43,12 +43,21 @@ def weighted_metric(df: DataFrame, metric: str, by: list[str], k: int = 100,
         hits = top.groupBy(*by).agg(F.sum(take * F.col("label")).alias("_h"))
         if by:
             j = hits.join(n, by)
-        else:  # one row each
-            j = hits.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one")
+        else:  # one number: a literal
+            j = hits.withColumn("_n", F.lit(n.first()[0]))
         return j.select(*by, (F.col("_h") / F.least(F.lit(k), F.col("_n"))).cast("double").alias("value"))
     raise ValueError(f"unknown metric {metric!r}; have {WEIGHTED}")
 
 
+def _one_row(point: DataFrame, q: DataFrame) -> DataFrame:
+    """Ungrouped case: the point and the interval are one row each; combine the
+    three numbers on the driver instead of joining on a constant."""
+    p, qq = point.first(), q.first()
+    spark = point.sparkSession
+    return spark.createDataFrame([(p["point"] if p else None, qq["_q"] if qq else None)],
+                                 "point double, _q array<double>")
+
+
 def bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95, seed: int = 42,
                  by: list[str] = (), k: int = 100, key: str = "tx_id", boot: DataFrame | None = None,
                  biggest: int | None = None) -> DataFrame:
@@ -65,11 +74,7 @@ def bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95,
     a = (1 - ci) / 2
     q = vals.where(F.col("value").isNotNull()).groupBy(*by).agg(
         F.percentile("value", [a, 1 - a]).alias("_q"))
-    if by:
-        out = point.join(q, by, "left")
-    else:  # both sides are one row
-        out = point.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left") \
-                   .drop("_one")
+    out = point.join(q, by, "left") if by else _one_row(point, q)
     return out.select(*by, "point",
                       F.coalesce(F.col("_q")[0], F.col("point")).alias("lower"),
                       F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
@@ -154,8 +159,7 @@ def grouped_bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float
     point = point.withColumnRenamed("value", "point")
     a = (1 - ci) / 2
     q = vals.where(F.col("value").isNotNull()).groupBy(*by).agg(F.percentile("value", [a, 1 - a]).alias("_q"))
-    out = point.join(q, by, "left") if by else \
-        point.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    out = point.join(q, by, "left") if by else _one_row(point, q)
     return out.select(*by, "point", F.coalesce(F.col("_q")[0], F.col("point")).alias("lower"),
                       F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
 

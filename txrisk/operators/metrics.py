@@ -55,21 +55,15 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: l
     g = ranges.assign(g, out="_rng", src=score)
     g = running_totals(g, by, "_rng", ranges.n, [F.col(score).desc()],
                        {"ctp": (F.col("pos"), True), "cn": (F.col("n"), True)}, descending=True)
-    tot = df.groupBy(*by).agg(F.sum(w * y).alias("tot_pos"), F.sum(w * (1 - y)).alias("tot_neg")) if by else None
-    if tot is None:
-        tot_row = df.agg(F.sum(w * y).alias("tot_pos"), F.sum(w * (1 - y)).alias("tot_neg"))
-        g = _attach_totals(g, tot_row)
-    else:
+    if by:
+        tot = df.groupBy(*by).agg(F.sum(w * y).alias("tot_pos"), F.sum(w * (1 - y)).alias("tot_neg"))
         g = g.join(tot, by)
+    else:  # two numbers: attach as literals
+        t = df.agg(F.sum(w * y), F.sum(w * (1 - y))).first()
+        g = g.withColumns({"tot_pos": F.lit(t[0]).cast("bigint"), "tot_neg": F.lit(t[1]).cast("bigint")})
     return g.drop("_rng")
 
 
-def _attach_totals(g: DataFrame, tot_row: DataFrame) -> DataFrame:
-    # a one-row total table: join on a constant key (one broadcast row)
-    return g.withColumn("_one", F.lit(1)).join(
-        F.broadcast(tot_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def roc_auc(curve: DataFrame, by: list[str] = ()) -> DataFrame:
     """M3: P(score_pos > score_neg) + P(tie)/2; NULL unless both classes present."""
     neg = F.col("n") - F.col("pos")

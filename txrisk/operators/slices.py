@@ -21,17 +21,16 @@ def with_strata(df: DataFrame, col: str, probs: list[float], out: str, by: list[
                 offset: int = 0) -> DataFrame:
     """F15 + M10: stratum = number of edges <= x (np.digitize, left-closed) + offset.
 
-    Edges are one small row per group, joined back (broadcast for the global case).
+    Edges are one small row per group, joined back (literals for the global case).
     """
     e = quantile_edges(df, col, probs, by)
     x = F.col(col).cast("double")
+    if not by:  # a handful of numbers: literals
+        from txrisk.functions.scalar import digitize
+        edges = [float(v) for v in (e.first()["_edges"] or [])]
+        return df.withColumn(out, digitize(x, edges) + F.lit(offset))
     idx = F.aggregate(F.col("_edges"), F.lit(0), lambda acc, v: acc + (x >= v).cast("int"))
-    if by:
-        d = df.join(e, list(by))
-    else:
-        d = df.withColumn("_one", F.lit(1)).join(F.broadcast(e.withColumn("_one", F.lit(1))), "_one") \
-              .drop("_one")
-    return d.withColumn(out, idx + F.lit(offset)).drop("_edges")
+    return df.join(e, list(by)).withColumn(out, idx + F.lit(offset)).drop("_edges")
 
 
 def stratified_metric(scored: DataFrame, stratum: str, metric: str, by: list[str] = (),

@@ -95,7 +95,7 @@ def corruption_audit(models: dict, processed: DataFrame, split: str = "test", se
     rows = Q.window_rows(part.withColumn("_i", F.col("row_idx") - F.lit(i0)), seq_len, warmup)
     shuffled = Q.shuffle_within_window(rows, seed=seed).withColumn(
         "timestamp_delta_s", F.col("timestamp_delta_s_shuffled"))
-    b = Q.delta_bins(processed.where(F.col("split") == "train")).first()  # 3 edges, 4 medians
+    b = Q.delta_bins(processed.where(F.col("split") == "train"))  # 3 edges, 4 medians
     quant = Q.quantize_delta(rows, list(b["edges"]), list(b["medians"])).withColumn(
         "timestamp_delta_s", F.col("timestamp_delta_s_quantized"))
     out = None

@@ -81,8 +81,8 @@ bins AS (SELECT e1, e2, e3, CAST(CAST(m0 AS FLOAT) AS DOUBLE) AS m0, CAST(CAST(m
 
 def _bins(spark, sf_dir):
     tr = dataset(spark, sf_dir).where(F.col("split") == "train")
-    r = Q.delta_bins(tr).first()  # 3 edges + 4 medians + 1 median
-    return list(r["edges"]), list(r["medians"]), float(r["median_pos"])
+    b = Q.delta_bins(tr)  # 3 edges + 4 medians + 1 median
+    return b["edges"], b["medians"], b["median_pos"]
 
 
 @register("delta_bins", _BINS_SQL + f"""
@@ -91,12 +91,11 @@ SELECT round(e1, 6) AS e1, round(e2, 6) AS e2, round(e3, 6) AS e3, round(m0, 6)
   round(ln(exp(sqrt(0.001 * 0.1)) - 1) - ln(1 + greatest(m_all, 0.001)), 6) AS calib_b FROM bins""")
 def q_delta_bins(spark, sf_dir):
     """A7 + A12 + P17 + F13: Δt quantile bins on train and the adapter bias b."""
-    tr = dataset(spark, sf_dir).where(F.col("split") == "train")
-    b = Q.delta_bins(tr)
-    out = b.select(*[F.col("edges")[i].alias(f"e{i + 1}") for i in range(3)],
-                   *[F.col("medians")[i].alias(f"m{i}") for i in range(4)], "median_pos",
-                   calibrate_b(F.col("median_pos")).alias("calib_b"))
-    return round_doubles(out)
+    edges, medians, med = _bins(spark, sf_dir)
+    b = spark.createDataFrame([(*edges, *medians, med)],
+                              "e1 double, e2 double, e3 double, m0 double, m1 double, m2 double, "
+                              "m3 double, median_pos double")
+    return round_doubles(b.withColumn("calib_b", calibrate_b(F.col("median_pos"))))
 
 
 @register("delta_transforms", _BINS_SQL + """,
@@ -203,15 +202,14 @@ SELECT task, round(CASE WHEN p > 0 AND n > 0 THEN n / CAST(p AS DOUBLE) ELSE 1.0
 def q_class_weights(spark, sf_dir):
     """A8 + A9: neg/pos ratio and balanced class weights per task on train."""
     tr = dataset(spark, sf_dir).where(F.col("split") == "train")
-    out = None
-    for task, lab in S.TASKS.items():
-        pw = pos_weight(tr, lab)
+    rows = []
+    for task, lab in S.TASKS.items():  # three tasks, a few numbers each
+        pw = pos_weight(tr, lab).first()["pos_weight"]
         bw = balanced_weight_col(tr.select(lab), lab).groupBy().agg(
             F.max(F.when(F.col(lab) == 0, F.col("weight"))).alias("weight_neg"),
-            F.max(F.when(F.col(lab) == 1, F.col("weight"))).alias("weight_pos"))
-        row = pw.withColumn("_one", F.lit(1)).join(bw.withColumn("_one", F.lit(1)), "_one") \
-                .select(F.lit(task).alias("task"), "pos_weight", "weight_neg", "weight_pos")
-        out = row if out is None else out.unionByName(row)
+            F.max(F.when(F.col(lab) == 1, F.col("weight"))).alias("weight_pos")).first()
+        rows.append((task, float(pw), bw["weight_neg"], bw["weight_pos"]))
+    out = spark.createDataFrame(rows, "task string, pos_weight double, weight_neg double, weight_pos double")
     return round_doubles(out)
 
 
