@@ -81,3 +81,21 @@ def test_manifest_and_stores_roundtrip(spark, tmp_path):
         s = spark.createDataFrame([("a", 1, 0.1)], "run_id string, tx_id long, mev_score double")
         sinks.write_scores(s.withColumn("split", F.lit("test")), str(tmp_path / "scores"))
         sinks.read_scores(spark, str(tmp_path / "scores"), "missing")
+
+
+def test_identity_ablation_and_cached_scores(spark, tmp_path):
+    from txrisk.functions.scalar import ablate
+    from txrisk.plans.evaluate import scores_or_compute
+    df = spark.createDataFrame([(1, 5, 7, 9, 0.5)], "tx_id long, from_addr_hash long, to_addr_hash long, "
+                               "data_4bytes_hash long, log_gas double")
+    r = ablate(df).first()
+    assert (r["from_addr_hash"], r["to_addr_hash"], r["data_4bytes_hash"], r["log_gas"]) == (0, 0, 0, 0.5)
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.createDataFrame([(1, 0.3)], "tx_id long, mev_score double")
+    path = str(tmp_path / "scores")
+    a = scores_or_compute(spark, path, "run1", "val", compute).count()
+    b = scores_or_compute(spark, path, "run1", "val", compute).count()
+    assert a == b == 1 and len(calls) == 1

@@ -239,8 +239,8 @@ def ablate(df, cols=tuple(S.CATEGORICAL_BINS)):
 
 
 # Poisson(n) from a uniform ----------------------------------------------------
-# Rational approximation of the standard normal quantile (Acklam), used for
-# Poisson(n) with large n; relative error about 1e-9.
+# FIXED VALUES: coefficients of Acklam's rational approximation of the standard
+# normal quantile (relative error about 1e-9), used for Poisson(n) with large n.
 _NQ_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
          1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
 _NQ_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
@@ -251,26 +251,6 @@ _NQ_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
          3.754408661907416e+00)
 
 
-def _poly(coefs, x):
-    acc = F.lit(coefs[0])
-    for c in coefs[1:]:
-        acc = acc * x + F.lit(c)
-    return acc
-
-
-def normal_quantile(u) -> Column:
-    u = _c(u)
-    lo, hi = 0.02425, 1 - 0.02425
-    q = u - 0.5
-    r = q * q
-    central = _poly(_NQ_A, r) * q / (_poly(_NQ_B, r) * r + 1)
-    tl = F.sqrt(-2 * F.log(u))
-    tail_lo = _poly(_NQ_C, tl) / (_poly(_NQ_D, tl) * tl + 1)
-    th = F.sqrt(-2 * F.log(1 - u))
-    tail_hi = -_poly(_NQ_C, th) / (_poly(_NQ_D, th) * th + 1)
-    return F.when(u < lo, tail_lo).when(u > hi, tail_hi).otherwise(central)
-
-
 POISSON_EXACT_MAX = 400
 
 

@@ -72,3 +72,11 @@ def q_incremental_val(spark, sf_dir):
     tx = tx_view(spark, sf_dir)
     out = build_increment(tx, _VAL_START, _VAL_END, TEST_SPLITS)
     return round_doubles(out.select(*DS_COLS))
+
+
+@register("snapshot_unique_senders", f"WITH {dataset_sql()} "
+          f"SELECT count(DISTINCT from_addr) AS unique_senders FROM tx WHERE timestamp_ms < {_VAL_START}")
+def q_snapshot_unique_senders(spark, sf_dir):
+    """Distinct senders in the snapshot taken before the val split."""
+    from txrisk.plans.incremental import unique_senders
+    return unique_senders(sender_snapshot(tx_view(spark, sf_dir), _VAL_START))

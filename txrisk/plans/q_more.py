@@ -191,6 +191,34 @@ def q_positive_aware_sample(spark, sf_dir):
     return T.positive_aware_sample(ws, p_pos=0.3, seed=SEED)
 
 
+_PAS_SQL = _WIN_SQL + f""",
+nw AS (SELECT count(*) AS n_win, count(*) FILTER (WHERE has_positive) AS n_pos FROM ws),
+pw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS pi FROM ws WHERE has_positive),
+aw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS ai FROM ws),
+d AS (SELECT unnest(range(n_win)) AS draw FROM nw),
+dd AS (SELECT draw, {uniform_sql(str(SEED), "'pick'", 'draw')} AS pick, {uniform_sql(str(SEED), "'idx'", 'draw')} AS v,
+              n_win, n_pos FROM d, nw),
+ee AS (SELECT draw, (pick < 0.3 AND n_pos > 0) AS from_positive,
+         CAST(floor(CASE WHEN pick < 0.3 AND n_pos > 0 THEN v * n_pos ELSE v * n_win END) AS BIGINT) AS j FROM dd),
+draws AS (SELECT draw, window_id, from_positive FROM ee JOIN pw ON from_positive AND j = pi
+          UNION ALL SELECT draw, window_id, from_positive FROM ee JOIN aw ON NOT from_positive AND j = ai)"""
+
+
+@register("sampled_window_rows", _PAS_SQL + """
+SELECT d.draw, d.window_id, count(*) AS n_rows, CAST(sum(w2.is_mev_victim) AS DOUBLE) AS n_mev,
+       count(*) FILTER (WHERE w2.pos >= 64) AS n_mask
+FROM draws d JOIN w2 ON d.window_id = w2.window_id GROUP BY d.draw, d.window_id""")
+def q_sampled_window_rows(spark, sf_dir):
+    """T3 + J3: the rows of every drawn window (a window drawn twice appears
+    twice), summarised per draw."""
+    rows = _windows(spark, sf_dir)
+    draws = T.positive_aware_sample(Q.window_summary(rows), p_pos=0.3, seed=SEED)
+    g = Q.gather_windows(draws, rows)
+    return g.groupBy("draw", "window_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_mev_victim").cast("double")).alias("n_mev"),
+        F.count_if("mask").alias("n_mask"))
+
+
 @register("class_weights", f"""WITH {dataset_sql()},
 tr AS (SELECT * FROM ds WHERE split = 'train'),
 u AS (SELECT 'revert' AS task, is_reverted AS y FROM tr UNION ALL SELECT 'mev', is_mev_victim FROM tr
