@@ -149,6 +149,31 @@ def fit_gbt(train: DataFrame, features: S.FeatureSet = S.FeatureSet(), max_depth
     return models
 
 
+def fit_mlp(train: DataFrame, features: S.FeatureSet = S.FeatureSet.preset("numeric_only"),
+            hidden: int = 256, max_iter: int = 10, seed: int = 42) -> dict:
+    """L6 (optional re-aim): per task an MLlib multilayer perceptron
+    [inputs, 256, 256, 2] on standardised features, valid rows only.  MLlib
+    hidden units are sigmoid and the fit is L-BFGS, so this is a tabular
+    neural baseline, not the reference's GELU / embedding / focal-loss net.
+    One L-BFGS iteration is one pass over the data: 10 = the reference's 10 epochs."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+    cols = features.columns
+    models = {}
+    for task, lab in S.TASKS.items():
+        d = train.select(*cols, F.col(lab).cast("double").alias(lab)).where(F.col(lab) >= 0)
+        pipe = Pipeline(stages=[
+            _assembler(cols, "_raw"),
+            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+            MultilayerPerceptronClassifier(featuresCol="features", labelCol=lab,
+                                           layers=[len(cols), hidden, hidden, 2],
+                                           maxIter=max_iter, seed=seed),
+        ])
+        models[task] = pipe.fit(d)
+    return models
+
+
 def score_models(models: dict, df: DataFrame, keep: list[str] = ("tx_id",)) -> DataFrame:
     """Three heads -> (keep…, revert_score, mev_score, drop_score)."""
     from pyspark.ml.functions import vector_to_array

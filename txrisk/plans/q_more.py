@@ -346,3 +346,16 @@ def q_metrics_store(spark, sf_dir):
     scores = scored_runs(spark, sf_dir).select("run_id", "tx_id", "revert_score", "mev_score", "drop_score")
     out = store_scores_and_metrics(spark, scores, dataset(spark, sf_dir), root)
     return round_doubles(out)
+
+
+@register("mlp_baseline")
+def q_mlp(spark, sf_dir):
+    """L6 (optional): MLlib multilayer perceptron per task on the 11
+    standardised numerics; test-split metric bundle.  (No SQL twin.)"""
+    from txrisk.operators.baselines import fit_mlp, score_models
+    ds = dataset(spark, sf_dir)
+    models = fit_mlp(ds.where(F.col("split") == "train"))
+    te = ds.where(F.col("split") == "test")
+    scores = score_models(models, te).join(te.select("tx_id", *S.LABEL_COLUMNS), "tx_id") \
+        .withColumn("run_id", F.lit("mlp"))
+    return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))
