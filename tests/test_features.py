@@ -109,3 +109,25 @@ def test_strict_cast_raises_on_malformed_text(spark):
     with pytest.raises(Exception):
         cast_string_numerics(bad, ["value"]).collect()
     assert cast_string_numerics(bad, ["value"], strict=False).first()[0] is None
+
+
+def test_hot_millisecond_is_split_and_exact(spark):
+    """One instant holds most rows: it gets its own range, cut by tx_id."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        ts = 5_000_000 if i % 8 < 5 else 5_000_000 + int(rng.integers(-200_000, 200_000))
+        sender = "hot" if i % 3 else f"s{i % 5}"
+        rows.append((int(rng.permutation(10_000)[0]) * 1000 + i, ts, sender, str(int(rng.integers(1, 10**11)))))
+    tx = _tx(spark, rows)
+    ranges = plan_time_ranges(tx, 30)
+    assert ranges.heavy and len(ranges.heavy[0][1]) >= 2  # the hot instant is cut
+    got = build_features(tx, ranges).toPandas().set_index("tx_id").sort_index()
+    exp = _brute(rows).sort_index()
+    np.testing.assert_array_equal(got["row_idx"], exp["idx"])
+    np.testing.assert_array_equal(got["mempool_pressure"], exp["pressure"].astype("float32"))
+    np.testing.assert_allclose(got["timestamp_delta_s"], exp["delta"])
+    np.testing.assert_array_equal(got["sender_tx_count"], np.array(exp["cnt"], dtype="float32"))
+    np.testing.assert_allclose(got["sender_avg_gas"], exp["avg"], rtol=1e-12)
+    parts = ranges.assign(tx, "_r", "timestamp_ms").groupBy("_r").count().toPandas()
+    assert parts["count"].max() < 250  # no range holds the whole instant

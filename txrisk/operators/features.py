@@ -16,7 +16,7 @@ from txrisk.operators.scan import Ranges, plan_ranges, running_totals, time_orde
 
 def plan_time_ranges(tx: DataFrame, rows_per_range: int | None = None, **kw) -> Ranges:
     from txrisk.operators.scan import DEFAULT_ROWS_PER_RANGE
-    return plan_ranges(tx, S.SORT_KEY, rows_per_range or DEFAULT_ROWS_PER_RANGE, **kw)
+    return plan_ranges(tx, S.SORT_KEY, rows_per_range or DEFAULT_ROWS_PER_RANGE, tiebreak="tx_id", **kw)
 
 
 def time_features(tx: DataFrame, ranges: Ranges, window_ms: int = S.PRESSURE_WINDOW_MS,

@@ -29,7 +29,10 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
         return [None] * len(probs)
     ranges = plan_ranges(v, "x", rows_per_range, n_rows=n)
     d = ranges.assign(v, "_rng", "x")
-    counts = dict(d.groupBy("_rng").count().collect())  # <= P rows
+    stats = d.groupBy("_rng").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"),
+                                  F.max("x").alias("hi")).collect()  # <= P rows
+    counts = {r["_rng"]: r["c"] for r in stats}
+    const = {r["_rng"]: r["lo"] for r in stats if r["lo"] == r["hi"]}  # one value: no sort needed
     offsets, acc = {}, 0
     for r in sorted(counts):
         offsets[r] = acc
@@ -42,13 +45,18 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
     for rank in need:  # which range holds each global rank
         r = max(k for k in offsets if offsets[k] <= rank)
         where.setdefault(r, set()).add(rank - offsets[r])
+    vals = {}
+    for r in [r for r in where if r in const]:
+        for local in where.pop(r):
+            vals[offsets[r] + local] = const[r]
     picked = d.where(F.col("_rng").isin(list(where)))
     w = Window.partitionBy("_rng").orderBy("x")
     picked = picked.withColumn("_i", F.row_number().over(w) - 1)
     cond = F.lit(False)
     for r, local in where.items():
         cond = cond | ((F.col("_rng") == r) & F.col("_i").isin(sorted(local)))
-    vals = {offsets[row["_rng"]] + row["_i"]: row["x"] for row in picked.where(cond).collect()}
+    if where:
+        vals.update({offsets[row["_rng"]] + row["_i"]: row["x"] for row in picked.where(cond).collect()})
     out = []
     for p in probs:
         h = (n - 1) * p

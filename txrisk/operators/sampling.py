@@ -26,7 +26,8 @@ def first_n(df: DataFrame, n: int, order: list[str] = (S.SORT_KEY, "tx_id"),
     """
     from txrisk.operators.scan import DEFAULT_ROWS_PER_RANGE
     order = list(order)
-    ranges = plan_ranges(df, order[0], rows_per_range or DEFAULT_ROWS_PER_RANGE)
+    ranges = plan_ranges(df, order[0], rows_per_range or DEFAULT_ROWS_PER_RANGE,
+                         tiebreak=order[1] if len(order) > 1 else None)
     if ranges.n == 1:
         return smoke_slice(df, n, order[0], order[1])
     d = ranges.assign(df, "_rng", order[0])
@@ -44,7 +45,8 @@ def first_n(df: DataFrame, n: int, order: list[str] = (S.SORT_KEY, "tx_id"),
 def row_index(df: DataFrame, order: list[str] = (S.SORT_KEY, "tx_id"), out: str = "row_idx") -> DataFrame:
     """W9 for any table (ranged scan on the first order column)."""
     order = list(order)
-    return with_row_index(df, plan_ranges(df, order[0]), order, out)
+    tie = order[1] if len(order) > 1 else None
+    return with_row_index(df, plan_ranges(df, order[0], tiebreak=tie), order, out)
 
 
 def shuffle_labels(df: DataFrame, label: str, seed: int = 42, key: str = "tx_id",

@@ -31,32 +31,65 @@ BROADCAST_RANGE_ROWS = 200_000  # a range table above this is joined by shuffle
 
 @dataclass(frozen=True)
 class Ranges:
-    """Equal-count cut of one numeric column.  ``splits`` are Bucketizer splits."""
+    """Equal-count cut of one numeric column (``splits`` are Bucketizer splits).
+
+    ``heavy`` lists key values that alone hold more than a range's worth of
+    rows (e.g. one millisecond holding a third of the data).  Each gets its own
+    range [h, h + 1) and is cut further by the long ``tiebreak`` column at
+    ``heavy[i][1]``; the range id is then ``base * stride + sub``, still
+    increasing with (key, tiebreak).
+    """
 
     column: str
     splits: tuple
+    tiebreak: str | None = None
+    heavy: tuple = ()
+
+    @property
+    def stride(self) -> int:
+        return max((len(t) + 1 for _, t in self.heavy), default=1)
 
     @property
     def n(self) -> int:
-        return len(self.splits) - 1
+        return (len(self.splits) - 1) * self.stride
 
-    def assign(self, df: DataFrame, out: str = "_rng", src: str | None = None) -> DataFrame:
-        """Add the range id (0..n-1, increasing with the key)."""
+    def assign(self, df: DataFrame, out: str = "_rng", src: str | None = None,
+               tiebreak_src: str | None = None) -> DataFrame:
+        """Add the range id (increasing with the key, then the tiebreak)."""
         if self.n == 1:
             return df.withColumn(out, F.lit(0))
         b = Bucketizer(splits=list(self.splits), inputCol=src or self.column, outputCol=out,
                        handleInvalid="keep")
-        return b.transform(df).withColumn(out, F.col(out).cast("int"))
+        d = b.transform(df).withColumn(out, F.col(out).cast("int"))
+        if not self.heavy:
+            return d
+        key, tie = F.col(src or self.column), F.col(tiebreak_src or self.tiebreak)
+        sub = F.lit(0)
+        for value, cuts in reversed(self.heavy):
+            sub = F.when(key == F.lit(value), _search(tie, list(cuts), 0, len(cuts))).otherwise(sub)
+        return d.withColumn(out, F.col(out) * F.lit(self.stride) + sub)
+
+
+def _search(x: Column, cuts: list, lo: int, hi: int) -> Column:
+    """Number of cuts <= x as a balanced CASE tree (depth log2 of the cut count)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(x >= F.lit(cuts[mid - 1]), _search(x, cuts, mid, hi)).otherwise(_search(x, cuts, lo, mid - 1))
 
 
 def plan_ranges(df: DataFrame, column: str, rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
                 max_ranges: int = MAX_RANGES, n_rows: int | None = None,
-                min_rows_per_range: int = MIN_ROWS_PER_RANGE) -> Ranges:
+                min_rows_per_range: int = MIN_ROWS_PER_RANGE, tiebreak: str | None = None,
+                max_sub: int = 1024) -> Ranges:
     """Equal-count ranges of ``column``: P = ceil(N / rows_per_range), capped,
     and at least the default parallelism while ranges keep >= min_rows_per_range.
 
     Costs one count and one approxQuantile pass over a single pruned column;
-    only P-1 boundary values come back to the driver.
+    only P-1 boundary values come back to the driver.  With ``tiebreak`` (a
+    long column continuing the order), a key value that repeats among the
+    boundaries is isolated and cut again by the tiebreak (one grouped
+    percentile_approx job), so even one hot key value is spread over tasks.
     """
     n = df.count() if n_rows is None else n_rows
     p = math.ceil(n / max(1, rows_per_range))
@@ -67,9 +100,26 @@ def plan_ranges(df: DataFrame, column: str, rows_per_range: int = DEFAULT_ROWS_P
     if p <= 1:
         return Ranges(column, (-math.inf, math.inf))
     probs = [i / p for i in range(1, p)]
-    qs = df.approxQuantile(column, probs, 1.0 / (4 * p))
-    inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-    return Ranges(column, tuple([-math.inf] + inner + [math.inf]))
+    qs = [float(q) for q in df.approxQuantile(column, probs, 1.0 / (4 * p))
+          if q is not None and not math.isnan(q)]
+    inner = set(qs)
+    heavy = ()
+    if tiebreak is not None:
+        rep = sorted(v for v in inner if qs.count(v) >= 2)  # holds >= ~one range of rows
+        if rep:
+            cnt = dict(df.where(F.col(column).isin(rep)).groupBy(column).count().collect())
+            subs = {v: min(max_sub, max(2, math.ceil(cnt.get(v, 0) / rows_per_range))) for v in rep}
+            k = max(subs.values())
+            cuts = df.where(F.col(column).isin(rep)).groupBy(column).agg(
+                F.percentile_approx(tiebreak, [i / k for i in range(1, k)], 4 * k).alias("_c")).collect()
+            hv = []
+            for row in cuts:
+                v, c = float(row[0]), sorted(set(row["_c"] or []))
+                step = max(1, len(c) // max(1, subs[v] - 1))
+                hv.append((v, tuple(c[step - 1::step][: subs[v] - 1]) if len(c) > subs[v] - 1 else tuple(c)))
+                inner.add(math.nextafter(v, math.inf) if not float(v).is_integer() else v + 1.0)
+            heavy = tuple(sorted(hv))
+    return Ranges(column, tuple([-math.inf] + sorted(inner) + [math.inf]), tiebreak, heavy)
 
 
 def _maybe_broadcast(small: DataFrame, n_ranges: int) -> DataFrame:
@@ -109,6 +159,9 @@ def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, orde
               .drop(*tmp.values(), *[f"__c_{n}" for n in sums])
 
 
+_SHIFT = 2 ** 62  # keys are assumed to lie in [0, 2^62)
+
+
 def time_order(tx: DataFrame, ranges: Ranges, ts: str = "timestamp_ms", key: str = "tx_id",
                lookback_ms: int = 60_000) -> DataFrame:
     """Per row: global 0-based index (W9), previous row's ts (W1 input) and the
@@ -123,7 +176,12 @@ def time_order(tx: DataFrame, ranges: Ranges, ts: str = "timestamp_ms", key: str
     base = tx.select(F.col(key).alias("_k"), F.col(ts).alias("_t"))
     data = base.withColumn("_d", F.lit(1))
     probes = base.select("_k", (F.col("_t") - F.lit(lookback_ms)).alias("_t"), F.lit(0).alias("_d"))
-    u = ranges.assign(data.unionByName(probes), out="_rng", src="_t")
+    u = data.unionByName(probes)
+    if ranges.heavy:  # order inside one instant is (_d, _k): one long, data cuts shifted
+        u = u.withColumn("_dk", F.col("_d").cast("bigint") * F.lit(_SHIFT) + F.col("_k"))
+        ranges = Ranges(ranges.column, ranges.splits, "_dk",
+                        tuple((v, tuple(c + _SHIFT for c in cuts)) for v, cuts in ranges.heavy))
+    u = ranges.assign(u, out="_rng", src="_t")
     w = Window.partitionBy("_rng").orderBy("_t", "_d", "_k") \
               .rowsBetween(Window.unboundedPreceding, -1)
     u = u.withColumns({
