@@ -174,23 +174,6 @@ def q_label_shuffle(spark, sf_dir):
     return T.shuffle_labels(d, "is_reverted", seed=SEED).select("tx_id", "is_reverted")
 
 
-@register("positive_aware_sample", _WIN_SQL + f""",
-nw AS (SELECT count(*) AS n_win, count(*) FILTER (WHERE has_positive) AS n_pos FROM ws),
-pw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS pi FROM ws WHERE has_positive),
-aw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS ai FROM ws),
-d AS (SELECT unnest(range(n_win)) AS draw FROM nw),
-dd AS (SELECT draw, {uniform_sql(str(SEED), "'pick'", 'draw')} AS pick, {uniform_sql(str(SEED), "'idx'", 'draw')} AS v,
-              n_win, n_pos FROM d, nw),
-ee AS (SELECT draw, (pick < 0.3 AND n_pos > 0) AS from_positive,
-         CAST(floor(CASE WHEN pick < 0.3 AND n_pos > 0 THEN v * n_pos ELSE v * n_win END) AS BIGINT) AS j FROM dd)
-SELECT draw, window_id, from_positive FROM ee JOIN pw ON from_positive AND j = pi
-UNION ALL SELECT draw, window_id, from_positive FROM ee JOIN aw ON NOT from_positive AND j = ai""")
-def q_positive_aware_sample(spark, sf_dir):
-    """T3 + J3: one epoch of window draws, oversampling windows with a MEV positive (p = 0.3)."""
-    ws = Q.window_summary(_windows(spark, sf_dir))
-    return T.positive_aware_sample(ws, p_pos=0.3, seed=SEED)
-
-
 _PAS_SQL = _WIN_SQL + f""",
 nw AS (SELECT count(*) AS n_win, count(*) FILTER (WHERE has_positive) AS n_pos FROM ws),
 pw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS pi FROM ws WHERE has_positive),
@@ -204,6 +187,13 @@ draws AS (SELECT draw, window_id, from_positive FROM ee JOIN pw ON from_positive
           UNION ALL SELECT draw, window_id, from_positive FROM ee JOIN aw ON NOT from_positive AND j = ai)"""
 
 
+@register("positive_aware_sample", _PAS_SQL + " SELECT * FROM draws")
+def q_positive_aware_sample(spark, sf_dir):
+    """T3 + J3: one epoch of window draws, oversampling windows with a MEV positive (p = 0.3)."""
+    ws = Q.window_summary(_windows(spark, sf_dir))
+    return T.positive_aware_sample(ws, p_pos=0.3, seed=SEED)
+
+
 @register("sampled_window_rows", _PAS_SQL + """
 SELECT d.draw, d.window_id, count(*) AS n_rows, CAST(sum(w2.is_mev_victim) AS DOUBLE) AS n_mev,
        count(*) FILTER (WHERE w2.pos >= 64) AS n_mask
