@@ -99,3 +99,23 @@ def test_identity_ablation_and_cached_scores(spark, tmp_path):
     a = scores_or_compute(spark, path, "run1", "val", compute).count()
     b = scores_or_compute(spark, path, "run1", "val", compute).count()
     assert a == b == 1 and len(calls) == 1
+
+
+def test_run_build_and_evaluation_end_to_end(spark, tmp_path):
+    """S1 raw read with an explicit schema -> build -> audit -> split table ->
+    manifest; then every evaluation table for a score run."""
+    from txrisk.plans.build import run_build
+    from txrisk.plans.evaluate import run_evaluation
+    from txrisk.sources.testbind import TEST_SPLITS, blend_scores, tx_view
+    raw = str(tmp_path / "raw")
+    tx_view(spark, SF001).write.parquet(raw)
+    out = str(tmp_path / "processed")
+    doc = run_build(spark, raw, out, TEST_SPLITS, audit=True, on_fail="warn")
+    assert doc["total_rows"] == 1000 and set(doc["splits"]) == {"train", "val", "test"}
+    assert doc["leakage_audit"] in ("passed", "FAILED")
+    ds = spark.read.parquet(out)
+    scores = blend_scores(ds.where(F.col("split") == "test"), "blend_a", 0.5)
+    run_evaluation(spark, scores, ds, str(tmp_path / "eval"), reps=20)
+    m = spark.read.parquet(str(tmp_path / "eval" / "metrics"))
+    assert m.where(F.col("metric") == "revert_auc").count() == 1
+    assert spark.read.parquet(str(tmp_path / "eval" / "dex_subset")).count() == 3

@@ -50,3 +50,27 @@ def test_arrival_windows_equal_batch_counts(spark):
         .select(F.unix_millis("w.start").alias("window_start_ms"), F.col("count").alias("n"))
     diff = got.select("window_start_ms", "n").exceptAll(exp)
     assert diff.count() == 0 and got.count() == exp.count()
+
+
+def test_sender_state_across_micro_batches_equals_batch(spark, tmp_path):
+    """R1 with state carried over several micro-batches (files arrive in time order)."""
+    from txrisk.operators.features import sender_features
+    from txrisk.operators.scan import Ranges
+    from txrisk.sources.testbind import tx_view
+    ev = pq.read_table(f"{SF001}/events.parquet").sort_by("ts")
+    src = tmp_path / "src"
+    os.makedirs(src)
+    n = ev.num_rows
+    for i, (a, b) in enumerate([(0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)]):
+        pq.write_table(ev.slice(a, b - a), src / f"part{i}.parquet")
+        time.sleep(1.1)
+    schema = read_table(spark, SF001, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    progress = []
+    out = J.run_available_now(spark, J.sender_state_stream(tx_from_events(stream)), "r1", progress=progress)
+    assert len([p for p in progress if p["numInputRows"] > 0]) == 3
+    got = spark.read.parquet(out).toPandas().set_index("tx_id").sort_index()
+    exp = sender_features(tx_view(spark, SF001), Ranges("timestamp_ms", (-float("inf"), float("inf")))) \
+        .toPandas().set_index("tx_id").sort_index()
+    assert (got["sender_tx_count"] == exp["sender_tx_count"]).all()
+    assert ((got["sender_avg_gas"] - exp["sender_avg_gas"]).abs() < 1e-9).all()

@@ -47,6 +47,21 @@ def evaluate(scores: DataFrame, processed: DataFrame, split: str = "test", reps:
     return {k: v for k, v in out.items() if v is not None}
 
 
+def run_evaluation(spark: SparkSession, scores: DataFrame, processed: DataFrame, root: str,
+                   split: str = "test", reps: int = 1000, seed: int = 42) -> None:
+    """The evaluation job end to end (survey §3.3): every table of ``evaluate``
+    written under ``root`` (metrics also appended to the long store, S8)."""
+    tables = evaluate(scores, processed, split, reps, seed)
+    sinks.upsert_metrics(tables["metrics"], os.path.join(root, "metrics"))
+    if "metrics_ci" in tables:
+        ci = tables["metrics_ci"].withColumn("slice", F.lit("all")) \
+            .withColumnRenamed("point", "value").drop("task")
+        sinks.upsert_metrics(ci, os.path.join(root, "metrics_ci"))
+    sinks.write_pr_curve(tables["pr_curve"], os.path.join(root, "pr_curve"))
+    for name in ("dex_subset", "traffic", "dex_per_day"):
+        tables[name].write.mode("overwrite").parquet(os.path.join(root, name))
+
+
 def store_scores_and_metrics(spark: SparkSession, scores: DataFrame, processed: DataFrame,
                              root: str, split: str = "test") -> DataFrame:
     """S6 -> S7 -> M8 -> S8 -> S9: write keyed scores, read them back (all runs

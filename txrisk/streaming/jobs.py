@@ -75,7 +75,7 @@ class SenderState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         cnt, gsum = self.state.get() if self.state.exists() else (0, 0.0)
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([S.SORT_KEY, "tx_id"])
-        g = pdf["_g"].fillna(0.0).to_numpy()
+        g = pdf["log_gas_gwei"].fillna(0.0).to_numpy()
         c_prev = cnt + pd.RangeIndex(len(pdf)).to_numpy()
         s_prev = gsum + (g.cumsum() - g)
         avg = np.where(c_prev > 0, s_prev / np.maximum(c_prev, 1), 0.0)
@@ -94,7 +94,7 @@ def sender_state_stream(tx_stream: DataFrame, snapshot: DataFrame | None = None)
     spark = tx_stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     s = tx_stream.select("tx_id", S.SORT_KEY, "from_addr",
-                         F.log1p(F.col("gas_price").cast("double") / 1e9).alias("_g"))
+                         F.log1p(F.col("gas_price").cast("double") / 1e9).alias("log_gas_gwei"))
     keyed = s.where(F.col("from_addr").isNotNull()).groupBy("from_addr")
     init = None
     if snapshot is not None:
