@@ -100,7 +100,8 @@ def grouped_metric_values(df: DataFrame, metric: str, reps: int, seed: int, by:
     """(point, per-replicate values) with group-level weights.
 
     f1: the 4 confusion cells per group; auc / ap: distinct (score, label)
-    (``score_digits`` rounds scores first = binned AUC/AP); p_at_k: per-row
+    (``score_digits`` rounds the replicates' scores, bounding the groups; the
+    point estimate always uses exact scores); p_at_k: per-row
     weights for the top rows only plus one Poisson(N - M) for the rest, with
     M grown until every replicate's top rows hold >= k weight.
     """
@@ -113,9 +114,11 @@ def grouped_metric_values(df: DataFrame, metric: str, reps: int, seed: int, by:
         boot = _group_weights(cells, reps, seed, [*by, "pred", "label"])
         return point, weighted_metric(boot, "f1", [*by, "rep"], k, key)
     if metric in ("auc", "ap"):
-        sc = F.round("score", score_digits) if score_digits is not None else F.col("score")
-        g = df.groupBy(*by, sc.alias("score"), "label").agg(F.count(F.lit(1)).alias("n"))
-        point = weighted_metric(g.withColumn("w", F.col("n")), metric, by, k, key)
+        exact = df.groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("n"))
+        point = weighted_metric(exact.withColumn("w", F.col("n")), metric, by, k, key)
+        g = exact if score_digits is None else \
+            df.groupBy(*by, F.round("score", score_digits).alias("score"), "label") \
+              .agg(F.count(F.lit(1)).alias("n"))
         boot = _group_weights(g, reps, seed, [*by, "score", "label"])
         return point, weighted_metric(boot, metric, [*by, "rep"], k, key)
     if metric == "p_at_k":
@@ -184,6 +187,8 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c"), F.sum("_c")).first()
     biggest, total = sizes[0] or 0, sizes[1] or 0
     if method == "grouped" or (method == "auto" and total * reps > GROUPED_ABOVE):
+        if method == "auto" and score_digits is None:
+            score_digits = 6  # <= 10^6 distinct scores per slice in the replicates
         parts = []
         for task, mets in CI_BUNDLE.items():
             t = v.where(F.col("task") == task)
