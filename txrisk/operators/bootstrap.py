@@ -219,4 +219,9 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*keys, "metric", "point", "lower", "upper")
+    out = out.select(*keys, "metric", "point", "lower", "upper")
+    # the result is (groups x tasks x 7) rows: compute it, release the cached
+    # weights, and hand back the small table
+    rows, schema = out.collect(), out.schema
+    boot.unpersist()
+    return v.sparkSession.createDataFrame(rows, schema)
