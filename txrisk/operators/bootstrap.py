@@ -171,6 +171,37 @@ CI_BUNDLE = {"revert": ["f1", "auc"], "mev": ["ap", "p_at_100", "p_at_1000"], "d
 _NAMES = {"f1": "f1", "auc": "auc", "ap": "pr_auc", "p_at_100": "p_at_100", "p_at_1000": "p_at_1000"}
 
 
+def _bundle_values(d: DataFrame, grp: list[str], biggest: int, key: str,
+                   ks: tuple = (100, 1000)) -> DataFrame:
+    """All CI-bundle metrics in three passes over one weighted table (column
+    ``w``): one confusion pass (F1: revert, drop), one score curve shared by
+    AUC (revert, drop) and AP (mev), one top-max(k) pass (P@k: mev).
+    Output (grp…, metric, value), metric names task_metric."""
+    t = F.col("task")
+    f1 = weighted_metric(d.where(t != "mev"), "f1", grp, key=key) \
+        .select(*grp, F.concat(t, F.lit("_f1")).alias("metric"), "value")
+    curve = M.score_curve(d, "score", "label", grp, weight=F.col("w"), max_group_rows=biggest)
+    auc = M.roc_auc(curve, grp).where(t != "mev") \
+        .select(*grp, F.concat(t, F.lit("_auc")).alias("metric"), F.col("auc").alias("value"))
+    ap = M.average_precision(curve, grp).where(t == "mev") \
+        .select(*grp, F.lit("mev_pr_auc").alias("metric"), F.col("ap").alias("value"))
+    m = d.where(t == "mev")
+    kmax = max(ks)
+    win = Window.partitionBy(*grp).orderBy(F.col("score").desc(), F.col(key).asc())
+    top = m.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= kmax)
+    run = Window.partitionBy(*grp).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumn("_before", F.coalesce(F.sum("w").over(run), F.lit(0)))
+    hits = top.groupBy(*grp).agg(*[
+        F.sum(F.greatest(F.least(F.col("w"), F.lit(k) - F.col("_before")), F.lit(0)) * F.col("label"))
+        .alias(f"_h{k}") for k in ks])
+    n = m.groupBy(*grp).agg(F.sum("w").alias("_n"))
+    pk = hits.join(n, grp).select(*grp, F.explode(F.array(*[
+        F.struct(F.lit(f"mev_p_at_{k}").alias("metric"),
+                 (F.col(f"_h{k}") / F.least(F.lit(k), F.col("_n"))).cast("double").alias("value"))
+        for k in ks])).alias("_m")).select(*grp, "_m.metric", "_m.value")
+    return f1.unionByName(auc).unionByName(ap).unionByName(pk)
+
+
 def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list[str] = (),
                      min_valid: int = 10, key: str = "tx_id", method: str = "auto",
                      score_digits: int | None = None) -> DataFrame:
@@ -208,18 +239,14 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     boot = bootstrap_weights(v.repartition(par, key), reps, seed, key) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     boot.count()
-    parts = []
-    for task, mets in CI_BUNDLE.items():
-        t = v.where(F.col("task") == task)
-        bt = boot.where(F.col("task") == task)
-        for m in mets:
-            base, kk = (m, 100) if not m.startswith("p_at_") else ("p_at_k", int(m.split("_")[-1]))
-            r = bootstrap_ci(t, base, reps, 0.95, seed, keys, kk, key, boot=bt, biggest=biggest)
-            parts.append(r.withColumn("metric", F.lit(f"{task}_{_NAMES[m]}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.select(*keys, "metric", "point", "lower", "upper")
+    point = _bundle_values(v.withColumn("w", F.lit(1)), keys, biggest, key) \
+        .withColumnRenamed("value", "point")
+    vals = _bundle_values(boot, [*keys, "rep"], biggest, key)
+    q = vals.where(F.col("value").isNotNull()).groupBy(*keys, "metric") \
+        .agg(F.percentile("value", [0.025, 0.975]).alias("_q"))
+    out = point.join(q, [*keys, "metric"], "left").select(
+        *keys, "metric", "point", F.coalesce(F.col("_q")[0], F.col("point")).alias("lower"),
+        F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
     # the result is (groups x tasks x 7) rows: compute it, release the cached
     # weights, and hand back the small table
     rows, schema = out.collect(), out.schema
