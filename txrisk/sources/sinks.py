@@ -20,7 +20,19 @@ from txrisk import schema as S
 from txrisk.functions.scalar import feature_fingerprint
 from txrisk.session import checkpoint_dir
 
-TABLE_VERSION = "v1"
+def _code_version() -> str:
+    """Hash of the package source: stored tables are rebuilt whenever the code changes."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.md5()
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+TABLE_VERSION = _code_version()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
