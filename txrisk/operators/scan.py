@@ -104,7 +104,8 @@ def plan_ranges(df: DataFrame, column: str, rows_per_range: int = DEFAULT_ROWS_P
           if q is not None and not math.isnan(q)]
     inner = set(qs)
     heavy = ()
-    if tiebreak is not None:
+    numeric = ("byte", "short", "integer", "long")
+    if tiebreak is not None and df.schema[tiebreak].dataType.typeName() in numeric:
         rep = sorted(v for v in inner if qs.count(v) >= 2)  # holds >= ~one range of rows
         if rep:
             cnt = dict(df.where(F.col(column).isin(rep)).groupBy(column).count().collect())
