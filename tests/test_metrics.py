@@ -167,3 +167,20 @@ def test_grouped_bootstrap_matches_row_bootstrap(spark, metric):
     tol = 1e-12 if metric == "p_at_k" else 0.03
     assert grp["lower"] == pytest.approx(rows["lower"], abs=tol)
     assert grp["upper"] == pytest.approx(rows["upper"], abs=tol)
+
+
+def test_grouped_metric_escape_hatch(spark):
+    df, pdf = _scored(spark)
+
+    def auc(s, y):  # defined here so the worker receives it by value
+        import numpy as np
+        pos, neg = s[y == 1], s[y == 0]
+        return ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) \
+            / (len(pos) * len(neg))
+    got = M.grouped_metric(df, ["grp"], auc, "auc").toPandas().set_index("grp")["auc"]
+    curve = M.score_curve(df, "score", "label", ["grp"])
+    exp = M.roc_auc(curve, ["grp"]).toPandas().set_index("grp")["auc"]
+    for g in exp.index:
+        assert got[g] == pytest.approx(exp[g], abs=1e-12)
+    with pytest.raises(ValueError):
+        M.grouped_metric(df, ["grp"], auc, max_group_rows=10)

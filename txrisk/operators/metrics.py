@@ -197,3 +197,29 @@ def unpivot_tasks(df: DataFrame, keep: list[str] = ("tx_id",),
     arr = F.array(*[F.struct(F.lit(t).alias("task"), F.col(f"{t}_score").cast("double").alias("score"),
                              F.col(lab).cast("double").alias("label")) for t, lab in tasks.items()])
     return df.select(*keep, F.explode(arr).alias("_t")).select(*keep, "_t.task", "_t.score", "_t.label")
+
+
+def grouped_metric(df: DataFrame, by: list[str], fn, name: str = "value", score: str = "score",
+                   label: str = "label", max_group_rows: int = 5_000_000) -> DataFrame:
+    """§2.12 escape hatch: any Python ``fn(scores, labels) -> float`` per group
+    through ``applyInPandas`` (the reference's metric_fn hook).
+
+    A group is handed whole to one Python worker, so the largest group is
+    measured first and the call refuses groups above ``max_group_rows``; the
+    built-in metrics above have no such limit.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if biggest > max_group_rows:
+        raise ValueError(f"largest group has {biggest} rows > {max_group_rows}; use the built-in metrics")
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            v = float(fn(pdf[score].to_numpy(), pdf[label].to_numpy()))
+        except (ValueError, ZeroDivisionError):
+            v = None
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, name: [v]})
+
+    schema = T.StructType([df.schema[b] for b in by] + [T.StructField(name, T.DoubleType())])
+    return df.select(*by, score, label).groupBy(*by).applyInPandas(apply, schema)
