@@ -184,3 +184,28 @@ def test_grouped_metric_escape_hatch(spark):
         assert got[g] == pytest.approx(exp[g], abs=1e-12)
     with pytest.raises(ValueError):
         M.grouped_metric(df, ["grp"], auc, max_group_rows=10)
+
+
+from hypothesis import given, settings, HealthCheck, strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 6), st.booleans()), min_size=2, max_size=60))
+def test_property_auc_ap_any_ties(spark, pairs):
+    """Random scores on a 7-level grid (heavy ties) and labels: AUC and AP equal
+    their brute-force definitions (NULL when a class is missing)."""
+    s = np.array([p[0] / 6 for p in pairs])
+    y = np.array([int(p[1]) for p in pairs])
+    df = spark.createDataFrame(pd.DataFrame({"tx_id": np.arange(len(s)), "score": s,
+                                             "label": y.astype(float)}))
+    curve = M.score_curve(df)
+    auc = M.roc_auc(curve).first()["auc"]
+    ap = M.average_precision(curve).first()["ap"]
+    exp_auc = _auc_brute(s, y)
+    assert (auc is None) == (exp_auc is None)
+    if exp_auc is not None:
+        assert auc == pytest.approx(exp_auc, abs=1e-12)
+    if y.sum() > 0:
+        assert ap == pytest.approx(_ap_brute(s, y), abs=1e-12)
+    else:
+        assert ap is None

@@ -150,7 +150,8 @@ def recall_at_k(hits: Column, P: Column) -> Column:
 
 def metric_bundle(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label",
                   task: str = "task", key: str = "tx_id", min_valid: int = 10,
-                  ks: tuple = (100, 1000), recall_k: int = 1000) -> DataFrame:
+                  ks: tuple = (100, 1000), recall_k: int = 1000,
+                  score_digits: int | None = None) -> DataFrame:
     """M8: the per-task metric set with the reference's guards, as a long table
     (by..., task, metric, value).
 
@@ -161,7 +162,7 @@ def metric_bundle(scored: DataFrame, by: list[str] = (), score: str = "score", l
     keys = [*by, task]
     v = valid(scored, label)
     cnt = confusion(v, (F.col(score) > 0.5).cast("int"), label, keys)
-    curve = score_curve(v, score, label, keys)
+    curve = score_curve(v, score, label, keys, score_digits=score_digits)  # digits: approximate
     auc = roc_auc(curve, keys)
     ap = average_precision(curve, keys)
     hits = top_k_hits(v, list(ks), score, label, keys, key)
