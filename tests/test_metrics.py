@@ -209,3 +209,15 @@ def test_property_auc_ap_any_ties(spark, pairs):
         assert ap == pytest.approx(_ap_brute(s, y), abs=1e-12)
     else:
         assert ap is None
+
+
+@pytest.mark.parametrize("rows_per_range", [10**9, 50])
+def test_exact_percentiles_many_paths_agree(spark, rows_per_range):
+    from txrisk.operators.quantiles import exact_percentiles_many
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": np.round(rng.random(300), 1)})
+    pdf.loc[::40, "a"] = np.nan
+    got = exact_percentiles_many(spark.createDataFrame(pdf), [("a", [0.05, 0.5]), ("b", [0.1])],
+                                 rows_per_range=rows_per_range)
+    np.testing.assert_allclose(got[0], np.nanpercentile(pdf["a"], [5, 50]), rtol=1e-12)
+    np.testing.assert_allclose(got[1], np.percentile(pdf["b"], [10]), rtol=1e-12)

@@ -38,11 +38,11 @@ def _no_nan(c: str) -> Column:
 
 def fit_rule_thresholds(train: DataFrame, drop_pct: float = 5.0) -> RuleThresholds:
     """NaN-skipping exact percentiles (numpy-linear) of three continuous
-    columns, through the ranged scan so no task holds all distinct values."""
-    from txrisk.operators.quantiles import exact_percentiles
-    fee, = exact_percentiles(train, "log_gas_fee", [drop_pct / 100.0])
-    tip, = exact_percentiles(train, "log_gas_tip", [0.5])
-    gas, = exact_percentiles(train, "log_gas", [0.10])
+    columns: one aggregate while they fit one range, else the ranged scan so
+    no task holds all distinct values."""
+    from txrisk.operators.quantiles import exact_percentiles_many
+    (fee,), (tip,), (gas,) = exact_percentiles_many(
+        train, [("log_gas_fee", [drop_pct / 100.0]), ("log_gas_tip", [0.5]), ("log_gas", [0.10])])
     return RuleThresholds(log_gas_fee_threshold=fee, log_gas_tip_median=tip, log_gas_threshold=gas)
 
 

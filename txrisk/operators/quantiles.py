@@ -64,3 +64,22 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float],
         a, b = vals[lo], vals[hi]
         out.append(a if lo == hi or a == b else (hi - h) * a + (h - lo) * b)
     return out
+
+
+def exact_percentiles_many(df: DataFrame, specs: list, rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
+                           skip_nan: bool = True) -> list:
+    """Several columns at once: [(column, probs), ...] -> [[values], ...].
+
+    One count job decides the path: when every column has at most one range of
+    rows, a single ``percentile`` aggregate computes them all (its value buffer
+    is bounded by that count); otherwise each column takes the ranged path.
+    """
+    def clean(c):
+        x = F.col(c).cast("double")
+        return F.nanvl(x, F.lit(None).cast("double")) if skip_nan else x
+    counts = df.agg(*[F.count(clean(c)).alias(f"n{i}") for i, (c, _) in enumerate(specs)]).first()
+    if max(counts) <= rows_per_range:
+        row = df.agg(*[F.percentile(clean(c), [float(q) for q in p]).alias(f"p{i}")
+                       for i, (c, p) in enumerate(specs)]).first()
+        return [list(row[f"p{i}"]) if counts[i] else [None] * len(p) for i, (_, p) in enumerate(specs)]
+    return [exact_percentiles(df, c, p, rows_per_range, skip_nan) for c, p in specs]
