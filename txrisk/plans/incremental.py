@@ -37,11 +37,12 @@ def unique_senders(snapshot: DataFrame) -> DataFrame:
 
 
 def build_increment(tx: DataFrame, start_ms: int, end_ms: int, splits: SplitRanges = SplitRanges(),
-                    lookback_ms: int = S.LOOKBACK_MS, hash_fn: str = "md5") -> DataFrame:
+                    lookback_ms: int = S.LOOKBACK_MS, hash_fn: str = "md5",
+                    rows_per_range: int | None = None) -> DataFrame:
     load_start = start_ms - lookback_ms
     chunk = tx.where((F.col(S.SORT_KEY) >= F.lit(load_start)) & (F.col(S.SORT_KEY) < F.lit(end_ms)))
     snap = sender_snapshot(tx, load_start)
-    ranges = plan_time_ranges(chunk)
+    ranges = plan_time_ranges(chunk, rows_per_range)
     # rows before the look-back: they shift the row index, and when there are
     # any, an empty look-back means the true gap exceeds the 300 s clip
     n_before = tx.where(F.col(S.SORT_KEY) < F.lit(load_start)).count()
