@@ -310,6 +310,9 @@ def poisson_n(n, u) -> Column:
     recursion), normal quantile with continuity correction above.  An
     Arrow-batched pandas UDF: numpy steps a whole batch through the CDF."""
     global _POISSON_N_UDF
+    from pyspark.sql import SparkSession
+    from txrisk.session import ship_package
+    ship_package(SparkSession.getActiveSession())  # workers import this module
     if _POISSON_N_UDF is None:  # needs an active session
         _POISSON_N_UDF = F.pandas_udf(_poisson_n_batch, "int")
     return _POISSON_N_UDF(_c(n).cast("double"), _c(u).cast("double"))

@@ -211,6 +211,8 @@ def grouped_metric(df: DataFrame, by: list[str], fn, name: str = "value", score:
     """
     import pandas as pd
     from pyspark.sql import types as T
+    from txrisk.session import ship_package
+    ship_package(df.sparkSession)
     biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if biggest > max_group_rows:
         raise ValueError(f"largest group has {biggest} rows > {max_group_rows}; use the built-in metrics")

@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     for k in ("spark.sql.session.timeZone",):
         spark.conf.set(k, "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +55,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(d, "rdd"))
     return d
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``txrisk`` importable in Spark's Python workers (pandas UDFs and
+    stateful processors reference library functions by module).  The package
+    is zipped once per application and added like ``--py-files``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="txrisk-pyfiles-"), "txrisk.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from txrisk import schema as S
-from txrisk.session import checkpoint_dir
+from txrisk.session import checkpoint_dir, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -93,6 +93,7 @@ def sender_state_stream(tx_stream: DataFrame, snapshot: DataFrame | None = None)
     NULL senders carry no state (count 0, mean 0) and bypass the keyed operator."""
     spark = tx_stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ship_package(spark)  # the processor class is imported by the workers
     s = tx_stream.select("tx_id", S.SORT_KEY, "from_addr",
                          F.log1p(F.col("gas_price").cast("double") / 1e9).alias("log_gas_gwei"))
     keyed = s.where(F.col("from_addr").isNotNull()).groupBy("from_addr")
