@@ -312,7 +312,9 @@ def poisson_n(n, u) -> Column:
     global _POISSON_N_UDF
     from pyspark.sql import SparkSession
     from txrisk.session import ship_package
-    ship_package(SparkSession.getActiveSession())  # workers import this module
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)  # workers import this module
     if _POISSON_N_UDF is None:  # needs an active session
         _POISSON_N_UDF = F.pandas_udf(_poisson_n_batch, "int")
     return _POISSON_N_UDF(_c(n).cast("double"), _c(u).cast("double"))
