@@ -46,7 +46,9 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3: one keyed table partitioned by split.  Range-partitioned on
     (split, time): a large split is written by many tasks, each file covers
     one time range and is sorted inside, so parquet min/max stats prune."""
-    (df.repartitionByRange("split", S.SORT_KEY).sortWithinPartitions(S.SORT_KEY, "tx_id")
+    # the writer needs rows grouped by the partition column: sorting by
+    # (split, time) satisfies it, so no second (unstable) sort reorders time
+    (df.repartitionByRange("split", S.SORT_KEY).sortWithinPartitions("split", S.SORT_KEY, "tx_id")
        .write.mode(mode).partitionBy("split").parquet(path))
 
 
