@@ -60,6 +60,30 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_groups(_docs(spark, sf_dir))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1),
+        lambda i: array_to_string(ws[i:i + 2], ' '))) AS sh FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, coalesce(min(r.other), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@_register("op8_jaccard_join", OP8_SQL)
+def op8_jaccard_join(spark, sf_dir):
+    from txrisk.llm.jaccard_join import similar_components
+    return similar_components(_docs(spark, sf_dir))
+
+
 @_register("op9_byte_bpe")
 def op9_byte_bpe(spark, sf_dir):
     from txrisk.llm.bpe_tree import round_trip
