@@ -29,6 +29,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_register("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    from txrisk.llm.toxicity import score_toxicity
+    return score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_register("op2_quality_perplexity")
+def op2_quality_perplexity(spark, sf_dir):
+    from txrisk.llm.perplexity import judge_quality
+    return judge_quality(_docs(spark, sf_dir))
+
+
 @_register("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     from txrisk.llm.token_counts import count_tokens
@@ -90,6 +102,18 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(_docs(spark, sf_dir))
 
 
+@_register("op10_surrogates")
+def op10_surrogates(spark, sf_dir):
+    from txrisk.llm.surrogates import replace_entities
+    return replace_entities(_docs(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
+@_register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
