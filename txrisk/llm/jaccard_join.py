@@ -30,7 +30,8 @@ from txrisk.llm.words import LOWER, find_words, hash_ranges, mix, shingle_set
 
 MAX_LIGHT = 32           # largest size at which the light side is considered
 COMMON_SHARE = 2.0**-17  # share of listed shingles from which one counts as common
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+ENTRY_COST = 8           # subsets that cost as much as a list entry, which also leads to pairs to check
 
 
 class Threshold:
@@ -54,6 +55,11 @@ class Threshold:
     def linked(self, both: Column, n: Column, m: Column) -> Column:
         return (100 + self.percent) * both >= self.percent * (n + m)
 
+    def may_start(self, n: Column, at_n: Column, m: Column, at_m: Column) -> Column:
+        """Whether the first common shingle of linked sets can be at these places."""
+        both = F.floor((self.percent * (n + m) + 99 + self.percent) / F.lit(100 + self.percent))
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (at_n <= n - both) & (at_m <= m - both)
+
 
 def _sets(buf: np.ndarray, off: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Shingle set of each text (sorted, distinct)."""
@@ -75,28 +81,49 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 2^j >= n hash buckets, at least 64, as bits."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """How many shingles two sets with these sketches differ by at least: a
+    bucket of other parity holds one.  The longer sketch is folded first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, k: size and name of each text's set; k is null for empty sets."""
+    """doc_id, n, k, sketch: size, name and sketch of each text's set; the
+    latter two are null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in text_slices(batches):
-            n, k = [], []
+            n, k, sketch = [], [], []
             for s in _sets(buf, off, width):
                 n.append(len(s))
                 k.append(_key(s) if len(s) else None)
+                sketch.append(_sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary())], ["doc_id", "n", "k"])
-    return _slim(docs).mapInArrow(run, "doc_id long, n long, k binary")
+                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()),
+                 pa.array(sketch, pa.binary())], ["doc_id", "n", "k", "sketch"])
+    return _slim(docs).mapInArrow(run, "doc_id long, n long, k binary, sketch binary")
 
 
 def choose_boundary(sizes: dict[int, int], t: Threshold) -> int:
     """Largest light size of least cost: subsets of light sets against the list
-    entries of sets that may meet a heavy one (an entry costs as a subset does)."""
+    entries of sets that may meet a heavy one."""
     def subsets(n: int) -> int:
         own = sum(comb(n, t.overlap(n, m)) for m in t.partners(n))
         return own + sum(comb(n, t.overlap(m, n)) for m in range(t.least(n), n))
 
     def entries(n: int) -> int:
-        return n - t.least(n) + 1
+        return ENTRY_COST * (n - t.least(n) + 1)
 
     best, cost = 0, None
     for x in range(MAX_LIGHT + 1):
@@ -107,37 +134,26 @@ def choose_boundary(sizes: dict[int, int], t: Threshold) -> int:
     return best
 
 
-def subset_links(docs: DataFrame, width: int, t: Threshold, light: int) -> DataFrame:
-    """a, b: pairs of light sets that share a subset of the size their link needs."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, off in text_slices(batches):
-            sig, k, small = [], [], []
-            for s in _sets(buf, off, width):
-                n = len(s)
-                if not 0 < n <= light:
-                    continue
-                key = _key(s)
-                for a, b in [(n, m) for m in t.partners(n)] + [(m, n) for m in range(t.least(n), n)]:
-                    if b > light:
-                        continue
-                    subs = np.array(list(combinations(s.tolist(), t.overlap(a, b))), np.uint64)
-                    h = np.full(len(subs), a * 1000 + b, np.uint64)
-                    for col in subs.T:
-                        h = mix(h + col)
-                    sig.extend(h.view(np.int64).tolist())
-                    k.extend([key] * len(h))
-                    small.extend([n == a] * len(h))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig, pa.int64()), pa.array(k, pa.binary()), pa.array(small, pa.bool_())],
-                ["sig", "k", "small"])
+def _subset_hashes(s: np.ndarray, t: Threshold, light: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """For each pair of light sizes of which one is the set's: hashes of its
+    subsets of the overlap they need, and whether the set has the smaller size."""
+    n = len(s)
+    for a, b in [(n, m) for m in t.partners(n)] + [(m, n) for m in range(t.least(n), n)]:
+        if b <= light:
+            subs = np.array(list(combinations(s.tolist(), t.overlap(a, b))), np.uint64)
+            h = np.full(len(subs), a * 1000 + b, np.uint64)
+            for col in subs.T:
+                h = mix(h + col)
+            yield h, n == a
+
 
-    sigs = _slim(docs).mapInArrow(run, "sig long, k binary, small boolean")
+def subset_links(subsets: DataFrame) -> DataFrame:
+    """a, b: pairs of light sets that share a subset (s, k, small) their link needs."""
     # the hub is a set of the smaller size: it links to every other in the group
-    hubs = sigs.groupBy("sig").agg(F.min(F.when(F.col("small"), F.col("k"))).alias("a"),
-                                   F.min("k").alias("_lo"), F.max("k").alias("_hi"))
-    hubs = hubs.where("a IS NOT NULL AND _lo <> _hi").select("sig", "a")
-    return (sigs.groupBy("sig", "k").agg(F.lit(1).alias("_one")).join(hubs, "sig")
-            .where("k <> a").select("a", F.col("k").alias("b")).distinct())
+    hubs = subsets.groupBy("s").agg(F.min(F.when(F.col("small"), F.col("k"))).alias("a"),
+                                    F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    hubs = hubs.where("a IS NOT NULL AND _lo <> _hi").select("s", "a")
+    return subsets.join(hubs, "s").where("k <> a").select("a", F.col("k").alias("b")).distinct()
 
 
 def common_shingles(docs: DataFrame, width: int, t: Threshold) -> np.ndarray:
@@ -159,50 +175,70 @@ def common_shingles(docs: DataFrame, width: int, t: Threshold) -> np.ndarray:
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
-def list_entries(docs: DataFrame, width: int, t: Threshold, least: int, common: np.ndarray) -> DataFrame:
-    """s, k, n, inner: entries of sets of at least ``least`` shingles.
+def list_entries(docs: DataFrame, width: int, t: Threshold, light: int, common: np.ndarray) -> DataFrame:
+    """s, k, n, at, small: list entries, and subsets of light sets (``at`` null).
 
-    A set enters the lists of its first n - least_overlap + 1 shingles (rare
-    before common, then by hash): linked sets share one of these.  ``inner``
-    marks the entries that suffice for the smaller set of a pair.
+    Sets that may meet a heavy one enter the lists of their first
+    n - least_overlap + 1 shingles (rare before common, then by hash): linked
+    sets share one of these.  ``at`` is the shingle's place in that order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    least = t.least(light + 1)  # a heavy set has more than `light` shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for _, buf, off in text_slices(batches):
-            parts, keys, sizes, inner = [], [], [], []
+            parts, keys, sizes, at, small = [], [], [], [], []
             for s in _sets(buf, off, width):
                 n = len(s)
-                if n == 0 or n < least:
-                    continue
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    is_hot = hot[at] == s
-                    s_ordered = np.concatenate([s[~is_hot], s[is_hot]])
-                else:
-                    s_ordered = s
-                p = n - t.least(n) + 1
-                parts.append(s_ordered[:p])
-                keys.append(_key(s))
-                sizes.append(n)
-                inner.append(np.arange(p) <= n - t.overlap(n, n))
+                if 0 < n <= light:
+                    for h, is_small in _subset_hashes(s, t, light):
+                        parts.append(h)
+                        keys.append(_key(s))
+                        sizes.append(n)
+                        at.append(np.full(len(h), -1))
+                        small.append(np.full(len(h), is_small))
+                if n and n >= least:
+                    if len(hot):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                        s = np.concatenate([s[~is_hot], s[is_hot]]) if is_hot.any() else s
+                    p = n - t.least(n) + 1
+                    parts.append(s[:p])
+                    keys.append(_key(np.sort(s)))
+                    sizes.append(n)
+                    at.append(np.arange(p))
+                    small.append(np.zeros(p, bool))
             if not parts:
                 continue
             many = [len(p) for p in parts]
+            place = np.concatenate(at)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(parts).view(np.int64)),
                  pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), many))),
-                 pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(np.concatenate(inner))],
-                ["s", "k", "n", "inner"])
+                 pa.array(np.repeat(np.array(sizes, np.int64), many)),
+                 pa.array(place.astype(np.int64), mask=place < 0), pa.array(np.concatenate(small))],
+                ["s", "k", "n", "at", "small"])
 
-    return _slim(docs).mapInArrow(run, "s long, k binary, n long, inner boolean")
+    return _slim(docs).mapInArrow(run, "s long, k binary, n long, at long, small boolean")
 
 
-def check_pairs(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, t: Threshold) -> DataFrame:
+def sketch_pairs(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """Of candidate pairs (a, b), those that their sketches don't rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xa, xb = (batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))
+            ok = [_least_difference(x, y) <= n + m - 2 * t.overlap(n, m) for n, m, x, y in zip(na, nb, xa, xb)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("x" + c))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+
+
+def check_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Of candidate pairs (a, b), those whose whole sets are linked."""
+    pairs = materialize(sketch_pairs(pairs, classes, t), "jaccard-pairs")
     need = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-                       .join(reps, "k").select("doc_id").distinct(), "jaccard-need")
+                       .join(classes, "k").select("doc_id").distinct(), "jaccard-need")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in text_slices(batches):
@@ -219,10 +255,6 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int,
     return both.where(t.linked(shared, F.size("sa"), F.size("sb"))).select("a", "b")
 
 
-def _fits(t: Threshold, n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= t.percent * F.greatest(n, m)
-
-
 def _outside(members: DataFrame) -> DataFrame:
     """Entries with ``outside``: not of their list's largest component."""
     largest = (members.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
@@ -246,7 +278,8 @@ def similar_components(docs: DataFrame, percent: int = 90, width: int = 3) -> Da
     table = materialize(set_table(docs, width), "jaccard-table")
     sizes = {r["n"]: r["c"] for r in table.where(F.col("n").between(1, 2 * MAX_LIGHT))
              .groupBy("n").agg(F.countDistinct("k").alias("c")).collect()}
-    classes = table.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    classes = materialize(table.where("k IS NOT NULL").groupBy("k").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sets")
     light = choose_boundary(sizes, t)
     links = materialize(class_links(docs, classes, width, t, light), "jaccard-links")
     comp = connected_components(links)  # k, c for classes with links
@@ -265,18 +298,17 @@ def _attach(table: DataFrame, of_class: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, light: int) -> DataFrame:
     """a, b: links that connect the same classes as all links do."""
-    reps = classes
     spark: SparkSession = docs.sparkSession
     found = spark.createDataFrame([], "a binary, b binary")
-    if light:
-        pairs = materialize(subset_links(docs, width, t, light), "jaccard-light")
-        found = materialize(check_pairs(docs, pairs, reps, width, t), "jaccard-light-links")
-
-    # a heavy set has more than `light` shingles; a partner of one at least t.least(light + 1)
     common = common_shingles(docs, width, t)
-    entries = materialize(list_entries(docs, width, t, t.least(light + 1), common)
-                          .groupBy("s", "k").agg(F.first("n").alias("n"), F.first("inner").alias("inner")),
+    entries = materialize(list_entries(docs, width, t, light, common).groupBy("s", "k", F.col("at").isNull().alias("sub"))
+                          .agg(F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small")),
                           "jaccard-entries")
+    if light:
+        pairs = subset_links(entries.where("sub").select("s", "k", "small"))
+        found = materialize(check_pairs(docs, pairs, classes, width, t), "jaccard-light-links")
+
+    entries = entries.where("NOT sub").select("s", "k", "n", "at")
     shared = entries.groupBy("s").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("s")
     lists = materialize(entries.join(shared, "s", "left_semi"), "jaccard-lists")
     rank = lists.groupBy("k").agg(F.count(F.lit(1)).alias("shared"))
@@ -287,11 +319,11 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
         members = materialize(_open_lists(lists, comp), "jaccard-open")
         # the hub: the set that shares most of its entries, later of those outside the largest component
         able = _outside(members).where("outside") if turn else members
-        hub = able.groupBy("s").agg(F.max(F.struct("shared", "k", "n", "c")).alias("hub"))
+        hub = able.groupBy("s").agg(F.max(F.struct("shared", "k", "n", "c", "at")).alias("hub"))
         star = (members.join(hub, "s").where(F.col("c") != F.col("hub.c"))
-                .where(_fits(t, F.col("n"), F.col("hub.n")))
+                .where(t.may_start(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
                 .select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct())
-        new = materialize(check_pairs(docs, materialize(star, "jaccard-star"), reps, width, t), "jaccard-star-links")
+        new = materialize(check_pairs(docs, star, classes, width, t), "jaccard-star-links")
         found = found.union(new)
         if new.limit(1).count() == 0:
             break
@@ -301,14 +333,11 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     members = materialize(_open_lists(lists, comp), "jaccard-open")
     marked = _outside(members)
     x, y = marked.where("outside").alias("x"), marked.alias("y")
-    small_inner = F.when(F.col("x.n") < F.col("y.n"), F.col("x.inner")).when(
-        F.col("x.n") > F.col("y.n"), F.col("y.inner")).otherwise(F.col("x.inner") & F.col("y.inner"))
     rest = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c"))
                    & (~F.col("y.outside") | (F.col("x.k") < F.col("y.k")))
-                   & _fits(t, F.col("x.n"), F.col("y.n")) & small_inner)
+                   & t.may_start(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
             .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
-    rest = materialize(rest, "jaccard-rest")
-    return found.union(check_pairs(docs, rest, reps, width, t))
+    return found.union(check_pairs(docs, rest, classes, width, t))
 
 
 def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
