@@ -29,7 +29,9 @@ from txrisk.llm.spark_io import materialize, sized, text_slices
 from txrisk.llm.words import LOWER, find_words, hash_ranges, mix, shingle_set
 
 MAX_LIGHT = 32           # largest size at which the light side is considered
-COMMON_SHARE = 2.0**-17  # share of listed shingles from which one counts as common
+COMMON_SHARE = 2.0**-20  # share of repeated shingles from which one counts as common
+LEAST_COMMON = 3
+RUN_SHINGLES = 4_000_000  # shingles that a task counts at a time
 STAR_ROUNDS = 2
 ENTRY_COST = 8           # subsets that cost as much as a list entry, which also leads to pairs to check
 
@@ -156,26 +158,49 @@ def subset_links(subsets: DataFrame) -> DataFrame:
     return subsets.join(hubs, "s").where("k <> a").select("a", F.col("k").alias("b")).distinct()
 
 
-def common_shingles(docs: DataFrame, width: int, t: Threshold) -> np.ndarray:
-    """Shingles that fill more than ``COMMON_SHARE`` of all lists in hash order.
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles (sorted) and the power of two of their counts.
 
-    They go last in the order of list entries, which any fixed order allows.
-    At most 1 / COMMON_SHARE shingles can have such a share.
+    A task counts shingles over runs of texts and reports those it met twice
+    or more; the sums decide the order of list entries, and any fixed order
+    gives the same links.  At most 1 / COMMON_SHARE shingles can reach the share.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def report() -> pa.RecordBatch:
+            s, c = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            held.clear()
+            twice = c > 1
+            return pa.RecordBatch.from_arrays([pa.array(s[twice].view(np.int64)), pa.array(c[twice].astype(np.int64))],
+                                              ["s", "c"])
+
         for _, buf, off in text_slices(batches):
-            heads = [s[:len(s) - t.overlap(len(s), len(s)) + 1] for s in _sets(buf, off, width)]
-            s, c = np.unique(np.concatenate(heads), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c.astype(np.int64))], ["s", "c"])
+            held.extend(_sets(buf, off, width))
+            if sum(map(len, held)) > RUN_SHINGLES:
+                yield report()
+        yield report()
 
-    counts = _slim(docs).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    counts = materialize(counts.where("c > 1"), "jaccard-shingles")
+    counts = materialize(_slim(docs).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")),
+                         "jaccard-shingles")
     total = counts.agg(F.sum("c")).first()[0] or 0
-    rows = counts.where(F.col("c") > F.lit(max(32, total * COMMON_SHARE))).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    rows = counts.where(F.col("c") > F.lit(max(LEAST_COMMON, total * COMMON_SHARE))).toPandas()
+    s = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(s)
+    return s[order], np.log2(rows["c"].to_numpy(np.float64)[order] + 1).astype(np.uint8)
+
+
+def _ordered(s: np.ndarray, common: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """A set's shingles, rare before common, then by hash."""
+    if len(common) == 0:
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    rank = np.where(common[at] == s, power[at], 0)
+    return s[np.argsort(rank, kind="stable")]
 
 
-def list_entries(docs: DataFrame, width: int, t: Threshold, light: int, common: np.ndarray) -> DataFrame:
+def list_entries(docs: DataFrame, width: int, t: Threshold, light: int,
+                 common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """s, k, n, at, small: list entries, and subsets of light sets (``at`` null).
 
     Sets that may meet a heavy one enter the lists of their first
@@ -186,7 +211,7 @@ def list_entries(docs: DataFrame, width: int, t: Threshold, light: int, common:
     least = t.least(light + 1)  # a heavy set has more than `light` shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, power = shared.value
         for _, buf, off in text_slices(batches):
             parts, keys, sizes, at, small = [], [], [], [], []
             for s in _sets(buf, off, width):
@@ -199,12 +224,9 @@ def list_entries(docs: DataFrame, width: int, t: Threshold, light: int, common:
                         at.append(np.full(len(h), -1))
                         small.append(np.full(len(h), is_small))
                 if n and n >= least:
-                    if len(hot):
-                        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                        s = np.concatenate([s[~is_hot], s[is_hot]]) if is_hot.any() else s
                     p = n - t.least(n) + 1
-                    parts.append(s[:p])
-                    keys.append(_key(np.sort(s)))
+                    parts.append(_ordered(s, hot, power)[:p])
+                    keys.append(_key(s))
                     sizes.append(n)
                     at.append(np.arange(p))
                     small.append(np.zeros(p, bool))
@@ -300,7 +322,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     """a, b: links that connect the same classes as all links do."""
     spark: SparkSession = docs.sparkSession
     found = spark.createDataFrame([], "a binary, b binary")
-    common = common_shingles(docs, width, t)
+    common = common_shingles(docs, width)
     entries = materialize(list_entries(docs, width, t, light, common).groupBy("s", "k", F.col("at").isNull().alias("sub"))
                           .agg(F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small")),
                           "jaccard-entries")
