@@ -72,6 +72,61 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_groups(_docs(spark, sf_dir))
 
 
+# The test tables hold no lists and no fetch times: both are derived from the
+# pages.  FIXED VALUES of that derivation, the same in Spark and DuckDB.
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919) % 31622400) AS fetched_at,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'),
+                     lambda x: x <> '') AS parts FROM pages),
+d AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM p),
+u AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 6) AS BIGINT) AS u FROM d),
+ev AS (
+  SELECT 'hosts' AS list, domain AS pattern, u % 200 AS day, 'add' AS action FROM u WHERE u % 3 = 0
+  UNION ALL SELECT 'hosts', domain, u % 200 + 20 + u % 90, 'remove' FROM u WHERE u % 3 = 0
+  UNION ALL SELECT 'hosts', domain, 330, 'add' FROM u WHERE u % 6 = 0
+  UNION ALL SELECT 'spam', domain, 0, 'add' FROM u WHERE regexp_matches(domain, 'pills|adult|casino')
+  UNION ALL SELECT 'paths', domain || '/es', 100, 'add' FROM u),
+e AS (SELECT list, pattern, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INTEGER)) AS ts, max(action = 'add') AS on_
+      FROM ev GROUP BY ALL),
+v AS (SELECT * FROM (SELECT list, pattern, ts AS valid_from, on_,
+        lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts) AS valid_to FROM e) WHERE on_),
+k AS (SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
+        list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+        list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS pattern
+      FROM p WHERE host <> ''),
+m AS (SELECT k.page_id, v.*, count(*) OVER (PARTITION BY k.page_id) AS n_active, row_number() OVER (
+        PARTITION BY k.page_id ORDER BY -length(v.pattern), list, v.pattern, valid_from) AS r
+      FROM k JOIN v ON k.pattern = v.pattern AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to))
+SELECT p.page_id, p.url, p.fetched_at, m.page_id IS NOT NULL AS blocked, coalesce(m.n_active, 0) AS n_active,
+       m.list, m.pattern, m.valid_from, m.valid_to
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
+"""
+
+
+@_register("op7_url_lists", OP7_SQL)
+def op7_url_lists(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from txrisk.llm.url_lists import filter_captures, host_of
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    start = F.unix_seconds(F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(start + (F.col("page_id") * 7919) % 31622400))
+    domain = F.array_join(F.slice(F.reverse(F.split(host_of(F.col("url")), r"\.")), 1, 3), ".")
+    domain = F.array_join(F.reverse(F.split(domain, r"\.")), ".")
+    u = pages.select(domain.alias("domain")).where("domain IS NOT NULL").distinct().withColumn(
+        "u", F.conv(F.substring(F.md5("domain"), 1, 6), 16, 10).cast("long"))
+    rows = lambda where, name, pattern, day, action: u.where(where).select(
+        F.lit(name).alias("list"), F.expr(pattern).alias("pattern"),
+        F.timestamp_seconds(start + F.expr(day) * 86400).alias("at"), F.lit(action).alias("action"))
+    entries = (rows("u % 3 = 0", "hosts", "domain", "u % 200", "add")
+               .union(rows("u % 3 = 0", "hosts", "domain", "u % 200 + 20 + u % 90", "remove"))
+               .union(rows("u % 6 = 0", "hosts", "domain", "330", "add"))
+               .union(rows("domain RLIKE 'pills|adult|casino'", "spam", "domain", "0", "add"))
+               .union(rows("true", "paths", "domain || '/es'", "100", "add")))
+    return filter_captures(captures, entries)
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(
