@@ -24,23 +24,31 @@ BLOB_BYTES = 64 << 10        # bytes of units given to the encoder as one text
 
 def ends_safely(buf: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether the character before each position is surely no white space."""
-    b1, b2, b3 = (buf[np.maximum(end - k, 0)] for k in (1, 2, 3))
-    wide = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
-            | (b3 == 0xE1) & ((b2 == 0x9A) & (b1 == 0x80) | (b2 == 0xA0) & (b1 == 0x8E))
-            | (b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8F) | (b1 >= 0xA8) & (b1 <= 0xAF))
-            | (b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)
-            | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
-    return (b1 > 0x20) & (b1 < 0x7F) | (b1 >= 0x80) & ~wide
+    b1 = buf[np.maximum(end - 1, 0)]
+    safe = (b1 > 0x20) & (b1 != 0x7F)
+    many = np.flatnonzero(b1 >= 0x80)  # only characters of several bytes need a closer look
+    if len(many):
+        b1, b2, b3 = (buf[np.maximum(end[many] - k, 0)] for k in (1, 2, 3))
+        wide = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+                | (b3 == 0xE1) & ((b2 == 0x9A) & (b1 == 0x80) | (b2 == 0xA0) & (b1 == 0x8E))
+                | (b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8F) | (b1 >= 0xA8) & (b1 <= 0xAF))
+                | (b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)
+                | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+        safe[many] = ~wide
+    return safe
 
 
 def find_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all units, and the range of units of each text."""
-    cand = np.flatnonzero(SPACE[buf[1:]] & ~SPACE[buf[:-1]]) + 1 if len(buf) else np.zeros(0, np.int64)
-    cand = cand[ends_safely(buf, cand)]
-    heads = np.unique(off[:-1][np.diff(off) > 0])
-    start = np.union1d(cand, heads)
-    end = np.append(start[1:], len(buf)) if len(start) else start
-    return start, end, np.searchsorted(start, off)
+    if len(buf) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    space = SPACE[buf]
+    cand = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    begins = np.zeros(len(buf), bool)
+    begins[cand[ends_safely(buf, cand)]] = True
+    begins[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(begins)
+    return start, np.append(start[1:], len(buf)), np.searchsorted(start, off)
 
 
 def _take(src: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
