@@ -221,3 +221,32 @@ def test_exact_percentiles_many_paths_agree(spark, rows_per_range):
                                  rows_per_range=rows_per_range)
     np.testing.assert_allclose(got[0], np.nanpercentile(pdf["a"], [5, 50]), rtol=1e-12)
     np.testing.assert_allclose(got[1], np.percentile(pdf["b"], [10]), rtol=1e-12)
+
+
+def test_rule_scores_at_the_threshold(spark):
+    """A value equal to a threshold that rounds down at float32 is not below it."""
+    from txrisk.operators.baselines import RuleThresholds, rule_scores
+    x = 0.7  # float32 rounds it down
+    import numpy as np
+    assert float(np.float32(x)) < x
+    df = spark.createDataFrame([(1, x, x, x, 1)], "tx_id long, log_gas double, log_gas_tip double, "
+                                                  "log_gas_fee double, data_4bytes_hash long")
+    r = rule_scores(df, RuleThresholds(log_gas_fee_threshold=x, log_gas_tip_median=x / 2, log_gas_threshold=x)).first()
+    assert (r.revert_score, r.mev_score, r.drop_score) == (0.0, 0.0, 0.0)
+
+
+def test_poisson_draws_of_large_groups(spark):
+    from txrisk.functions.scalar import poisson_n
+    df = spark.range(2000).selectExpr("CAST(3e9 AS DOUBLE) AS n", "(id + 0.5) / 2000 AS u")
+    m = df.select(poisson_n("n", "u").alias("w")).selectExpr("min(w) a", "avg(w) m", "stddev(w) s").first()
+    assert m.a > 2**31 and abs(m.m - 3e9) < 6e3 and abs(m.s / 3e9**0.5 - 1) < 0.1
+
+
+def test_session_keeps_what_is_set(spark):
+    from txrisk.session import get_spark
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "777")
+    try:
+        assert get_spark().conf.get("spark.sql.shuffle.partitions") == "777"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

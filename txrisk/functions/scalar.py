@@ -128,10 +128,11 @@ def digitize(x, edges) -> Column:
 def quantize(x, edges, medians, closed: str = "right") -> Column:
     """Snap x to its bin's median.  ``right``: bin i holds (e_{i-1}, e_i] (bucketize);
     ``left``: [e_{i-1}, e_i) (digitize)."""
-    x = _c(x)
+    x = _c(x).cast("float")  # values and edges meet at float32
     out = F.lit(float(medians[-1]))
     for e, m in reversed(list(zip(edges, medians[:-1]))):
-        cond = (x <= F.lit(float(e))) if closed == "right" else (x < F.lit(float(e)))
+        edge = F.lit(float(e)).cast("float")
+        cond = (x <= edge) if closed == "right" else (x < edge)
         out = F.when(cond, F.lit(float(m))).otherwise(out)
     return F.when(x.isNull(), F.lit(None)).otherwise(out)
 
@@ -239,28 +240,15 @@ def ablate(df, cols=tuple(S.CATEGORICAL_BINS)):
 
 
 # Poisson(n) from a uniform ----------------------------------------------------
-# FIXED VALUES: coefficients of Acklam's rational approximation of the standard
-# normal quantile (relative error about 1e-9), used for Poisson(n) with large n.
-_NQ_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
-_NQ_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01)
-_NQ_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
-_NQ_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00)
-
-
-POISSON_EXACT_MAX = 400
-
-
-def _poisson_n_np(n, u, exact_max: int = POISSON_EXACT_MAX):
-    """Vectorised inverse CDF of Poisson(n) at u (numpy arrays)."""
+def _poisson_n_np(n, u):
+    """Exact Poisson(n) draws, each a function of its own uniform u.  The CDF is
+    stepped through where it starts above the least double (exp(-n) underflows
+    beyond); else numpy's exact sampler runs, seeded by the bits of u."""
     import numpy as np
     n = np.asarray(n, dtype=float)
     u = np.asarray(u, dtype=float)
     out = np.zeros(len(n), dtype=np.int64)
-    small = (n > 0) & (n <= exact_max)
+    small = (n > 0) & (n <= 400)
     if small.any():
         ns, us = n[small], u[small]
         p = np.exp(-ns)
@@ -275,40 +263,20 @@ def _poisson_n_np(n, u, exact_max: int = POISSON_EXACT_MAX):
             p = p * ns / i
             c = c + p
         out[small] = k
-    big = n > exact_max
-    if big.any():
-        z = _normal_quantile_np(u[big])
-        out[big] = np.maximum(0.0, np.floor(n[big] + np.sqrt(n[big]) * z + 0.5)).astype(np.int64)
-    return out
-
-
-def _normal_quantile_np(u):
-    import numpy as np
-    u = np.asarray(u, dtype=float)
-    pa = lambda cs, x: np.polyval(cs, x)
-    q = u - 0.5
-    r = q * q
-    out = pa(_NQ_A, r) * q / (pa(_NQ_B, r) * r + 1)
-    lo = u < 0.02425
-    hi = u > 1 - 0.02425
-    t = np.sqrt(-2 * np.log(np.where(lo, u, 0.5)))
-    out = np.where(lo, pa(_NQ_C, t) / (pa(_NQ_D, t) * t + 1), out)
-    t = np.sqrt(-2 * np.log(np.where(hi, 1 - u, 0.5)))
-    out = np.where(hi, -pa(_NQ_C, t) / (pa(_NQ_D, t) * t + 1), out)
+    for i in np.flatnonzero(n > 400):
+        out[i] = np.random.Generator(np.random.PCG64(int(u[i] * 2.0**53))).poisson(n[i])
     return out
 
 
 def _poisson_n_batch(nn: pd.Series, uu: pd.Series) -> pd.Series:
-    return pd.Series(_poisson_n_np(nn.to_numpy(), uu.to_numpy()).astype("int32"))
+    return pd.Series(_poisson_n_np(nn.to_numpy(), uu.to_numpy()).astype("int64"))
 
 
 _POISSON_N_UDF = None
 
 
 def poisson_n(n, u) -> Column:
-    """Poisson(n) draw by inverse CDF of a uniform u: exact up to n = 400 (pmf
-    recursion), normal quantile with continuity correction above.  An
-    Arrow-batched pandas UDF: numpy steps a whole batch through the CDF."""
+    """Exact Poisson(n) draw from a uniform u, as a long.  An Arrow-batched pandas UDF."""
     global _POISSON_N_UDF
     from pyspark.sql import SparkSession
     from txrisk.session import ship_package
@@ -316,5 +284,5 @@ def poisson_n(n, u) -> Column:
     if active is not None:
         ship_package(active)  # workers import this module
     if _POISSON_N_UDF is None:  # needs an active session
-        _POISSON_N_UDF = F.pandas_udf(_poisson_n_batch, "int")
+        _POISSON_N_UDF = F.pandas_udf(_poisson_n_batch, "long")
     return _POISSON_N_UDF(_c(n).cast("double"), _c(u).cast("double"))

@@ -55,15 +55,16 @@ def rule_threshold_frame(train: DataFrame, drop_pct: float = 5.0) -> DataFrame:
 
 
 def rule_scores(df: DataFrame, t: RuleThresholds, keep: list[str] = ("tx_id",)) -> DataFrame:
-    """three 0/1 float scores.  Features are compared at float32 as the
-    reference does (its arrays are cast to float32 first)."""
+    """three 0/1 float scores.  Features and thresholds are both compared
+    at float32, so a value equal to a threshold is never below it."""
     f = lambda c: F.col(c).cast("float")
+    at = lambda x: F.lit(x).cast("float")
     return df.select(
         *keep,
-        (f("log_gas") < F.lit(t.log_gas_threshold)).cast("float").alias("revert_score"),
-        ((F.col("data_4bytes_hash") != 0) & (f("log_gas_tip") > F.lit(2.0 * t.log_gas_tip_median)))
+        (f("log_gas") < at(t.log_gas_threshold)).cast("float").alias("revert_score"),
+        ((F.col("data_4bytes_hash") != 0) & (f("log_gas_tip") > at(2.0 * t.log_gas_tip_median)))
         .cast("float").alias("mev_score"),
-        (f("log_gas_fee") < F.lit(t.log_gas_fee_threshold)).cast("float").alias("drop_score"),
+        (f("log_gas_fee") < at(t.log_gas_fee_threshold)).cast("float").alias("drop_score"),
     )
 
 

@@ -83,8 +83,6 @@ def bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95,
 # ---------------------------------------------------------------------------
 # grouped Poisson bootstrap: same resampling distribution, cost independent of N
 # ---------------------------------------------------------------------------
-GROUPED_ABOVE = 2_000_000_000  # N x B weighted rows above which "auto" groups
-
 
 def _group_weights(g: DataFrame, reps: int, seed: int, parts: list[str]) -> DataFrame:
     """Explode groups (with row count ``n``) into replicates; weight ~ Poisson(n),
@@ -203,11 +201,13 @@ def _bundle_values(d: DataFrame, grp: list[str], biggest: int, key: str,
 
 
 def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list[str] = (),
-                     min_valid: int = 10, key: str = "tx_id", method: str = "auto",
+                     min_valid: int = 10, key: str = "tx_id", method: str = "rows",
                      score_digits: int | None = None) -> DataFrame:
     """CI bundle over the task-unpivoted score table (by…, task, metric,
     point, lower, upper).  Guards: revert/drop need >= min_valid valid rows,
-    mev needs a positive."""
+    mev needs a positive.  ``method`` "rows" weights every row in every
+    replicate; "grouped" draws the same law per group of equal rows.  The
+    caller chooses: the size of the data never does."""
     by = list(by)
     keys = [*by, "task"]
     v = M.valid(long)
@@ -215,11 +215,8 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     ok = stats.where(((F.col("task") != "mev") & (F.col("_n") >= min_valid))
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
     v = v.join(ok, keys, "left_semi")  # one row per (group, task); AQE sizes the join
-    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c"), F.sum("_c")).first()
-    biggest, total = sizes[0] or 0, sizes[1] or 0
-    if method == "grouped" or (method == "auto" and total * reps > GROUPED_ABOVE):
-        if method == "auto" and score_digits is None:
-            score_digits = 6  # <= 10^6 distinct scores per slice in the replicates
+    biggest = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    if method == "grouped":
         parts = []
         for task, mets in CI_BUNDLE.items():
             t = v.where(F.col("task") == task)

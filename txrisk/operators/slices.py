@@ -54,10 +54,15 @@ def traffic_quartile_metric(scored: DataFrame, by: list[str] = ("run_id",),
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
                              F.sum(F.col("label").cast("bigint")).alias("n_pos"))
     ap = M.average_precision(M.score_curve(d, "score", "label", keys), keys)
-    out = n.join(ap, keys, "left")
-    both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows"))
-    return out.select(*keys, "n_rows", F.when(F.col("n_rows") < 10, F.lit(None).cast("double"))
-                      .when(both, F.col("ap")).otherwise(F.lit(0.0)).alias("mev_pr_auc"))
+    # every quartile of every run, also those without rows
+    spine = quantile_edges(scored, pressure, [0.25, 0.5, 0.75], by)
+    spine = spine.withColumn("quartile", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])))
+    out = spine.join(n, keys, "left").join(ap, keys, "left")
+    rows = F.coalesce("n_rows", F.lit(0))
+    both = (F.col("n_pos") > 0) & (F.col("n_pos") < rows)
+    return out.select(*keys, rows.alias("n_rows"), F.when(rows < 10, F.lit(None).cast("double"))
+                      .when(both, F.col("ap")).otherwise(F.lit(0.0)).alias("mev_pr_auc"),
+                      *[F.col("_edges")[i].alias(f"p{c}") for i, c in enumerate((25, 50, 75))])
 
 
 def dex_slices(df: DataFrame, flag: str = "is_dex_candidate") -> DataFrame:
@@ -107,7 +112,7 @@ def pressure_quintiles(scored_rev: DataFrame, scored_mev: DataFrame, pressure_ro
                        by: list[str] = ("run_id",), pressure: str = "mempool_pressure") -> DataFrame:
     """Quintile edges of pressure over the split's rows, then per (run, q):
     revert AUC (valid >= 10 and both classes, else 0.5) and MEV AP (>= 1
-    positive and both classes, else 0.0)."""
+    positive and both classes, else 0.0).  Each run has all five rows."""
     e = pressure_rows.agg(F.percentile(F.col(pressure).cast("double"), [0.2, 0.4, 0.6, 0.8]).alias("_e"))
     edges = [float(v) for v in e.first()["_e"]]  # four numbers
 
@@ -123,7 +128,9 @@ def pressure_quintiles(scored_rev: DataFrame, scored_mev: DataFrame, pressure_ro
     mcnt = mv.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_mev"),
                                  F.sum(F.col("label").cast("bigint")).alias("p_mev"))
     ap = M.average_precision(M.score_curve(mv, "score", "label", keys), keys)
-    out = mcnt.join(ap, keys, "left").join(rcnt, keys, "full").join(auc, keys, "left")
+    # every quintile of every run, also those without rows
+    spine = scored_mev.select(*by).distinct().withColumn("q", F.explode(F.array(*[F.lit(i) for i in range(5)])))
+    out = spine.join(mcnt, keys, "left").join(ap, keys, "left").join(rcnt, keys, "left").join(auc, keys, "left")
     return out.select(
         *keys,
         F.when((F.coalesce("n_rev", F.lit(0)) >= 10) & (F.col("p_rev") > 0) & (F.col("p_rev") < F.col("n_rev")),
@@ -132,13 +139,15 @@ def pressure_quintiles(scored_rev: DataFrame, scored_mev: DataFrame, pressure_ro
          .otherwise(F.lit(0.0)).alias("mev_pr_auc"))
 
 
-def dex_per_day(scored: DataFrame, by: list[str] = ("run_id",), days: int = 7,
+def dex_per_day(scored: DataFrame, split_rows: DataFrame, by: list[str] = ("run_id",), days: int = 7,
                 key: str = "tx_id") -> DataFrame:
     """Equal-count days over the split (W8), DEX rows only (P11); per
-    (run, day): n_dex, positives, P@100, P@50 (k clamped), AP (NULL if one class)."""
+    (run, day): n_dex, positives, P@100, P@50 (k clamped), AP (NULL if one class).
+    ``split_rows`` has the ``row_idx`` of all rows of the split: the days are
+    cut over those, however many of them a run has scored."""
     # the split is contiguous in time, so its own index is row_idx - min(row_idx)
-    n = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("row_idx").alias("_i0"))
-    d = scored.join(n, list(by)).withColumn("_i", F.col("row_idx") - F.col("_i0")) \
+    s = split_rows.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("i0")).first()
+    d = scored.withColumn("_n", F.lit(s["n"])).withColumn("_i", F.col("row_idx") - F.lit(s["i0"] or 0)) \
               .withColumn("day", day_of("_i", "_n", days))
     d = d.where(F.col("is_dex_candidate"))
     keys = [*by, "day"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def evaluate(scores: DataFrame, processed: DataFrame, split: str = "test", reps:
         "traffic": SL.traffic_quartile_metric(mev, ["run_id"]),
         "pr_curve": M.pr_curve(M.score_curve(M.valid(mev), "score", "label", ["run_id"]), "score",
                                ["run_id"]),
-        "dex_per_day": SL.dex_per_day(mev, ["run_id"]),
+        "dex_per_day": SL.dex_per_day(mev, processed.where(F.col("split") == split).select("row_idx"), ["run_id"]),
     }
     return {k: v for k, v in out.items() if v is not None}
 
@@ -82,10 +83,14 @@ def scores_or_compute(spark: SparkSession, path: str, run_id: str, split: str, c
     """Reuse stored scores of (run, split) when present, else compute and store them."""
     try:
         return sinks.read_scores(spark, path, run_id, split)
-    except Exception:  # noqa: BLE001 - absent partition or path
-        s = compute().withColumn("run_id", F.lit(run_id)).withColumn("split", F.lit(split))
-        sinks.write_scores(s, path, mode="append")
-        return sinks.read_scores(spark, path, run_id, split)
+    except FileNotFoundError:
+        pass  # no such run
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    s = compute().withColumn("run_id", F.lit(run_id)).withColumn("split", F.lit(split))
+    sinks.write_scores(s, path, mode="append")
+    return sinks.read_scores(spark, path, run_id, split)
 
 
 def save_models(models: dict, path: str) -> None:

@@ -52,9 +52,9 @@ thr AS (SELECT quantile_cont(log_gas_fee, 0.05) AS fee_t, quantile_cont(log_gas_
                quantile_cont(log_gas, 0.10) AS gas_t FROM ds WHERE split = 'train'),
 runs AS ({runs} UNION ALL
   SELECT 'rules' AS run_id, tx_id,
-    CAST(CAST(log_gas AS FLOAT) < gas_t AS DOUBLE) AS revert_score,
-    CAST(data_4bytes_hash <> 0 AND CAST(log_gas_tip AS FLOAT) > 2.0 * tip_m AS DOUBLE) AS mev_score,
-    CAST(CAST(log_gas_fee AS FLOAT) < fee_t AS DOUBLE) AS drop_score
+    CAST(CAST(log_gas AS FLOAT) < CAST(gas_t AS FLOAT) AS DOUBLE) AS revert_score,
+    CAST(data_4bytes_hash <> 0 AND CAST(log_gas_tip AS FLOAT) > CAST(2.0 * tip_m AS FLOAT) AS DOUBLE) AS mev_score,
+    CAST(CAST(log_gas_fee AS FLOAT) < CAST(fee_t AS FLOAT) AS DOUBLE) AS drop_score
   FROM part, thr),
 scored AS (SELECT r.*, p.is_reverted, p.is_mev_victim, p.is_dropped {extra}
            FROM runs r JOIN part p USING (tx_id)),

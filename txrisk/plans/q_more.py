@@ -161,19 +161,26 @@ def q_minibatches(spark, sf_dir):
 
 
 @register("label_shuffle", f"""WITH {dataset_sql()},
-f AS (SELECT * FROM ds WHERE split = 'train' ORDER BY timestamp_ms, tx_id LIMIT 50000),
-v AS (SELECT * FROM f WHERE is_reverted >= 0),
+v AS (SELECT * FROM ds WHERE split = 'train' AND is_reverted >= 0),
 a AS (SELECT tx_id, row_number() OVER (ORDER BY timestamp_ms, tx_id) AS i FROM v),
 b AS (SELECT is_reverted, row_number() OVER (ORDER BY {uniform_sql(str(SEED), "'shuffle'", 'tx_id')}, tx_id) AS i
       FROM v)
 SELECT a.tx_id, b.is_reverted FROM a JOIN b USING (i)""")
 def q_label_shuffle(spark, sf_dir):
-    """T6 + P9 + T4: first 50 000 train rows, valid labels, labels permuted by a seeded order."""
+    """P9 + T4: all valid train rows, labels permuted by a seeded order."""
     tr = dataset(spark, sf_dir).where(F.col("split") == "train")
-    d = T.first_n(tr, 50_000).where(F.col("is_reverted") >= 0).select(S.SORT_KEY, "tx_id", "is_reverted")
+    d = tr.where(F.col("is_reverted") >= 0).select(S.SORT_KEY, "tx_id", "is_reverted")
     return T.shuffle_labels(d, "is_reverted", seed=SEED).select("tx_id", "is_reverted")
 
 
+@register("first_train_rows", f"""WITH {dataset_sql()}
+SELECT tx_id, timestamp_ms FROM ds WHERE split = 'train' ORDER BY timestamp_ms, tx_id LIMIT 1000""")
+def q_first_train_rows(spark, sf_dir):
+    """The first 1 000 train rows in time order (the cut is the feature)."""
+    tr = dataset(spark, sf_dir).where(F.col("split") == "train")
+    return T.first_n(tr, 1000).select("tx_id", S.SORT_KEY)
+
+
 _PAS_SQL = _WIN_SQL + f""",
 nw AS (SELECT count(*) AS n_win, count(*) FILTER (WHERE has_positive) AS n_pos FROM ws),
 pw AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS pi FROM ws WHERE has_positive),

@@ -50,11 +50,12 @@ d AS (SELECT mv.*, 1 + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[1] AS INTEGER
         + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[3] AS INTEGER) AS quartile
       FROM mv JOIN e USING (run_id)),
 {curve_sql('c', 'd', 'run_id, quartile')},
-t AS (SELECT run_id, quartile, count(*) AS n_rows, sum(label) AS n_pos FROM d GROUP BY ALL)
-SELECT run_id, quartile, n_rows,
-  round(CASE WHEN n_rows < 10 THEN NULL WHEN n_pos > 0 AND n_pos < n_rows THEN ap ELSE 0.0 END, 6)
-    AS mev_pr_auc
-FROM t LEFT JOIN c_m USING (run_id, quartile)""")
+t AS (SELECT run_id, quartile, count(*) AS n_rows, sum(label) AS n_pos FROM d GROUP BY ALL),
+sp AS (SELECT e.*, CAST(i AS INTEGER) AS quartile FROM e, range(1, 5) r(i))
+SELECT run_id, quartile, coalesce(n_rows, 0) AS n_rows,
+  round(CASE WHEN coalesce(n_rows, 0) < 10 THEN NULL WHEN n_pos > 0 AND n_pos < n_rows THEN ap ELSE 0.0 END, 6)
+    AS mev_pr_auc, round(qs[1], 6) AS p25, round(qs[2], 6) AS p50, round(qs[3], 6) AS p75
+FROM sp LEFT JOIN t USING (run_id, quartile) LEFT JOIN c_m USING (run_id, quartile)""")
 def q_traffic_quartiles(spark, sf_dir):
     """M9 + M10 + A4 + F15: MEV AP per pressure quartile of the evaluated rows."""
     mev = _long(spark, sf_dir).where(F.col("task") == "mev")
@@ -99,12 +100,14 @@ mv AS (SELECT * FROM d WHERE task = 'mev'),
 {curve_sql('rc', 'rv', 'run_id, q')},
 {curve_sql('mc', 'mv', 'run_id, q')},
 rn AS (SELECT run_id, q, count(*) AS n_rev, sum(label) AS p_rev FROM rv GROUP BY ALL),
-mn AS (SELECT run_id, q, count(*) AS n_mev, sum(label) AS p_mev FROM mv GROUP BY ALL)
+mn AS (SELECT run_id, q, count(*) AS n_mev, sum(label) AS p_mev FROM mv GROUP BY ALL),
+sp AS (SELECT DISTINCT run_id, CAST(i AS INTEGER) AS q FROM long, range(5) r(i))
 SELECT run_id, q,
   round(CASE WHEN coalesce(n_rev, 0) >= 10 AND p_rev > 0 AND p_rev < n_rev THEN rc_m.auc ELSE 0.5 END, 6)
     AS revert_auc,
   round(CASE WHEN p_mev >= 1 AND p_mev < n_mev THEN mc_m.ap ELSE 0.0 END, 6) AS mev_pr_auc
-FROM mn LEFT JOIN mc_m USING (run_id, q) FULL JOIN rn USING (run_id, q) LEFT JOIN rc_m USING (run_id, q)""")
+FROM sp LEFT JOIN mn USING (run_id, q) LEFT JOIN mc_m USING (run_id, q) LEFT JOIN rn USING (run_id, q)
+  LEFT JOIN rc_m USING (run_id, q)""")
 def q_pressure_quintiles(spark, sf_dir):
     """M13 + A5: revert AUC and MEV AP per pressure quintile per run."""
     long = _long(spark, sf_dir)
@@ -115,10 +118,10 @@ def q_pressure_quintiles(spark, sf_dir):
 
 
 @register("dex_per_day", scored_runs_sql(extra=EXTRA_SQL) + f""",
-mv AS (SELECT * FROM long WHERE task = 'mev'),
-nn AS (SELECT run_id, count(*) AS n_all, min(row_idx) AS i0 FROM mv GROUP BY run_id),
+mv AS (SELECT * FROM long WHERE task = 'mev' AND (run_id <> 'blend_a' OR tx_id % 2 = 0)),
+nn AS (SELECT count(*) AS n_all, min(row_idx) AS i0 FROM part),
 d AS (SELECT mv.*, CAST((7 * (row_idx - i0 + 1) + n_all - 1) // n_all - 1 AS INTEGER) AS day
-      FROM mv JOIN nn USING (run_id) WHERE is_dex_candidate),
+      FROM mv, nn WHERE is_dex_candidate),
 {curve_sql('c', 'd', 'run_id, day')},
 top AS (SELECT run_id, day, label,
           row_number() OVER (PARTITION BY run_id, day ORDER BY score DESC, tx_id) AS rn FROM d),
@@ -130,9 +133,12 @@ SELECT run_id, day, n_dex, n_pos, round(h100 / least(100, n_dex), 6) AS p_at_100
   round(CASE WHEN n_pos >= 1 AND n_pos < n_dex THEN ap END, 6) AS pr_auc
 FROM t JOIN h USING (run_id, day) LEFT JOIN c_m USING (run_id, day)""")
 def q_dex_per_day(spark, sf_dir):
-    """M14 + W8: day-by-day DEX P@100 / P@50 / AP over 7 equal-count days."""
-    mev = _long(spark, sf_dir).where(F.col("task") == "mev")
-    return round_doubles(SL.dex_per_day(mev, ["run_id"]))
+    """M14 + W8: day-by-day DEX P@100 / P@50 / AP over 7 equal-count days of the
+    split; one run has scored every second row only."""
+    half = (F.col("run_id") != "blend_a") | (F.col("tx_id") % 2 == 0)
+    mev = _long(spark, sf_dir).where((F.col("task") == "mev") & half)
+    rows = dataset(spark, sf_dir).where(F.col("split") == "test").select("row_idx")
+    return round_doubles(SL.dex_per_day(mev, rows, ["run_id"]))
 
 
 @register("posthoc_quartile_bundle", scored_runs_sql(extra=EXTRA_SQL) + f""",

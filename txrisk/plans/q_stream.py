@@ -44,17 +44,17 @@ def q_stream_arrival_windows(spark, sf_dir):
 
 @register("stream_triage_top100", f"""WITH {dataset_sql()},
 thr AS (SELECT quantile_cont(log_gas_tip, 0.5) AS tip_m FROM ds WHERE split = 'train'),
-s AS (SELECT tx_id, CAST(data_4bytes_hash <> 0 AND CAST(log_gas_tip AS FLOAT) > 2.0 * tip_m AS FLOAT)
+s AS (SELECT tx_id, CAST(data_4bytes_hash <> 0 AND CAST(log_gas_tip AS FLOAT) > CAST(2.0 * tip_m AS FLOAT) AS FLOAT)
         AS mev_score FROM feat, thr)
 SELECT tx_id, mev_score FROM s ORDER BY mev_score DESC, tx_id LIMIT 100""")
 def q_stream_triage(spark, sf_dir):
     """R4 + R5: de-duplicated arrivals scored by the rule model on arrival;
-    the 100 highest MEV scores of the micro-batch (a top-k report)."""
+    the 100 highest MEV scores over all micro-batches (a top-k report)."""
     thr = rule_thresholds(spark, sf_dir)
     stream = tx_from_events(event_stream(spark, sf_dir))
     out = J.run_available_now(spark, J.triage_stream(stream, thr), "triage",
                               foreach_batch=J.top_k_per_batch(100))
-    return spark.read.parquet(out).select("tx_id", "mev_score")
+    return J.merged_top_k(spark, out, 100).select("tx_id", "mev_score")
 
 
 @register("stream_outcome", f"""WITH tx AS ({TX_SQL}),

@@ -6,6 +6,7 @@ On a cluster the session comes from the platform; only unset options are filled.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,21 +23,25 @@ _DEFAULTS = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "txrisk", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "8g")
+    if master and master.startswith("local"):  # tests and the bench; a platform sizes its own
+        conf |= {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+    active = SparkSession.getActiveSession()
+    if active is not None:  # only what is unset is filled
+        have = {k for k, _ in active.sparkContext.getConf().getAll()}
+        conf = {k: v for k, v in conf.items() if k not in have and active.conf.get(k, None) is None}
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for k in ("spark.sql.session.timeZone",):
-        spark.conf.set(k, "UTC")
     checkpoint_dir(spark)
     ship_package(spark)
     return spark
@@ -45,11 +50,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset on a
+    local master (tests) a scratch folder is created and registered; executors
+    elsewhere could not read one, so a cluster has to set it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="txrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

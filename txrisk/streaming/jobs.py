@@ -186,13 +186,19 @@ def triage_stream(tx_stream: DataFrame, thresholds, watermark: str = "10 minutes
 
 
 def top_k_per_batch(k: int = 100):
-    """foreachBatch writer: the k highest MEV scores of each micro-batch (ties by tx_id)."""
+    """foreachBatch writer: the k highest MEV scores of each micro-batch (ties by
+    tx_id), in a folder of the batch's own that a retried batch overwrites."""
     def write(batch: DataFrame, batch_id: int, out: str) -> None:
         top = batch.orderBy(F.col("mev_score").desc(), F.col("tx_id")).limit(k)
-        top.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        top.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return write
 
 
+def merged_top_k(spark: SparkSession, out: str, k: int = 100) -> DataFrame:
+    """The k highest over all batches that ``top_k_per_batch`` wrote."""
+    return spark.read.parquet(out).orderBy(F.col("mev_score").desc(), F.col("tx_id")).limit(k)
+
+
 # ---------------------------------------------------------------------------
 # Per-sender bursts as session windows
 # ---------------------------------------------------------------------------
