@@ -280,9 +280,12 @@ def test_quality(docs, empty):
     assert judge_quality(empty).count() == 0 and keep_good(empty).count() == 0
 
 
-def test_perplexity_model_is_kneser_ney(spark):
-    """Spark's sorted arrays against modified Kneser-Ney from plain dictionaries."""
+@pytest.mark.parametrize("share", [2.0**-20, 2.0**-7, 1.0])
+def test_perplexity_model_is_kneser_ney(spark, monkeypatch, share):
+    """Spark's sorted arrays against modified Kneser-Ney from plain dictionaries:
+    all bigrams common, some, none."""
     from txrisk.llm import perplexity as Q
+    monkeypatch.setattr(Q, "PAIR_SHARE", share)
     rnd = random.Random(9)
     lines = [" ".join(rnd.choice("abcdefghijkl") * rnd.choice([1, 1, 2]) for _ in range(40)) for _ in range(30)]
     docs = make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(lines)])

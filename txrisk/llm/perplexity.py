@@ -2,12 +2,16 @@
 
 A bigram model with modified Kneser-Ney smoothing is counted by Spark over all
 texts.  Words are told apart by language.  Counting tasks send sorted runs of
-distinct keys with their counts; what the model keeps is bounded by shares of
-the corpus, so its size is bounded too: words with at least ``WORD_SHARE`` of
-all words (at most 2^16 of them; the others share the probability of one
-unknown word evenly) and bigrams with at least ``PAIR_SHARE`` (at most 2^20;
-the mass of the others goes to the back-off).  Continuation counts and context totals use all bigrams.  The model
-is a pair of sorted arrays of hashes and keys, which workers search.
+distinct keys with their counts.  The vocabulary is closed: words with at least
+``WORD_SHARE`` of all words (so at most 2^16; the others share the probability
+of one unknown word evenly).  All bigrams over it are kept, without a bound, in
+sorted arrays: those with at least ``PAIR_SHARE`` of all words (so at most 2^20)
+are broadcast, the *tail* stays a table spread by a hash of the bigram and grows
+with the corpus.  Scoring tasks look common bigrams up themselves and send the
+others, sorted and packed, to the tail's buckets, which answer with sums.  A
+tail bigram has less than ``PAIR_SHARE`` of all words, so no bucket is hot.
+Log probabilities are added as whole multiples of 2^-24: the order of adding
+does not matter.
 
 Bands of log perplexity are set per language around the median, in multiples
 of the median absolute deviation, from a histogram over all texts.
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ LEAST_DEVIATION = 0.05
 STEP = 0.01                # bin of log perplexity
 _SHIFT = np.uint64(20)     # an id has fewer bits
 _CHUNK = 4096
+_ONE = float(1 << 24)      # fixed point of log probabilities
+RUN_POSTINGS = 2_000_000   # tail bigrams that a scoring task sends at a time
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -45,7 +52,9 @@ class Model:
     unigram: np.ndarray    # log-free probability of each id after any context
     backoff: np.ndarray    # mass each context gives to the unigram
     pairs: np.ndarray      # sorted keys of kept bigrams
-    direct: np.ndarray     # discounted probability of each kept bigram
+    direct: np.ndarray     # discounted probability of each of these bigrams
+    total: np.ndarray      # how often each context is followed by a word
+    discount: np.ndarray   # of bigrams counted 0, 1, 2 and 3 or more times
     unknown: float = 1.0   # how many different words share the unknown word's probability
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -54,21 +63,35 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, len(self.words)).astype(np.uint64)
 
-    def log_prob(self, ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """Log probability of each word; the first of a text has no context."""
-        p = self.unigram[ids].astype(np.float64)
+    def logs(self, direct, before, ids: np.ndarray) -> np.ndarray:
+        """Log probability of ids after contexts, in fixed point."""
+        p = direct + self.backoff[before].astype(np.float64) * self.unigram[ids]
+        return self._fixed(p, ids)
+
+    def _fixed(self, p: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        log = np.log(np.maximum(p, 1e-12)) - np.log(self.unknown) * (ids == len(self.words))
+        return np.round(log * _ONE).astype(np.int64)
+
+    def log_prob(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of each word, the first of a text having no context,
+        and place and key of the words whose bigram is in the tail (0 here)."""
+        out = self._fixed(self.unigram[ids].astype(np.float64), ids)
         first = np.zeros(len(ids), bool)
         first[ptr[:-1][ptr[:-1] < ptr[1:]]] = True
         at = np.flatnonzero(~first)
-        if len(at):
-            before = ids[at - 1]
-            key = before << _SHIFT | ids[at]
-            hit = np.zeros(len(at))
-            if len(self.pairs):
-                k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                hit = np.where(self.pairs[k] == key, self.direct[k], 0.0)
-            p[at] = hit + self.backoff[before] * p[at]
-        return np.log(np.maximum(p, 1e-12)) - np.log(self.unknown) * (ids == len(self.words))
+        key = ids[at - 1] << _SHIFT | ids[at]
+        k = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        known = self.pairs[k] == key if len(self.pairs) else np.zeros(len(key), bool)
+        out[at[known]] = self.logs(self.direct[k[known]], ids[at[known] - 1], ids[at[known]])
+        out[at[~known]] = 0
+        return out, at[~known], key[~known]
+
+
+@dataclass
+class Fitted:
+    model: Model
+    tail: DataFrame  # bucket, x (sorted keys), y (counts); grows with the corpus
+    buckets: int
 
 
 def _word_hashes(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray):
@@ -122,6 +145,14 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _runs(counter: _Counter, bucket_of, buckets: int) -> pa.RecordBatch:
     keys, counts = counter.total()
     b = bucket_of(keys)
@@ -131,23 +162,21 @@ def _runs(counter: _Counter, bucket_of, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([i for i, _ in rows], pa.int32()),
          pa.array([_pack(keys[o]) for _, o in rows], pa.binary()),
-         pa.array([np.ascontiguousarray(counts[o].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-                   for _, o in rows], pa.binary())], ["bucket", "keys", "counts"])
+         pa.array([_planes(counts[o]) for _, o in rows], pa.binary())], ["bucket", "keys", "counts"])
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     counter = _Counter()
     for b in batches:
         for k, c in zip(b.column("keys"), b.column("counts")):
-            planes = np.frombuffer(c.as_py(), np.uint8).reshape(4, -1)
-            counter.add(_unpack(k.as_py()), np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+            counter.add(_unpack(k.as_py()), _unplanes(c.as_py()))
     return counter.total()
 
 
 RUNS = "bucket int, keys binary, counts binary"
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame) -> Fitted:
     """The model of all texts of ``docs`` (lang, text)."""
     spark = docs.sparkSession
     parts = conf_int(spark, "spark.sql.shuffle.partitions", 200)
@@ -181,7 +210,7 @@ def fit(docs: DataFrame) -> Model:
     least_pair = max(1, int(np.ceil(total * PAIR_SHARE)))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Model(shared.value, *[np.zeros(0)] * 4)
+        lookup = Model(shared.value, *[np.zeros(0)] * 6)
         counter = _Counter()
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
@@ -201,12 +230,18 @@ def fit(docs: DataFrame) -> Model:
         context = (keys >> _SHIFT).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else []
         if len(keys):
-            sums = np.add.reduceat(counts, first)
-            out.append((1, 0, context[first].astype("<i8").tobytes(), sums.astype("<i8").tobytes()))
+            sums = [np.add.reduceat(x, first) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            out.append((1, 0, context[first].astype("<i8").tobytes(), np.concatenate(sums).astype("<i8").tobytes()))
             after = (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
             for chunk in np.unique(after // _CHUNK).tolist():
                 own = np.bincount(after[after // _CHUNK == chunk] - chunk * _CHUNK, minlength=_CHUNK)
                 out.append((2, chunk, own.astype("<i8").tobytes(), b""))
+            rare, often = keys[~keep], counts[~keep]
+            home = mix(rare) % np.uint64(parts)
+            order = np.argsort(home, kind="stable")
+            cut = np.searchsorted(home[order], np.arange(parts + 1))
+            out += [(4, i, rare[order[x:y]].astype("<u8").tobytes(), often[order[x:y]].astype("<i8").tobytes())
+                    for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
         tally = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], "<i8")
         out.append((3, 0, tally.tobytes(), b""))
         yield pa.RecordBatch.from_arrays(
@@ -227,10 +262,11 @@ def fit(docs: DataFrame) -> Model:
 
     pairs = materialize(docs.mapInArrow(count_pairs, RUNS).repartition(parts, "bucket")
                         .mapInArrow(merge_pairs, "kind int, chunk long, x binary, y binary"), "quality-pairs")
-    added = (pairs.where("kind >= 2").select("kind", "chunk", "x").repartition(min(parts, 32), "kind", "chunk")
+    added = (pairs.where("kind IN (2, 3)").select("kind", "chunk", "x").repartition(min(parts, 32), "kind", "chunk")
              .mapInArrow(add_chunks, "kind int, chunk long, x binary").collect())
     rows = pairs.where("kind < 2").select("kind", "x", "y").collect()  # bounded by the shares above
-    return _smooth(vocab, size, rows, added, types - len(vocab))
+    tail = pairs.where("kind = 4").select(F.col("chunk").cast("int").alias("bucket"), "x", "y")
+    return Fitted(_smooth(vocab, size, rows, added, types - len(vocab)), tail, parts)
 
 
 def _smooth(vocab: np.ndarray, size: int, rows: list, added: list, unknown: int) -> Model:
@@ -242,9 +278,12 @@ def _smooth(vocab: np.ndarray, size: int, rows: list, added: list, unknown: int)
     keys, counts = both(0)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    total = np.zeros(size)
-    ctx, sums = both(1)
-    total[ctx.astype(np.int64)] = sums
+    total, times = np.zeros(size), np.zeros((3, size))
+    for r in rows:
+        if r["kind"] == 1:
+            ctx = np.frombuffer(r["x"], "<i8")
+            total[ctx], *few = np.frombuffer(r["y"], "<i8").reshape(4, -1)
+            times[:, ctx] = few
     left = np.zeros((size // _CHUNK + 1) * _CHUNK)  # distinct words before each word
     tally = np.zeros(4)
     for r in added:
@@ -261,9 +300,10 @@ def _smooth(vocab: np.ndarray, size: int, rows: list, added: list, unknown: int)
     unigram = (kept + (seen - kept.sum()) / size) / seen
     context = (keys >> _SHIFT).astype(np.int64)
     direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / np.maximum(total[context], 1)
-    backoff = np.maximum(1.0 - np.bincount(context, weights=direct, minlength=size), 1e-9)
+    taken = (d[1:, None] * times).sum(0)  # what the discounts leave to the unigram
+    backoff = np.where(total > 0, np.maximum(taken / np.maximum(total, 1), 1e-9), 1.0)
     return Model(vocab, unigram.astype(np.float32), backoff.astype(np.float32), keys, direct.astype(np.float32),
-                 float(max(unknown, 1)))
+                 total, d, float(max(unknown, 1)))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -290,32 +330,117 @@ def _dup_lines(text: bytes) -> int:
 
 
 SCORES = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, base_failed boolean, log_ppl double")
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+          "n_repeat_words long, base_failed boolean")
+POSTINGS = "bucket int, keys binary, places binary, counts binary"
+SCORED = pa.schema([("slice", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()),
+                    *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                                "n_repeat_words")],
+                    ("base_failed", pa.bool_()), ("log_sum", pa.int64()), ("bucket", pa.int32()),
+                    ("keys", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    """A batch of SCORED rows; columns that are not given are null."""
+    n = len(columns["slice"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SCORED],
+        schema=SCORED)
+
+
+def _postings(slice_id: int, places: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: rising keys, each with the texts that hold it and how often."""
+    home = mix(keys) % np.uint64(buckets)
+    order = np.lexsort((places, keys, home))
+    home, keys, places = home[order], keys[order], places[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(keys)))
+    home, keys, places = home[first], keys[first], places[first]
+    cut = np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
+    some = [(i, slice(x, y)) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    return _batch(slice=[slice_id] * len(some), bucket=[i for i, _ in some], keys=[_pack(keys[o]) for _, o in some],
+                  places=[_planes(places[o]) for _, o in some], counts=[_planes(counts[o]) for _, o in some])
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """The base rules and the log perplexity of each text (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    buckets = fitted.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        slice_id = TaskContext.get().partitionId() << 32
+        place, waiting, held = 0, 0, []
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
             n = np.diff(w.ptr)
-            lp = np.concatenate([[0.0], np.cumsum(m.log_prob(m.ids(h), w.ptr))])
-            mean = -np.diff(lp[w.ptr]) / np.maximum(n, 1)
+            log, at, key = m.log_prob(m.ids(h), w.ptr)
+            lp = np.concatenate([[0], np.cumsum(log)])
             chars = np.concatenate([[0], np.cumsum(((buf & 0xC0) != 0x80) & ~SPACE[buf])])
             symbols = np.concatenate([[0], np.cumsum(SYMBOL[buf])])
             repeat = np.array([_repeat_words(h[a:b]) for a, b in zip(w.ptr[:-1], w.ptr[1:])], np.int64)
             dup = [_dup_lines(buf[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("lang"), pa.array(n, pa.int64()),
-                 pa.array(np.diff(chars[off]), pa.int64()), pa.array(np.diff(symbols[off]), pa.int64()),
-                 pa.array(dup, pa.int64()), pa.array(repeat, pa.int64()),
-                 pa.array((n < 50) | (100 * repeat > 50 * n)), pa.array(mean, pa.float64(), mask=n == 0)],
-                [c.split()[0] for c in SCORES.split(", ")])
-
-    return docs.mapInArrow(run, SCORES)
+            yield _batch(slice=np.full(len(n), slice_id), place=np.arange(place, place + len(n)),
+                         doc_id=rows.column("doc_id"), lang=rows.column("lang"), n_words=n,
+                         word_chars=np.diff(chars[off]), n_symbols=np.diff(symbols[off]), n_dup_lines=dup,
+                         n_repeat_words=repeat, base_failed=(n < 50) | (100 * repeat > 50 * n),
+                         log_sum=np.diff(lp[w.ptr]))
+            if len(at):
+                held.append((np.searchsorted(w.ptr, at, side="right") - 1 + place, key))
+            place, waiting = place + len(n), waiting + len(at)
+            if waiting > RUN_POSTINGS:
+                yield _postings(slice_id, *map(np.concatenate, zip(*held)), buckets)
+                slice_id, place, waiting, held = slice_id + 1, 0, 0, []
+        if held:
+            yield _postings(slice_id, *map(np.concatenate, zip(*held)), buckets)
+
+    columns = ", ".join(["slice long, place long", SCORES, "log_sum long", POSTINGS])
+    both = materialize(docs.mapInArrow(run, columns), "quality-scored")
+    tail = tail_sums(both.where("bucket IS NOT NULL").select("slice", *(c.split()[0] for c in POSTINGS.split(", "))),
+                     fitted)
+    whole = F.col("log_sum") + F.coalesce("tail_sum", F.lit(0))
+    return (both.where("bucket IS NULL").join(tail, ["slice", "place"], "left")
+            .select(*(c.split()[0] for c in SCORES.split(", ")),
+                    F.when(F.col("n_words") > 0, -whole / F.lit(_ONE) / F.col("n_words")).alias("log_ppl")))
+
+
+def tail_sums(postings: DataFrame, fitted: Fitted) -> DataFrame:
+    """slice, place, tail_sum: what a text's tail bigrams add to its log probability."""
+    shared = postings.sparkSession.sparkContext.broadcast(fitted.model)
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        m = shared.value
+        keys = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_py(), "<u8") for x in known.column("x"))])
+        counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(y.as_py(), "<i8") for y in known.column("y"))])
+        order = np.argsort(keys)
+        keys, counts = keys[order].astype(np.uint64), counts[order]
+        before, ids = keys >> _SHIFT, keys & np.uint64((1 << 20) - 1)
+        logs = m.logs((counts - m.discount[np.minimum(counts, 3)]) / np.maximum(m.total[before], 1), before, ids)
+        slices, places, sums = [], [], []
+        for s, k, p, c in zip(*(asked.column(x) for x in ("slice", "keys", "places", "counts"))):
+            log = logs[np.searchsorted(keys, _unpack(k.as_py()))] * _unplanes(c.as_py())
+            own, inv = np.unique(_unplanes(p.as_py()), return_inverse=True)
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, inv, log)
+            slices.append(s)
+            places.append(_planes(own))
+            sums.append(total.astype("<i8").tobytes())
+        return pa.table({"slice": pa.array([s.as_py() for s in slices], pa.int64()),
+                         "places": pa.array(places, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def add(answers: pa.Table) -> pa.Table:
+        places = np.concatenate([_unplanes(p.as_py()) for p in answers.column("places")])
+        sums = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in answers.column("sums")])
+        own, inv = np.unique(places, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, inv, sums)
+        return pa.table({"slice": pa.array([answers.column("slice")[0].as_py()] * len(own), pa.int64()),
+                         "place": pa.array(own, pa.int64()), "tail_sum": pa.array(total, pa.int64())})
+
+    return (postings.groupBy("bucket").cogroup(fitted.tail.groupBy("bucket"))
+            .applyInArrow(look_up, "slice long, places binary, sums binary")
+            .groupBy("slice").applyInArrow(add, "slice long, place long, tail_sum long"))
 
 
 def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
