@@ -250,3 +250,39 @@ def test_session_keeps_what_is_set(spark):
         assert get_spark().conf.get("spark.sql.shuffle.partitions") == "777"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_curve_metrics_equal_the_single_ones(spark):
+    """One aggregate over the curve, with NULL scores, ties, one-class groups and many ranges."""
+    rng = np.random.default_rng(5)
+    rows = [(g, i, None if i % 17 == 0 else float(np.round(rng.random(), 1)),
+             float(rng.random() < p)) for g, p in (("a", 0.3), ("b", 1.0), ("c", 0.0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "grp string, tx_id long, score double, label double")
+    want = M.confusion(df, (F.col("score") > 0.5).cast("int"), "label", ["grp"])
+    plain = M.score_curve(df, by=["grp"])
+    want = (want.join(M.roc_auc(plain, ["grp"]), "grp").join(M.average_precision(plain, ["grp"]), "grp")
+            .orderBy("grp").collect())
+    for per_range in (2_000_000, 3):
+        got = M.curve_metrics(M.score_curve(df, by=["grp"], above=0.5, rows_per_range=per_range), ["grp"])
+        for a, b in zip(got.orderBy("grp").collect(), want):
+            for c in ("tp", "fp", "fn", "tn", "n_valid", "n_pos"):
+                assert a[c] == b[c], (c, a, b)
+            for c in ("auc", "ap"):
+                assert (a[c] is None) == (b[c] is None) and (a[c] is None or abs(a[c] - b[c]) < 1e-12)
+
+
+def test_linear_model_survives_null_values(spark):
+    """A NULL or NaN value counts as the train mean; the three heads chain without a join."""
+    from txrisk import schema as S
+    from txrisk.operators.baselines import fit_logreg, score_models
+    rng = np.random.default_rng(3)
+    cols = list(S.NUMERIC_FEATURES[:2])
+    rows = [(i, None if i == 5 else float(x), float("nan") if i == 6 else 3.0, float(x + rng.normal() > 0),
+             float(i % 3 == 0), float(i % 4 == 0)) for i, x in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, ", ".join(["tx_id long", *[f"{c} double" for c in cols],
+                                                *[f"{c} double" for c in S.TASKS.values()]]))
+    fs = type("Cols", (), {"columns": cols})()
+    out = score_models(fit_logreg(df, fs, max_iter=20), df, ["tx_id"])
+    got = out.collect()
+    assert len(got) == 300 and all(0 <= r.revert_score <= 1 for r in got)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

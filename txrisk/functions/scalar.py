@@ -157,11 +157,16 @@ def softplus_delta(delta_s, a: float = 1.0, b: float = 0.0,
     return softplus(F.lit(a) * F.log1p(clip(delta_s, lo, hi)) + F.lit(b))
 
 
+def softplus_inverse(y: float) -> float:
+    """x with softplus(x) = y, in the form that is stable for any y > 0."""
+    return y + math.log(-math.expm1(-y))
+
+
 def calibrate_b(median_delta, target: float | None = None, lo: float = S.DELTA_CLIP_MIN) -> Column:
-    """b such that softplus(log1p(median) + b) hits the target step (default sqrt(1e-3*0.1))."""
-    t = math.sqrt(0.001 * 0.1) if target is None else target
-    sp_inv = t if t > 20 else math.log(math.expm1(t))
-    return F.lit(sp_inv) - F.log1p(F.greatest(_c(median_delta), F.lit(lo)))
+    """b such that softplus(log1p(median) + b) hits the target step (default: the
+    geometric mean of 1e-3 and 0.1)."""
+    step = math.sqrt(0.001 * 0.1) if target is None else target
+    return F.lit(softplus_inverse(step)) - F.log1p(F.greatest(_c(median_delta), F.lit(lo)))
 
 
 # F17 ------------------------------------------------------------------------
@@ -181,11 +186,12 @@ def bce_with_logits(z, y, pos_weight: float = 1.0) -> Column:
 
 
 def focal_loss(z, y, gamma: float = S.FOCAL_GAMMA, alpha: float = S.FOCAL_ALPHA) -> Column:
-    z, y = _c(z), _c(y)
-    p = sigmoid(z)
-    p_t = y * p + (1 - y) * (1 - p)
-    a = y * alpha + (1 - y) * (1 - alpha)
-    return a * F.pow(1 - p_t, F.lit(gamma)) * bce_with_logits(z, y)
+    """-alpha (1 - q)^gamma log q, q being the probability given to the true class."""
+    z = _c(z)
+    hit, miss = sigmoid(z), sigmoid(-z)
+    positive = F.lit(alpha) * F.pow(miss, F.lit(gamma)) * softplus(-z)
+    negative = F.lit(1 - alpha) * F.pow(hit, F.lit(gamma)) * softplus(z)
+    return F.when(_c(y) == 1, positive).when(_c(y) == 0, negative)
 
 
 # P13 / P14 ------------------------------------------------------------------

@@ -88,10 +88,25 @@ def balanced_weight_col(df: DataFrame, label: str, out: str = "weight") -> DataF
     return v.join(F.broadcast(w), label)
 
 
+def class_weights(df: DataFrame) -> DataFrame:
+    """A8 + A9 of every task in one aggregate: task, pos_weight, weight_neg, weight_pos."""
+    n = df.agg(*[F.count_if(F.col(lab) == y).alias(f"{t}_{y}") for t, lab in S.TASKS.items() for y in (0, 1)])
+    per = n.select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("task"), F.col(f"{t}_0").alias("neg"), F.col(f"{t}_1").alias("pos"))
+        for t in S.TASKS])).alias("c")).select("c.*")
+    neg, pos = F.col("neg"), F.col("pos")
+    both = (neg > 0) & (pos > 0)
+    return per.select("task", F.when(both, neg / pos.cast("double")).otherwise(F.lit(1.0)).alias("pos_weight"),
+                      F.when(neg > 0, (neg + pos) / (2.0 * neg)).alias("weight_neg"),
+                      F.when(pos > 0, (neg + pos) / (2.0 * pos)).alias("weight_pos"))
+
+
 def standardize_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Column means and population standard deviations (one row)."""
-    return df.agg(*[F.avg(c).alias(f"{c}_mean") for c in cols],
-                  *[F.stddev_pop(c).alias(f"{c}_std") for c in cols])
+    """Column means and population standard deviations of the values that
+    are neither NULL nor NaN (one row)."""
+    x = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return df.agg(*[F.avg(x(c)).alias(f"{c}_mean") for c in cols],
+                  *[F.stddev_pop(x(c)).alias(f"{c}_std") for c in cols])
 
 
 # ---------------------------------------------------------------------------
@@ -102,21 +117,40 @@ def _assembler(cols, out="features"):
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
+def _outputs(task: str) -> dict:
+    """Column names of one head, so that the heads chain on one DataFrame."""
+    return {"featuresCol": f"_{task}_features", "probabilityCol": f"_{task}_prob",
+            "rawPredictionCol": f"_{task}_raw", "predictionCol": f"_{task}_pred"}
+
+
+def _standardized(stats, cols, task: str) -> list:
+    """Stages that scale by statistics of all train rows (A17).  A NULL or NaN
+    value counts as the train mean, a column without spread as 0."""
+    from pyspark.ml.feature import SQLTransformer
+    z = {c: f"_{task}_z_{c}" for c in cols}
+    parts = []
+    for c in cols:
+        mean, std = stats[f"{c}_mean"] or 0.0, stats[f"{c}_std"] or 0.0
+        x = f"coalesce(nanvl(cast({c} AS double), CAST({mean!r} AS double)), CAST({mean!r} AS double))"
+        parts.append(f"({x} - CAST({mean!r} AS double)) / CAST({std or 1.0!r} AS double) AS {z[c]}")
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"),
+            _assembler(z.values(), f"_{task}_features")]
+
+
 def fit_logreg(train: DataFrame, features: S.FeatureSet = S.FeatureSet.preset("numeric_only"),
                C: float = 1.0, max_iter: int = 100) -> dict:
     """L3: standardise the numerics, one balanced L2 log-loss head per task,
     regParam = 1 / (C * N) (the reference's alpha).  Returns task -> PipelineModel."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
+    stats = standardize_stats(train, features.columns).first()
     models = {}
     for task, lab in S.TASKS.items():
         d = balanced_weight_col(train.select(*features.columns, lab), lab)
         n = d.count()
         pipe = Pipeline(stages=[
-            _assembler(features.columns, "_raw"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="features", labelCol=lab, weightCol="weight",
+            *_standardized(stats, features.columns, task),
+            LogisticRegression(**_outputs(task), labelCol=lab, weightCol="weight",
                                regParam=1.0 / max(1.0, C * n), elasticNetParam=0.0,
                                standardization=False, maxIter=max_iter),
         ])
@@ -139,13 +173,15 @@ def fit_gbt(train: DataFrame, features: S.FeatureSet = S.FeatureSet(), max_depth
                               .withColumn("_val", F.lit(True)))
         pw = pos_weight(d.where(~F.col("_val")), lab).first()["pos_weight"]
         d = d.withColumn("weight", F.when(F.col(lab) == 1, F.lit(pw)).otherwise(F.lit(1.0)))
-        gbt = GBTClassifier(featuresCol="features", labelCol=lab, weightCol="weight",
+        names = {k: v for k, v in _outputs(task).items() if k in ("featuresCol", "predictionCol")}
+        gbt = GBTClassifier(**names, labelCol=lab, weightCol="weight",
                             maxDepth=max_depth, maxIter=max_iter, stepSize=step,
                             minInstancesPerNode=min_instances, subsamplingRate=subsample,
-                            featureSubsetStrategy="all", seed=seed, maxBins=64)
+                            featureSubsetStrategy="0.9", seed=seed, maxBins=64)
+        gbt = gbt.setProbabilityCol(f"_{task}_prob").setRawPredictionCol(f"_{task}_raw")
         if val is not None:
             gbt = gbt.setValidationIndicatorCol("_val")
-        models[task] = Pipeline(stages=[_assembler(features.columns), gbt]).fit(
+        models[task] = Pipeline(stages=[_assembler(features.columns, f"_{task}_features"), gbt]).fit(
             d.withColumn(lab, F.col(lab).cast("double")))
     return models
 
@@ -159,15 +195,14 @@ def fit_mlp(train: DataFrame, features: S.FeatureSet = S.FeatureSet.preset("nume
     One L-BFGS iteration is one pass over the data: 10 = the reference's 10 epochs."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler
     cols = features.columns
+    stats = standardize_stats(train, cols).first()
     models = {}
     for task, lab in S.TASKS.items():
         d = train.select(*cols, F.col(lab).cast("double").alias(lab)).where(F.col(lab) >= 0)
         pipe = Pipeline(stages=[
-            _assembler(cols, "_raw"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-            MultilayerPerceptronClassifier(featuresCol="features", labelCol=lab,
+            *_standardized(stats, cols, task),
+            MultilayerPerceptronClassifier(**_outputs(task), labelCol=lab,
                                            layers=[len(cols), hidden, hidden, 2],
                                            maxIter=max_iter, seed=seed),
         ])
@@ -176,14 +211,12 @@ def fit_mlp(train: DataFrame, features: S.FeatureSet = S.FeatureSet.preset("nume
 
 
 def score_models(models: dict, df: DataFrame, keep: list[str] = ("tx_id",)) -> DataFrame:
-    """Three heads -> (keep…, revert_score, mev_score, drop_score)."""
+    """Three heads -> (keep…, revert_score, mev_score, drop_score), chained
+    on one DataFrame: the rows are read once and joined with nothing."""
     from pyspark.ml.functions import vector_to_array
-    out = None
-    for task, m in models.items():
-        s = m.transform(df).select(*keep, vector_to_array("probability")[1].cast("float")
-                                   .alias(f"{task}_score"))
-        out = s if out is None else out.join(s, list(keep))
-    return out
+    for m in models.values():
+        df = m.transform(df)
+    return df.select(*keep, *[vector_to_array(f"_{t}_prob")[1].cast("float").alias(f"{t}_score") for t in models])
 
 
 def leakage_audit(train: DataFrame, features: list[str] = tuple(S.FEATURE_COLUMNS),

@@ -7,7 +7,6 @@ come from a seeded hash, so the same resamples are reproducible anywhere.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,18 +170,19 @@ _NAMES = {"f1": "f1", "auc": "auc", "ap": "pr_auc", "p_at_100": "p_at_100", "p_a
 
 def _bundle_values(d: DataFrame, grp: list[str], biggest: int, key: str,
                    ks: tuple = (100, 1000)) -> DataFrame:
-    """All CI-bundle metrics in three passes over one weighted table (column
-    ``w``): one confusion pass (F1: revert, drop), one score curve shared by
-    AUC (revert, drop) and AP (mev), one top-max(k) pass (P@k: mev).
+    """All CI-bundle metrics in two passes over one weighted table (column
+    ``w``): one score curve for F1, AUC (revert, drop) and AP (mev), one
+    top-max(k) pass (P@k: mev).
     Output (grp…, metric, value), metric names task_metric."""
     t = F.col("task")
-    f1 = weighted_metric(d.where(t != "mev"), "f1", grp, key=key) \
-        .select(*grp, F.concat(t, F.lit("_f1")).alias("metric"), "value")
-    curve = M.score_curve(d, "score", "label", grp, weight=F.col("w"), max_group_rows=biggest)
-    auc = M.roc_auc(curve, grp).where(t != "mev") \
-        .select(*grp, F.concat(t, F.lit("_auc")).alias("metric"), F.col("auc").alias("value"))
-    ap = M.average_precision(curve, grp).where(t == "mev") \
-        .select(*grp, F.lit("mev_pr_auc").alias("metric"), F.col("ap").alias("value"))
+    curve = M.score_curve(d, "score", "label", grp, weight=F.col("w"), max_group_rows=biggest, above=0.5)
+    c = M.curve_metrics(curve, grp)
+    named = lambda name, value: F.struct(F.concat(t, F.lit(name)).alias("metric"),
+                                         value.cast("double").alias("value"))
+    ranked = c.select(*grp, F.explode(
+        F.when(t == "mev", F.array(named("_pr_auc", F.col("ap"))))
+        .otherwise(F.array(named("_f1", M.f1_from_counts()), named("_auc", F.col("auc"))))).alias("_m")) \
+        .select(*grp, "_m.metric", "_m.value")
     m = d.where(t == "mev")
     kmax = max(ks)
     win = Window.partitionBy(*grp).orderBy(F.col("score").desc(), F.col(key).asc())
@@ -192,12 +192,12 @@ def _bundle_values(d: DataFrame, grp: list[str], biggest: int, key: str,
     hits = top.groupBy(*grp).agg(*[
         F.sum(F.greatest(F.least(F.col("w"), F.lit(k) - F.col("_before")), F.lit(0)) * F.col("label"))
         .alias(f"_h{k}") for k in ks])
-    n = m.groupBy(*grp).agg(F.sum("w").alias("_n"))
+    n = c.where(t == "mev").select(*grp, F.col("n_valid").alias("_n"))
     pk = hits.join(n, grp).select(*grp, F.explode(F.array(*[
         F.struct(F.lit(f"mev_p_at_{k}").alias("metric"),
                  (F.col(f"_h{k}") / F.least(F.lit(k), F.col("_n"))).cast("double").alias("value"))
         for k in ks])).alias("_m")).select(*grp, "_m.metric", "_m.value")
-    return f1.unionByName(auc).unionByName(ap).unionByName(pk)
+    return ranked.unionByName(pk)
 
 
 def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list[str] = (),
@@ -229,23 +229,16 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
             out = out.unionByName(p)
         return out.select(*keys, "metric", "point", "lower", "upper")
     # replicate weights once for every metric.  The N rows are spread over the
-    # cluster before the B-fold explode (a small shuffle next to N x B rows),
-    # then persisted and materialised so every metric reads the same blocks
-    # (recomputed from lineage if an executor is lost).
+    # cluster before the B-fold explode (a small shuffle next to N x B rows).
+    # The two passes draw the same weights again: they are a function of the
+    # key, and the N x B rows are stored nowhere.
     par = 2 * v.sparkSession.sparkContext.defaultParallelism
-    boot = bootstrap_weights(v.repartition(par, key), reps, seed, key) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    boot.count()
+    boot = bootstrap_weights(v.repartition(par, key), reps, seed, key)
     point = _bundle_values(v.withColumn("w", F.lit(1)), keys, biggest, key) \
         .withColumnRenamed("value", "point")
     vals = _bundle_values(boot, [*keys, "rep"], biggest, key)
     q = vals.where(F.col("value").isNotNull()).groupBy(*keys, "metric") \
         .agg(F.percentile("value", [0.025, 0.975]).alias("_q"))
-    out = point.join(q, [*keys, "metric"], "left").select(
+    return point.join(q, [*keys, "metric"], "left").select(
         *keys, "metric", "point", F.coalesce(F.col("_q")[0], F.col("point")).alias("lower"),
         F.coalesce(F.col("_q")[1], F.col("point")).alias("upper"))
-    # the result is (groups x tasks x 7) rows: compute it, release the cached
-    # weights, and hand back the small table
-    rows, schema = out.collect(), out.schema
-    boot.unpersist()
-    return v.sparkSession.createDataFrame(rows, schema)

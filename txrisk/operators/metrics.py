@@ -28,7 +28,8 @@ def valid(df: DataFrame, label: str = "label") -> DataFrame:
 def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: list[str] = (),
                 weight: Column | None = None,
                 rows_per_range: int = DEFAULT_SCORE_ROWS_PER_RANGE,
-                max_group_rows: int | None = None, score_digits: int | None = None) -> DataFrame:
+                max_group_rows: int | None = None, score_digits: int | None = None,
+                above: float | None = None) -> DataFrame:
     """One row per (by, distinct score), high to low, with cumulative counts.
 
     Columns: by..., score, n, pos, ctp (positives at score >= this one),
@@ -36,17 +37,25 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: l
     row several times (bootstrap).  The running sums go through
     ``running_totals`` on score ranges, so a slice with N distinct scores
     is split over ceil(N / rows_per_range) tasks.  Ranges are planned from
-    the largest group (``max_group_rows``, measured when not given): many
-    small groups already spread over tasks through ``by``.  ``score_digits``
-    rounds scores first: at most 10^digits distinct scores per group, an
-    approximate AUC/AP with a bounded curve.
+    all groups' scores together, so a range holds at most about
+    ``rows_per_range`` of any group, and only when the largest group
+    (``max_group_rows``, measured when not given) needs them: many small groups
+    already spread over tasks through ``by``.  ``score_digits`` rounds scores
+    first: at most 10^digits distinct scores per group, an approximate AUC/AP
+    with a bounded curve.  ``above`` adds ``n_above`` and ``pos_above``: the rows
+    and positives whose score, before rounding, is greater.
     """
     by = list(by)
     w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     y = F.col(label).cast("bigint")
+    aggs = [F.sum(w).alias("n"), F.sum(w * y).alias("pos")]
+    if above is not None:
+        more = F.coalesce((F.col("_exact") > above).cast("bigint"), F.lit(0))
+        aggs += [F.sum(w * more).alias("n_above"), F.sum(w * y * more).alias("pos_above")]
+        df = df.withColumn("_exact", F.col(score))
     if score_digits is not None:  # approximate fast path: bounded distinct scores
         df = df.withColumn(score, F.round(score, score_digits))
-    g = df.groupBy(*by, score).agg(F.sum(w).alias("n"), F.sum(w * y).alias("pos"))
+    g = df.groupBy(*by, score).agg(*aggs)
     g = g.where(F.col("n") > 0)
     if max_group_rows is None:
         sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
@@ -54,18 +63,30 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: l
     if max_group_rows <= rows_per_range:
         ranges = Ranges(score, (-math.inf, math.inf))
     else:
-        ranges = plan_ranges(g, score, rows_per_range,
-                             n_rows=max_group_rows * max(1, math.ceil(max_group_rows / rows_per_range)))
+        ranges = plan_ranges(g, score, rows_per_range)
     g = ranges.assign(g, out="_rng", src=score)
+    if ranges.n > 1:  # NULL scores come last, as they sort
+        g = g.withColumn("_rng", F.when(F.col(score).isNull(), F.lit(-1)).otherwise(F.col("_rng")))
     g = running_totals(g, by, "_rng", ranges.n, [F.col(score).desc()],
-                       {"ctp": (F.col("pos"), True), "cn": (F.col("n"), True)}, descending=True)
-    if by:
-        tot = df.groupBy(*by).agg(F.sum(w * y).alias("tot_pos"), F.sum(w * (1 - y)).alias("tot_neg"))
-        g = g.join(tot, by)
-    else:  # two numbers: attach as literals
-        t = df.agg(F.sum(w * y), F.sum(w * (1 - y))).first()
-        g = g.withColumns({"tot_pos": F.lit(t[0]).cast("bigint"), "tot_neg": F.lit(t[1]).cast("bigint")})
-    return g.drop("_rng")
+                       {"ctp": (F.col("pos"), True), "cn": (F.col("n"), True)}, descending=True,
+                       totals={"tot_pos": "ctp", "_tot": "cn"})
+    return g.withColumn("tot_neg", F.col("_tot") - F.col("tot_pos")).drop("_rng", "_tot")
+
+
+def curve_metrics(curve: DataFrame, by: list[str] = (), score: str = "score") -> DataFrame:
+    """One aggregate over a curve with ``above``: tp, fp, fn, tn, n_valid, n_pos,
+    auc and ap per group, as ``confusion``, ``roc_auc`` and ``average_precision`` give them."""
+    neg = F.col("n") - F.col("pos")
+    p, q = F.first("tot_pos"), F.first("tot_neg")
+    tp, hits = F.sum("pos_above"), F.sum("n_above")
+    below = F.sum(F.when(F.col("_scored"), F.col("pos")).otherwise(0))
+    rest = F.sum(F.when(F.col("_scored"), neg).otherwise(0))
+    return curve.withColumn("_scored", F.col(score).isNotNull()).groupBy(*by).agg(
+        tp.alias("tp"), (hits - tp).alias("fp"), (below - tp).alias("fn"), (rest - hits + tp).alias("tn"),
+        (p + q).alias("n_valid"), p.alias("n_pos"),
+        F.when((p > 0) & (q > 0), F.sum(neg * (F.col("ctp") - F.col("pos") / 2.0)) / (p.cast("double") * q))
+        .alias("auc"),
+        F.when(p > 0, F.sum(F.col("pos") * F.col("ctp") / F.col("cn").cast("double")) / p).alias("ap"))
 
 
 def roc_auc(curve: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -161,12 +182,9 @@ def metric_bundle(scored: DataFrame, by: list[str] = (), score: str = "score", l
     """
     keys = [*by, task]
     v = valid(scored, label)
-    cnt = confusion(v, (F.col(score) > 0.5).cast("int"), label, keys)
-    curve = score_curve(v, score, label, keys, score_digits=score_digits)  # digits: approximate
-    auc = roc_auc(curve, keys)
-    ap = average_precision(curve, keys)
+    curve = score_curve(v, score, label, keys, score_digits=score_digits, above=0.5)  # digits: approximate
     hits = top_k_hits(v, list(ks), score, label, keys, key)
-    m = cnt.join(auc, keys, "left").join(ap, keys, "left").join(hits, keys, "left")
+    m = curve_metrics(curve, keys, score).join(hits, keys, "left")
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_valid"))
     enough = F.col("n_valid") >= min_valid
     has_pos = F.col("n_pos") >= 1

@@ -128,14 +128,18 @@ def _maybe_broadcast(small: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, order: list[Column],
-                   sums: dict[str, tuple[Column, bool]], descending: bool = False) -> DataFrame:
+                   sums: dict[str, tuple[Column, bool]], descending: bool = False,
+                   totals: dict[str, str] | None = None) -> DataFrame:
     """Running sums over ``order`` within ``keys``, split by range column ``rng``.
 
     ``sums``: name -> (expression, inclusive).  Inclusive frames end at the
     current row, exclusive ones at the row before.  ``descending`` means the
     range ids run opposite to ``order`` (e.g. scores sorted high to low).
     Rows with equal order values need a tiebreak in ``order`` for determinism.
+    ``totals`` (column -> name in ``sums``) adds whole sums per key, from the
+    same window and the same range table: no second pass, no further join.
     """
+    totals = totals or {}
     tmp = {n: f"__v_{n}" for n in sums}
     d = df.withColumns({tmp[n]: e for n, (e, _) in sums.items()})
     w_in = Window.partitionBy(*keys, rng).orderBy(*order)
@@ -143,6 +147,9 @@ def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, orde
     for n, (_, inclusive) in sums.items():
         frame = w_in.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         cols[n] = F.coalesce(F.sum(tmp[n]).over(frame), F.lit(0).cast(d.schema[tmp[n]].dataType))
+    if n_ranges == 1:
+        whole = Window.partitionBy(*keys, rng)
+        cols |= {t: F.sum(tmp[n]).over(whole) for t, n in totals.items()}
     d = d.withColumns(cols)
     if n_ranges == 1:
         return d.drop(*tmp.values())
@@ -150,9 +157,11 @@ def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, orde
     tot = d.groupBy(*keys, rng).agg(*[F.sum(tmp[n]).alias(tmp[n]) for n in sums])
     o = F.col(rng).desc() if descending else F.col(rng).asc()
     w_k = Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = w_k.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = tot.select(*keys, rng, *[
         F.coalesce(F.sum(tmp[n]).over(w_k), F.lit(0).cast(tot.schema[tmp[n]].dataType))
-         .alias(f"__c_{n}") for n in sums])
+         .alias(f"__c_{n}") for n in sums],
+        *[F.sum(tmp[n]).over(w_all).alias(t) for t, n in totals.items()])
     if not keys:
         carried = _maybe_broadcast(carried, n_ranges)
     out = d.join(carried, on=[*keys, rng], how="inner")

@@ -42,11 +42,13 @@ def run_build(spark, raw_path: str, out_path: str, splits: SplitRanges = SplitRa
     """The dataset-build job end to end (survey §3.1):
 
     read raw (S1, explicit schema) -> [smoke: first n rows, S2] -> build ->
-    leakage audit on train (L1) -> blacklist guard (P7) -> write one table
-    partitioned by split (S3) -> manifest (S4).  ``on_fail`` = "raise" or
+    blacklist guard on the columns built (P7) -> leakage audit on train (L1) ->
+    write one table partitioned by split (S3) -> manifest (S4).  ``on_fail`` = "raise" or
     "warn" when the audit fails (the reference only warns).
     """
     import os
+    import uuid
+    from txrisk.session import checkpoint_dir
     from txrisk.operators.baselines import leakage_audit
     from txrisk.sources.raw import read_raw
     from txrisk.sources.sinks import manifest_frame, write_manifest, write_splits
@@ -54,13 +56,17 @@ def run_build(spark, raw_path: str, out_path: str, splits: SplitRanges = SplitRa
     if smoke_rows:
         from txrisk.operators.sampling import first_n
         tx, mode = first_n(tx, smoke_rows), "smoke"
-    S.check_blacklist(S.FEATURE_COLUMNS)
-    write_splits(build_dataset(tx, splits), out_path)
-    ds = spark.read.parquet(out_path)  # lineage cut: the audit and manifest read the table
+    # audited on a staged table first: a failed audit publishes nothing
+    staged = os.path.join(checkpoint_dir(spark), "builds", uuid.uuid4().hex)
+    write_splits(build_dataset(tx, splits), staged)
+    ds = spark.read.parquet(staged)
+    S.check_blacklist([c for c in ds.columns if c not in ("tx_id", S.SORT_KEY, "split", "row_idx",
+                                                          "is_dex_candidate", *S.LABEL_COLUMNS)])
     verdict = "skipped"
     if audit:
         passed, auc = leakage_audit(ds.where(F.col("split") == "train"))
         verdict = "passed" if passed else "FAILED"
         if not passed and on_fail == "raise":
             raise RuntimeError(f"leakage audit failed: shuffled-label AUC {auc:.4f} > 0.55")
+    write_splits(ds, out_path)
     return write_manifest(manifest_frame(ds, mode=mode, audit=verdict), os.path.join(out_path, "_manifest"))

@@ -120,8 +120,8 @@ def corruption_audit(models: dict, processed: DataFrame, split: str = "test", se
         "timestamp_delta_s", F.col("timestamp_delta_s_quantized"))
     out = None
     for mode, d in {"none": rows, "shuffle": shuffled, "quantize": quant}.items():
-        s = score_models(models, d.select("tx_id", *S.FEATURE_COLUMNS)).join(
-            d.select("tx_id", *S.LABEL_COLUMNS), "tx_id").withColumn("run_id", F.lit(mode))
+        s = score_models(models, d.select("tx_id", *S.FEATURE_COLUMNS, *S.LABEL_COLUMNS),
+                         ["tx_id", *S.LABEL_COLUMNS]).withColumn("run_id", F.lit(mode))
         m = M.metric_bundle(M.unpivot_tasks(s, keep=["run_id", "tx_id"]), by=["run_id"])
         out = m if out is None else out.unionByName(m)
     return out.withColumnRenamed("run_id", "mode")

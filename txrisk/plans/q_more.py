@@ -10,7 +10,7 @@ from txrisk.functions.scalar import calibrate_b, feature_fingerprint, softplus_d
 from txrisk.operators import metrics as M
 from txrisk.operators import sampling as T
 from txrisk.operators import sequences as Q
-from txrisk.operators.baselines import balanced_weight_col, pos_weight, standardize_stats
+from txrisk.operators.baselines import class_weights, standardize_stats
 from txrisk.operators.loss import loss_report
 from txrisk.plans.build import round_doubles
 from txrisk.plans.q_build import dataset
@@ -227,15 +227,7 @@ SELECT task, round(CASE WHEN p > 0 AND n > 0 THEN n / CAST(p AS DOUBLE) ELSE 1.0
 def q_class_weights(spark, sf_dir):
     """A8 + A9: neg/pos ratio and balanced class weights per task on train."""
     tr = dataset(spark, sf_dir).where(F.col("split") == "train")
-    rows = []
-    for task, lab in S.TASKS.items():  # three tasks, a few numbers each
-        pw = pos_weight(tr, lab).first()["pos_weight"]
-        bw = balanced_weight_col(tr.select(lab), lab).groupBy().agg(
-            F.max(F.when(F.col(lab) == 0, F.col("weight"))).alias("weight_neg"),
-            F.max(F.when(F.col(lab) == 1, F.col("weight"))).alias("weight_pos")).first()
-        rows.append((task, float(pw), bw["weight_neg"], bw["weight_pos"]))
-    out = spark.createDataFrame(rows, "task string, pos_weight double, weight_neg double, weight_pos double")
-    return round_doubles(out)
+    return round_doubles(class_weights(tr))
 
 
 _NUM = S.NUMERIC_FEATURES
@@ -275,7 +267,7 @@ def q_logreg(spark, sf_dir):
     ds = dataset(spark, sf_dir)
     models = fit_logreg(ds.where(F.col("split") == "train"))
     te = ds.where(F.col("split") == "test")
-    scores = score_models(models, te).join(te.select("tx_id", *S.LABEL_COLUMNS), "tx_id") \
+    scores = score_models(models, te, ["tx_id", *S.LABEL_COLUMNS]) \
         .withColumn("run_id", F.lit("logreg"))
     long = M.unpivot_tasks(scores, keep=["run_id", "tx_id"])
     return round_doubles(M.metric_bundle(long, by=["run_id"]))
@@ -319,7 +311,7 @@ def q_gbt(spark, sf_dir):
     path = os.path.join(checkpoint_dir(spark), "models", f"gbt-{uuid.uuid4().hex[:8]}")
     save_models(models, path)
     te = ds.where(F.col("split") == "test")
-    scores = score_models(load_models(path), te).join(te.select("tx_id", *S.LABEL_COLUMNS), "tx_id") \
+    scores = score_models(load_models(path), te, ["tx_id", *S.LABEL_COLUMNS]) \
         .withColumn("run_id", F.lit("gbt"))
     return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))
 
@@ -353,6 +345,6 @@ def q_mlp(spark, sf_dir):
     ds = dataset(spark, sf_dir)
     models = fit_mlp(ds.where(F.col("split") == "train"))
     te = ds.where(F.col("split") == "test")
-    scores = score_models(models, te).join(te.select("tx_id", *S.LABEL_COLUMNS), "tx_id") \
+    scores = score_models(models, te, ["tx_id", *S.LABEL_COLUMNS]) \
         .withColumn("run_id", F.lit("mlp"))
     return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))

@@ -206,6 +206,8 @@ def sender_sessions(tx_stream: DataFrame, gap: str = "30 minutes",
                     watermark: str = "1 hour") -> DataFrame:
     """A sender's session closes after ``gap`` without a transaction;
     one row per (sender, session) with its row count."""
+    # a burst is merged where it arrives, before the shuffle by sender
+    tx_stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     e = with_event_time(tx_stream).where(F.col("from_addr").isNotNull())
     return (e.withWatermark("event_time", watermark)
              .groupBy("from_addr", F.session_window("event_time", gap).alias("s"))
