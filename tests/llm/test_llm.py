@@ -231,6 +231,20 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in connected_components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
+def test_components_grow(spark):
+    """Links that come later give what all links together give."""
+    from txrisk.llm.components import connected_components, extend_components
+    rng = random.Random(4)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(75)] + [(7, 7), (200, 201), (201, 200)]
+    frame = lambda p: spark.createDataFrame(p, "a long, b long")
+    want = {tuple(r) for r in connected_components(frame(pairs)).collect()}
+    for cut in (0, 30, len(pairs)):
+        comp = extend_components(connected_components(frame(pairs[:cut])), frame(pairs[cut:]))
+        got = [tuple(r) for r in comp.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert connected_components(frame([])).count() == 0
+
+
 def test_tree_bpe(docs, empty):
     import public_tokenizers as P
     import tiktoken

@@ -20,24 +20,37 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .distinct(), "cc-edges")
-    mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
-        if mark[0] == 0:
+        if _settled(edges):
             break
         edges = materialize(_small_star(_large_star(edges)), "cc-edges")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("k")).distinct().select("k", F.col("k").alias("c"))
     return edges.select(F.col("u").alias("k"), F.col("v").alias("c")).union(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def extend_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """k, c: ``comp`` (k, c, as connected_components gives it) with more links.
+
+    Only links between different components are followed, as links between
+    their names; no old link is read again.  Null ends of links are not allowed.
+    """
+    name = lambda end: comp.select(F.col("k").alias(end), F.col("c").alias("c" + end))
+    across = (links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+              .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    more = connected_components(across).select(F.col("k").alias("c"), F.col("c").alias("_c"))
+    old = comp.join(more, "c", "left").select("k", F.coalesce("_c", "c").alias("c"))
+    fresh = more.select(F.col("c").alias("k"), F.col("_c").alias("c")).join(comp.select("k"), "k", "left_anti")
+    return old.union(fresh.select("k", "c"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour, which has none itself."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select(F.col("v").alias("k"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = ends.groupBy("k").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return not nodes.agg(F.max((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))).first()[0]
 
 
 def _large_star(e: DataFrame) -> DataFrame:

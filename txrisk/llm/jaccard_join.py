@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.components import connected_components
+from txrisk.llm.components import connected_components, extend_components
 from txrisk.llm.spark_io import materialize, sized, text_slices
 from txrisk.llm.words import LOWER, find_words, hash_ranges, mix, shingle_set
 
@@ -303,8 +303,7 @@ def similar_components(docs: DataFrame, percent: int = 90, width: int = 3) -> Da
     classes = materialize(table.where("k IS NOT NULL").groupBy("k").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sets")
     light = choose_boundary(sizes, t)
-    links = materialize(class_links(docs, classes, width, t, light), "jaccard-links")
-    comp = connected_components(links)  # k, c for classes with links
+    comp = class_links(docs, classes, width, t, light).select(F.col("a").alias("k"), F.col("b").alias("c"))
     named = classes.join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_class = materialize(named.select("k", "c").join(least, "c").select("k", "component_id"), "jaccard-classes")
@@ -319,9 +318,9 @@ def _attach(table: DataFrame, of_class: DataFrame) -> DataFrame:
 
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, light: int) -> DataFrame:
-    """a, b: links that connect the same classes as all links do."""
+    """a, b: each class with links, and the least class that it is connected with."""
     spark: SparkSession = docs.sparkSession
-    found = spark.createDataFrame([], "a binary, b binary")
+    comp = spark.createDataFrame([], "k binary, c binary")
     common = common_shingles(docs, width)
     entries = materialize(list_entries(docs, width, t, light, common).groupBy("s", "k", F.col("at").isNull().alias("sub"))
                           .agg(F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small")),
@@ -329,6 +328,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     if light:
         pairs = subset_links(entries.where("sub").select("s", "k", "small"))
         found = materialize(check_pairs(docs, pairs, classes, width, t), "jaccard-light-links")
+        comp = materialize(connected_components(found), "jaccard-comp")
 
     entries = entries.where("NOT sub").select("s", "k", "n", "at")
     shared = entries.groupBy("s").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("s")
@@ -337,7 +337,6 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     lists = materialize(lists.join(rank, "k"), "jaccard-lists")
 
     for turn in range(STAR_ROUNDS):
-        comp = materialize(connected_components(found), "jaccard-comp")
         members = materialize(_open_lists(lists, comp), "jaccard-open")
         # the hub: the set that shares most of its entries, later of those outside the largest component
         able = _outside(members).where("outside") if turn else members
@@ -346,12 +345,11 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
                 .where(t.may_start(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
                 .select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct())
         new = materialize(check_pairs(docs, star, classes, width, t), "jaccard-star-links")
-        found = found.union(new)
         if new.limit(1).count() == 0:
             break
+        comp = materialize(extend_components(comp, new), "jaccard-comp")
 
     # what is left: members outside a list's largest component, against all others
-    comp = materialize(connected_components(found), "jaccard-comp")
     members = materialize(_open_lists(lists, comp), "jaccard-open")
     marked = _outside(members)
     x, y = marked.where("outside").alias("x"), marked.alias("y")
@@ -359,7 +357,9 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
                    & (~F.col("y.outside") | (F.col("x.k") < F.col("y.k")))
                    & t.may_start(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
             .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
-    return found.union(check_pairs(docs, rest, classes, width, t))
+    last = materialize(check_pairs(docs, rest, classes, width, t), "jaccard-last-links")
+    comp = materialize(extend_components(comp, last), "jaccard-comp")
+    return comp.select(F.col("k").alias("a"), F.col("c").alias("b"))
 
 
 def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
