@@ -22,6 +22,32 @@ def test_window_lengths(spark, n, L):
     assert list(s["n_mask"]) == [max(0, min(L, n) - 2)] * k
 
 
+@pytest.mark.parametrize("n,L,stride", [(23, 8, 3), (23, 8, 11), (5, 8, 3), (24, 8, 8), (23, 8, 8)])
+@pytest.mark.parametrize("tail", [False, True])
+def test_strided_windows(spark, n, L, stride, tail):
+    df = spark.range(n).select(F.col("id").alias("_i"))
+    got = {tuple(r) for r in Q.window_rows(df, L, warmup=2, stride=stride, keep_tail=tail)
+           .select("window_id", "pos", "_i", "mask").collect()}
+    k = -(-n // stride) if tail else max(1, (n - L) // stride + 1)
+    assert got == {(w, i - w * stride, i, i - w * stride >= 2)
+                   for w in range(k) for i in range(w * stride, min(w * stride + L, n))}
+    if tail and stride <= L:
+        assert {g[2] for g in got} == set(range(n))
+
+
+def test_stored_table_follows_its_source(spark, tmp_path):
+    from txrisk.sources.sinks import materialized
+    src = str(tmp_path / "src.parquet")
+
+    def stored():
+        return {r[0] for r in materialized(spark, "edge", "k", lambda: spark.read.parquet(src), source=src).collect()}
+
+    spark.range(3).write.parquet(src)
+    assert stored() == stored() == {0, 1, 2}
+    spark.range(3, 5).write.mode("append").parquet(src)
+    assert stored() == {0, 1, 2, 3, 4}
+
+
 def test_constant_pressure_goes_to_top_stratum(spark):
     df = spark.createDataFrame([(i, 7.0) for i in range(20)], "tx_id long, mempool_pressure double")
     got = {r[0] for r in with_strata(df, "mempool_pressure", [0.25, 0.5, 0.75], "q", offset=1)

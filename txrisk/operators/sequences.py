@@ -15,22 +15,27 @@ from txrisk.functions.scalar import quantize, seeded_uniform
 
 
 def window_rows(ds: DataFrame, seq_len: int = 1024, warmup: int = 64, stride: int | None = None,
-                idx: str = "_i") -> DataFrame:
-    """W5 + W6: assign each row of one split to a tumbling window of L rows.
-
-    ``idx`` is the 0-based position in the split's time order.  n windows =
-    max(1, (N - L) // L + 1); the tail that does not fill a window is dropped,
-    and N < L gives one short window.  ``mask`` is false for the first
-    ``warmup`` positions.
+                idx: str = "_i", keep_tail: bool = False) -> DataFrame:
+    """W5 + W6: assign each row of one split to its windows of L rows.
+
+    ``idx`` is the 0-based position in the split's time order.  A window starts
+    every ``stride`` rows (default L); n windows = max(1, (N - L) // stride + 1),
+    rows in none of them are dropped, and N < L gives one short window.  A row
+    comes once per window that holds it, at most ceil(L / stride) times.
+    ``keep_tail`` keeps the last rows too, in short windows.  ``mask`` is false
+    for the first ``warmup`` positions.
     """
     stride = stride or seq_len
-    if stride != seq_len:
-        raise NotImplementedError("only tumbling windows (stride == seq_len)")
     n = ds.count()
-    n_win = max(1, (n - seq_len) // seq_len + 1)
-    d = ds.withColumns({"window_id": F.floor(F.col(idx) / seq_len).cast("bigint"),
-                        "pos": (F.col(idx) % seq_len).cast("int")})
-    d = d.where(F.col("window_id") < F.lit(n_win))
+    n_win = max(1, -(-n // stride) if keep_tail else (n - seq_len) // stride + 1)
+    i, last = F.col(idx).cast("bigint"), F.floor(F.col(idx) / stride).cast("bigint")
+    if stride == seq_len:
+        d = ds.withColumn("window_id", last).where(F.col("window_id") < F.lit(n_win))
+    else:
+        first = F.greatest(F.lit(0).cast("bigint"), F.floor((i - seq_len) / stride).cast("bigint") + 1)
+        last = F.least(F.lit(n_win - 1).cast("bigint"), last)
+        d = ds.where(first <= last).withColumn("window_id", F.explode(F.sequence(first, last)))
+    d = d.withColumn("pos", (i - F.col("window_id") * stride).cast("int"))
     return d.withColumn("mask", F.col("pos") >= F.lit(warmup))
 
 

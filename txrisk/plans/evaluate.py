@@ -106,13 +106,13 @@ def load_models(path: str) -> dict:
 
 def corruption_audit(models: dict, processed: DataFrame, split: str = "test", seq_len: int = 1024,
                      warmup: int = 64, seed: int = 42) -> DataFrame:
-    """Rescore the split with Δt shuffled inside 1024-row windows (W7) or
-    snapped to train-bin medians (A7 + F14) and compare the metric bundle
+    """Rescore all rows of the split (the last window may be short) with Δt
+    shuffled inside 1024-row windows (W7) or snapped to train-bin medians (A7 + F14) and compare the metric bundle
     per mode.  ``models`` score a Δt-using feature set (e.g. the MLlib baselines)."""
     from txrisk.operators.baselines import score_models
     part = processed.where(F.col("split") == split)
     i0 = part.agg(F.min("row_idx")).first()[0] or 0
-    rows = Q.window_rows(part.withColumn("_i", F.col("row_idx") - F.lit(i0)), seq_len, warmup)
+    rows = Q.window_rows(part.withColumn("_i", F.col("row_idx") - F.lit(i0)), seq_len, warmup, keep_tail=True)
     shuffled = Q.shuffle_within_window(rows, seed=seed).withColumn(
         "timestamp_delta_s", F.col("timestamp_delta_s_shuffled"))
     b = Q.delta_bins(processed.where(F.col("split") == "train"))  # 3 edges, 4 medians

@@ -27,7 +27,8 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed table, built once per session folder and read back (S3);
     evaluation queries prune it by split partition."""
     from txrisk.sources.sinks import materialized
-    return materialized(spark, "processed", f"{sf_dir}|{TEST_SPLITS!r}", lambda: build(spark, sf_dir))
+    return materialized(spark, "processed", f"{sf_dir}|{TEST_SPLITS!r}", lambda: build(spark, sf_dir),
+                        source=f"{sf_dir}/events.parquet")
 
 
 @register("dataset_features", f"WITH {dataset_sql()} "

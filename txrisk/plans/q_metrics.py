@@ -24,7 +24,8 @@ def rule_thresholds(spark: SparkSession, sf_dir: str, ds: DataFrame | None = Non
     from txrisk.sources.sinks import materialized
     ds = ds if ds is not None else dataset(spark, sf_dir)
     t = materialized(spark, "rule-thresholds", f"{sf_dir}|train",
-                     lambda: rule_threshold_frame(ds.where(F.col("split") == "train"))).first()
+                     lambda: rule_threshold_frame(ds.where(F.col("split") == "train")),
+                     source=f"{sf_dir}/events.parquet").first()
     return RuleThresholds(**t.asDict())
 
 

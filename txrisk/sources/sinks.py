@@ -59,12 +59,26 @@ def split_view(spark: SparkSession, path: str, split: str, part: str = "features
     return spark.read.parquet(path).where(F.col("split") == split).select(*cols)
 
 
-def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """Build a table once per (name, key) under the shared folder and read it back.
+def files_key(spark: SparkSession, path: str) -> str:
+    """Fingerprint of a table's files: names, sizes and times of change, in one
+    aggregate that reads no column."""
+    f = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size",
+                                        "_metadata.file_modification_time").distinct()
+    h = F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")
+    r = f.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    return f"{r['n']}|{r['h']}"
+
+
+def materialized(spark: SparkSession, name: str, key: str, build, source: str | None = None) -> DataFrame:
+    """Build a table once per (name, key, files of ``source``) under the shared
+    folder and read it back.
 
     ``build()`` returns the DataFrame; it is written partitioned by ``split``
-    when it has that column.  Re-reads skip the build (lineage cut).
+    when it has that column.  Re-reads skip the build (lineage cut); a ``source``
+    table whose files have changed is built anew.
     """
+    if source is not None:
+        key = f"{key}|{files_key(spark, source)}"
     h = hashlib.md5(f"{TABLE_VERSION}|{key}".encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{h}")
     if not _exists(spark, path):
