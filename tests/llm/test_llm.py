@@ -334,6 +334,20 @@ def test_perplexity_model_is_kneser_ney(spark, monkeypatch, share):
         assert abs(scores[i] + lp / len(ws)) < 1e-4
 
 
+def test_perplexity_reads_words_of_a_small_language(spark):
+    """Words far rarer than 2^-16 of the corpus are words, not one unknown."""
+    from txrisk.llm import perplexity as Q
+    rnd = random.Random(4)
+    many = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rnd.choices(many, k=1000)), "en", "s", 1) for i in range(400)]
+    few = [f"p{i}" for i in range(60)]
+    mixed = rnd.sample(few, 60)
+    rows += [(1000 + i, " ".join([*few, f"t{i}"]), "es", "s", 1) for i in range(4)] + [(2000, " ".join(mixed), "es", "s", 1)]
+    d = make(spark, rows).select("doc_id", "lang", "text")
+    got = {r.doc_id: r.log_ppl for r in Q.score(d, Q.fit(d)).where("lang = 'es'").collect()}
+    assert got[2000] > got[1000] + 0.5
+
+
 def test_toxicity(spark, docs, empty):
     from txrisk.llm.toxicity import Settings, score_toxicity
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

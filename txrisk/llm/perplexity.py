@@ -1,17 +1,19 @@
 """Operator 2: quality rules with an n-gram perplexity band.
 
 A bigram model with modified Kneser-Ney smoothing is counted by Spark over all
-texts.  Words are told apart by language.  Counting tasks send sorted runs of
-distinct keys with their counts.  The vocabulary is closed: words with at least
-``WORD_SHARE`` of all words (so at most 2^16; the others share the probability
-of one unknown word evenly).  All bigrams over it are kept, without a bound, in
-sorted arrays: those with at least ``PAIR_SHARE`` of all words (so at most 2^20)
-are broadcast, the *tail* stays a table spread by a hash of the bigram and grows
-with the corpus.  Scoring tasks look common bigrams up themselves and send the
-others, sorted and packed, to the tail's buckets, which answer with sums.  A
-tail bigram has less than ``PAIR_SHARE`` of all words, so no bucket is hot.
-Log probabilities are added as whole multiples of 2^-24: the order of adding
-does not matter.
+texts.  Words are told apart by language and every word is
+a type of its own: there is no closed vocabulary and no unknown word, so a
+language with few texts is read as closely as one with many.  Words are 48-bit
+hashes; neither words nor bigrams are gathered.  Tasks send sorted runs of
+distinct bigrams to buckets by their first word, which know the sums of each
+context; how many words come before a word is summed in buckets by that word
+and sent back.  The log probabilities of all bigrams are a table spread by a
+hash of the bigram; those with at least ``PAIR_SHARE`` of all words (so at most
+2^20) are broadcast instead.  Scoring tasks look common bigrams up themselves
+and send the others, sorted and packed, to the table's buckets, which answer
+with sums.  Log
+probabilities are added as whole multiples of 2^-19: the order of adding does
+not matter.
 
 Bands of log perplexity are set per language around the median, in multiples
 of the median absolute deviation, from a histogram over all texts.
@@ -31,16 +33,13 @@ from pyspark.sql import functions as F
 from txrisk.llm.spark_io import conf_int, materialize, sized, text_slices
 from txrisk.llm.words import SPACE, find_words, hash_ranges, mix, window_hash
 
-WORD_SHARE = 2.0**-16
 PAIR_SHARE = 2.0**-20
-MIN_COUNT = 2              # rarer words are unknown, as in any closed vocabulary
-BELOW, ABOVE = 10.0, 6.0   # how far a band goes from the median, in scaled deviations: copies of
-                           # clean texts read as predictable, so the lower end is the wider
+BELOW, ABOVE = 10.0, 6.0   # how far a band goes from the median, in scaled deviations
 LEAST_DEVIATION = 0.05
 STEP = 0.01                # bin of log perplexity
-_SHIFT = np.uint64(20)     # an id has fewer bits
-_CHUNK = 4096
-_ONE = float(1 << 24)      # fixed point of log probabilities
+_WORD = np.uint64((1 << 48) - 1)  # bits of a word's hash
+_START = np.uint64(0)      # stands before a text's first word
+_ONE = float(1 << 19)      # fixed point of log probabilities: the least, log 1e-12, has 24 bits
 RUN_POSTINGS = 2_000_000   # tail bigrams that a scoring task sends at a time
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -48,52 +47,44 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass
 class Model:
-    words: np.ndarray      # sorted word hashes; a word's id is its place, len(words) the unknown word
-    unigram: np.ndarray    # log-free probability of each id after any context
-    backoff: np.ndarray    # mass each context gives to the unigram
-    pairs: np.ndarray      # sorted keys of kept bigrams
-    direct: np.ndarray     # discounted probability of each of these bigrams
-    total: np.ndarray      # how often each context is followed by a word
-    discount: np.ndarray   # of bigrams counted 0, 1, 2 and 3 or more times
-    unknown: float = 1.0   # how many different words share the unknown word's probability
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if len(self.words) == 0:
-            return np.zeros(len(h), np.uint64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, len(self.words)).astype(np.uint64)
-
-    def logs(self, direct, before, ids: np.ndarray) -> np.ndarray:
-        """Log probability of ids after contexts, in fixed point."""
-        p = direct + self.backoff[before].astype(np.float64) * self.unigram[ids]
-        return self._fixed(p, ids)
-
-    def _fixed(self, p: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        log = np.log(np.maximum(p, 1e-12)) - np.log(self.unknown) * (ids == len(self.words))
-        return np.round(log * _ONE).astype(np.int64)
-
-    def log_prob(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probability of each word, the first of a text having no context,
-        and place and key of the words whose bigram is in the tail (0 here)."""
-        out = self._fixed(self.unigram[ids].astype(np.float64), ids)
-        first = np.zeros(len(ids), bool)
-        first[ptr[:-1][ptr[:-1] < ptr[1:]]] = True
-        at = np.flatnonzero(~first)
-        key = ids[at - 1] << _SHIFT | ids[at]
-        k = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        known = self.pairs[k] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out[at[known]] = self.logs(self.direct[k[known]], ids[at[known] - 1], ids[at[known]])
-        out[at[~known]] = 0
-        return out, at[~known], key[~known]
+    pairs: np.ndarray      # sorted keys of common bigrams
+    logs: np.ndarray       # log probability of each, in fixed point
+
+    def log_prob(self, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of each word, and place and key of the words whose
+        bigram is in the tail (0 here)."""
+        key = _pair_keys(*_pairs_of(h, ptr))
+        if len(self.pairs) == 0:
+            return np.zeros(len(key), np.int64), np.arange(len(key)), key
+        k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        known = self.pairs[k] == key
+        return np.where(known, self.logs[k], 0), np.flatnonzero(~known), key[~known]
 
 
 @dataclass
 class Fitted:
     model: Model
-    tail: DataFrame  # bucket, x (sorted keys), y (counts); grows with the corpus
+    tail: DataFrame  # bucket, x (sorted keys), y (minus their logs); grows with the corpus
     buckets: int
 
 
+def _pairs_of(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, and the word."""
+    after = np.maximum(h & _WORD, np.uint64(1))
+    before = np.concatenate([[_START], after[:-1]]).astype(np.uint64)[:len(after)]
+    before[ptr[:-1][ptr[:-1] < ptr[1:]]] = _START
+    return before, after
+
+
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + after) >> np.uint64(8)
+
+
+def _home(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bucket of hashes of some bits: equal ranges, so that a bucket's keys lie close."""
+    return ((x >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _word_hashes(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray):
     w = find_words(buf, off)
     h = hash_ranges(buf, w.start, w.end)
@@ -109,29 +100,31 @@ def _word_hashes(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray):
 
 
 class _Counter:
-    """Counts of 64-bit keys in sorted runs, merged now and then."""
+    """Counts of bigrams in sorted runs, merged now and then."""
 
     def __init__(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.waiting = 0
+        self.runs: list[tuple[np.ndarray, ...]] = []
+        self.waiting, self.limit = 0, 4_000_000
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.runs.append((keys, counts))
-        self.waiting += len(keys)
-        if self.waiting > 4_000_000 and len(self.runs) > 1:
+    def add(self, keys: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> None:
+        self.runs.append((keys, before, after, counts))
+        self.waiting += len(counts)
+        if self.waiting > self.limit:
             self.total()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.runs:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.runs])
-        counts = np.concatenate([c for _, c in self.runs])
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """before, after and count of each different bigram."""
+        if not self.waiting:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, before, after, counts = (np.concatenate(x) for x in zip(*self.runs))
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        out = (keys[first], np.add.reduceat(counts, first) if len(first) else counts)
-        self.runs, self.waiting = [out], 0
-        return out
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        at = order[first]
+        self.runs = [(keys[first], before[at], after[at], np.add.reduceat(counts[order], first))]
+        self.waiting = len(first)
+        self.limit = max(4_000_000, 2 * self.waiting)
+        return self.runs[0][1:]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -145,165 +138,148 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(a: np.ndarray, width: int = 4) -> bytes:
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unplanes(b: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
-def _runs(counter: _Counter, bucket_of, buckets: int) -> pa.RecordBatch:
-    keys, counts = counter.total()
-    b = bucket_of(keys)
-    order = np.argsort(b, kind="stable")
-    cut = np.searchsorted(b[order], np.arange(buckets + 1))
-    rows = [(i, order[x:y]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([i for i, _ in rows], pa.int32()),
-         pa.array([_pack(keys[o]) for _, o in rows], pa.binary()),
-         pa.array([_planes(counts[o]) for _, o in rows], pa.binary())], ["bucket", "keys", "counts"])
+def _split(home: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that has any, with the places of its own in their order."""
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
+    return [(i, order[x:y]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)],
+                                      [c for c, _ in fields])
+
+
+RUNS = "bucket int, before binary, after binary, counts binary"
+ASKED = "home int, bucket int, keys binary, counts binary"
+LEFT = "bucket int, home int, counts binary"
+LOGS = "kind int, bucket int, x binary, y binary"
 
 
-def _read_runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    counter = _Counter()
-    for b in batches:
-        for k, c in zip(b.column("keys"), b.column("counts")):
-            counter.add(_unpack(k.as_py()), _unplanes(c.as_py()))
-    return counter.total()
+def _runs(counter: _Counter, buckets: int) -> list[tuple]:
+    """Bigrams by their first word, which stays together; those of a text's start by the other."""
+    before, after, counts = counter.total()
+    order = np.lexsort((after, before))
+    before, after, counts = before[order], after[order], counts[order]
+    home = _home(np.where(before == _START, after, before), 48, buckets)
+    return [(i, _pack(before[o]), _planes(after[o], 6), _planes(counts[o])) for i, o in _split(home, buckets)]
 
 
-RUNS = "bucket int, keys binary, counts binary"
+def _bigrams(before: bytes, after: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpack(before), _unplanes(after, 6).astype(np.uint64), _unplanes(counts)
+
+
+def _tally(a: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4 and more than 2, their sum, and how many there are."""
+    return [*(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a > 2).sum()), int(a.sum()), len(a)]
 
 
 def fit(docs: DataFrame) -> Fitted:
     """The model of all texts of ``docs`` (lang, text)."""
     spark = docs.sparkSession
-    parts = conf_int(spark, "spark.sql.shuffle.partitions", 200)
-    buckets = 4 * parts
+    buckets = conf_int(spark, "spark.sql.shuffle.partitions", 200)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
-        for rows, buf, off in text_slices(batches):
-            k, c = np.unique(_word_hashes(rows, buf, off)[1], return_counts=True)
-            counter.add(k, c.astype(np.int64))
-        yield _runs(counter, lambda k: (k >> np.uint64(32)) % np.uint64(buckets), buckets)
-
-    def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _read_runs(batches)
-        often = counts >= MIN_COUNT
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[often].view(np.int64)), pa.array(counts[often]),
-             pa.array(np.ones(int(often.sum()), np.int64))], ["h", "c", "types"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.int64()), pa.array([int(counts[~often].sum())], pa.int64()),
-             pa.array([int((~often).sum())], pa.int64())], ["h", "c", "types"])
-
-    words = materialize(docs.mapInArrow(count_words, RUNS).repartition(parts, "bucket")
-                        .mapInArrow(merge_words, "h long, c long, types long"), "quality-words")
-    sums = words.agg(F.sum("c").alias("c"), F.sum("types").alias("types")).first()
-    total, types = sums["c"] or 0, sums["types"] or 0
-    top = words.where(F.col("h").isNotNull() & (F.col("c") >= F.lit(total * WORD_SHARE))).select("h").toPandas()
-    vocab = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
-    size = len(vocab) + 1
-    shared = spark.sparkContext.broadcast(vocab)
-    least_pair = max(1, int(np.ceil(total * PAIR_SHARE)))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Model(shared.value, *[np.zeros(0)] * 6)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
-            ids = lookup.ids(h)
-            key = ids[:-1] << _SHIFT | ids[1:]
-            inside = np.ones(len(key), bool)
-            ends = w.ptr[1:-1]
-            inside[ends[(ends > 0) & (ends < len(ids))] - 1] = False
-            k, c = np.unique(key[inside], return_counts=True)
-            counter.add(k, c.astype(np.int64))
-        yield _runs(counter, lambda k: mix(k >> _SHIFT) % np.uint64(buckets), buckets)  # a context stays together
-
-    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _read_runs(batches)
-        keep = counts >= least_pair
-        out = [(0, 0, keys[keep].astype("<u8").tobytes(), counts[keep].astype("<i8").tobytes())]
-        context = (keys >> _SHIFT).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else []
-        if len(keys):
-            sums = [np.add.reduceat(x, first) for x in (counts, counts == 1, counts == 2, counts > 2)]
-            out.append((1, 0, context[first].astype("<i8").tobytes(), np.concatenate(sums).astype("<i8").tobytes()))
-            after = (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
-            for chunk in np.unique(after // _CHUNK).tolist():
-                own = np.bincount(after[after // _CHUNK == chunk] - chunk * _CHUNK, minlength=_CHUNK)
-                out.append((2, chunk, own.astype("<i8").tobytes(), b""))
-            rare, often = keys[~keep], counts[~keep]
-            home = mix(rare) % np.uint64(parts)
-            order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(parts + 1))
-            out += [(4, i, rare[order[x:y]].astype("<u8").tobytes(), often[order[x:y]].astype("<i8").tobytes())
-                    for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-        tally = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], "<i8")
-        out.append((3, 0, tally.tobytes(), b""))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()),
-             pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())],
-            ["kind", "chunk", "x", "y"])
-
-    def add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+            before, after = _pairs_of(h, w.ptr)
+            counter.add(_pair_keys(before, after), before, after, np.ones(len(after), np.int64))
+        yield _table(RUNS, _runs(counter, buckets))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
         for b in batches:
-            for kind, chunk, x in zip(*(b.column(c).to_pylist() for c in ("kind", "chunk", "x"))):
-                a = np.frombuffer(x, "<i8")
-                sums[kind, chunk] = sums[kind, chunk] + a if (kind, chunk) in sums else a
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in sums], pa.int32()), pa.array([c for _, c in sums], pa.int64()),
-                 pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["kind", "chunk", "x"])
-
-    pairs = materialize(docs.mapInArrow(count_pairs, RUNS).repartition(parts, "bucket")
-                        .mapInArrow(merge_pairs, "kind int, chunk long, x binary, y binary"), "quality-pairs")
-    added = (pairs.where("kind IN (2, 3)").select("kind", "chunk", "x").repartition(min(parts, 32), "kind", "chunk")
-             .mapInArrow(add_chunks, "kind int, chunk long, x binary").collect())
-    rows = pairs.where("kind < 2").select("kind", "x", "y").collect()  # bounded by the shares above
-    tail = pairs.where("kind = 4").select(F.col("chunk").cast("int").alias("bucket"), "x", "y")
-    return Fitted(_smooth(vocab, size, rows, added, types - len(vocab)), tail, parts)
-
-
-def _smooth(vocab: np.ndarray, size: int, rows: list, added: list, unknown: int) -> Model:
-    def both(kind: int):
-        x = [np.frombuffer(r["x"], "<u8") for r in rows if r["kind"] == kind]
-        y = [np.frombuffer(r["y"], "<i8") for r in rows if r["kind"] == kind]
-        return (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    keys, counts = both(0)
+            for row in zip(*(b.column(c).to_pylist() for c in ("before", "after", "counts"))):
+                before, after, counts = _bigrams(*row)
+                counter.add(_pair_keys(before, after), before, after, counts)
+        before, _, counts = counter.total()
+        tally = np.array([*_tally(counts[before != _START]), counts.sum()], "<i8")  # the last counts all words
+        yield _table(RUNS, [*_runs(counter, buckets), (None, None, None, tally.tobytes())])
+
+    pairs = materialize(docs.mapInArrow(count, RUNS).repartition(buckets, "bucket")
+                        .mapInArrow(merge, RUNS), "quality-pairs")
+    *tally, words = _added(pairs)
+    bigrams = pairs.where("bucket IS NOT NULL")
+    least = max(1, int(np.ceil(words * PAIR_SHARE)))
+    d = _discounts(tally[:4])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "before", "after", "counts"))):
+                before, after, _ = _bigrams(*row)
+                own, inv = np.unique(after, return_inverse=True)
+                c = np.bincount(inv, before != _START, len(own)).astype(np.int64)
+                yield _table(ASKED, [(i, bucket, _pack(own[o]), _planes(c[o]))
+                                     for i, o in _split(_home(own, 48, buckets), buckets)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "home", "keys", "counts")))]
+        keys = [_unpack(k) for _, _, k, _ in asked]
+        own, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        left = np.zeros(len(own), np.int64)  # different words before each word
+        np.add.at(left, inv, np.concatenate([np.zeros(0, np.int64), *(_unplanes(c) for *_, c in asked)]))
+        cut = np.cumsum([0, *map(len, keys)])
+        yield _table(LEFT, [*((b, home, _planes(left[inv[x:y]])) for (b, home, *_), x, y in zip(asked, cut[:-1], cut[1:])),
+                            (None, None, np.array(_tally(left), "<i8").tobytes())])
+
+    left = materialize(bigrams.mapInArrow(ask, ASKED).repartition(buckets, "home").mapInArrow(answer, LEFT),
+                       "quality-left")
+    *few, more, seen, types = _added(left)
+    low = _discounts(few)
+    # no discount is above its count, so what they take adds up from how many words have which count
+    taken = low[1] * few[0] + low[2] * few[1] + low[3] * more
+    floor, seen = taken / (types + 1), max(seen, 1)
+
+    def finish(known: pa.Table, sums: pa.Table) -> pa.Table:
+        before, after, counts = _bigrams(*(known.column(c)[0].as_py() for c in ("before", "after", "counts")))
+        own, inv = np.unique(after, return_inverse=True)
+        n = np.zeros(len(own), np.int64)
+        of_home = dict(zip(sums.column("home").to_pylist(), sums.column("counts").to_pylist()))
+        for i, o in _split(_home(own, 48, buckets), buckets):
+            n[o] = _unplanes(of_home[i])
+        unigram = ((np.maximum(n - low[np.minimum(n, 3)], 0) + floor) / seen)[inv]
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        size = np.diff(np.append(first, len(before)))
+        cost = d[np.minimum(counts, 3)]
+        total = np.repeat(np.add.reduceat(counts, first), size)
+        backoff = np.maximum(np.repeat(np.add.reduceat(cost, first), size) / total, 1e-9)
+        p = np.where(before == _START, unigram, np.maximum(counts - cost, 0) / total + backoff * unigram)
+        log = np.round(np.log(np.maximum(p, 1e-12)) * _ONE).astype(np.int64)
+        key = _pair_keys(before, after)
+        order = np.argsort(key)
+        key, log, often = key[order], log[order], counts[order] >= least
+        out = [(0, None, _pack(key[often]), _planes(-log[often], 3))]
+        key, log = key[~often], log[~often]
+        out += [(4, i, _pack(key[o]), _planes(-log[o], 3)) for i, o in _split(_home(key, 56, buckets), buckets)]
+        return pa.Table.from_batches([_table(LOGS, out)])
+
+    logs = materialize(bigrams.groupBy("bucket").cogroup(left.where("bucket IS NOT NULL").groupBy("bucket"))
+                       .applyInArrow(finish, LOGS), "quality-logs")
+    common = logs.where("kind = 0").select("x", "y").collect()  # bounded by PAIR_SHARE
+    keys = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r["x"]) for r in common)])
+    values = np.concatenate([np.zeros(0, np.int64), *(-_unplanes(r["y"], 3) for r in common)])
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    total, times = np.zeros(size), np.zeros((3, size))
-    for r in rows:
-        if r["kind"] == 1:
-            ctx = np.frombuffer(r["x"], "<i8")
-            total[ctx], *few = np.frombuffer(r["y"], "<i8").reshape(4, -1)
-            times[:, ctx] = few
-    left = np.zeros((size // _CHUNK + 1) * _CHUNK)  # distinct words before each word
-    tally = np.zeros(4)
-    for r in added:
-        a = np.frombuffer(r["x"], "<i8")
-        if r["kind"] == 2:
-            left[r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = a
-        else:
-            tally += a
-    left = left[:size]
-    d = _discounts(tally)
-    low = _discounts(np.array([(left == k).sum() for k in (1, 2, 3, 4)], float))
-    seen = max(left.sum(), 1.0)
-    kept = np.maximum(left - low[np.minimum(left, 3).astype(int)], 0)
-    unigram = (kept + (seen - kept.sum()) / size) / seen
-    context = (keys >> _SHIFT).astype(np.int64)
-    direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / np.maximum(total[context], 1)
-    taken = (d[1:, None] * times).sum(0)  # what the discounts leave to the unigram
-    backoff = np.where(total > 0, np.maximum(taken / np.maximum(total, 1), 1e-9), 1.0)
-    return Model(vocab, unigram.astype(np.float32), backoff.astype(np.float32), keys, direct.astype(np.float32),
-                 total, d, float(max(unknown, 1)))
+    return Fitted(Model(keys[order], values[order]), logs.where("kind = 4").select("bucket", "x", "y"), buckets)
+
+
+def _added(table: DataFrame) -> list[int]:
+    """Sum of the tallies, one of each task."""
+    rows = table.where("bucket IS NULL").select("counts").collect()
+    return np.sum([np.frombuffer(r["counts"], "<i8") for r in rows], axis=0).tolist()
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -349,7 +325,7 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _postings(slice_id: int, places: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row per bucket: rising keys, each with the texts that hold it and how often."""
-    home = mix(keys) % np.uint64(buckets)
+    home = _home(keys, 56, buckets)
     order = np.lexsort((places, keys, home))
     home, keys, places = home[order], keys[order], places[order]
     new = np.ones(len(keys), bool)
@@ -375,7 +351,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
             n = np.diff(w.ptr)
-            log, at, key = m.log_prob(m.ids(h), w.ptr)
+            log, at, key = m.log_prob(h, w.ptr)
             lp = np.concatenate([[0], np.cumsum(log)])
             chars = np.concatenate([[0], np.cumsum(((buf & 0xC0) != 0x80) & ~SPACE[buf])])
             symbols = np.concatenate([[0], np.cumsum(SYMBOL[buf])])
@@ -407,16 +383,11 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
 def tail_sums(postings: DataFrame, fitted: Fitted) -> DataFrame:
     """slice, place, tail_sum: what a text's tail bigrams add to its log probability."""
-    shared = postings.sparkSession.sparkContext.broadcast(fitted.model)
-
     def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
-        m = shared.value
-        keys = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_py(), "<u8") for x in known.column("x"))])
-        counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(y.as_py(), "<i8") for y in known.column("y"))])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_py()) for x in known.column("x"))])
+        logs = np.concatenate([np.zeros(0, np.int64), *(-_unplanes(y.as_py(), 3) for y in known.column("y"))])
         order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.uint64), counts[order]
-        before, ids = keys >> _SHIFT, keys & np.uint64((1 << 20) - 1)
-        logs = m.logs((counts - m.discount[np.minimum(counts, 3)]) / np.maximum(m.total[before], 1), before, ids)
+        keys, logs = keys[order], logs[order]
         slices, places, sums = [], [], []
         for s, k, p, c in zip(*(asked.column(x) for x in ("slice", "keys", "places", "counts"))):
             log = logs[np.searchsorted(keys, _unpack(k.as_py()))] * _unplanes(c.as_py())
