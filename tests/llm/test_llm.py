@@ -348,6 +348,23 @@ def test_perplexity_reads_words_of_a_small_language(spark):
     assert got[2000] > got[1000] + 0.5
 
 
+def test_perplexity_counts_each_different_text_once(spark):
+    from txrisk.llm import perplexity as Q
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=40)), "en", "s", 1) for i in range(20)]
+    once, often = (make(spark, r).select("doc_id", "lang", "text") for r in (rows, rows + [(100 + i, *rows[3][1:]) for i in range(30)]))
+    want = {r.doc_id: r.log_ppl for r in Q.score(once, Q.fit(once)).collect()}
+    got = {r.doc_id: r.log_ppl for r in Q.score(often, Q.fit(often)).collect()}
+    assert all(got[i] == v for i, v in want.items()) and all(got[100 + i] == want[3] for i in range(30))
+
+
+def test_perplexity_bands_reject_on_both_sides(spark):
+    from txrisk.llm.perplexity import judge_quality
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in judge_quality(d).collect() if not r.base_failed]
+    assert any(r.log_ppl < r.lower for r in rows) and any(r.log_ppl > r.upper for r in rows)
+
+
 def test_toxicity(spark, docs, empty):
     from txrisk.llm.toxicity import Settings, score_toxicity
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -1,7 +1,7 @@
 """Operator 2: quality rules with an n-gram perplexity band.
 
 A bigram model with modified Kneser-Ney smoothing is counted by Spark over all
-texts.  Words are told apart by language and every word is
+different texts, each once.  Words are told apart by language and every word is
 a type of its own: there is no closed vocabulary and no unknown word, so a
 language with few texts is read as closely as one with many.  Words are 48-bit
 hashes; neither words nor bigrams are gathered.  Tasks send sorted runs of
@@ -34,7 +34,7 @@ from txrisk.llm.spark_io import conf_int, materialize, sized, text_slices
 from txrisk.llm.words import SPACE, find_words, hash_ranges, mix, window_hash
 
 PAIR_SHARE = 2.0**-20
-BELOW, ABOVE = 10.0, 6.0   # how far a band goes from the median, in scaled deviations
+BELOW, ABOVE = 4.5, 3.0    # how far a band goes from the median, in scaled deviations
 LEAST_DEVIATION = 0.05
 STEP = 0.01                # bin of log perplexity
 _WORD = np.uint64((1 << 48) - 1)  # bits of a word's hash
@@ -187,8 +187,17 @@ def _tally(a: np.ndarray) -> list[int]:
     return [*(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a > 2).sum()), int(a.sum()), len(a)]
 
 
+def different_texts(docs: DataFrame) -> DataFrame:
+    """lang and text of each different text, once."""
+    keyed = docs.select("lang", "text", F.unhex(F.md5(F.concat_ws(
+        "\0", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))).alias("_key"))
+    copies = sized(materialize(keyed.groupBy("_key").count().where("count > 1").select("_key"), "quality-copies"))
+    one = keyed.join(copies, "_key", "left_semi").groupBy("_key").agg(F.first(F.struct("lang", "text")).alias("t"))
+    return keyed.join(copies, "_key", "left_anti").select("lang", "text").unionByName(one.select("t.lang", "t.text"))
+
+
 def fit(docs: DataFrame) -> Fitted:
-    """The model of all texts of ``docs`` (lang, text)."""
+    """The model of all different texts of ``docs`` (lang, text)."""
     spark = docs.sparkSession
     buckets = conf_int(spark, "spark.sql.shuffle.partitions", 200)
 
@@ -210,7 +219,7 @@ def fit(docs: DataFrame) -> Fitted:
         tally = np.array([*_tally(counts[before != _START]), counts.sum()], "<i8")  # the last counts all words
         yield _table(RUNS, [*_runs(counter, buckets), (None, None, None, tally.tobytes())])
 
-    pairs = materialize(docs.mapInArrow(count, RUNS).repartition(buckets, "bucket")
+    pairs = materialize(different_texts(docs).mapInArrow(count, RUNS).repartition(buckets, "bucket")
                         .mapInArrow(merge, RUNS), "quality-pairs")
     *tally, words = _added(pairs)
     bigrams = pairs.where("bucket IS NOT NULL")
