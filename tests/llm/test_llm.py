@@ -365,6 +365,18 @@ def test_perplexity_bands_reject_on_both_sides(spark):
     assert any(r.log_ppl < r.lower for r in rows) and any(r.log_ppl > r.upper for r in rows)
 
 
+def test_perplexity_buckets_follow_the_bytes(spark, monkeypatch):
+    from txrisk.llm import perplexity as Q
+    rnd = random.Random(8)
+    d = make(spark, [(i, " ".join(rnd.choices("abcdefghij", k=40)), "en", "s", 1) for i in range(50)])
+    d = d.select("doc_id", "lang", "text")
+    want = {r.doc_id: r.log_ppl for r in Q.score(d, Q.fit(d)).collect()}
+    monkeypatch.setattr(Q, "BUCKET_BYTES", 200)
+    fitted = Q.fit(d)
+    assert fitted.buckets == 20  # 50 texts of 79 bytes
+    assert {r.doc_id: r.log_ppl for r in Q.score(d, fitted).collect()} == want
+
+
 def test_toxicity(spark, docs, empty):
     from txrisk.llm.toxicity import Settings, score_toxicity
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -11,7 +11,7 @@ and sent back.  The log probabilities of all bigrams are a table spread by a
 hash of the bigram; those with at least ``PAIR_SHARE`` of all words (so at most
 2^20) are broadcast instead.  Scoring tasks look common bigrams up themselves
 and send the others, sorted and packed, to the table's buckets, which answer
-with sums.  Log
+with sums.  Buckets grow in number with the bytes of text, not in size.  Log
 probabilities are added as whole multiples of 2^-19: the order of adding does
 not matter.
 
@@ -39,6 +39,7 @@ LEAST_DEVIATION = 0.05
 STEP = 0.01                # bin of log perplexity
 _WORD = np.uint64((1 << 48) - 1)  # bits of a word's hash
 _START = np.uint64(0)      # stands before a text's first word
+BUCKET_BYTES = 16 << 20    # of text for each bucket
 _ONE = float(1 << 19)      # fixed point of log probabilities: the least, log 1e-12, has 24 bits
 RUN_POSTINGS = 2_000_000   # tail bigrams that a scoring task sends at a time
 SYMBOL = np.zeros(256, bool)
@@ -199,7 +200,8 @@ def different_texts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> Fitted:
     """The model of all different texts of ``docs`` (lang, text)."""
     spark = docs.sparkSession
-    buckets = conf_int(spark, "spark.sql.shuffle.partitions", 200)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-size // BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
