@@ -441,6 +441,31 @@ def test_surrogates(spark, docs, empty):
     assert replace_entities(empty).count() == 0
 
 
+def test_surrogates_take_whole_names(spark):
+    from txrisk.llm.surrogates import replace_entities
+    rows = ["Mrs. Mary Jane Watson came. Mrs. Watson left; Watson's hat and Mary stayed, watson too",
+            "Herr Ludwig van Beethoven und Prof. Dr. Jean-Luc O'Brien, Frau von Stein", "Watson alone is no name here"]
+    d = make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(rows)])
+    out = {r.doc_id: r for r in replace_entities(d, "k1").collect()}
+    a = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) came\. Mrs\. (\w+) left; (\w+)'s hat and (\w+) stayed, watson too", out[0].text)
+    assert a and a[3] == a[4] == a[5] != "Watson" and a[1] == a[6] != "Mary" and a[2] != "Jane"
+    b = re.fullmatch(r"Herr (\w+) van (\w+) und Prof\. Dr\. (\w+) (\w+), Frau von (\w+)", out[1].text)
+    assert b and not {"Ludwig", "Beethoven", "Luc", "Brien", "Stein"} & set(b.groups())
+    assert out[2].text == rows[2] and [out[i].n_entities for i in range(3)] == [4, 3, 0]
+
+
+def test_surrogates_take_national_phones(spark):
+    from txrisk.llm.surrogates import replace_entities
+    same = ["01 23 45 67 89", "+33 1 23 45 67 89", "0123456789"]
+    rows = [*same, "030 1234567", "0171/1234567", "(089) 123456", "612 345 678", "612 34 56 78", "91 123 45 67", "01.23.45.67.89"]
+    d = make(spark, [(i, f"tel {t}.", "fr", "s", 1) for i, t in enumerate(rows)])
+    out = {r.doc_id: r for r in replace_entities(d, "k1").collect()}
+    for i, t in enumerate(rows):
+        assert out[i].n_entities == 1 and out[i].text != f"tel {t}."
+        assert re.sub(r"\d", "0", out[i].text) == re.sub(r"\d", "0", f"tel {t}.")
+    assert len({re.sub(r"\D", "", out[i].text)[-9:] for i in (0, 1, 2, 9)}) == 1
+
+
 def test_surrogates_stay_distinct(spark):
     """A crowded form: collisions are certain at first."""
     from txrisk.llm.surrogates import replace_entities

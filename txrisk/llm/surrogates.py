@@ -21,17 +21,25 @@ from txrisk.llm.spark_io import materialize, sized
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}+"
 _IP = r"(?<![\p{L}\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\d]|\.\d)"
 _SSN = r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])"
-_PHONE = (r"(?<![\p{L}\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}+(?![\p{L}\d])"
-          r"|(?<![\p{L}\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![\p{L}\d])"
-          r"|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{L}\d\-])")
+_AMERICAN = (r"(?<![\p{L}\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![\p{L}\d])"
+             r"|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{L}\d\-])")
+_NATIONAL = (r"0[1-9](?:[ .\-]?\d{2}){4}"  # fr
+             r"|(?:\(0\d{2,4}\) ?|0\d{2,4}(?: ?[/\-] ?| ))\d{3,8}(?:[ \-]\d{2,5}){0,3}+|01[5-7]\d{8,9}"  # de
+             r"|[6-9]\d{2}(?:(?:[ .\-]\d{3}){2}|(?:[ .\-]\d{2}){3})|[89]\d[ .\-]\d{3}(?:[ .\-]\d{2}){2}")  # es
+_PHONE = (r"(?<![\p{L}\d+])\+\d{1,3}[ .\-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}+(?![\p{L}\d])|" + _AMERICAN
+          + r"|(?<![\p{L}\d.,+\-/(])(?:" + _NATIONAL + r")(?![\p{L}\d]|[.,\-/]\d)")
 _CARD = r"(?<![\p{L}\d])(?:\d{4}(?:[ \-]\d{4}){3}|\d{13,19})(?![\p{L}\d])"
 _IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
 _SECRET = (r"(?<![\p{L}\d])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"
            r"|sk-[A-Za-z0-9]{20,64})(?![\p{L}\d])")
 _TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "г-н"],
            "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "г-жа"], "": ["Dr", "Prof"]}
-_NAME = (r"(?<![\p{L}])(?:" + "|".join(t for ts in _TITLES.values() for t in ts)
-         + r")\.? \p{Lu}[\p{Ll}'’\-]{1,40}+(?: \p{Lu}[\p{Ll}'’\-]{1,40}+)?")
+_TITLE = r"(?:(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? )"
+_CAPITAL = r"(?=\p{Lu}[\p{L}\p{M}'’\-])\p{Lu}[\p{L}\p{M}]*+(?:['’\-]\p{L}[\p{L}\p{M}]++)*+"
+_BETWEEN = (r"(?:(?:\p{Lu}\.|van|von|vom|der|den|dem|des|de|del|della|di|da|do|dos|das|du|la|le|les|los|las|zu|zum|zur"
+            r"|ten|ter|te|y|e|bin|ibn|al|el|af|av|фон|де|дер) )")  # initials and particles
+_NAME = r"(?<![\p{L}])" + _TITLE + "+" + _BETWEEN + "*" + _CAPITAL + "(?: " + _BETWEEN + "*" + _CAPITAL + ")*"
+_BARE = r"(?<![\p{L}\p{N}\p{M}])" + _CAPITAL  # may be a name met before
 KINDS = {"email": _EMAIL, "secret": _SECRET, "iban": _IBAN, "card": _CARD, "ssn": _SSN, "ip": _IP,
          "phone": _PHONE, "name": _NAME}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -148,22 +156,32 @@ def mention_table(docs: DataFrame) -> DataFrame:
 
 
 def normal_forms(mentions: DataFrame) -> DataFrame:
-    """m, kind, norm, and for names of two words the first word's given, given_norm.
-
-    ``kind`` and ``norm`` name the entity: the same for all mentions of it.
-    """
+    """m, kind, norm: the entity a mention names, the same for all mentions of it;
+    names have no norm but entities of their own (``name_parts``)."""
     m, kind = F.col("m"), F.col("kind")
     digits = F.regexp_replace(m, r"\D", "")
+    # without the country and the trunk's 0, where these are known
+    phone = (F.when(m.rlike(f"^(?:{_AMERICAN})$"), F.right(digits, F.lit(10)))
+             .when(m.rlike(r"^\+(?:33|34|49)"), F.regexp_replace(digits, "^(?:33|34|49)0?", ""))
+             .when(m.startswith("+"), F.right(digits, F.lit(10))).otherwise(F.regexp_replace(digits, "^0", "")))
+    norm = (F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
+            .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "email", F.lower(m))
+            .when(kind == "name", F.lit(None)).otherwise(m))
+    return mentions.select("m").distinct().withColumn("kind", _kind(m)).select("m", "kind", norm.alias("norm"))
+
+
+def name_parts(forms: DataFrame) -> DataFrame:
+    """m, titles, place, part, kind, norm: the words of names; particles have no kind."""
+    m, part = F.col("m"), F.col("part")
     title = F.regexp_extract(m, r"^([^ .]+)", 1)
-    words = F.split(F.lower(m), " ")
     given = F.when(title.isin(*_TITLES["m"]), "given_m").when(title.isin(*_TITLES["f"]), "given_f").otherwise("given")
-    norm = (F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits)
-            .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "email", F.lower(m))
-            .when(kind == "name", F.element_at(words, -1)).otherwise(m))
-    two = (kind == "name") & (F.size(words) > 2)
-    return mentions.select("m").distinct().withColumn("kind", _kind(m)).select(
-        "m", F.when(kind == "name", "surname").otherwise(kind).alias("kind"), norm.alias("norm"),
-        F.when(two, given).alias("given"), F.when(two, F.element_at(words, 2)).alias("given_norm"))
+    rest = F.regexp_replace(m, f"^{_TITLE}+", "")
+    words = F.split(rest, " ")
+    kind = F.when(part.rlike(r"^\p{Lu}"), F.when(F.col("place") == F.col("last"), "surname").otherwise(F.col("given")))
+    return (forms.where("kind = 'name'")
+            .select("m", F.substr(m, F.lit(1), F.length(m) - F.length(rest)).alias("titles"), given.alias("given"),
+                    (F.size(words) - 1).alias("last"), F.posexplode(words).alias("place", "part"))
+            .select("m", "titles", "place", "part", kind.alias("kind"), F.lower("part").alias("norm")))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -184,7 +202,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("no distinct replacements found")
 
 
-def render(forms: DataFrame, entities: DataFrame) -> DataFrame:
+def render(forms: DataFrame, parts: DataFrame, entities: DataFrame) -> DataFrame:
     """m, out: each mention's replacement in its own format and case."""
     m, kind, new = F.col("m"), F.col("kind"), F.col("new")
     whole = kind.isin("email", "secret")  # separators belong to these
@@ -200,12 +218,16 @@ def render(forms: DataFrame, entities: DataFrame) -> DataFrame:
     # what has grown goes before the first replaced character
     extra = F.substr(new, F.lit(1), F.greatest(F.length(new) - F.when(kind == "phone", F.length("norm")).otherwise(
         F.length(bare(m))), F.lit(0)))
-    named = F.concat_ws(" ", F.regexp_extract(m, r"^([^ ]+) ", 1), F.col("given_new"), new)
-    given = entities.select(F.col("kind").alias("given"), F.col("norm").alias("given_norm"), F.col("new").alias("given_new"))
+    part = F.col("part")
+    word = (F.when(new.isNull(), part).when(part.rlike(r"\.$"), F.concat(F.substr(new, F.lit(1), F.lit(1)), F.lit(".")))
+            .when(part == F.upper(part), F.upper(new)).otherwise(new))
+    named = (parts.join(entities.select("kind", "norm", "new"), ["kind", "norm"], "left").groupBy("m", "titles")
+             .agg(F.array_sort(F.collect_list(F.struct("place", word.alias("word")))).alias("words"))
+             .select("m", F.concat("titles", F.array_join(F.col("words.word"), " ")).alias("out")))
     return (forms.join(entities.select("kind", "norm", "new"), ["kind", "norm"])
-            .join(given, ["given", "given_norm"], "left")
-            .select("m", F.when(kind == "surname", named).when(kind == "ip", new)
-                    .otherwise(F.concat(extra, F.array_join(F.transform(_places(m), one), ""))).alias("out")))
+            .select("m", F.when(kind == "ip", new)
+                    .otherwise(F.concat(extra, F.array_join(F.transform(_places(m), one), ""))).alias("out"))
+            .unionByName(named))
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
@@ -215,17 +237,24 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     as they are.  A null text stays null with 0 entities, an empty text empty;
     ids are not used, so null or repeated ones do no harm, and equal rows get
     equal results.  An empty table gives no rows.  A column already named
-    ``n_entities`` is replaced.  Names are found behind a title only.
+    ``n_entities`` is replaced.  Names are found behind a title, with all their
+    words; each of these is then replaced wherever it stands in the same text.
     """
     mentions = materialize(mention_table(docs), "pii-mentions")
     forms = materialize(normal_forms(mentions), "pii-forms")
-    entities = forms.select("kind", "norm").union(
-        forms.where("given IS NOT NULL").select("given", "given_norm")).distinct()
-    written = materialize(render(forms, assign(entities, key)), "pii-written")
-    of_text = materialize(
-        mentions.join(written, "m").groupBy("text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("m", "out"))).alias("_out"))
-        .withColumnRenamed("text_key", "_key"), "pii-texts")
+    parts = materialize(name_parts(forms), "pii-names")
+    entities = forms.where("norm IS NOT NULL").select("kind", "norm").union(
+        parts.where("kind IS NOT NULL").select("kind", "norm")).distinct()
+    entities = assign(entities, key)
+    written = materialize(render(forms, parts, entities), "pii-written")
+    of_text = (mentions.join(written, "m").groupBy("text_key")
+               .agg(F.map_from_entries(F.collect_list(F.struct("m", "out"))).alias("_out")))
+    # a word alone is the surname where the text has it as one
+    bare = (mentions.join(parts.where(r"kind IS NOT NULL AND NOT endswith(part, '.')"), "m")
+            .join(entities.select("kind", "norm", "new"), ["kind", "norm"]).groupBy("text_key", "norm")
+            .agg(F.min(F.struct(F.col("kind") != "surname", "new")).getField("new").alias("new")).groupBy("text_key")
+            .agg(F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_bare")))
+    of_text = materialize(of_text.join(bare, "text_key", "left").withColumnRenamed("text_key", "_key"), "pii-texts")
 
     text = F.col("text").cast("string")
     kept = [c for c in docs.columns if c != "n_entities"]
@@ -234,9 +263,22 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     plain = hinted.where("_k IS NULL").withColumn("text", text).withColumn("n_entities", F.lit(0).cast("long"))
     found = hinted.where("_k IS NOT NULL").join(sized(of_text, 100_000), F.col("_k") == F.col("_key"), "left")
     found = found.withColumn("_m", F.when(F.col("_out").isNotNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    woven = F.array_join(F.transform(F.split(text, PATTERN, -1), lambda p, i: F.concat(
-        p, F.coalesce(F.try_element_at(F.col("_out"), F.get(F.col("_m"), i)), F.lit("")))), "")
-    found = (found.withColumn("n_entities", F.coalesce(F.greatest(F.size("_m"), F.lit(0)), F.lit(0)).cast("long"))
+    found = found.withColumn("_p", F.when(F.col("_out").isNotNull(), F.split(text, PATTERN, -1)))
+    of = lambda w: F.try_element_at(F.col("_bare"), F.lower(w))
+
+    def renamed(p: Column) -> Column:
+        words = F.regexp_extract_all(p, F.lit(_BARE), F.lit(0))
+        put = F.transform(words, lambda w: F.coalesce(F.when(w == F.upper(w), F.upper(of(w))).otherwise(of(w)), w))
+        return F.array_join(F.transform(F.split(p, _BARE, -1), lambda x, i: F.concat(
+            x, F.coalesce(F.get(put, i), F.lit("")))), "")
+
+    alone = F.aggregate(F.col("_p"), F.lit(0), lambda n, p: n + F.size(F.filter(
+        F.regexp_extract_all(p, F.lit(_BARE), F.lit(0)), lambda w: of(w).isNotNull())))
+    woven = F.array_join(F.transform(F.col("_p"), lambda p, i: F.concat(
+        F.when(F.col("_bare").isNull(), p).otherwise(renamed(p)),
+        F.coalesce(F.try_element_at(F.col("_out"), F.get(F.col("_m"), i)), F.lit("")))), "")
+    count = F.coalesce(F.greatest(F.size("_m"), F.lit(0)), F.lit(0)) + F.when(F.col("_bare").isNull(), 0).otherwise(alone)
+    found = (found.withColumn("n_entities", count.cast("long"))
              .withColumn("text", F.when(F.col("_m").isNull(), text).otherwise(woven)))
     columns = [*kept, "n_entities"]
     return plain.select(*columns).unionByName(found.select(*columns))
