@@ -466,6 +466,14 @@ def test_surrogates_take_national_phones(spark):
     assert len({re.sub(r"\D", "", out[i].text)[-9:] for i in (0, 1, 2, 9)}) == 1
 
 
+def test_surrogates_of_secrets_without_digits(spark):
+    from txrisk.llm.surrogates import replace_entities
+    rows = ["sk-" + "abcdeFGHIJ" * 3, "ghp_" + "abcDEF" * 6, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6, "ABCDEF" * 6]
+    d = make(spark, [(i, f"key {t} end", "en", "s", 1) for i, t in enumerate(rows)])
+    out = {r.doc_id: r for r in replace_entities(d, "k1").collect()}
+    assert all(out[i].n_entities == 1 and t not in out[i].text for i, t in enumerate(rows))
+
+
 def test_surrogates_stay_distinct(spark):
     """A crowded form: collisions are certain at first."""
     from txrisk.llm.surrogates import replace_entities

@@ -43,7 +43,8 @@ _BARE = r"(?<![\p{L}\p{N}\p{M}])" + _CAPITAL  # may be a name met before
 KINDS = {"email": _EMAIL, "secret": _SECRET, "iban": _IBAN, "card": _CARD, "ssn": _SSN, "ip": _IP,
          "phone": _PHONE, "name": _NAME}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-HINT = r"[@\d]|" + "|".join(t for ts in _TITLES.values() for t in ts)  # a text without it has no entity
+HINT = (r"[@\d]|sk-|gh[pousr]_|AKIA|[a-f]{32}|[A-F]{32}|"
+        + "|".join(t for ts in _TITLES.values() for t in ts))  # a text without it has no entity
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _SCRIPTS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _SYLLABLES = {"": "ba be bo da de di do fa fe ga go ka ke la le li lo ma me mi mo na ne no pa ra re ri ro sa se ta te "
