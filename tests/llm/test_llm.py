@@ -466,6 +466,12 @@ def test_surrogates_take_national_phones(spark):
     assert len({re.sub(r"\D", "", out[i].text)[-9:] for i in (0, 1, 2, 9)}) == 1
 
 
+def test_hilbert_tells_sources_with_a_common_start_apart(spark):
+    from txrisk.llm.hilbert_shards import shard_rows
+    rows = [(None, "same", "en", f"https://www.example.org/{i % 32:02d}", 1) for i in range(320)]
+    assert len({r.hilbert for r in shard_rows(make(spark, rows), 4).collect()}) == 16
+
+
 def test_surrogates_of_secrets_without_digits(spark):
     from txrisk.llm.surrogates import replace_entities
     rows = ["sk-" + "abcdeFGHIJ" * 3, "ghp_" + "abcDEF" * 6, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6, "ABCDEF" * 6]

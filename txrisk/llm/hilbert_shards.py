@@ -9,7 +9,7 @@ box in all dimensions and readers can skip files by their minima and maxima.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.ranks import rank_within
@@ -51,10 +51,18 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _prefix_number(c: Column) -> Column:
-    """Order-preserving number of a string's first seven bytes."""
-    head = F.rpad(F.hex(F.substring(F.coalesce(c.cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def _string_cuts(base: DataFrame, name: str) -> list[str]:
+    """Quantiles of whole strings: for each step the least value that so many rows do not exceed."""
+    counts = materialize(base.groupBy(name).count().repartitionByRange(name)
+                         .withColumn("part", F.spark_partition_id()), "shard-values")
+    sums = sorted((r["part"], r["n"]) for r in counts.groupBy("part").agg(F.sum("count").alias("n")).collect())
+    ends = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    before = base.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sums, ends)] or [(0, 0)], "part int, before long")
+    up = F.sum("count").over(Window.partitionBy("part").orderBy(name)) + F.col("before")
+    ranked = counts.join(F.broadcast(before), "part").select(name, up.alias("up"))
+    cuts = ranked.agg(*[F.min(F.when(F.col("up") * 2**BITS >= ends[-1] * k, F.col(name))).alias(f"c{k}")
+                        for k in range(1, 2**BITS)]).first()
+    return [c for c in cuts if c is not None]
 
 
 def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -70,12 +78,13 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (utf8_len(text) + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        _prefix_number(F.col("lang")).alias("d0"), _prefix_number(F.col("source")).alias("d1"))
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(d) for c, d in (("lang", "d0"), ("source", "d1"))])
     base = materialize(base.select("*", F.col("size").alias("d2"),
                                    F.coalesce("doc_id", F.lit(-2**63)).alias("d3"),
                                    F.monotonically_increasing_id().alias("rid")), "shard-rows")
     steps = [i / 2**BITS for i in range(1, 2**BITS)]
-    cuts = base.agg(*[F.percentile_approx(f"d{i}", steps, ACCURACY).alias(f"d{i}") for i in range(4)]).first()
+    cuts = base.agg(*[F.percentile_approx(f"d{i}", steps, ACCURACY).alias(f"d{i}") for i in (2, 3)]).first().asDict()
+    cuts |= {d: _string_cuts(base, d) for d in ("d0", "d1")}
     cell = F.lit(0)
     for i in range(4):
         digit = F.lit(0)
