@@ -163,6 +163,14 @@ def op10_surrogates(spark, sf_dir):
     return replace_entities(_docs(spark, sf_dir)).select("doc_id", "text", "n_entities")
 
 
+@_register("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from txrisk.llm.periodic_runs import periodic_runs, run_digest, stuttered
+    docs = _docs(spark, sf_dir)
+    return run_digest(periodic_runs(docs.select("doc_id", stuttered(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 @_register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
