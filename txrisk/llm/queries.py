@@ -171,6 +171,12 @@ def op11_periodic_runs(spark, sf_dir):
     return run_digest(periodic_runs(docs.select("doc_id", stuttered(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
+@_register("op12_simhash_near_duplicates")
+def op12_simhash_near_duplicates(spark, sf_dir):
+    from txrisk.llm.simhash_trees import simhash_components
+    return simhash_components(_docs(spark, sf_dir))
+
+
 @_register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
