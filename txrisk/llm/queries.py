@@ -177,6 +177,12 @@ def op12_simhash_near_duplicates(spark, sf_dir):
     return simhash_components(_docs(spark, sf_dir))
 
 
+@_register("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    from txrisk.llm.conversation_repair import damaged, repair_conversations
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damaged)
+
+
 @_register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
