@@ -229,10 +229,13 @@ def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     class One:
         def __init__(self, key):
             self.key, self.kinds, self.faults = key, bytearray(), [0, 0, 0, 0]
-            self.low = self.high = self.before = None
+            self.low = self.high = self.before = self.place = None
             self.turns = self.illegal = 0
 
-        def add(self, turn, fault, initial):
+        def add(self, turn, place, fault, initial):
+            if place == self.place and fault:  # the row before once more
+                fault = 1
+            self.place = place
             self.faults[fault] += 1
             if turn is not None:  # sorted: a new number is a new turn
                 self.low = turn if self.low is None else self.low
@@ -252,14 +255,14 @@ def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("conv_id", "turn", "fault", "initial")]
-        for key, turn, fault, initial in zip(*cols):
+        cols = [b.column(c).to_pylist() for c in ("conv_id", "turn", "_o", "fault", "initial")]
+        for key, turn, o, fault, initial in zip(*cols):
             if now is None or key != now.key:
                 if now is not None:
                     out.append(now.row())
                 now = One(key)
             if fault >= 0:
-                now.add(turn, fault, initial)
+                now.add(turn, (turn, o), fault, initial)
         if len(out) >= 1024:
             yield batch()
             out.clear()
