@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
@@ -32,14 +32,9 @@ class RuleThresholds:
         return cls(**json.loads(text))
 
 
-def _no_nan(c: str) -> Column:
-    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-
-
 def fit_rule_thresholds(train: DataFrame, drop_pct: float = 5.0) -> RuleThresholds:
     """NaN-skipping exact percentiles (numpy-linear) of three continuous
-    columns: one aggregate while they fit one range, else the ranged scan so
-    no task holds all distinct values."""
+    columns, selected by counts in the same jobs: no task holds or sorts them."""
     from txrisk.operators.quantiles import exact_percentiles_many
     (fee,), (tip,), (gas,) = exact_percentiles_many(
         train, [("log_gas_fee", [drop_pct / 100.0]), ("log_gas_tip", [0.5]), ("log_gas", [0.10])])

@@ -33,7 +33,7 @@ def best_f1_threshold(scored: DataFrame, by: list[str] = (), min_valid: int = 10
         return out
     # groups with no valid row at all still get the fallback
     groups = scored.select(*by).distinct()
-    return groups.join(out, by, "left").select(
+    return groups.join(F.broadcast(out), by, "left").select(
         *by, F.coalesce("threshold", F.lit(0.5)).alias("threshold"),
         F.coalesce("best_f1", F.lit(0.0)).alias("best_f1"))
 
@@ -43,7 +43,8 @@ def f1_at_threshold(scored: DataFrame, thresholds: DataFrame, by: list[str],
     """M18 + P14: F1 of ``score >= threshold`` per group; 0 if tp = 0 or < min_valid rows.
 
     ``thresholds`` has one row per group (by…, threshold)."""
-    v = M.valid(scored).join(thresholds.select(*by, "threshold"), by)  # one row per group
+    # one row per group: broadcast
+    v = M.valid(scored).join(F.broadcast(thresholds.select(*by, "threshold")), by)
     c = M.confusion(v, (F.col("score") >= F.col("threshold")).cast("int"), "label", by)
     return c.select(*by, F.when((F.col("tp") > 0) & (F.col("n_valid") >= min_valid),
                                 M.f1_from_counts()).otherwise(F.lit(0.0)).alias("f1"))
@@ -56,7 +57,7 @@ def calibrate(val_scored: DataFrame, test_scored: DataFrame, by: list[str],
     rng = val_scored.groupBy(*by).agg(F.min("score").alias("val_score_min"),
                                       F.max("score").alias("val_score_max"))
     test_f1 = f1_at_threshold(test_scored, t, by, min_valid)
-    return t.join(test_f1, by, "left").join(rng, by, "left").select(
+    return t.join(F.broadcast(test_f1), by, "left").join(F.broadcast(rng), by, "left").select(
         *by, F.col("threshold").alias("val_optimal_threshold"),
         F.col("best_f1").alias("val_f1_at_threshold"),
         F.coalesce("f1", F.lit(0.0)).alias("test_f1"), "val_score_min", "val_score_max")

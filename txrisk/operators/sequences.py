@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from txrisk import schema as S
 from txrisk.functions.scalar import quantize, seeded_uniform
+from txrisk.operators.quantiles import exact_percentiles, percentile_table
 
 
 def window_rows(ds: DataFrame, seq_len: int = 1024, warmup: int = 64, stride: int | None = None,
@@ -74,8 +75,7 @@ def delta_bins(train: DataFrame, col: str = "timestamp_delta_s") -> dict:
     if none is positive) and 4 bin medians (left-closed bins; an empty bin
     takes the overall median), rounded to float32 like the reference.
     Returns {"edges", "medians", "median_pos"}: eight numbers.
-    Δt has at most 300 001 distinct values (ms resolution, clipped), so the
-    exact percentile buffers stay bounded.
+    All selections are by counts: no task holds or sorts the values.
     """
     import numpy as np
     from txrisk.functions.scalar import digitize
@@ -83,12 +83,12 @@ def delta_bins(train: DataFrame, col: str = "timestamp_delta_s") -> dict:
     v = train.select(x.alias("x"))
     if v.where(F.col("x") > 0).limit(1).count():
         v = v.where(F.col("x") > 0)
-    r = v.agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("e"), F.median("x").alias("m")).first()
-    edges = [float(np.float32(e)) for e in r["e"]]
-    meds = dict(v.withColumn("bin", digitize("x", edges)).groupBy("bin")
-                 .agg(F.median("x")).collect())  # <= 4 rows
-    medians = [float(np.float32(meds.get(i, r["m"]))) for i in range(4)]
-    return {"edges": edges, "medians": medians, "median_pos": float(r["m"])}
+    e25, e50, e75 = exact_percentiles(v, "x", [0.25, 0.5, 0.75])
+    edges = [float(np.float32(e)) for e in (e25, e50, e75)]
+    per_bin = percentile_table(v.withColumn("bin", digitize("x", edges)), {"x": [0.5]}, ["bin"])
+    meds = {r["bin"]: r["x"][0] for r in per_bin.collect()}  # <= 4 rows
+    medians = [float(np.float32(meds.get(i, e50))) for i in range(4)]
+    return {"edges": edges, "medians": medians, "median_pos": float(e50)}
 
 
 def quantize_delta(df: DataFrame, edges: list[float], medians: list[float],

@@ -6,59 +6,49 @@ go through the same grouped metric operators in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.operators import metrics as M
+from txrisk.operators.quantiles import percentile_table
 
 
 def quantile_edges(df: DataFrame, col: str, probs: list[float], by: list[str] = ()) -> DataFrame:
-    """A4/A5: exact linear-interpolated percentiles (numpy's default) per group."""
-    return df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), list(probs)).alias("_edges"))
+    """A4/A5: by..., _edges: exact linear-interpolated percentiles (numpy's default)
+    per group, selected by counts (no sort, no value map)."""
+    return percentile_table(df, {col: list(probs)}, by).withColumnRenamed(col, "_edges")
 
 
 def with_strata(df: DataFrame, col: str, probs: list[float], out: str, by: list[str] = (),
-                offset: int = 0) -> DataFrame:
+                offset: int = 0, edges: DataFrame | None = None) -> DataFrame:
     """F15 + M10: stratum = number of edges <= x (np.digitize, left-closed) + offset.
 
-    Edges are one small row per group, joined back (literals for the global case).
+    ``edges`` are those of ``quantile_edges``, one row per group (of ``df`` if not
+    given), and broadcast: the groups are runs, not rows.
     """
-    e = quantile_edges(df, col, probs, by)
+    e = quantile_edges(df, col, probs, by) if edges is None else edges
     x = F.col(col).cast("double")
-    if not by:  # a handful of numbers: literals
-        from txrisk.functions.scalar import digitize
-        edges = [float(v) for v in (e.first()["_edges"] or [])]
-        return df.withColumn(out, digitize(x, edges) + F.lit(offset))
     idx = F.aggregate(F.col("_edges"), F.lit(0), lambda acc, v: acc + (x >= v).cast("int"))
-    return df.join(e, list(by)).withColumn(out, idx + F.lit(offset)).drop("_edges")
-
-
-def stratified_metric(scored: DataFrame, stratum: str, metric: str, by: list[str] = (),
-                      min_rows: int = 10, score: str = "score", label: str = "label") -> DataFrame:
-    """M9: one metric per stratum, NULL when a stratum has < min_rows rows."""
-    keys = [*by, stratum]
-    n = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    curve = M.score_curve(scored, score, label, keys)
-    val = M.average_precision(curve, keys).withColumnRenamed("ap", "value") if metric == "ap" else \
-        M.roc_auc(curve, keys).withColumnRenamed("auc", "value")
-    out = n.join(val, keys, "left")
-    return out.select(*keys, F.when(F.col("n_rows") >= min_rows, F.col("value")).alias("value"))
+    if by:
+        d = df.join(F.broadcast(e), list(by))
+    else:  # a handful of numbers: literals
+        d = df.withColumn("_edges", F.array(*[F.lit(v).cast("double") for v in e.first()["_edges"]]))
+    return d.withColumn(out, idx + F.lit(offset)).drop("_edges")
 
 
 def traffic_quartile_metric(scored: DataFrame, by: list[str] = ("run_id",),
                             pressure: str = "mempool_pressure") -> DataFrame:
     """M10 + M9: quartiles 1..4 of pressure over the evaluated rows, MEV AP per
     quartile (single class -> 0.0, < 10 rows -> NULL), plus the boundaries."""
-    d = with_strata(scored, pressure, [0.25, 0.5, 0.75], "quartile", by, offset=1)
+    by = list(by)
+    edges = quantile_edges(scored, pressure, [0.25, 0.5, 0.75], by)
+    d = with_strata(scored, pressure, [], "quartile", by, offset=1, edges=edges)
     keys = [*by, "quartile"]
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
-                             F.sum(F.col("label").cast("bigint")).alias("n_pos"))
-    ap = M.average_precision(M.score_curve(d, "score", "label", keys), keys)
+    m = M.curve_metrics(M.score_curve(d, "score", "label", keys, above=0.5), keys)
     # every quartile of every run, also those without rows
-    spine = quantile_edges(scored, pressure, [0.25, 0.5, 0.75], by)
-    spine = spine.withColumn("quartile", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])))
-    out = spine.join(n, keys, "left").join(ap, keys, "left")
-    rows = F.coalesce("n_rows", F.lit(0))
+    spine = edges.withColumn("quartile", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])))
+    out = spine.join(F.broadcast(m), keys, "left")
+    rows = F.coalesce("n_valid", F.lit(0))
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < rows)
     return out.select(*keys, rows.alias("n_rows"), F.when(rows < 10, F.lit(None).cast("double"))
                       .when(both, F.col("ap")).otherwise(F.lit(0.0)).alias("mev_pr_auc"),
@@ -74,11 +64,10 @@ def dex_slices(df: DataFrame, flag: str = "is_dex_candidate") -> DataFrame:
 def mev_pack(scored: DataFrame, by: list[str], key: str = "tx_id") -> DataFrame:
     """M11 metric pack per group: AP (positives and both classes), P@100,
     P@1000, R@1000 with k clamped to the group size; plus n and positives."""
-    n = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                F.sum(F.col("label").cast("bigint")).alias("n_pos"))
-    ap = M.average_precision(M.score_curve(scored, "score", "label", by), by)
+    curve = M.score_curve(scored, "score", "label", by, above=0.5)
     hits = M.top_k_hits(scored, [100, 1000], "score", "label", by, key)
-    m = n.join(ap, by, "left").join(hits, by, "left")
+    # one row per group on either side
+    m = M.curve_metrics(curve, by).withColumnRenamed("n_valid", "n").join(F.broadcast(hits), by, "left")
     both = (F.col("n_pos") >= 1) & (F.col("n_pos") < F.col("n"))
     return m.select(
         *by, "n", "n_pos",
@@ -91,16 +80,15 @@ def mev_pack(scored: DataFrame, by: list[str], key: str = "tx_id") -> DataFrame:
 def dex_subset_table(scored: DataFrame, by: list[str] = ("run_id",)) -> DataFrame:
     """M11 + M12 + A13 + A15: pack per (run, slice), DEX counts, AP lift of the
     DEX slice over overall, and the DEX positive rate lift over the base rate."""
-    d = dex_slices(scored)
-    pack = mev_pack(d, [*by, "slice"])
-    ov = pack.where(F.col("slice") == "overall").select(
-        *by, F.col("mev_pr_auc").alias("_ap_all"), (F.col("n_pos") / F.col("n")).alias("_rate_all"))
-    out = pack.join(ov, list(by), "left")
-    return out.withColumns({
+    by = list(by)
+    pack = mev_pack(dex_slices(scored), [*by, "slice"])
+    whole = Window.partitionBy(*by)  # the three slices of a run
+    overall = lambda x: F.max(F.when(F.col("slice") == "overall", x)).over(whole)
+    return pack.withColumns({
         "pr_auc_lift": F.when(F.col("slice") == "dex_only",
-                              F.expr("try_divide(mev_pr_auc, _ap_all)")),
-        "rate_lift": F.expr("try_divide(n_pos / n, _rate_all)"),
-    }).drop("_ap_all", "_rate_all")
+                              F.try_divide(F.col("mev_pr_auc"), overall(F.col("mev_pr_auc")))),
+        "rate_lift": F.try_divide(F.col("n_pos") / F.col("n"), overall(F.col("n_pos") / F.col("n"))),
+    })
 
 
 def day_of(idx: str, n: str, days: int = 7) -> F.Column:
@@ -108,35 +96,29 @@ def day_of(idx: str, n: str, days: int = 7) -> F.Column:
     return (F.expr(f"({days} * ({idx} + 1) + {n} - 1) div {n}") - 1).cast("int")
 
 
-def pressure_quintiles(scored_rev: DataFrame, scored_mev: DataFrame, pressure_rows: DataFrame,
-                       by: list[str] = ("run_id",), pressure: str = "mempool_pressure") -> DataFrame:
+def pressure_quintiles(long: DataFrame, pressure_rows: DataFrame, by: list[str] = ("run_id",),
+                       pressure: str = "mempool_pressure") -> DataFrame:
     """Quintile edges of pressure over the split's rows, then per (run, q):
     revert AUC (valid >= 10 and both classes, else 0.5) and MEV AP (>= 1
-    positive and both classes, else 0.0).  Each run has all five rows."""
-    e = pressure_rows.agg(F.percentile(F.col(pressure).cast("double"), [0.2, 0.4, 0.6, 0.8]).alias("_e"))
-    edges = [float(v) for v in e.first()["_e"]]  # four numbers
-
-    def q(d):
-        from txrisk.functions.scalar import digitize
-        return d.withColumn("q", digitize(F.col(pressure).cast("double"), edges))
-    keys = [*by, "q"]
-    rv = M.valid(q(scored_rev))
-    rcnt = rv.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rev"),
-                                 F.sum(F.col("label").cast("bigint")).alias("p_rev"))
-    auc = M.roc_auc(M.score_curve(rv, "score", "label", keys), keys)
-    mv = q(scored_mev)
-    mcnt = mv.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_mev"),
-                                 F.sum(F.col("label").cast("bigint")).alias("p_mev"))
-    ap = M.average_precision(M.score_curve(mv, "score", "label", keys), keys)
-    # every quintile of every run, also those without rows
-    spine = scored_mev.select(*by).distinct().withColumn("q", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-    out = spine.join(mcnt, keys, "left").join(ap, keys, "left").join(rcnt, keys, "left").join(auc, keys, "left")
-    return out.select(
-        *keys,
-        F.when((F.coalesce("n_rev", F.lit(0)) >= 10) & (F.col("p_rev") > 0) & (F.col("p_rev") < F.col("n_rev")),
-               F.col("auc")).otherwise(F.lit(0.5)).alias("revert_auc"),
-        F.when((F.col("p_mev") >= 1) & (F.col("p_mev") < F.col("n_mev")), F.col("ap"))
-         .otherwise(F.lit(0.0)).alias("mev_pr_auc"))
+    positive and both classes, else 0.0).  Each run has all five rows.
+
+    ``long`` has the rows of the tasks "revert" and "mev" (column ``task``); both
+    are read off one curve."""
+    by = list(by)
+    edges = quantile_edges(pressure_rows, pressure, [0.2, 0.4, 0.6, 0.8])
+    d = with_strata(long.where(F.col("task").isin("revert", "mev")), pressure, [], "q", edges=edges)
+    d = d.where((F.col("task") == "mev") | (F.col("label") >= 0))
+    keys = [*by, "q", "task"]
+    m = M.curve_metrics(M.score_curve(d, "score", "label", keys, above=0.5), keys)
+    rev, mev = F.col("task") == "revert", F.col("task") == "mev"
+    both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_valid"))
+    per = m.groupBy(*by).agg(F.collect_list(F.struct(  # ten rows of a run
+        "q", F.when(rev & both & (F.col("n_valid") >= 10), F.col("auc")).alias("auc"),
+        F.when(mev & both, F.col("ap")).alias("ap"))).alias("_m"))
+    each = per.withColumn("q", F.explode(F.array(*[F.lit(i) for i in range(5)])))
+    best = lambda f: F.array_max(F.transform(F.filter("_m", lambda x: x["q"] == F.col("q")), lambda x: x[f]))
+    return each.select(*by, "q", F.coalesce(best("auc"), F.lit(0.5)).alias("revert_auc"),
+                       F.coalesce(best("ap"), F.lit(0.0)).alias("mev_pr_auc"))
 
 
 def dex_per_day(scored: DataFrame, split_rows: DataFrame, by: list[str] = ("run_id",), days: int = 7,
@@ -151,11 +133,9 @@ def dex_per_day(scored: DataFrame, split_rows: DataFrame, by: list[str] = ("run_
               .withColumn("day", day_of("_i", "_n", days))
     d = d.where(F.col("is_dex_candidate"))
     keys = [*by, "day"]
-    cnt = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dex"),
-                               F.sum(F.col("label").cast("bigint")).alias("n_pos"))
     hits = M.top_k_hits(d, [50, 100], "score", "label", keys, key)
-    ap = M.average_precision(M.score_curve(d, "score", "label", keys), keys)
-    m = cnt.join(hits, keys, "left").join(ap, keys, "left")
+    curve = M.score_curve(d, "score", "label", keys, above=0.5)
+    m = M.curve_metrics(curve, keys).withColumnRenamed("n_valid", "n_dex").join(F.broadcast(hits), keys, "left")
     both = (F.col("n_pos") >= 1) & (F.col("n_pos") < F.col("n_dex"))
     return m.select(*keys, "n_dex", "n_pos",
                     M.precision_at_k(F.col("hits_100"), 100, F.col("n_dex")).alias("p_at_100"),

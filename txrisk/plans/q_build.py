@@ -16,9 +16,14 @@ from txrisk.sources.testbind import TEST_SPLITS, tx_view
 
 DS_COLS = ["tx_id", S.SORT_KEY, "split", "row_idx", *S.FEATURE_COLUMNS, *S.LABEL_COLUMNS,
            "is_dex_candidate"]
+HOUR_MS = 3_600_000
 _OTHER = [c for c in DS_COLS if c not in FEATURE_DOUBLES]
 
 
+HOUR_SQL = f""", CAST(count(*) OVER (ORDER BY timestamp_ms RANGE BETWEEN {HOUR_MS} PRECEDING AND 1 PRECEDING)
+      + row_number() OVER (PARTITION BY timestamp_ms ORDER BY tx_id) - 1 AS FLOAT) AS hour_pressure"""
+
+
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_dataset(tx_view(spark, sf_dir), TEST_SPLITS)
 
@@ -31,6 +36,20 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
                         source=f"{sf_dir}/events.parquet")
 
 
+def dataset_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed table with ``hour_pressure``, W4 over an hour: the test events
+    are minutes apart, so a minute's count is nearly always 0."""
+    from txrisk.operators.features import plan_time_ranges
+    from txrisk.operators.scan import time_order
+    from txrisk.sources.sinks import materialized
+
+    def pressed() -> DataFrame:
+        tx = tx_view(spark, sf_dir)
+        t = time_order(tx.select("tx_id", S.SORT_KEY), plan_time_ranges(tx), lookback_ms=HOUR_MS)
+        return dataset(spark, sf_dir).join(t.select("tx_id", F.col("pressure").cast("float").alias("hour_pressure")), "tx_id")
+    return materialized(spark, "processed-hourly", f"{sf_dir}|{TEST_SPLITS!r}", pressed, source=f"{sf_dir}/events.parquet")
+
+
 @register("dataset_features", f"WITH {dataset_sql()} "
           f"SELECT {', '.join([f'round({c}, 6) AS {c}' for c in FEATURE_DOUBLES] + _OTHER)} FROM ds")
 def q_dataset_features(spark, sf_dir):

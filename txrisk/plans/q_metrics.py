@@ -14,9 +14,11 @@ from txrisk.plans.build import round_doubles
 from txrisk.plans.q_build import dataset
 from txrisk.plans.registry import register
 from txrisk.plans.sqltext import dataset_sql
+from txrisk.sources.sinks import materialized_path, read_scores, write_scores
 from txrisk.sources.testbind import BLEND_RUNS, blend_scores, blend_scores_sql, read_table
 
 LABS = S.LABEL_COLUMNS
+RULES = "rules"  # run of the rule baseline
 
 
 def rule_thresholds(spark: SparkSession, sf_dir: str, ds: DataFrame | None = None) -> RuleThresholds:
@@ -32,22 +34,31 @@ def rule_thresholds(spark: SparkSession, sf_dir: str, ds: DataFrame | None = Non
 # ---------------------------------------------------------------------------
 # scored runs (Spark) and their SQL twin
 # ---------------------------------------------------------------------------
+def score_table(spark: SparkSession, sf_dir: str) -> str:
+    """Every run's scores of all splits, stored once as a keyed table
+    partitioned by (run_id, split); returns its path."""
+    def build() -> DataFrame:
+        ds = dataset(spark, sf_dir)
+        runs = [blend_scores(ds, r, w) for r, w in BLEND_RUNS.items()]
+        runs.append(rule_scores(ds, rule_thresholds(spark, sf_dir, ds)).withColumn("run_id", F.lit(RULES)))
+        scores = reduce(lambda a, b: a.unionByName(b), [r.select("run_id", "tx_id", *[
+            F.col(f"{t}_score").cast("double").alias(f"{t}_score") for t in S.TASKS]) for r in runs])
+        return scores.join(ds.select("tx_id", "split"), "tx_id")
+    return materialized_path(spark, "scores", sf_dir, build, source=f"{sf_dir}/events.parquet",
+                             write=lambda df, path: write_scores(df, path, mode="overwrite"))
+
+
 def scored_runs(spark: SparkSession, sf_dir: str, split: str = "test", ds: DataFrame | None = None,
                 extra: list[str] = ()) -> DataFrame:
-    """Score runs aligned with labels by tx_id (not by row position)."""
+    """S7 + J2: the stored runs of a split aligned with labels by tx_id (not by row position)."""
     ds = ds if ds is not None else dataset(spark, sf_dir)
-    part = ds.where(F.col("split") == split)
-    runs = [blend_scores(part, r, w) for r, w in BLEND_RUNS.items()]
-    thr = rule_thresholds(spark, sf_dir, ds)
-    runs.append(rule_scores(part, thr).withColumn("run_id", F.lit("rules")))
-    scores = reduce(lambda a, b: a.unionByName(b), [r.select("run_id", "tx_id", *[
-        F.col(f"{t}_score").cast("double").alias(f"{t}_score") for t in S.TASKS]) for r in runs])
-    return scores.join(part.select("tx_id", *LABS, *extra), "tx_id")
+    scores = read_scores(spark, score_table(spark, sf_dir), [*BLEND_RUNS, RULES], split).drop("split")
+    return scores.join(ds.where(F.col("split") == split).select("tx_id", *LABS, *extra), "tx_id")
 
 
-def scored_runs_sql(split: str = "test", extra: str = "") -> str:
+def scored_runs_sql(split: str = "test", extra: str = "", columns: str = "") -> str:
     runs = " UNION ALL ".join(blend_scores_sql("part", r, w) for r, w in BLEND_RUNS.items())
-    return f"""WITH {dataset_sql()},
+    return f"""WITH {dataset_sql(extra_cols=columns)},
 part AS (SELECT * FROM ds WHERE split = '{split}'),
 thr AS (SELECT quantile_cont(log_gas_fee, 0.05) AS fee_t, quantile_cont(log_gas_tip, 0.5) AS tip_m,
                quantile_cont(log_gas, 0.10) AS gas_t FROM ds WHERE split = 'train'),

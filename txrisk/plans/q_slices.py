@@ -10,19 +10,19 @@ from txrisk.operators import slices as SL
 from txrisk.operators.bootstrap import metric_bundle_ci
 from txrisk.operators.calibrate import calibrate
 from txrisk.plans.build import round_doubles
-from txrisk.plans.q_build import dataset
+from txrisk.plans.q_build import HOUR_SQL, dataset, dataset_hourly
 from txrisk.plans.q_metrics import bundle_sql, scored_runs, scored_runs_sql
 from txrisk.plans.registry import register
 from txrisk.plans.sqltext import uniform_sql
 
-EXTRA = ["mempool_pressure", "is_dex_candidate", "row_idx"]
-EXTRA_SQL = ", p.mempool_pressure, p.is_dex_candidate, p.row_idx"
+EXTRA = ["hour_pressure", "is_dex_candidate", "row_idx"]
+EXTRA_SQL = ", p.hour_pressure, p.is_dex_candidate, p.row_idx"
 BOOT_REPS = 100  # the resample count used for the paper's intervals
 SEED = 42
 
 
 def _long(spark, sf_dir, split="test"):
-    return M.unpivot_tasks(scored_runs(spark, sf_dir, split, extra=EXTRA),
+    return M.unpivot_tasks(scored_runs(spark, sf_dir, split, ds=dataset_hourly(spark, sf_dir), extra=EXTRA),
                            keep=["run_id", "tx_id", *EXTRA])
 
 
@@ -41,13 +41,13 @@ def curve_sql(name: str, src: str, keys: str, weight: str = "1") -> str:
 
 
 # ---------------------------------------------------------------------------
-@register("traffic_quartiles", scored_runs_sql(extra=EXTRA_SQL) + f""",
+@register("traffic_quartiles", scored_runs_sql(extra=EXTRA_SQL, columns=HOUR_SQL) + f""",
 mv AS (SELECT * FROM long WHERE task = 'mev'),
-e AS (SELECT run_id, quantile_cont(CAST(mempool_pressure AS DOUBLE), [0.25, 0.5, 0.75]) AS qs
+e AS (SELECT run_id, quantile_cont(CAST(hour_pressure AS DOUBLE), [0.25, 0.5, 0.75]) AS qs
       FROM mv GROUP BY run_id),
-d AS (SELECT mv.*, 1 + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[1] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[2] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[3] AS INTEGER) AS quartile
+d AS (SELECT mv.*, 1 + CAST(CAST(hour_pressure AS DOUBLE) >= qs[1] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[2] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[3] AS INTEGER) AS quartile
       FROM mv JOIN e USING (run_id)),
 {curve_sql('c', 'd', 'run_id, quartile')},
 t AS (SELECT run_id, quartile, count(*) AS n_rows, sum(label) AS n_pos FROM d GROUP BY ALL),
@@ -59,10 +59,10 @@ FROM sp LEFT JOIN t USING (run_id, quartile) LEFT JOIN c_m USING (run_id, quarti
 def q_traffic_quartiles(spark, sf_dir):
     """M9 + M10 + A4 + F15: MEV AP per pressure quartile of the evaluated rows."""
     mev = _long(spark, sf_dir).where(F.col("task") == "mev")
-    return round_doubles(SL.traffic_quartile_metric(mev, ["run_id"]))
+    return round_doubles(SL.traffic_quartile_metric(mev, ["run_id"], "hour_pressure"))
 
 
-@register("dex_subset", scored_runs_sql(extra=EXTRA_SQL) + f""",
+@register("dex_subset", scored_runs_sql(extra=EXTRA_SQL, columns=HOUR_SQL) + f""",
 mv AS (SELECT * FROM long WHERE task = 'mev'),
 d AS (SELECT *, 'overall' AS slice FROM mv
       UNION ALL SELECT *, CASE WHEN is_dex_candidate THEN 'dex_only' ELSE 'non_dex' END FROM mv),
@@ -89,12 +89,12 @@ def q_dex_subset(spark, sf_dir):
     return round_doubles(SL.dex_subset_table(mev, ["run_id"]))
 
 
-@register("pressure_quintiles", scored_runs_sql(extra=EXTRA_SQL) + f""",
-e AS (SELECT quantile_cont(CAST(mempool_pressure AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS qs FROM part),
-d AS (SELECT l.*, CAST(CAST(mempool_pressure AS DOUBLE) >= qs[1] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[2] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[3] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[4] AS INTEGER) AS q FROM long l, e),
+@register("pressure_quintiles", scored_runs_sql(extra=EXTRA_SQL, columns=HOUR_SQL) + f""",
+e AS (SELECT quantile_cont(CAST(hour_pressure AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS qs FROM part),
+d AS (SELECT l.*, CAST(CAST(hour_pressure AS DOUBLE) >= qs[1] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[2] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[3] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[4] AS INTEGER) AS q FROM long l, e),
 rv AS (SELECT * FROM d WHERE task = 'revert' AND label >= 0),
 mv AS (SELECT * FROM d WHERE task = 'mev'),
 {curve_sql('rc', 'rv', 'run_id, q')},
@@ -110,15 +110,15 @@ FROM sp LEFT JOIN mn USING (run_id, q) LEFT JOIN mc_m USING (run_id, q) LEFT JOI
   LEFT JOIN rc_m USING (run_id, q)""")
 def q_pressure_quintiles(spark, sf_dir):
     """M13 + A5: revert AUC and MEV AP per pressure quintile per run."""
-    long = _long(spark, sf_dir)
-    rows = dataset(spark, sf_dir).where(F.col("split") == "test")
-    out = SL.pressure_quintiles(long.where(F.col("task") == "revert"),
-                                long.where(F.col("task") == "mev"), rows, ["run_id"])
-    return round_doubles(out)
+    rows = dataset_hourly(spark, sf_dir).where(F.col("split") == "test")
+    return round_doubles(SL.pressure_quintiles(_long(spark, sf_dir), rows, ["run_id"], "hour_pressure"))
 
 
-@register("dex_per_day", scored_runs_sql(extra=EXTRA_SQL) + f""",
-mv AS (SELECT * FROM long WHERE task = 'mev' AND (run_id <> 'blend_a' OR tx_id % 2 = 0)),
+@register("dex_per_day", scored_runs_sql(extra=EXTRA_SQL, columns=HOUR_SQL) + f""",
+mv AS (SELECT * FROM long WHERE task = 'mev'
+       UNION ALL SELECT 'calls_only' AS run_id, l.* EXCLUDE (run_id) FROM long l
+       WHERE l.task = 'mev' AND l.run_id = 'blend_a'
+         AND l.tx_id IN (SELECT tx_id FROM part WHERE to_addr_hash <> 0)),
 nn AS (SELECT count(*) AS n_all, min(row_idx) AS i0 FROM part),
 d AS (SELECT mv.*, CAST((7 * (row_idx - i0 + 1) + n_all - 1) // n_all - 1 AS INTEGER) AS day
       FROM mv, nn WHERE is_dex_candidate),
@@ -133,28 +133,30 @@ SELECT run_id, day, n_dex, n_pos, round(h100 / least(100, n_dex), 6) AS p_at_100
   round(CASE WHEN n_pos >= 1 AND n_pos < n_dex THEN ap END, 6) AS pr_auc
 FROM t JOIN h USING (run_id, day) LEFT JOIN c_m USING (run_id, day)""")
 def q_dex_per_day(spark, sf_dir):
-    """M14 + W8: day-by-day DEX P@100 / P@50 / AP over 7 equal-count days of the
-    split; one run has scored every second row only."""
-    half = (F.col("run_id") != "blend_a") | (F.col("tx_id") % 2 == 0)
-    mev = _long(spark, sf_dir).where((F.col("task") == "mev") & half)
-    rows = dataset(spark, sf_dir).where(F.col("split") == "test").select("row_idx")
-    return round_doubles(SL.dex_per_day(mev, rows, ["run_id"]))
+    """M14 + W8 + P10: day-by-day DEX P@100 / P@50 / AP over 7 equal-count days of the
+    split, for the stored runs and for a model that scores no contract creations."""
+    ds = dataset_hourly(spark, sf_dir).where(F.col("split") == "test")
+    long = M.unpivot_tasks(scored_runs(spark, sf_dir, ds=ds, extra=[*EXTRA, "to_addr_hash"]),
+                           keep=["run_id", "tx_id", "to_addr_hash", *EXTRA])
+    mev = long.where(F.col("task") == "mev")
+    # the same rows once more under the other run's name
+    runs = F.when((F.col("run_id") == "blend_a") & (F.col("to_addr_hash") != 0),
+                  F.array("run_id", F.lit("calls_only"))).otherwise(F.array("run_id"))
+    return round_doubles(SL.dex_per_day(mev.withColumn("run_id", F.explode(runs)), ds.select("row_idx"), ["run_id"]))
 
 
-@register("posthoc_quartile_bundle", scored_runs_sql(extra=EXTRA_SQL) + f""",
-e AS (SELECT quantile_cont(CAST(mempool_pressure AS DOUBLE), [0.25, 0.5, 0.75]) AS qs FROM part),
-lq AS (SELECT l.*, 1 + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[1] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[2] AS INTEGER)
-        + CAST(CAST(mempool_pressure AS DOUBLE) >= qs[3] AS INTEGER) AS quartile FROM long l, e)"""
+@register("posthoc_quartile_bundle", scored_runs_sql(extra=EXTRA_SQL, columns=HOUR_SQL) + f""",
+e AS (SELECT quantile_cont(CAST(hour_pressure AS DOUBLE), [0.25, 0.5, 0.75]) AS qs FROM part),
+lq AS (SELECT l.*, 1 + CAST(CAST(hour_pressure AS DOUBLE) >= qs[1] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[2] AS INTEGER)
+        + CAST(CAST(hour_pressure AS DOUBLE) >= qs[3] AS INTEGER) AS quartile FROM long l, e)"""
           + bundle_sql("run_id, quartile", src="lq"))
 def q_posthoc_quartiles(spark, sf_dir):
     """The full metric bundle per run and traffic quartile (quartiles of the split)."""
     long = _long(spark, sf_dir)
-    rows = dataset(spark, sf_dir).where(F.col("split") == "test").select("mempool_pressure")
-    e = [float(x) for x in rows.agg(F.percentile(F.col("mempool_pressure").cast("double"),
-                                                  [0.25, 0.5, 0.75]).alias("e")).first()["e"]]
-    from txrisk.functions.scalar import digitize
-    lq = long.withColumn("quartile", digitize(F.col("mempool_pressure").cast("double"), e) + 1)
+    rows = dataset_hourly(spark, sf_dir).where(F.col("split") == "test")
+    edges = SL.quantile_edges(rows, "hour_pressure", [0.25, 0.5, 0.75])
+    lq = SL.with_strata(long, "hour_pressure", [], "quartile", offset=1, edges=edges)
     return round_doubles(M.metric_bundle(lq, by=["run_id", "quartile"]))
 
 

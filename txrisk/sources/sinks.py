@@ -69,25 +69,35 @@ def files_key(spark: SparkSession, path: str) -> str:
     return f"{r['n']}|{r['h']}"
 
 
-def materialized(spark: SparkSession, name: str, key: str, build, source: str | None = None) -> DataFrame:
+def materialized(spark: SparkSession, name: str, key: str, build, source: str | None = None,
+                 write=None) -> DataFrame:
     """Build a table once per (name, key, files of ``source``) under the shared
     folder and read it back.
 
     ``build()`` returns the DataFrame; it is written partitioned by ``split``
     when it has that column.  Re-reads skip the build (lineage cut); a ``source``
-    table whose files have changed is built anew.
+    table whose files have changed is built anew.  ``write(df, path)`` may lay the
+    table out in its own way.
     """
+    return spark.read.parquet(materialized_path(spark, name, key, build, source, write))
+
+
+def materialized_path(spark: SparkSession, name: str, key: str, build, source: str | None = None,
+                      write=None) -> str:
+    """Where ``materialized`` keeps the table, built if need be."""
     if source is not None:
         key = f"{key}|{files_key(spark, source)}"
     h = hashlib.md5(f"{TABLE_VERSION}|{key}".encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{h}")
     if not _exists(spark, path):
         df = build()
-        if "split" in df.columns:
+        if write is not None:
+            write(df, path)
+        elif "split" in df.columns:
             write_splits(df, path)
         else:
             df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def manifest_frame(ds: DataFrame, mode: str = "full", audit: str = "passed",
@@ -130,13 +140,17 @@ def write_scores(scores: DataFrame, path: str, mode: str = "append") -> None:
     scores.write.mode(mode).partitionBy("run_id", "split").parquet(path)
 
 
-def read_scores(spark: SparkSession, path: str, run_id: str, split: str | None = None) -> DataFrame:
-    """One run's scores; raises when the run is absent."""
-    df = spark.read.parquet(path).where(F.col("run_id") == run_id)
+def read_scores(spark: SparkSession, path: str, run_id: str | list[str], split: str | None = None) -> DataFrame:
+    """The scores of one run or several; raises when a run is absent.  Only
+    the partitions of the runs and the split are read."""
+    runs = [run_id] if isinstance(run_id, str) else list(run_id)
+    df = spark.read.parquet(path).where(F.col("run_id").isin(runs))
     if split is not None:
         df = df.where(F.col("split") == split)
-    if df.limit(1).count() == 0:
-        raise FileNotFoundError(f"no scores for run_id={run_id!r} split={split!r} under {path}")
+    have = {r[0] for r in df.select("run_id").distinct().collect()}  # at most one row per run
+    for r in runs:
+        if r not in have:
+            raise FileNotFoundError(f"no scores for run_id={r!r} split={split!r} under {path}")
     return df
 
 
