@@ -239,6 +239,66 @@ def poisson1_sql(u_sql: str) -> str:
     return "(" + " + ".join(f"CAST({u_sql} >= {c!r} AS INTEGER)" for c in _POISSON1_CDF) + ")"
 
 
+# Replicate weights (T7): one hash per row, mixed with a counter per replicate.
+# FIXED VALUES of the mixing, the same in Spark, numpy and SQL.
+_MASK = 2 ** 32 - 1
+_REP_STEP = 2654435769
+_MIX = 73244475
+POISSON1_CUTS = tuple(math.ceil(c * 2 ** 32) for c in POISSON1_CDF if math.ceil(c * 2 ** 32) < 2 ** 32)
+
+
+def row_hash(seed, key) -> tuple[Column, Column]:
+    """Two 32-bit numbers of a row, from one md5 of (seed, key)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    return tuple(F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+
+
+def replicate_weights(h1, h2, reps: int):
+    """Poisson(1) weights, one row of ``reps`` for each pair of hashes (numpy)."""
+    import numpy as np
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> np.uint64(16))) * np.uint64(_MIX)) & np.uint64(_MASK)
+        return x ^ (x >> np.uint64(16))
+    counter = (np.arange(reps, dtype=np.uint64) * np.uint64(_REP_STEP)) & np.uint64(_MASK)
+    x = mix(np.asarray(h1, np.uint64)[:, None] ^ counter[None, :])
+    x = mix(x ^ np.asarray(h2, np.uint64)[:, None])
+    return np.searchsorted(np.array(POISSON1_CUTS, np.uint64), x, side="right")
+
+
+def replicate_weight_array(seed, key, reps: int) -> Column:
+    """The same weights as an array column."""
+    h1, h2 = row_hash(seed, key)
+
+    def mix(a):
+        for _ in range(2):
+            a = F.transform(a, lambda x: (x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * F.lit(_MIX)).bitwiseAND(F.lit(_MASK)))
+        return F.transform(a, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 16)))
+    a = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint")),
+                    lambda r: h1.bitwiseXOR((r * F.lit(_REP_STEP)).bitwiseAND(F.lit(_MASK))))
+    a = mix(F.transform(mix(a), lambda x: x.bitwiseXOR(h2)))
+
+    def draw(x):
+        out = F.lit(0)
+        for c in POISSON1_CUTS:
+            out = out + (x >= F.lit(c)).cast("int")
+        return out
+    return F.transform(a, draw)
+
+
+def replicate_weight_sql(seed, key: str, rep: str) -> str:
+    """The same draw for SQL: select items ending in ``w`` (each may use the ones before it)."""
+    h = f"md5('{seed}' || '|' || CAST({key} AS VARCHAR))"
+    number = lambda at: f"CAST(('0x' || substr({h}, {at}, 8)) AS BIGINT)"
+    step = lambda x, to: f"((xor({x}, {x} >> 16) * {_MIX}) & {_MASK}) AS {to}"
+    items = [f"xor({number(1)}, ({rep} * {_REP_STEP}) & {_MASK}) AS x0", step("x0", "x1"), step("x1", "x2"),
+             f"xor(xor(x2, x2 >> 16), {number(9)}) AS x3", step("x3", "x4"), step("x4", "x5"),
+             "xor(x5, x5 >> 16) AS x6",
+             " + ".join(f"CAST(x6 >= {c} AS INTEGER)" for c in POISSON1_CUTS) + " AS w"]
+    return ", ".join(items)
+
+
 # P12 ------------------------------------------------------------------------
 def ablate(df, cols=tuple(S.CATEGORICAL_BINS)):
     """Identity ablation: hashed identity columns set to bin 0, shape kept."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.scalar import POISSON1_CDF, poisson1, seeded_uniform
+from txrisk.functions.scalar import replicate_weight_array, seeded_uniform
 from txrisk.operators.scan import plan_ranges, with_row_index
 from txrisk.sources.raw import smoke_slice
 
@@ -73,15 +73,13 @@ def bootstrap_weights(df: DataFrame, reps: int, seed: int = 42, key: str = "tx_i
     """One Poisson(1) weight per (replicate, row): the with-replacement
     resample as counts.  Rows with weight 0 are dropped.
 
-    The uniform is computed once per (row, replicate) inside an array of
-    (rep, u) structs; replicates with u below P(K = 0) are dropped before the
-    explode (w > 0  <=>  u >= P(K = 0)), so no predicate re-evaluates the hash.
+    A row is hashed once; its weights are that hash mixed with the number of the
+    replicate, so they depend on nothing but (seed, key, replicate).
     """
-    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)),
-                        lambda r: F.struct(r.alias("rep"), seeded_uniform(seed, r, F.col(key)).alias("u")))
-    kept = F.filter(draws, lambda d: d["u"] >= F.lit(POISSON1_CDF[0]))
-    d = df.withColumn("_d", F.explode(kept))
-    return d.withColumns({"rep": F.col("_d.rep"), "w": poisson1(F.col("_d.u"))}).drop("_d")
+    draws = F.transform(replicate_weight_array(seed, F.col(key), reps),
+                        lambda w, r: F.struct(r.alias("rep"), w.alias("w")))
+    d = df.withColumn("_d", F.explode(F.filter(draws, lambda x: x["w"] > 0)))
+    return d.withColumns({"rep": F.col("_d.rep"), "w": F.col("_d.w")}).drop("_d")
 
 
 def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, seed: int = 42,

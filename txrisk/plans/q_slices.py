@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txrisk.functions.scalar import poisson1_sql
+from txrisk.functions.scalar import replicate_weight_sql
 from txrisk.operators import metrics as M
 from txrisk.operators import slices as SL
 from txrisk.operators.bootstrap import metric_bundle_ci
@@ -13,7 +13,6 @@ from txrisk.plans.build import round_doubles
 from txrisk.plans.q_build import HOUR_SQL, dataset, dataset_hourly
 from txrisk.plans.q_metrics import bundle_sql, scored_runs, scored_runs_sql
 from txrisk.plans.registry import register
-from txrisk.plans.sqltext import uniform_sql
 
 EXTRA = ["hour_pressure", "is_dex_candidate", "row_idx"]
 EXTRA_SQL = ", p.hour_pressure, p.is_dex_candidate, p.row_idx"
@@ -162,7 +161,7 @@ def q_posthoc_quartiles(spark, sf_dir):
 
 # ---------------------------------------------------------------------------
 def _boot_sql(reps: int = BOOT_REPS, seed: int = SEED) -> str:
-    w = poisson1_sql(uniform_sql(str(seed), "rep", "tx_id"))
+    w = replicate_weight_sql(seed, "tx_id", "rep")
     keys = "run_id, task, rep"
     f1 = lambda src, wt: f"""SELECT {keys}, CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS value
       FROM (SELECT {keys}, CAST(sum(CASE WHEN score > 0.5 AND label = 1 THEN {wt} ELSE 0 END) AS DOUBLE) tp,
@@ -183,7 +182,7 @@ st AS (SELECT run_id, task, count(*) AS n, sum(label) AS p FROM v GROUP BY ALL),
 vv AS (SELECT v.* FROM v JOIN st USING (run_id, task)
        WHERE (task <> 'mev' AND n >= 10) OR (task = 'mev' AND p >= 1)),
 p0 AS (SELECT vv.*, 0 AS rep, 1 AS w FROM vv),
-bw AS (SELECT vv.*, r.range AS rep, {w} AS w FROM vv CROSS JOIN range({reps}) r),
+bw AS (SELECT vv.*, r.range AS rep, {w} FROM vv CROSS JOIN range({reps}) r),
 b AS (SELECT * FROM bw WHERE w > 0),
 {curve_sql('pc', 'p0', keys, 'w')},
 {curve_sql('bc', 'b', keys, 'w')},
