@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from txrisk import schema as S
 from txrisk.functions import scalar as X
-from txrisk.operators.scan import Ranges, plan_ranges, running_totals, time_order
+from txrisk.operators.scan import Ranges, plan_ranges, running_totals
+from txrisk.operators.trailing import time_order
 
 
 def plan_time_ranges(tx: DataFrame, rows_per_range: int | None = None, **kw) -> Ranges:
@@ -23,14 +24,20 @@ def time_features(tx: DataFrame, ranges: Ranges, window_ms: int = S.PRESSURE_WIN
                   clip_max: float = S.DELTA_CLIP_MAX, first_delta: float = 0.0) -> DataFrame:
     """W1 inter-arrival seconds (clipped [0, 300]; ``first_delta`` for the row
     with no predecessor), W4 trailing 60 s arrival count, W9 row index.  Keyed by tx_id."""
+    t = with_time_features(tx.select("tx_id", S.SORT_KEY), ranges, window_ms, clip_max, first_delta)
+    return t.drop(S.SORT_KEY)
+
+
+def with_time_features(tx: DataFrame, ranges: Ranges, window_ms: int = S.PRESSURE_WINDOW_MS,
+                       clip_max: float = S.DELTA_CLIP_MAX, first_delta: float = 0.0) -> DataFrame:
+    """The same columns added to ``tx``, whose own travel along."""
     t = time_order(tx, ranges, lookback_ms=window_ms)
     delta = (F.col(S.SORT_KEY) - F.col("prev_ts")).cast("double") / 1000.0
-    return t.select(
-        "tx_id", "row_idx",
-        F.when(F.col("prev_ts").isNull(), F.lit(float(first_delta)))
-         .otherwise(X.clip(delta, 0.0, clip_max)).alias("timestamp_delta_s"),
-        F.col("pressure").cast("float").alias("mempool_pressure"),
-    )
+    return t.withColumns({
+        "timestamp_delta_s": F.when(F.col("prev_ts").isNull(), F.lit(float(first_delta)))
+                              .otherwise(X.clip(delta, 0.0, clip_max)),
+        "mempool_pressure": F.col("pressure").cast("float"),
+    }).drop("prev_ts", "pressure")
 
 
 def _sender_key() -> F.Column:
@@ -47,9 +54,18 @@ def sender_features(tx: DataFrame, ranges: Ranges, snapshot: DataFrame | None =
     ``snapshot`` (from_addr, _pre_count, _pre_gas_sum) seeds state for an
     incremental build (J1).
     """
-    s = tx.select("tx_id", S.SORT_KEY, "from_addr",
-                  F.log1p(F.col("gas_price").cast("double") / 1e9).alias("_g"))
-    s = ranges.assign(s.withColumn("_sk", _sender_key()), out="_rng", src=S.SORT_KEY)
+    s = tx.select("tx_id", S.SORT_KEY, "from_addr", past_gas().alias("_g"))
+    return with_sender_features(s, ranges, snapshot).select("tx_id", "sender_tx_count", "sender_avg_gas")
+
+
+def past_gas() -> F.Column:
+    """log1p(gas price in gwei) of a raw row, what W3 averages."""
+    return F.log1p(F.col("gas_price").cast("double") / 1e9)
+
+
+def with_sender_features(df: DataFrame, ranges: Ranges, snapshot: DataFrame | None = None) -> DataFrame:
+    """W2 and W3 added to ``df`` (tx_id, timestamp_ms, from_addr, _g and any others)."""
+    s = ranges.assign(df.withColumn("_sk", _sender_key()), out="_rng", src=S.SORT_KEY)
     has = F.col("from_addr").isNotNull().cast("bigint")
     s = running_totals(
         s, ["_sk"], "_rng", ranges.n, [F.col(S.SORT_KEY), F.col("tx_id")],
@@ -63,13 +79,12 @@ def sender_features(tx: DataFrame, ranges: Ranges, snapshot: DataFrame | None =
             "_cnt": F.col("_cnt") + F.coalesce("_pre_count", F.lit(0)),
             "_cnt_prev": F.col("_cnt_prev") + F.coalesce("_pre_count", F.lit(0)),
             "_sum_prev": F.col("_sum_prev") + F.coalesce("_pre_gas_sum", F.lit(0.0)),
-        })
-    return s.select(
-        "tx_id",
-        F.col("_cnt").cast("float").alias("sender_tx_count"),
-        F.when(F.col("_cnt_prev") > 0, F.col("_sum_prev") / F.col("_cnt_prev").cast("double"))
-         .otherwise(F.lit(0.0)).alias("sender_avg_gas"),
-    )
+        }).drop("_pre_count", "_pre_gas_sum")
+    return s.withColumns({
+        "sender_tx_count": F.col("_cnt").cast("float"),
+        "sender_avg_gas": F.when(F.col("_cnt_prev") > 0, F.col("_sum_prev") / F.col("_cnt_prev").cast("double"))
+                           .otherwise(F.lit(0.0)),
+    }).drop("_sk", "_rng", "_g", "_cnt", "_cnt_prev", "_sum_prev")
 
 
 def scalar_features(tx: DataFrame, hash_fn: str = "md5") -> DataFrame:
@@ -85,10 +100,11 @@ def build_features(tx: DataFrame, ranges: Ranges | None = None, hash_fn: str = "
                    first_delta: float = 0.0) -> DataFrame:
     """All 14 features + DEX flag, keyed by tx_id (and the raw columns in ``keep``)."""
     ranges = ranges or plan_time_ranges(tx)
-    base = scalar_features(tx, hash_fn)
+    base = scalar_features(tx.withColumn("_g", past_gas()), hash_fn)
     extra = [c for c in (keep or []) if c not in ("tx_id", S.SORT_KEY)]
-    base = base.select("tx_id", S.SORT_KEY, *S.NUMERIC_FEATURES[:7],
-                       *S.CATEGORICAL_FEATURES, "is_dex_candidate", *extra)
-    out = base.join(time_features(tx, ranges, first_delta=first_delta), "tx_id").join(sender_features(tx, ranges, snapshot), "tx_id")
+    base = base.select("tx_id", S.SORT_KEY, *S.NUMERIC_FEATURES[:7], *S.CATEGORICAL_FEATURES, "is_dex_candidate",
+                       "from_addr", "_g", *[c for c in extra if c != "from_addr"])
+    out = with_time_features(with_sender_features(base, ranges, snapshot), ranges, first_delta=first_delta)
+    out = out if "from_addr" in extra else out.drop("from_addr")
     S.check_blacklist(S.FEATURE_COLUMNS)
     return out

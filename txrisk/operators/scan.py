@@ -169,55 +169,6 @@ def running_totals(df: DataFrame, keys: list[str], rng: str, n_ranges: int, orde
               .drop(*tmp.values(), *[f"__c_{n}" for n in sums])
 
 
-_SHIFT = 2 ** 62  # keys are assumed to lie in [0, 2^62)
-
-
-def time_order(tx: DataFrame, ranges: Ranges, ts: str = "timestamp_ms", key: str = "tx_id",
-               lookback_ms: int = 60_000) -> DataFrame:
-    """Per row: global 0-based index (W9), previous row's ts (W1 input) and the
-    number of rows before it inside the trailing ``lookback_ms`` (W4).
-
-    W4 as ranks: pressure_i = idx_i - #{j : ts_j < ts_i - lookback}.  The
-    second term is read off "probe" rows at ts_i - lookback that sort before
-    data rows of equal ts.  Data and probes share one ranged window, so no
-    range has to see rows of another (no halo, any burst is split).
-    Output: (key, ts, row_idx, prev_ts, pressure), clustered by ``key``.
-    """
-    base = tx.select(F.col(key).alias("_k"), F.col(ts).alias("_t"))
-    data = base.withColumn("_d", F.lit(1))
-    probes = base.select("_k", (F.col("_t") - F.lit(lookback_ms)).alias("_t"), F.lit(0).alias("_d"))
-    u = data.unionByName(probes)
-    if ranges.heavy:  # order inside one instant is (_d, _k): one long, data cuts shifted
-        u = u.withColumn("_dk", F.col("_d").cast("bigint") * F.lit(_SHIFT) + F.col("_k"))
-        ranges = Ranges(ranges.column, ranges.splits, "_dk",
-                        tuple((v, tuple(c + _SHIFT for c in cuts)) for v, cuts in ranges.heavy))
-    u = ranges.assign(u, out="_rng", src="_t")
-    w = Window.partitionBy("_rng").orderBy("_t", "_d", "_k") \
-              .rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumns({
-        "_before": F.coalesce(F.sum("_d").over(w), F.lit(0).cast("bigint")),
-        "_prev": F.last(F.when(F.col("_d") == 1, F.col("_t")), ignorenulls=True).over(w),
-    })
-    if ranges.n > 1:
-        bt = u.groupBy("_rng").agg(F.sum("_d").alias("_n"),
-                                    F.max(F.when(F.col("_d") == 1, F.col("_t"))).alias("_last"))
-        wb = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # <= P rows
-        bt = bt.select("_rng", F.coalesce(F.sum("_n").over(wb), F.lit(0).cast("bigint")).alias("_off"),
-                       F.last("_last", ignorenulls=True).over(wb).alias("_prev_last"))
-        u = u.join(_maybe_broadcast(bt, ranges.n), "_rng").withColumns({
-            "_before": F.col("_before") + F.col("_off"),
-            "_prev": F.coalesce(F.col("_prev"), F.col("_prev_last")),
-        })
-    out = u.groupBy("_k").agg(
-        F.max(F.when(F.col("_d") == 1, F.col("_before"))).alias("row_idx"),
-        F.max(F.when(F.col("_d") == 0, F.col("_before"))).alias("_lt"),
-        F.max(F.when(F.col("_d") == 1, F.col("_prev"))).alias("prev_ts"),
-        F.max(F.when(F.col("_d") == 1, F.col("_t"))).alias("_ts"),
-    )
-    return out.select(F.col("_k").alias(key), F.col("_ts").alias(ts), "row_idx", "prev_ts",
-                      (F.col("row_idx") - F.col("_lt")).alias("pressure"))
-
-
 def with_row_index(df: DataFrame, ranges: Ranges, order: list[str], out: str = "row_idx") -> DataFrame:
     """W9 for any table: global 0-based index in ``order`` (first column is the ranged key)."""
     d = ranges.assign(df, out="_rng", src=order[0])

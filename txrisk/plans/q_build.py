@@ -12,7 +12,7 @@ from txrisk.plans.build import build_dataset, round_doubles
 from txrisk.plans.incremental import build_increment, sender_snapshot
 from txrisk.plans.registry import register
 from txrisk.plans.sqltext import FEATURE_DOUBLES, dataset_sql
-from txrisk.sources.testbind import TEST_SPLITS, tx_view
+from txrisk.sources.testbind import TEST_SPLITS, TX_SQL, tx_view
 
 DS_COLS = ["tx_id", S.SORT_KEY, "split", "row_idx", *S.FEATURE_COLUMNS, *S.LABEL_COLUMNS,
            "is_dex_candidate"]
@@ -40,7 +40,7 @@ def dataset_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed table with ``hour_pressure``, W4 over an hour: the test events
     are minutes apart, so a minute's count is nearly always 0."""
     from txrisk.operators.features import plan_time_ranges
-    from txrisk.operators.scan import time_order
+    from txrisk.operators.trailing import time_order
     from txrisk.sources.sinks import materialized
 
     def pressed() -> DataFrame:
@@ -100,3 +100,25 @@ def q_snapshot_unique_senders(spark, sf_dir):
     """Distinct senders in the snapshot taken before the val split."""
     from txrisk.plans.incremental import unique_senders
     return unique_senders(sender_snapshot(tx_view(spark, sf_dir), _VAL_START))
+
+
+def _tip_sql(window_ms: int) -> str:
+    return f"""SELECT {window_ms // 1000} AS window_s, tx_id, p AS n_trailing, round(m, 6) AS trailing_median,
+  coalesce(tip > 2.0 * m, false) AS high_tip FROM (
+  SELECT tx_id, tip, p, quantile_cont(tip, 0.5) OVER (ORDER BY timestamp_ms, tx_id ROWS BETWEEN p PRECEDING AND 1 PRECEDING) AS m
+  FROM (SELECT tx_id, timestamp_ms, CAST(gas_tip_cap AS DOUBLE) AS tip,
+          count(*) OVER (ORDER BY timestamp_ms RANGE BETWEEN {window_ms} PRECEDING AND 1 PRECEDING)
+          + row_number() OVER (PARTITION BY timestamp_ms ORDER BY tx_id) - 1 AS p FROM tx))"""
+
+
+@register("trailing_median_tip", f"WITH tx AS ({TX_SQL}) {_tip_sql(60_000)} UNION ALL {_tip_sql(HOUR_MS)}")
+def q_trailing_median_tip(spark, sf_dir):
+    """Tips above twice the median tip of the last 60 s, and of the last hour
+    (the test events are minutes apart)."""
+    from txrisk.operators.features import plan_time_ranges
+    from txrisk.operators.trailing import tip_above_trailing_median
+    tx = tx_view(spark, sf_dir).select("tx_id", S.SORT_KEY, "gas_tip_cap")
+    ranges = plan_time_ranges(tx)
+    one = lambda ms: tip_above_trailing_median(tx, ranges, "gas_tip_cap", window_ms=ms).select(
+        F.lit(ms // 1000).alias("window_s"), "*")
+    return round_doubles(one(60_000).unionByName(one(HOUR_MS)))
