@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
@@ -31,6 +31,14 @@ class RuleThresholds:
     def from_json(cls, text: str) -> "RuleThresholds":
         return cls(**json.loads(text))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One JSON line under ``path``, on any file system Spark writes to."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "RuleThresholds":
+        return cls.from_json(spark.read.text(path).first()["value"])
+
 
 def fit_rule_thresholds(train: DataFrame, drop_pct: float = 5.0) -> RuleThresholds:
     """NaN-skipping exact percentiles (numpy-linear) of three continuous

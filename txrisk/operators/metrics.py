@@ -10,11 +10,16 @@ scores into one threshold (as sklearn does); top-k breaks ties by the key.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import math
-
 from txrisk.operators.scan import Ranges, plan_ranges, running_totals
 
 DEFAULT_SCORE_ROWS_PER_RANGE = 2_000_000
@@ -218,14 +223,99 @@ def unpivot_tasks(df: DataFrame, keep: list[str] = ("tx_id",),
     return df.select(*keep, F.explode(arr).alias("_t")).select(*keep, "_t.task", "_t.score", "_t.label")
 
 
+@dataclass(frozen=True)
+class Metric:
+    """§2.12: a metric whose state merges.  ``partial(scores, n, pos)`` gives the state (a list
+    of floats) of tie groups with falling scores (numpy arrays: a score's rows and
+    positives), ``merge(high, low)`` joins the states of two neighbouring stretches and
+    ``finish(state)`` gives the value (or None)."""
+    partial: Callable
+    merge: Callable
+    finish: Callable
+
+
+def _auc_partial(scores, n, pos) -> list:
+    above = np.cumsum(pos) - pos / 2
+    return [float(pos.sum()), float((n - pos).sum()), float(((n - pos) * above).sum())]
+
+
+AUC = Metric(_auc_partial, lambda a, b: [a[0] + b[0], a[1] + b[1], a[2] + b[2] + a[0] * b[1]],
+             lambda s: s[2] / (s[0] * s[1]) if s[0] and s[1] else None)
+
+
+def mergeable_metric(df: DataFrame, by: list[str], metric: Metric, name: str = "value", score: str = "score",
+                     label: str = "label", rows_per_range: int = DEFAULT_SCORE_ROWS_PER_RANGE) -> DataFrame:
+    """§2.12 for groups of any size: by..., value of a ``Metric`` written in Python.
+
+    Rows are counted per (group, score) first, so a score shared by many rows is one
+    tie group; tie groups are cut in score ranges, each streamed in chunks with one
+    state held, and a group's states (one per range) are merged from high to low.
+    NULL scores come last, as NaN.
+    """
+    from pyspark.sql import types as T
+    from txrisk.session import ship_package
+    ship_package(df.sparkSession)
+    by = list(by)
+    g = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_p"))
+    ranges = plan_ranges(g, "_s", rows_per_range)
+    g = ranges.assign(g, "_rng", "_s").withColumn("_rng", F.when(F.col("_s").isNull(), F.lit(-1)).otherwise(F.col("_rng")))
+    tag = [df.schema[b] for b in by]
+    states = T.StructType([*tag, T.StructField("_rng", T.IntegerType()), T.StructField("_state", T.ArrayType(T.DoubleType()))])
+
+    def stretches(batches, columns):
+        for b in batches:
+            tags = list(zip(*(b.column(c).to_pylist() for c in columns))) if columns else [()] * b.num_rows
+            cuts = [0, *[i for i in range(1, len(tags)) if tags[i] != tags[i - 1]], len(tags)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if x < y:
+                    yield tags[x], b.slice(x, y - x)
+
+    def fold(batches, columns, state_of, out):
+        now = state = None
+        for t, part in stretches(batches, columns):
+            s = state_of(part)
+            if t == now:
+                state = metric.merge(state, s)
+            else:
+                if now is not None:
+                    yield out(now, state)
+                now, state = t, s
+        if now is not None:
+            yield out(now, state)
+
+    def row(fields, values):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        kinds = to_arrow_schema(fields)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, kinds)], kinds.names)
+
+    def measure(batches):
+        col = lambda part, c: part.column(c).to_numpy(zero_copy_only=False).astype(float)
+        yield from fold(batches, [*by, "_rng"], lambda p: list(metric.partial(col(p, "_s"), col(p, "_n"), col(p, "_p"))),
+                        lambda t, s: row(states, [*t, s]))
+
+    result = T.StructType([*tag, T.StructField(name, T.DoubleType())])
+
+    def combine(batches):
+        def all_of(part):
+            each = part.column("_state").to_pylist()
+            return reduce(metric.merge, each)
+        yield from fold(batches, by, all_of, lambda t, s: row(result, [*t, metric.finish(s)]))
+
+    per_range = (g.repartition(*by, "_rng").sortWithinPartitions(*by, "_rng", F.col("_s").desc_nulls_last())
+                 .mapInArrow(measure, states))
+    spread = per_range.repartition(*by) if by else per_range.coalesce(1)  # one small row per range
+    return spread.sortWithinPartitions(*by, F.col("_rng").desc()).mapInArrow(combine, result)
+
+
 def grouped_metric(df: DataFrame, by: list[str], fn, name: str = "value", score: str = "score",
                    label: str = "label", max_group_rows: int = 5_000_000) -> DataFrame:
     """§2.12 escape hatch: any Python ``fn(scores, labels) -> float`` per group
     through ``applyInPandas`` (the reference's metric_fn hook).
 
-    A group is handed whole to one Python worker, so the largest group is
-    measured first and the call refuses groups above ``max_group_rows``; the
-    built-in metrics above have no such limit.
+    ``fn`` sees a whole group, so a group is handed to one Python worker and the
+    call refuses groups above ``max_group_rows``.  A metric that can be written with
+    partial states goes through ``mergeable_metric`` at any size.
     """
     import pandas as pd
     from pyspark.sql import types as T
@@ -233,7 +323,7 @@ def grouped_metric(df: DataFrame, by: list[str], fn, name: str = "value", score:
     ship_package(df.sparkSession)
     biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if biggest > max_group_rows:
-        raise ValueError(f"largest group has {biggest} rows > {max_group_rows}; use the built-in metrics")
+        raise ValueError(f"largest group has {biggest} rows > {max_group_rows}; use mergeable_metric or the built-in metrics")
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         try:

@@ -12,7 +12,8 @@ from txrisk.plans.q_build import dataset  # noqa: F401
 from txrisk.plans.q_metrics import rule_thresholds
 from txrisk.plans.registry import register
 from txrisk.plans.sqltext import dataset_sql
-from txrisk.sources.testbind import TEST_SPLITS, TX_SQL, event_stream, tx_from_events, tx_view
+from txrisk.sources.testbind import (DAY_S, TEST_SPLITS, TX_SQL, event_stream, inclusion_events, notice_delay_sql,
+                                    tx_from_events, tx_view)
 from txrisk.streaming import jobs as J
 
 _VAL_START = epoch_ms(TEST_SPLITS.ranges["val"][0])
@@ -60,15 +61,15 @@ def q_stream_triage(spark, sf_dir):
 @register("stream_outcome", f"""WITH tx AS ({TX_SQL}),
 m AS (SELECT max(timestamp_ms) - 25 * 3600000 AS cutoff FROM tx)
 SELECT tx_id, timestamp_ms,
-  CAST(CASE WHEN (included_at_block_height = 0 OR included_at_block_height IS NULL)
-             AND receipt_status IS NULL THEN 1 ELSE 0 END AS FLOAT) AS is_dropped_stream
+  CAST(CASE WHEN ((included_at_block_height = 0 OR included_at_block_height IS NULL) AND receipt_status IS NULL)
+              OR {notice_delay_sql()} > {DAY_S} THEN 1 ELSE 0 END AS FLOAT) AS is_dropped_stream
 FROM tx, m WHERE timestamp_ms < cutoff""")
 def q_stream_outcome(spark, sf_dir):
     """R3 (+F8, F9 as a stream): left outer interval join of arrivals with
-    inclusion notices inside 24 h; every transaction whose 24 h horizon lies
+    inclusion notices inside 24 h (some come just before, at or after them); every transaction whose 24 h horizon lies
     behind the watermark (1 h) is settled, the rest stays in state (censored)."""
     tx = tx_from_events(event_stream(spark, sf_dir))
-    inc = J.inclusion_events(tx_from_events(event_stream(spark, sf_dir)))
+    inc = inclusion_events(tx_from_events(event_stream(spark, sf_dir)))
     out = J.run_available_now(spark, J.outcome_stream(tx, inc), "outcome")
     cutoff = tx_view(spark, sf_dir).agg(F.max(S.SORT_KEY)).first()[0] - 25 * 3_600_000
     return spark.read.parquet(out).where(F.col(S.SORT_KEY) < F.lit(cutoff))
@@ -91,3 +92,30 @@ def q_stream_sender_sessions(spark, sf_dir):
     out = J.run_available_now(spark, J.sender_sessions(stream), "sessions")
     cutoff = tx_view(spark, sf_dir).agg(F.max(S.SORT_KEY)).first()[0] - 3_600_000
     return spark.read.parquet(out).where(F.col("session_end_ms") < F.lit(cutoff))
+
+
+_REPLAY = "tx_id % 10 = 3"  # rows that the capture delivers twice
+_MID = _VAL_START
+
+
+@register("stream_dedup_late", f"""WITH tx AS ({TX_SQL}),
+late AS (SELECT count(*) AS n_late FROM tx
+         WHERE timestamp_ms < (SELECT max(timestamp_ms) FROM tx WHERE timestamp_ms < {_MID}) - 600000)
+SELECT tx_id, timestamp_ms, n_late FROM tx, late""")
+def q_stream_dedup_late(spark, sf_dir):
+    """A capture in three deliveries: the rows before the val start, the rest with one row in
+    ten twice, then the whole capture again.  Each transaction comes out once; rows of the third
+    delivery behind the watermark are counted as late (Spark tests against the watermark of the batch
+    before, so that of the first delivery), the remainder are replays."""
+    import os
+    import uuid
+    from txrisk.session import checkpoint_dir
+    path = os.path.join(checkpoint_dir(spark), "replay", uuid.uuid4().hex)
+    tx = tx_view(spark, sf_dir).select("tx_id", S.SORT_KEY)
+    rest = tx.where(F.col(S.SORT_KEY) >= _MID)
+    for part in (tx.where(F.col(S.SORT_KEY) < _MID), rest.unionByName(rest.where(_REPLAY)), tx):
+        part.repartition(4).write.mode("append").parquet(path)  # four files are one delivery
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    with J.LateRows(spark) as late:
+        out = J.run_available_now(spark, J.dedup_stream(J.with_event_time(stream)).select("tx_id", S.SORT_KEY), "replay")
+    return spark.read.parquet(out).withColumn("n_late", F.lit(late.dropped).cast("bigint"))

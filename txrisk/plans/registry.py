@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the modules fills the registry
     from txrisk.plans import q_build, q_metrics, q_slices  # noqa: F401
-    from txrisk.plans import q_more, q_stream  # noqa: F401
+    from txrisk.plans import q_handoff, q_more, q_stream  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

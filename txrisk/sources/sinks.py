@@ -165,6 +165,19 @@ def upsert_metrics(metrics: DataFrame, path: str) -> None:
      .write.mode("append").parquet(path)
 
 
+def upsert_calibration(cal: DataFrame, path: str) -> None:
+    """M19 write-back: per run and task the calibrated test F1 as ``{task}_f1``, its threshold
+    (with the val score range as bounds) and the val F1, in slice "f1_calibration"."""
+    none = F.lit(None).cast("double")
+    row = lambda name, value, low=none, high=none: F.struct(
+        F.concat("task", F.lit(name)).alias("metric"), value.alias("value"), low.alias("lower"), high.alias("upper"))
+    each = F.explode(F.array(
+        row("_f1", F.col("test_f1")), row("_val_f1", F.col("val_f1_at_threshold")),
+        row("_threshold", F.col("val_optimal_threshold"), F.col("val_score_min"), F.col("val_score_max"))))
+    upsert_metrics(cal.select("run_id", F.lit("f1_calibration").alias("slice"), each.alias("_m"))
+                   .select("run_id", "slice", "_m.*"), path)
+
+
 def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
     """S8 read side: the newest value per (run_id, slice, metric)."""
     m = spark.read.parquet(path)

@@ -77,6 +77,28 @@ def tx_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
+DAY_S = 86_400
+# FIXED VALUES: seconds from arrival to notice, by tx_id % 97; all others tx_id % 600
+NOTICE_DELAYS = {0: DAY_S, 1: DAY_S + 1, 2: DAY_S - 1, 3: 3 * DAY_S}
+
+
+def inclusion_events(tx: DataFrame) -> DataFrame:
+    """Inclusion notices (incl_tx_id, incl_time) of a batch table or a stream: one for each
+    row that was included or has a receipt, some just before, at or after 24 h."""
+    h = F.col("included_at_block_height")
+    included = (h.isNotNull() & (h != 0)) | F.col("receipt_status").isNotNull()
+    delay = F.col("tx_id") % 600
+    for k, s in NOTICE_DELAYS.items():
+        delay = F.when(F.col("tx_id") % 97 == k, F.lit(s)).otherwise(delay)
+    return tx.where(included).select(F.col("tx_id").alias("incl_tx_id"),
+                                     F.timestamp_millis(F.col("timestamp_ms") + delay * 1000).alias("incl_time"))
+
+
+def notice_delay_sql() -> str:
+    whens = " ".join(f"WHEN tx_id % 97 = {k} THEN {s}" for k, s in NOTICE_DELAYS.items())
+    return f"CASE {whens} ELSE tx_id % 600 END"
+
+
 def _sel_case() -> str:
     parts = " ".join(f"WHEN '{et}' THEN '{s}'" for et, s in EVENT_SELECTORS.items())
     return f"CASE event_type {parts} END"

@@ -9,13 +9,14 @@ job to completion for tests and batch-equivalence checks.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from txrisk import schema as S
 from txrisk.session import checkpoint_dir, ship_package
@@ -51,8 +52,40 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str, mode: str =
     return out
 
 
+class LateRows(StreamingQueryListener):
+    """Counts rows dropped for arriving behind the watermark over all batches of
+    the queries run inside ``with``, however many (a query itself only remembers the
+    last hundred)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped, self.open, self.done = spark, 0, set(), threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        self.open.add(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.open.discard(event.id)
+        if not self.open:
+            self.done.set()
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.done.wait(60)  # events of a query come in order, its end last
+        self.spark.streams.removeListener(self)
+
+
 def late_rows_dropped(progress: list) -> int:
-    """Rows dropped by stateful operators for arriving behind the watermark."""
+    """Rows dropped by stateful operators for arriving behind the watermark,
+    over the batches in ``progress``."""
     return sum(op.get("numRowsDroppedByWatermark", 0)
                for p in progress for op in (p.get("stateOperators") or []))
 
@@ -140,17 +173,6 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Inclusion outcome with a maturity horizon
 # ---------------------------------------------------------------------------
-def inclusion_events(tx_stream: DataFrame, delay_s: int = 600) -> DataFrame:
-    """Inclusion notices derived from the capture: a row that was included or
-    has a receipt produces a notice ``tx_id % delay_s`` seconds after arrival."""
-    h = F.col("included_at_block_height")
-    included = ((h.isNotNull()) & (h != 0)) | F.col("receipt_status").isNotNull()
-    e = with_event_time(tx_stream.where(included), "arrival")
-    return e.select(F.col("tx_id").alias("incl_tx_id"),
-                    (F.col("arrival") + F.make_interval(secs=(F.col("tx_id") % delay_s).cast("int")))
-                    .alias("incl_time"))
-
-
 def outcome_stream(tx_stream: DataFrame, incl_stream: DataFrame,
                    maturity_hours: int = S.DROP_MATURITY_HOURS, watermark: str = "1 hour") -> DataFrame:
     """Left outer interval join tx -> inclusion within the maturity window.
