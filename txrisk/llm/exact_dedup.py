@@ -1,10 +1,9 @@
 """Operator 6: exact duplicates, in DataFrame functions only.
 
-Rows are grouped by a 128-bit content hash.  Only hashes met twice or more
-lead to a byte comparison: their rows are grouped by (hash, sha256, text), so
+Rows are grouped by a 128-bit content hash and, inside a group, by their bytes, so
 texts that merely share a hash fall into different classes.  Partial
-aggregation brings at most one row of a class from each task, however many
-copies there are.  Classes with a large share of all rows (at most
+aggregation compares the copies of a text where they are read and sends one
+row of a class from each task, however many copies there are.  Classes with a large share of all rows (at most
 ``1 / HOT_SHARE`` of them can exist) are broadcast, the others joined by hash.
 """
 
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.spark_io import materialize, sized
+from txrisk.llm.spark_io import fresh_name, materialize, sized
 
 HOT_SHARE = 1 / 2048  # a class with more of the rows than this is broadcast
 
@@ -37,12 +36,10 @@ def exact_groups(docs: DataFrame, keep: str = "max", hash_of=content_hash) -> Da
     best = F.max if keep == "max" else F.min
 
     slim = materialize(hashed.select("doc_id", "h", F.sha2("text", 256).alias("sha")), "dedup-hashes")
-    repeated = slim.groupBy("h").count().where("count > 1").select("h")
+    # copies meet byte by byte where they are read: each task sends a text once
     classes = materialize(
-        hashed.join(repeated, "h", "left_semi")
-        .groupBy("h", F.sha2("text", 256).alias("sha"), "text")
-        .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .select("h", "sha", "keep_id", "n"), "dedup-classes")
+        hashed.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("h", F.sha2("text", 256).alias("sha"), "keep_id", "n"), "dedup-classes")
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     hot = classes.where(F.col("n") > F.lit(total * HOT_SHARE)).select("h", "sha", "keep_id", "n")
@@ -63,14 +60,16 @@ def exact_groups(docs: DataFrame, keep: str = "max", hash_of=content_hash) -> Da
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Repeated rows (same id and text) are reduced to one; which of rows with
-    equal id and text but other columns differing stays is not defined.
+    A null text counts as empty; an empty table gives no rows.  Repeated rows
+    (same id and text) are reduced to one; which of rows with equal id and text
+    but other columns differing stays is not defined.
     """
+    gone_id, gone_sha = (fresh_name(docs.columns, c) for c in ("gone_id", "gone_sha"))
     groups = materialize(exact_groups(docs, keep).where("group_size > 1"), "dedup-groups")
-    gone = sized(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+    gone = sized(groups.where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)))
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    stay = docs.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (sha == F.col("_sha")), "left_anti")
+    stay = docs.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id))) & (sha == F.col(gone_sha)), "left_anti")
     twice = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     return stay if twice.limit(1).count() == 0 else stay.dropDuplicates(["doc_id", "text"])

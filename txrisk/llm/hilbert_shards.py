@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.ranks import rank_within
-from txrisk.llm.spark_io import materialize, utf8_len
+from txrisk.llm.spark_io import fresh_name, materialize, utf8_len
 
 BITS = 4
 ACCURACY = 10_000
@@ -118,15 +118,20 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Write ``docs`` as Parquet with a file run per shard, rows along the curve.
+    """Write ``docs`` as Parquet in folders ``shard=N``, rows along the curve.
 
-    Joins the plan back by (doc_id, crc32); rows that repeat both go together.
+    Joins the plan back by (doc_id, crc32 of the text); rows that repeat both go
+    together.  All columns are kept, whatever their names, but one named
+    ``shard``, which the folder replaces.  Null ids and texts (read as empty) are
+    placed like others; an empty table writes no rows.
     """
+    own, crc_of, place = (fresh_name(docs.columns, c) for c in ("shard_id", "shard_crc", "shard_slot"))
+    docs = docs.drop("shard")
     plan = materialize(shard_rows(docs, shards), "shard-plan").groupBy("doc_id", "text_crc32").agg(
-        F.min("shard").alias("_shard"), F.min("slot").alias("_slot"))
+        F.min("shard").alias("shard"), F.min("slot").alias(place))
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "_shard", "_slot")
-    (docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc")))
-     .drop("_id", "_crc").repartitionByRange(shards * 4, "_shard", "_slot")
-     .sortWithinPartitions("_shard", "_slot").withColumnRenamed("_shard", "shard").drop("_slot")
+    plan = plan.select(F.col("doc_id").alias(own), F.col("text_crc32").alias(crc_of), "shard", place)
+    (docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (crc == F.col(crc_of)))
+     .drop(own, crc_of).repartitionByRange(shards * 4, "shard", place)
+     .sortWithinPartitions("shard", place).drop(place)
      .write.partitionBy("shard").parquet(path))

@@ -372,10 +372,15 @@ def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the least id.
 
-    Rows whose text has no shingles stay; rows that repeat the least id are
-    reduced to one.  Rows with a null id stay (they cannot be named).
+    Rows whose text has no shingles (null, empty, blank) stay.  Rows are matched by
+    doc_id; rows that repeat an id with the same text are reduced to one.  Rows with a
+    null id stay (they cannot be named).  An empty table gives no rows; all
+    columns are kept.
     """
-    comp = similar_components(docs, percent, width)
+    comp = materialize(similar_components(docs, percent, width), "jaccard-rows")
     gone = sized(materialize(comp.where("component_id < doc_id").select("doc_id").distinct(), "jaccard-gone"))
     stay = docs.join(gone, "doc_id", "left_anti")
-    return stay
+    if comp.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return stay
+    named = stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(stay.where("doc_id IS NULL"))

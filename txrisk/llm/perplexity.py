@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.spark_io import conf_int, materialize, sized, text_slices
+from txrisk.llm.spark_io import conf_int, discard, fresh_name, materialize, sized, stored, text_slices
 from txrisk.llm.words import SPACE, find_words, hash_ranges, mix, window_hash
 
 PAIR_SHARE = 2.0**-20
@@ -41,7 +41,8 @@ _WORD = np.uint64((1 << 48) - 1)  # bits of a word's hash
 _START = np.uint64(0)      # stands before a text's first word
 BUCKET_BYTES = 16 << 20    # of text for each bucket
 _ONE = float(1 << 19)      # fixed point of log probabilities: the least, log 1e-12, has 24 bits
-RUN_POSTINGS = 2_000_000   # tail bigrams that a scoring task sends at a time
+RUN_POSTINGS = 1_000_000   # tail bigrams that a scoring task sends at a time
+HELD_PAIRS = 1_500_000     # bigrams that a counting task holds
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -67,6 +68,7 @@ class Fitted:
     model: Model
     tail: DataFrame  # bucket, x (sorted keys), y (minus their logs); grows with the corpus
     buckets: int
+    scratch: list    # folders that may go once texts are scored
 
 
 def _pairs_of(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,30 +103,33 @@ def _word_hashes(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray):
 
 
 class _Counter:
-    """Counts of bigrams in sorted runs, merged now and then."""
+    """Counts of bigrams, merged whenever ``limit`` of them wait."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
         self.runs: list[tuple[np.ndarray, ...]] = []
-        self.waiting, self.limit = 0, 4_000_000
+        self.waiting, self.limit = 0, limit
 
-    def add(self, keys: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether different bigrams fill half of the bound, so that they should be sent."""
         self.runs.append((keys, before, after, counts))
         self.waiting += len(counts)
-        if self.waiting > self.limit:
-            self.total()
+        if self.waiting <= self.limit:
+            return False
+        self.total()
+        return self.waiting > self.limit // 2
 
     def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """before, after and count of each different bigram."""
         if not self.waiting:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         keys, before, after, counts = (np.concatenate(x) for x in zip(*self.runs))
+        self.runs = []
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         at = order[first]
         self.runs = [(keys[first], before[at], after[at], np.add.reduceat(counts[order], first))]
         self.waiting = len(first)
-        self.limit = max(4_000_000, 2 * self.waiting)
         return self.runs[0][1:]
 
 
@@ -139,12 +144,20 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def _planes(a: np.ndarray, width: int = 4) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _planes(a: np.ndarray, width: int = 0) -> bytes:
+    """Byte planes of whole numbers; without a width, as many as the greatest needs,
+    and their number first."""
+    head = b""
+    if not width:
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head = bytes([width])
+    return head + np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unplanes(b: bytes, width: int = 4) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
+def _unplanes(b: bytes, width: int = 0) -> np.ndarray:
+    at = 0 if width else 1
+    width = width or b[0]
+    planes = np.frombuffer(b, np.uint8, offset=at).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel().astype(np.int64)
@@ -204,25 +217,38 @@ def fit(docs: DataFrame) -> Fitted:
     buckets = max(conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-size // BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+        counter = _Counter(HELD_PAIRS)
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
             before, after = _pairs_of(h, w.ptr)
-            counter.add(_pair_keys(before, after), before, after, np.ones(len(after), np.int64))
+            if counter.add(_pair_keys(before, after), before, after, np.ones(len(after), np.int64)):
+                yield _table(RUNS, _runs(counter, buckets))
+                counter = _Counter(HELD_PAIRS)
         yield _table(RUNS, _runs(counter, buckets))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+        """Runs sorted by bucket: one bucket is held at a time."""
+        tally, now, counter = np.zeros(8, "<i8"), None, _Counter(HELD_PAIRS)
+
+        def close() -> pa.RecordBatch:
+            before, _, counts = counter.total()
+            tally[:] += np.array([*_tally(counts[before != _START]), counts.sum()])  # the last counts all words
+            return _table(RUNS, _runs(counter, buckets))
+
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("before", "after", "counts"))):
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "before", "after", "counts"))):
+                if bucket != now:
+                    if now is not None:
+                        yield close()
+                    now, counter = bucket, _Counter(HELD_PAIRS)
                 before, after, counts = _bigrams(*row)
                 counter.add(_pair_keys(before, after), before, after, counts)
-        before, _, counts = counter.total()
-        tally = np.array([*_tally(counts[before != _START]), counts.sum()], "<i8")  # the last counts all words
-        yield _table(RUNS, [*_runs(counter, buckets), (None, None, None, tally.tobytes())])
+        if now is not None:
+            yield close()
+        yield _table(RUNS, [(None, None, None, tally.tobytes())])
 
-    pairs = materialize(different_texts(docs).mapInArrow(count, RUNS).repartition(buckets, "bucket")
-                        .mapInArrow(merge, RUNS), "quality-pairs")
+    pairs, pairs_at = stored(different_texts(docs).mapInArrow(count, RUNS).repartition(buckets, "bucket")
+                             .sortWithinPartitions("bucket").mapInArrow(merge, RUNS), "quality-pairs")
     *tally, words = _added(pairs)
     bigrams = pairs.where("bucket IS NOT NULL")
     least = max(1, int(np.ceil(words * PAIR_SHARE)))
@@ -247,8 +273,8 @@ def fit(docs: DataFrame) -> Fitted:
         yield _table(LEFT, [*((b, home, _planes(left[inv[x:y]])) for (b, home, *_), x, y in zip(asked, cut[:-1], cut[1:])),
                             (None, None, np.array(_tally(left), "<i8").tobytes())])
 
-    left = materialize(bigrams.mapInArrow(ask, ASKED).repartition(buckets, "home").mapInArrow(answer, LEFT),
-                       "quality-left")
+    left, left_at = stored(bigrams.mapInArrow(ask, ASKED).repartition(buckets, "home").mapInArrow(answer, LEFT),
+                           "quality-left")
     *few, more, seen, types = _added(left)
     low = _discounts(few)
     # no discount is above its count, so what they take adds up from how many words have which count
@@ -278,13 +304,15 @@ def fit(docs: DataFrame) -> Fitted:
         out += [(4, i, _pack(key[o]), _planes(-log[o], 3)) for i, o in _split(_home(key, 56, buckets), buckets)]
         return pa.Table.from_batches([_table(LOGS, out)])
 
-    logs = materialize(bigrams.groupBy("bucket").cogroup(left.where("bucket IS NOT NULL").groupBy("bucket"))
-                       .applyInArrow(finish, LOGS), "quality-logs")
+    logs, logs_at = stored(bigrams.groupBy("bucket").cogroup(left.where("bucket IS NOT NULL").groupBy("bucket"))
+                           .applyInArrow(finish, LOGS), "quality-logs")
+    discard(spark, pairs_at, left_at)
     common = logs.where("kind = 0").select("x", "y").collect()  # bounded by PAIR_SHARE
     keys = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r["x"]) for r in common)])
     values = np.concatenate([np.zeros(0, np.int64), *(-_unplanes(r["y"], 3) for r in common)])
     order = np.argsort(keys)
-    return Fitted(Model(keys[order], values[order]), logs.where("kind = 4").select("bucket", "x", "y"), buckets)
+    return Fitted(Model(keys[order], values[order]), logs.where("kind = 4").select("bucket", "x", "y"), buckets,
+                  [logs_at])
 
 
 def _added(table: DataFrame) -> list[int]:
@@ -383,7 +411,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             yield _postings(slice_id, *map(np.concatenate, zip(*held)), buckets)
 
     columns = ", ".join(["slice long, place long", SCORES, "log_sum long", POSTINGS])
-    both = materialize(docs.mapInArrow(run, columns), "quality-scored")
+    both, scored_at = stored(docs.mapInArrow(run, columns), "quality-scored")
+    fitted.scratch.append(scored_at)
     tail = tail_sums(both.where("bucket IS NOT NULL").select("slice", *(c.split()[0] for c in POSTINGS.split(", "))),
                      fitted)
     whole = F.col("log_sum") + F.coalesce("tail_sum", F.lit(0))
@@ -453,7 +482,9 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     columns are not read.  Texts of any length are read whole.
     """
     slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    scores = materialize(score(slim, fit(slim)), "quality-scores")
+    fitted = fit(slim)
+    scores = materialize(score(slim, fitted), "quality-scores")
+    discard(docs.sparkSession, *fitted.scratch)
     limits = sized(materialize(bands(scores, below, above), "quality-bands"))
     limits = limits.withColumnRenamed("lang", "_lang")
     ok = ~F.col("base_failed") & F.col("log_ppl").between(F.col("lower"), F.col("upper"))
@@ -463,12 +494,14 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
 
 
 def keep_good(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
 
-    Rows are matched by doc_id; if an id has several texts, all of them stay
+    A null text has no words and goes; an empty table gives no rows.  Rows are
+    matched by doc_id; if an id has several texts, all of them stay
     where one is kept.  Rows with a null id are dropped with the rejected only
     if all rows with null ids are rejected.
     """
+    gone_id = fresh_name(docs.columns, "gone_id")
     kept = materialize(judge_quality(docs, below, above).groupBy("doc_id").agg(F.max("kept").alias("kept")), "quality-kept")
-    gone = sized(kept.where("NOT kept").select(F.col("doc_id").alias("_id")))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = sized(kept.where("NOT kept").select(F.col("doc_id").alias(gone_id)))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)), "left_anti")

@@ -18,12 +18,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and reread it.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, never
-    the steps before.  Files stay until the folder is cleaned by its owner.
+    the steps before.  Files stay until ``discard`` or until the folder is cleaned
+    by its owner.
     """
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialize``, and the folder it wrote."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that ``stored`` wrote, once nothing reads them any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -64,3 +77,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 yield batch.slice(run, i - run), buf[off[0]:off[-1]], off - off[0]
                 run, size = i, 0
             size += n or 0
+
+
+def fresh_name(taken: list[str], base: str) -> str:
+    """A column name that is not among ``taken`` (compared as Spark does, without case)."""
+    have, name = {c.lower() for c in taken}, base
+    while name.lower() in have:
+        name += "_"
+    return name

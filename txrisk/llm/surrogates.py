@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.spark_io import materialize, sized
+from txrisk.llm.spark_io import materialize
 
 # FIXED VALUES: what is looked for; the first alternative that fits decides.
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}+"
@@ -35,7 +35,14 @@ _SECRET = (r"(?<![\p{L}\d])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}
 _TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "г-н"],
            "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "г-жа"], "": ["Dr", "Prof"]}
 _TITLE = r"(?:(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? )"
-_CAPITAL = r"(?=\p{Lu}[\p{L}\p{M}'’\-])\p{Lu}[\p{L}\p{M}]*+(?:['’\-]\p{L}[\p{L}\p{M}]++)*+"
+# words that end a name though they are capitalised: days, months, sentence starts
+_STOPS = ("Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August "
+          "September October November December Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar "
+          "Februar März Mai Juni Juli Oktober Dezember Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Janvier "
+          "Février Mars Avril Juin Juillet Août Septembre Octobre Novembre Décembre Lunes Martes Miércoles Jueves "
+          "Viernes Sábado Domingo Enero Febrero Marzo Abril Mayo Junio Julio Agosto Septiembre Noviembre Diciembre "
+          "And But The On In At He She They It We When Then After Before").split()
+_CAPITAL = r"(?!(?:" + "|".join(_STOPS) + r")(?![\p{L}\p{N}]))(?=\p{Lu}[\p{L}\p{M}'’\-])\p{Lu}[\p{L}\p{M}]*+(?:['’\-]\p{L}[\p{L}\p{M}]++)*+"
 _BETWEEN = (r"(?:(?:\p{Lu}\.|van|von|vom|der|den|dem|des|de|del|della|di|da|do|dos|das|du|la|le|les|los|las|zu|zum|zur"
             r"|ten|ter|te|y|e|bin|ibn|al|el|af|av|фон|де|дер) )")  # initials and particles
 _NAME = r"(?<![\p{L}])" + _TITLE + "+" + _BETWEEN + "*" + _CAPITAL + "(?: " + _BETWEEN + "*" + _CAPITAL + ")*"
@@ -239,7 +246,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     ids are not used, so null or repeated ones do no harm, and equal rows get
     equal results.  An empty table gives no rows.  A column already named
     ``n_entities`` is replaced.  Names are found behind a title, with all their
-    words; each of these is then replaced wherever it stands in the same text.
+    words up to a day, a month or a sentence's first word; each of these is then
+    replaced wherever it stands in the same text.
     """
     mentions = materialize(mention_table(docs), "pii-mentions")
     forms = materialize(normal_forms(mentions), "pii-forms")
@@ -257,12 +265,14 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
             .agg(F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_bare")))
     of_text = materialize(of_text.join(bare, "text_key", "left").withColumnRenamed("text_key", "_key"), "pii-texts")
 
-    text = F.col("text").cast("string")
+    # the caller's columns travel in one struct, so none can meet a name used here
+    text = F.col("_text")
     kept = [c for c in docs.columns if c != "n_entities"]
-    key_of = F.unhex(F.md5(text.cast("binary")))
-    hinted = docs.select(*kept).withColumn("_k", F.when(text.rlike(HINT), key_of))
-    plain = hinted.where("_k IS NULL").withColumn("text", text).withColumn("n_entities", F.lit(0).cast("long"))
-    found = hinted.where("_k IS NOT NULL").join(sized(of_text, 100_000), F.col("_k") == F.col("_key"), "left")
+    hinted = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in kept]).alias("_row"),
+                         F.col("text").cast("string").alias("_text"))
+    hinted = hinted.withColumn("_k", F.when(text.rlike(HINT), F.unhex(F.md5(text.cast("binary")))))
+    plain = hinted.where("_k IS NULL").withColumn("n_entities", F.lit(0).cast("long"))
+    found = hinted.where("_k IS NOT NULL").join(_broadcast_up_to(of_text), F.col("_k") == F.col("_key"), "left")
     found = found.withColumn("_m", F.when(F.col("_out").isNotNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     found = found.withColumn("_p", F.when(F.col("_out").isNotNull(), F.split(text, PATTERN, -1)))
     of = lambda w: F.try_element_at(F.col("_bare"), F.lower(w))
@@ -280,6 +290,12 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
         F.coalesce(F.try_element_at(F.col("_out"), F.get(F.col("_m"), i)), F.lit("")))), "")
     count = F.coalesce(F.greatest(F.size("_m"), F.lit(0)), F.lit(0)) + F.when(F.col("_bare").isNull(), 0).otherwise(alone)
     found = (found.withColumn("n_entities", count.cast("long"))
-             .withColumn("text", F.when(F.col("_m").isNull(), text).otherwise(woven)))
-    columns = [*kept, "n_entities"]
-    return plain.select(*columns).unionByName(found.select(*columns))
+             .withColumn("_text", F.when(F.col("_m").isNull(), text).otherwise(woven)))
+    both = plain.select("_row", "_text", "n_entities").unionByName(found.select("_row", "_text", "n_entities"))
+    return both.select(*[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in kept], "n_entities")
+
+
+def _broadcast_up_to(of_text: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Marked for broadcast if all its replacements take at most ``most`` bytes as text."""
+    size = F.octet_length(F.to_json(F.struct("_out", "_bare"))).cast("long") + 64
+    return F.broadcast(of_text) if (of_text.agg(F.sum(size)).first()[0] or 0) <= most else of_text
