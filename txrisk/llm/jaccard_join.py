@@ -33,6 +33,7 @@ COMMON_SHARE = 2.0**-20  # share of repeated shingles from which one counts as c
 LEAST_COMMON = 3
 RUN_SHINGLES = 4_000_000  # shingles that a task counts at a time
 STAR_ROUNDS = 2
+HELD_SETS = 1 << 20      # names of sets that a task remembers
 ENTRY_COST = 8           # subsets that cost as much as a list entry, which also leads to pairs to check
 
 
@@ -205,28 +206,35 @@ def list_entries(docs: DataFrame, width: int, t: Threshold, light: int,
 
     Sets that may meet a heavy one enter the lists of their first
     n - least_overlap + 1 shingles (rare before common, then by hash): linked
-    sets share one of these.  ``at`` is the shingle's place in that order.
+    sets share one of these.  ``at`` is the shingle's place in that order.  A
+    task enters a set once, however many of its texts have it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     least = t.least(light + 1)  # a heavy set has more than `light` shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, power = shared.value
+        seen: set[bytes] = set()  # sets that this task has entered
         for _, buf, off in text_slices(batches):
             parts, keys, sizes, at, small = [], [], [], [], []
             for s in _sets(buf, off, width):
-                n = len(s)
+                n, key = len(s), _key(s)
+                if key in seen:
+                    continue
+                if len(seen) >= HELD_SETS:
+                    seen.clear()  # entered again, and made one where the lists are
+                seen.add(key)
                 if 0 < n <= light:
                     for h, is_small in _subset_hashes(s, t, light):
                         parts.append(h)
-                        keys.append(_key(s))
+                        keys.append(key)
                         sizes.append(n)
                         at.append(np.full(len(h), -1))
                         small.append(np.full(len(h), is_small))
                 if n and n >= least:
                     p = n - t.least(n) + 1
                     parts.append(_ordered(s, hot, power)[:p])
-                    keys.append(_key(s))
+                    keys.append(key)
                     sizes.append(n)
                     at.append(np.arange(p))
                     small.append(np.zeros(p, bool))
@@ -322,19 +330,20 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     spark: SparkSession = docs.sparkSession
     comp = spark.createDataFrame([], "k binary, c binary")
     common = common_shingles(docs, width)
-    entries = materialize(list_entries(docs, width, t, light, common).groupBy("s", "k", F.col("at").isNull().alias("sub"))
-                          .agg(F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small")),
-                          "jaccard-entries")
+    # one shuffle by shingle: equal sets are made one, and lists of a single set end there
+    at_list = list_entries(docs, width, t, light, common).repartition("s")
+    once = at_list.groupBy("s", "k", F.col("at").isNull().alias("sub")).agg(
+        F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small"))
+    several = once.groupBy("s").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("s")
+    entries = materialize(once.join(several, "s", "left_semi"), "jaccard-entries")
     if light:
         pairs = subset_links(entries.where("sub").select("s", "k", "small"))
         found = materialize(check_pairs(docs, pairs, classes, width, t), "jaccard-light-links")
         comp = materialize(connected_components(found), "jaccard-comp")
 
-    entries = entries.where("NOT sub").select("s", "k", "n", "at")
-    shared = entries.groupBy("s").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("s")
-    lists = materialize(entries.join(shared, "s", "left_semi"), "jaccard-lists")
-    rank = lists.groupBy("k").agg(F.count(F.lit(1)).alias("shared"))
-    lists = materialize(lists.join(rank, "k"), "jaccard-lists")
+    lists = entries.where("NOT sub").select("s", "k", "n", "at")
+    rank = materialize(lists.groupBy("k").agg(F.count(F.lit(1)).alias("shared")), "jaccard-rank")
+    lists = materialize(lists.join(sized(rank), "k"), "jaccard-lists")
 
     for turn in range(STAR_ROUNDS):
         members = materialize(_open_lists(lists, comp), "jaccard-open")
@@ -364,7 +373,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
 
 def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
     """Entries with their component ``c``, of lists that span several components."""
-    members = lists.join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    members = lists.join(sized(comp), "k", "left").withColumn("c", F.coalesce("c", "k"))
     spans = members.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("s")
     return members.join(spans, "s", "left_semi")
 
