@@ -249,7 +249,7 @@ def fit(docs: DataFrame) -> Fitted:
 
     pairs, pairs_at = stored(different_texts(docs).mapInArrow(count, RUNS).repartition(buckets, "bucket")
                              .sortWithinPartitions("bucket").mapInArrow(merge, RUNS), "quality-pairs")
-    *tally, words = _added(pairs)
+    *tally, words = _added(pairs, 8)
     bigrams = pairs.where("bucket IS NOT NULL")
     least = max(1, int(np.ceil(words * PAIR_SHARE)))
     d = _discounts(tally[:4])
@@ -275,7 +275,7 @@ def fit(docs: DataFrame) -> Fitted:
 
     left, left_at = stored(bigrams.mapInArrow(ask, ASKED).repartition(buckets, "home").mapInArrow(answer, LEFT),
                            "quality-left")
-    *few, more, seen, types = _added(left)
+    *few, more, seen, types = _added(left, 7)
     low = _discounts(few)
     # no discount is above its count, so what they take adds up from how many words have which count
     taken = low[1] * few[0] + low[2] * few[1] + low[3] * more
@@ -315,10 +315,10 @@ def fit(docs: DataFrame) -> Fitted:
                   [logs_at])
 
 
-def _added(table: DataFrame) -> list[int]:
-    """Sum of the tallies, one of each task."""
+def _added(table: DataFrame, size: int) -> list[int]:
+    """Sum of the tallies of ``size`` numbers, one of each task (none for an empty table)."""
     rows = table.where("bucket IS NULL").select("counts").collect()
-    return np.sum([np.frombuffer(r["counts"], "<i8") for r in rows], axis=0).tolist()
+    return np.sum([np.zeros(size, "<i8"), *(np.frombuffer(r["counts"], "<i8") for r in rows)], axis=0).tolist()
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
