@@ -74,3 +74,30 @@ def test_sender_state_across_micro_batches_equals_batch(spark, tmp_path):
         .toPandas().set_index("tx_id").sort_index()
     assert (got["sender_tx_count"] == exp["sender_tx_count"]).all()
     assert ((got["sender_avg_gas"] - exp["sender_avg_gas"]).abs() < 1e-9).all()
+
+
+def test_sender_batches_equal_batch_with_a_hot_sender(spark, tmp_path, monkeypatch):
+    """R1 by ranged scans: one sender owns over half of the rows, state passes through whole tables."""
+    from txrisk.operators.features import sender_features
+    from txrisk.operators.scan import Ranges
+    from txrisk.plans.incremental import sender_snapshot
+    monkeypatch.setattr(J, "COMPACT", 2)
+    rows = [(i, 1_000_000 + 10 * (i // 2), None if i % 11 == 0 else "hot" if i % 7 < 4 else f"s{i % 5}",
+             None if i % 13 == 0 else str(10**9 * (1 + i % 17))) for i in range(400)]
+    tx = spark.createDataFrame(rows, "tx_id long, timestamp_ms long, from_addr string, gas_price string")
+    src, edges = str(tmp_path / "src"), [1_000_000, 1_000_400, 1_000_800, 1_001_200, 1_001_600, 1_002_000]
+    for a, b in zip(edges[1:-1], edges[2:]):
+        tx.where(f"timestamp_ms >= {a} AND timestamp_ms < {b}").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    writer = J.sender_state_batches(sender_snapshot(tx, edges[1]), rows_per_range=20)
+    out = J.run_available_now(spark, stream, "r1b", foreach_batch=writer)
+    assert os.path.exists(f"{out}/whole/batch=1") and len(os.listdir(f"{out}/added")) == 4
+    before = J.sender_rows(spark, out).orderBy("tx_id").collect()
+    writer(tx.where(f"timestamp_ms >= {edges[4]}"), 3, out)  # a retried batch writes the same
+    got = J.sender_rows(spark, out).toPandas().set_index("tx_id").sort_index()
+    assert [tuple(r) for r in before] == [tuple(r) for r in got.reset_index().itertuples(index=False)]
+    exp = sender_features(tx, Ranges("timestamp_ms", (-float("inf"), float("inf")))) \
+        .where("tx_id >= 80").toPandas().set_index("tx_id").sort_index()
+    assert (got["sender_tx_count"] == exp["sender_tx_count"]).all() and len(got) == len(exp) == 320
+    assert ((got["sender_avg_gas"] - exp["sender_avg_gas"]).abs() < 1e-9).all()

@@ -31,6 +31,28 @@ def q_stream_sender_state(spark, sf_dir):
     return round_doubles(spark.read.parquet(out))
 
 
+@register("stream_sender_batches", f"""WITH {dataset_sql()}
+SELECT tx_id, sender_tx_count, round(sender_avg_gas, 6) AS sender_avg_gas FROM feat
+WHERE timestamp_ms >= {_VAL_START}""")
+def q_stream_sender_batches(spark, sf_dir):
+    """R1 by ranged scans per micro-batch (no Python worker holds a sender's rows): the rows from
+    the val start arrive in time order in three deliveries, after a snapshot of all earlier ones."""
+    import os
+    import uuid
+    from txrisk.session import checkpoint_dir
+    path = os.path.join(checkpoint_dir(spark), "arrivals", uuid.uuid4().hex)
+    tx = tx_view(spark, sf_dir).select("tx_id", S.SORT_KEY, "from_addr", "gas_price")
+    late = tx.where(F.col(S.SORT_KEY) >= F.lit(_VAL_START))
+    lo, hi = late.agg(F.min(S.SORT_KEY), F.max(S.SORT_KEY)).first()
+    third = F.lit(0) if lo is None else F.floor((F.col(S.SORT_KEY) - lo) * 3 / F.lit(hi - lo + 1)).cast("int")
+    for i in range(3):
+        late.where(third == i).repartition(4).write.mode("append").parquet(path)  # four files are one delivery
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = J.run_available_now(spark, stream, "sender_batches",
+                              foreach_batch=J.sender_state_batches(sender_snapshot(tx, _VAL_START)))
+    return round_doubles(J.sender_rows(spark, out))
+
+
 @register("stream_arrival_windows", f"""WITH tx AS ({TX_SQL}),
 w AS (SELECT (timestamp_ms // 5000) * 5000 - r.k * 5000 AS ws FROM tx CROSS JOIN range(12) AS r(k))
 SELECT ws AS window_start_ms, ws + 60000 AS window_end_ms, count(*) AS n FROM w GROUP BY ws""")

@@ -142,6 +142,61 @@ def sender_state_stream(tx_stream: DataFrame, snapshot: DataFrame | None = None)
     return out.unionByName(nulls)
 
 
+STATE = "from_addr string, _pre_count long, _pre_gas_sum double"
+COMPACT = 16  # batches between two whole tables of the state
+
+
+def sender_state(spark: SparkSession, out: str, batch_id: int, snapshot: DataFrame | None = None) -> DataFrame:
+    """State of every sender before a batch: the last whole table (the snapshot
+    at first) and what the batches since then added."""
+    whole = batch_id // COMPACT * COMPACT - 1
+    parts = [snapshot.select("from_addr", "_pre_count", "_pre_gas_sum")] if whole < 0 and snapshot is not None else []
+    paths = [f"{out}/whole/batch={whole}"] if whole >= 0 else []
+    paths += [f"{out}/added/batch={i}" for i in range(whole + 1, batch_id)]
+    if paths:
+        parts.append(spark.read.schema(STATE).parquet(*paths))
+    if not parts:
+        return spark.createDataFrame([], STATE)
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy("from_addr").agg(F.sum("_pre_count").alias("_pre_count"),
+                                          F.sum("_pre_gas_sum").alias("_pre_gas_sum"))
+
+
+def sender_state_batches(snapshot: DataFrame | None = None, rows_per_range: int | None = None):
+    """R1 as a foreachBatch writer: the same rows as ``sender_state_stream``, with
+    no Python and no task that holds a sender's rows.  A batch runs through the
+    ranged scans of the batch build, so a sender with most of its rows is spread
+    over time ranges; what it adds per sender is combined where rows are read.
+    Each folder belongs to one batch and is overwritten if the batch is retried.
+    """
+    from txrisk.operators.features import past_gas, plan_time_ranges, with_sender_features
+
+    def write(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        arrived = batch.select("tx_id", S.SORT_KEY, "from_addr", past_gas().alias("_g"))
+        arrived.write.mode("overwrite").parquet(f"{out}/arrived/batch={batch_id}")  # the source is read once
+        rows = spark.read.schema(arrived.schema).parquet(f"{out}/arrived/batch={batch_id}")
+        before = sender_state(spark, out, batch_id, snapshot)
+        met = rows.select("from_addr").distinct()
+        done = with_sender_features(rows, plan_time_ranges(rows, rows_per_range), before.join(met, "from_addr", "left_semi"))
+        done.select("tx_id", "sender_tx_count", "sender_avg_gas") \
+            .write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        added = rows.where(F.col("from_addr").isNotNull()).groupBy("from_addr").agg(
+            F.count(F.lit(1)).alias("_pre_count"), F.sum("_g").alias("_pre_gas_sum"))
+        added.write.mode("overwrite").parquet(f"{out}/added/batch={batch_id}")
+        if batch_id % COMPACT == COMPACT - 1:
+            now = before.unionByName(spark.read.schema(STATE).parquet(f"{out}/added/batch={batch_id}"))
+            now.groupBy("from_addr").agg(F.sum("_pre_count").alias("_pre_count"), F.sum("_pre_gas_sum").alias("_pre_gas_sum")) \
+               .write.mode("overwrite").parquet(f"{out}/whole/batch={batch_id}")
+    return write
+
+
+def sender_rows(spark: SparkSession, out: str) -> DataFrame:
+    """(tx_id, sender_tx_count, sender_avg_gas) that ``sender_state_batches`` wrote."""
+    return spark.read.schema("tx_id long, sender_tx_count float, sender_avg_gas double, batch long") \
+        .parquet(f"{out}/rows").drop("batch")
+
+
 # ---------------------------------------------------------------------------
 # R2: arrival counts in sliding event-time windows
 # ---------------------------------------------------------------------------
