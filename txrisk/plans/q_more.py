@@ -316,6 +316,37 @@ def q_gbt(spark, sf_dir):
     return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))
 
 
+@register("gbt_ranked_rounds")
+def q_gbt_ranked(spark, sf_dir):
+    """L2 + A8: boosted trees per task with the rounds that rank the val split best (AUC; AP for MEV).
+    Shallow and short beside the defaults (depth 8, 1000 rounds, patience 50): a round costs the same
+    jobs on a small table as on a large one.  (Fitted trees: no SQL twin.)"""
+    from txrisk.operators.boosted import fit_ranked_gbt, round_report
+    ds = dataset(spark, sf_dir)
+    fits = fit_ranked_gbt(ds.where(F.col("split") == "train"), ds.where(F.col("split") == "val"),
+                          max_iter=24, patience=8, max_depth=4, step=0.2)
+    return round_doubles(round_report(spark, fits))
+
+
+@register("logreg_as_columns")
+def q_logreg_as_columns(spark, sf_dir):
+    """L3 + L5 + S11: the linear heads written as a table of coefficients, read back and scored on the
+    test split as plain column expressions; metric bundle.  (Iterative solver: no SQL twin.)"""
+    import os
+    import uuid
+    from txrisk.operators.baselines import fit_logreg
+    from txrisk.operators.boosted import HEADS, linear_scores, linear_table
+    from txrisk.session import checkpoint_dir
+    ds = dataset(spark, sf_dir)
+    train = ds.where(F.col("split") == "train")
+    path = os.path.join(checkpoint_dir(spark), "models", f"heads-{uuid.uuid4().hex}")
+    linear_table(train, fit_logreg(train), S.FeatureSet.preset("numeric_only").columns).write.parquet(path)
+    heads = spark.read.schema(HEADS).parquet(path).collect()  # one row per task and column
+    scores = linear_scores(ds.where(F.col("split") == "test"), heads, ["tx_id", *S.LABEL_COLUMNS]) \
+        .withColumn("run_id", F.lit("logreg"))
+    return round_doubles(M.metric_bundle(M.unpivot_tasks(scores, keep=["run_id", "tx_id"]), by=["run_id"]))
+
+
 def _store_sql() -> str:
     from txrisk.plans.q_metrics import bundle_sql
     inner = scored_runs_sql() + bundle_sql("run_id")
