@@ -334,7 +334,10 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, t: Threshold, l
     at_list = list_entries(docs, width, t, light, common).repartition("s")
     once = at_list.groupBy("s", "k", F.col("at").isNull().alias("sub")).agg(
         F.first("n").alias("n"), F.min("at").alias("at"), F.max("small").alias("small"))
-    several = once.groupBy("s").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("s")
+    # this side reads all columns, so that it has the same shuffle and entries are not made a second time
+    name, rest = F.xxhash64("k"), F.xxhash64("n", "at", "small")
+    several = (at_list.groupBy("s").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"), F.max(rest).alias("_rest"))
+               .where("_lo <> _hi OR _rest IS NULL").select("s"))
     entries = materialize(once.join(several, "s", "left_semi"), "jaccard-entries")
     if light:
         pairs = subset_links(entries.where("sub").select("s", "k", "small"))
