@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from txrisk.session import checkpoint_dir
 
+#: Whether a query's shuffle files go when it ends, not when the driver's garbage collector meets them.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and reread it.
@@ -25,10 +28,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``materialize``, and the folder it wrote."""
+    """``materialize``, and the folder it wrote.
+
+    The shuffle files of the write are deleted when it ends: what follows reads
+    the table, and a lost executor's tasks are done again while it runs.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
