@@ -23,6 +23,7 @@ from txrisk.llm.spark_io import materialize, text_slices
 from txrisk.llm.token_counts import tokenizer_path
 from txrisk.llm.units import encoder
 
+SLICE_BYTES = 2 << 20  # of texts tokenized at a time: a task holds some forty times as much
 PLAN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("seq", "i8"), ("at", "i8")])
 
 
@@ -80,7 +81,7 @@ def piece_table(docs: DataFrame, tokenizer: str, room: int, end_id: int) -> Data
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path(tokenizer))
-        for rows, buf, off in text_slices(batches):
+        for rows, buf, off in text_slices(batches, limit=SLICE_BYTES):
             ids, counts = enc.encode(buf, off)
             docs_, piece, start, length, crc = [], [], [], [], []
             at = 0

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm.components import connected_components, extend_components
-from txrisk.llm.spark_io import materialize, sized, text_slices
+from txrisk.llm.spark_io import materialize, sized, text_slices, tidy
 from txrisk.llm.words import LOWER, find_words, hash_ranges, mix, shingle_set
 
 MAX_LIGHT = 32           # largest size at which the light side is considered
@@ -115,7 +115,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()),
                  pa.array(sketch, pa.binary())], ["doc_id", "n", "k", "sketch"])
-    return _slim(docs).mapInArrow(run, "doc_id long, n long, k binary, sketch binary")
+    return _slim(docs).mapInArrow(tidy(run), "doc_id long, n long, k binary, sketch binary")
 
 
 def choose_boundary(sizes: dict[int, int], t: Threshold) -> int:
@@ -182,7 +182,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
                 yield report()
         yield report()
 
-    counts = materialize(_slim(docs).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")),
+    counts = materialize(_slim(docs).mapInArrow(tidy(run), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")),
                          "jaccard-shingles")
     total = counts.agg(F.sum("c")).first()[0] or 0
     rows = counts.where(F.col("c") > F.lit(max(LEAST_COMMON, total * COMMON_SHARE))).toPandas()
@@ -249,7 +249,7 @@ def list_entries(docs: DataFrame, width: int, t: Threshold, light: int,
                  pa.array(place.astype(np.int64), mask=place < 0), pa.array(np.concatenate(small))],
                 ["s", "k", "n", "at", "small"])
 
-    return _slim(docs).mapInArrow(run, "s long, k binary, n long, at long, small boolean")
+    return _slim(docs).mapInArrow(tidy(run), "s long, k binary, n long, at long, small boolean")
 
 
 def sketch_pairs(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
@@ -261,7 +261,7 @@ def sketch_pairs(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("x" + c))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def check_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, t: Threshold) -> DataFrame:
@@ -278,7 +278,7 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: in
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["k", "s"])
 
     sets = materialize(_slim(docs).join(sized(need), "doc_id", "left_semi")
-                       .mapInArrow(run, "k binary, s array<long>").dropDuplicates(["k"]), "jaccard-sets")
+                       .mapInArrow(tidy(run), "k binary, s array<long>").dropDuplicates(["k"]), "jaccard-sets")
     with_b = pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.spark_io import conf_int, discard, fresh_name, materialize, sized, stored, text_slices
+from txrisk.llm.spark_io import conf_int, discard, fresh_name, materialize, sized, stored, text_slices, tidy
 from txrisk.llm.words import SPACE, find_words, hash_ranges, mix, window_hash
 
 PAIR_SHARE = 2.0**-20
@@ -247,8 +247,8 @@ def fit(docs: DataFrame) -> Fitted:
             yield close()
         yield _table(RUNS, [(None, None, None, tally.tobytes())])
 
-    pairs, pairs_at = stored(different_texts(docs).mapInArrow(count, RUNS).repartition(buckets, "bucket")
-                             .sortWithinPartitions("bucket").mapInArrow(merge, RUNS), "quality-pairs")
+    pairs, pairs_at = stored(different_texts(docs).mapInArrow(tidy(count), RUNS).repartition(buckets, "bucket")
+                             .sortWithinPartitions("bucket").mapInArrow(tidy(merge), RUNS), "quality-pairs")
     *tally, words = _added(pairs, 8)
     bigrams = pairs.where("bucket IS NOT NULL")
     least = max(1, int(np.ceil(words * PAIR_SHARE)))
@@ -273,7 +273,7 @@ def fit(docs: DataFrame) -> Fitted:
         yield _table(LEFT, [*((b, home, _planes(left[inv[x:y]])) for (b, home, *_), x, y in zip(asked, cut[:-1], cut[1:])),
                             (None, None, np.array(_tally(left), "<i8").tobytes())])
 
-    left, left_at = stored(bigrams.mapInArrow(ask, ASKED).repartition(buckets, "home").mapInArrow(answer, LEFT),
+    left, left_at = stored(bigrams.mapInArrow(tidy(ask), ASKED).repartition(buckets, "home").mapInArrow(tidy(answer), LEFT),
                            "quality-left")
     *few, more, seen, types = _added(left, 7)
     low = _discounts(few)
@@ -411,7 +411,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             yield _postings(slice_id, *map(np.concatenate, zip(*held)), buckets)
 
     columns = ", ".join(["slice long, place long", SCORES, "log_sum long", POSTINGS])
-    both, scored_at = stored(docs.mapInArrow(run, columns), "quality-scored")
+    both, scored_at = stored(docs.mapInArrow(tidy(run), columns), "quality-scored")
     fitted.scratch.append(scored_at)
     tail = tail_sums(both.where("bucket IS NOT NULL").select("slice", *(c.split()[0] for c in POSTINGS.split(", "))),
                      fitted)

@@ -20,6 +20,7 @@ from txrisk.llm.words import SPACE, hash_ranges
 MAX_UNITS = 1_500_000        # the memo of a worker is emptied beyond either bound
 MAX_UNIT_BYTES = 48 << 20
 BLOB_BYTES = 64 << 10        # bytes of units given to the encoder as one text
+BLOBS = 8                    # texts given to it at a time
 
 
 def ends_safely(buf: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -91,8 +92,9 @@ class UnitEncoder:
             last = np.append(np.flatnonzero(np.diff(blob)), len(which) - 1)
             cuts = np.concatenate([[0], stop[last]])
             texts = [text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in
-                                  self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            # a few blobs at a time: an encoding holds some hundred bytes for each token
+            ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(texts), BLOBS)
+                                  for e in self.tok.encode_batch_fast(texts[i:i + BLOBS], add_special_tokens=False)])
             at = np.searchsorted(np.cumsum(self.token_bytes[ids]), stop, side="right")
             counts[which] = np.diff(np.concatenate([[0], at]))
             parts.append(ids)
