@@ -23,7 +23,7 @@ from txrisk.llm.spark_io import materialize, text_slices
 from txrisk.llm.token_counts import tokenizer_path
 from txrisk.llm.units import encoder
 
-SLICE_BYTES = 2 << 20  # of texts tokenized at a time: a task holds some forty times as much
+SLICE_BYTES = 1 << 20  # of texts tokenized at a time: a task holds some forty times as much
 PLAN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("seq", "i8"), ("at", "i8")])
 
 

@@ -100,12 +100,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
-        lens = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = batch.column(column)
+        lens = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         run, size = 0, 0
         for i, n in enumerate(lens.tolist() + [None]):
             if n is None or (size and size + n > limit):
-                part = texts.slice(run, i - run)
+                part = pc.fill_null(texts.slice(run, i - run).cast(pa.large_string()), "")
                 _, off, data = part.buffers()
                 off = np.frombuffer(off, np.int64)[part.offset:part.offset + len(part) + 1]
                 buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

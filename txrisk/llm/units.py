@@ -20,7 +20,7 @@ from txrisk.llm.words import SPACE, hash_ranges
 MAX_UNITS = 1_500_000        # the memo of a worker is emptied beyond either bound
 MAX_UNIT_BYTES = 48 << 20
 BLOB_BYTES = 64 << 10        # bytes of units given to the encoder as one text
-BLOBS = 8                    # texts given to it at a time
+BLOBS = 4                    # texts given to it at a time
 
 
 def ends_safely(buf: np.ndarray, end: np.ndarray) -> np.ndarray:
