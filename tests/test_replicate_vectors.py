@@ -95,3 +95,29 @@ def test_bundle_matches_a_loop_over_replicates(spark, rows_per_range):
     assert set(got) == set(want)  # run c fails both guards
     for k, v in want.items():
         np.testing.assert_allclose(got[k], v, rtol=1e-9, err_msg=str(k))
+
+
+def test_grouped_bundle_reads_its_rows_once(spark):
+    """The shared counts and top rows give what each metric alone gives from the rows, and no
+    metric reads the rows themselves."""
+    from txrisk.operators import bootstrap as B
+    rng = np.random.default_rng(8)
+    rows = [("a", task, i, float(np.round(rng.random(), 2)), int(rng.random() < 0.3))
+            for task in ("revert", "mev", "drop") for i in range(150)]
+    rows += [("a", "drop", 999, None, 1)]
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "run_id string, task string, tx_id long, score double, label int")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {(r.task, r.metric): tuple(r)[3:] for r in
+           metric_bundle_ci(df.mapInArrow(count, df.schema), 20, 42, by=["run_id"], method="grouped").collect()}
+    assert seen.value == 2 * len(rows)  # counts and top rows
+    for task, metrics in B.CI_BUNDLE.items():
+        for m in metrics:
+            base, k = ("p_at_k", int(m.split("_")[-1])) if m.startswith("p_at_") else (m, 100)
+            want = B.grouped_bootstrap_ci(df.where(F.col("task") == task), base, 20, 0.95, 42, ["run_id", "task"], k).first()
+            np.testing.assert_allclose(got[task, f"{task}_{B._NAMES[m]}"], tuple(want)[2:], rtol=1e-9)

@@ -7,14 +7,18 @@ come from a seeded hash, so the same resamples are reproducible anywhere.
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators import metrics as M
-import math
-
 from txrisk.functions.scalar import poisson_n, seeded_uniform
+from txrisk.operators import metrics as M
 from txrisk.operators.sampling import bootstrap_weights
+from txrisk.session import checkpoint_dir
 
 WEIGHTED = ("f1", "auc", "ap", "p_at_k")
 
@@ -92,8 +96,44 @@ def _group_weights(g: DataFrame, reps: int, seed: int, parts: list[str]) -> Data
     return d.where(F.col("w") > 0)
 
 
+@dataclass(frozen=True)
+class _Shared:
+    """What the grouped metrics of one table read: written once, so that seven metrics
+    don't read and join its rows anew."""
+    counts: DataFrame  # by..., score, label, n
+    sizes: DataFrame   # by..., _N
+    top: DataFrame     # the first ``most`` rows of each group, with _rn
+    most: int
+
+
+def _share(df: DataFrame, by: list[str], ks: list[int], key: str) -> _Shared:
+    spark = df.sparkSession
+    root = os.path.join(checkpoint_dir(spark), "bootstrap", uuid.uuid4().hex)
+
+    def stored(d: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(root, name)
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    slim = df.select(*by, key, "score", "label")
+    counts = stored(slim.groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("n")), "counts")
+    most = max(map(_top_rows, ks))
+    return _Shared(counts, counts.groupBy(*by).agg(F.sum("n").alias("_N")),
+                   stored(_first_rows(slim, by, most, key), "top"), most)
+
+
+def _top_rows(k: int) -> int:
+    return k + 10 * math.ceil(math.sqrt(k)) + 10
+
+
+def _first_rows(df: DataFrame, by: list[str], m: int, key: str) -> DataFrame:
+    win = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col(key).asc())
+    return df.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= m)
+
+
 def grouped_metric_values(df: DataFrame, metric: str, reps: int, seed: int, by: list[str],
-                          k: int = 100, key: str = "tx_id", score_digits: int | None = None):
+                          k: int = 100, key: str = "tx_id", score_digits: int | None = None,
+                          shared: _Shared | None = None):
     """(point, per-replicate values) with group-level weights.
 
     f1: the 4 confusion cells per group; auc / ap: distinct (score, label)
@@ -103,33 +143,40 @@ def grouped_metric_values(df: DataFrame, metric: str, reps: int, seed: int, by:
     M grown until every replicate's top rows hold >= k weight.
     """
     by = list(by)
+    if metric in ("f1", "auc", "ap"):
+        exact = df.groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("n")) if shared is None else shared.counts
     if metric == "f1":
-        cells = df.groupBy(*by, (F.col("score") > 0.5).cast("int").alias("pred"), "label") \
-                  .agg(F.count(F.lit(1)).alias("n"))
+        cells = exact.groupBy(*by, (F.col("score") > 0.5).cast("int").alias("pred"), "label") \
+                     .agg(F.sum("n").alias("n"))
         cells = cells.withColumn("score", F.when(F.col("pred") == 1, F.lit(1.0)).otherwise(F.lit(0.0)))
         point = weighted_metric(cells.withColumn("w", F.col("n")), "f1", by, k, key)
         boot = _group_weights(cells, reps, seed, [*by, "pred", "label"])
         return point, weighted_metric(boot, "f1", [*by, "rep"], k, key)
     if metric in ("auc", "ap"):
-        exact = df.groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("n"))
-        point = weighted_metric(exact.withColumn("w", F.col("n")), metric, by, k, key)
         g = exact if score_digits is None else \
-            df.groupBy(*by, F.round("score", score_digits).alias("score"), "label") \
-              .agg(F.count(F.lit(1)).alias("n"))
+            exact.groupBy(*by, F.round("score", score_digits).alias("score"), "label").agg(F.sum("n").alias("n"))
+        # a replicate has at most as many different scores as its group has groups of rows
+        biggest = exact.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+        point = weighted_metric(exact.withColumn("w", F.col("n")), metric, by, k, key, biggest)
         boot = _group_weights(g, reps, seed, [*by, "score", "label"])
-        return point, weighted_metric(boot, metric, [*by, "rep"], k, key)
+        return point, weighted_metric(boot, metric, [*by, "rep"], k, key, biggest)
     if metric == "p_at_k":
-        return _grouped_p_at_k(df, reps, seed, by, k, key)
+        return _grouped_p_at_k(df, reps, seed, by, k, key, shared)
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _grouped_p_at_k(df, reps, seed, by, k, key):
-    n_by = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_N"))
-    point = weighted_metric(df.withColumn("w", F.lit(1)), "p_at_k", by, k, key)
-    m = k + 10 * math.ceil(math.sqrt(k)) + 10
+def _grouped_p_at_k(df, reps, seed, by, k, key, shared=None):
+    if shared is None:
+        n_by = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_N"))
+        point = weighted_metric(df.withColumn("w", F.lit(1)), "p_at_k", by, k, key)
+    else:
+        n_by = shared.sizes
+        hits = shared.top.where(F.col("_rn") <= k).groupBy(*by).agg(F.sum("label").alias("_h"))
+        point = hits.join(F.broadcast(n_by), by).select(  # one row per group
+            *by, (F.col("_h") / F.least(F.lit(k), F.col("_N"))).cast("double").alias("value"))
+    m = _top_rows(k)
     while True:
-        win = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col(key).asc())
-        top = df.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= m)
+        top = _first_rows(df, by, m, key) if shared is None or m > shared.most else shared.top.where(F.col("_rn") <= m)
         tw = bootstrap_weights(top, reps, seed, key)  # same per-row draws as the row method
         run = Window.partitionBy(*by, "rep").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
         tw = tw.withColumn("_before", F.coalesce(F.sum("w").over(run), F.lit(0)))
@@ -152,10 +199,10 @@ def _grouped_p_at_k(df, reps, seed, by, k, key):
 
 def grouped_bootstrap_ci(df: DataFrame, metric: str, reps: int = 1000, ci: float = 0.95,
                          seed: int = 42, by: list[str] = (), k: int = 100, key: str = "tx_id",
-                         score_digits: int | None = None) -> DataFrame:
+                         score_digits: int | None = None, shared: _Shared | None = None) -> DataFrame:
     """M15 at any N: (by…, point, lower, upper) from group-level Poisson weights."""
     by = list(by)
-    point, vals = grouped_metric_values(df, metric, reps, seed, by, k, key, score_digits)
+    point, vals = grouped_metric_values(df, metric, reps, seed, by, k, key, score_digits, shared)
     point = point.withColumnRenamed("value", "point")
     a = (1 - ci) / 2
     q = vals.where(F.col("value").isNotNull()).groupBy(*by).agg(F.percentile("value", [a, 1 - a]).alias("_q"))
@@ -244,16 +291,18 @@ def metric_bundle_ci(long: DataFrame, reps: int = 1000, seed: int = 42, by: list
     v = M.valid(long)
     if method != "grouped":
         return _vector_ci(v, reps, seed, keys, min_valid, key, rows_per_range)
-    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_p"))
+    all_of = _share(v, keys, list(KS), key)
+    stats = all_of.counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("label")).alias("_p"))
     ok = stats.where(((F.col("task") != "mev") & (F.col("_n") >= min_valid))
                      | ((F.col("task") == "mev") & (F.col("_p") >= 1))).select(*keys)
-    v = v.join(F.broadcast(ok), keys, "left_semi")  # one row per (group, task)
+    enough = lambda d: d.join(F.broadcast(ok), keys, "left_semi")  # noqa: E731  one row per (group, task)
     parts = []
     for task, mets in CI_BUNDLE.items():
-        t = v.where(F.col("task") == task)
+        one = lambda d: enough(d.where(F.col("task") == task))
+        shared = _Shared(one(all_of.counts), one(all_of.sizes), one(all_of.top), all_of.most)
         for m in mets:
             base, kk = (m, 100) if not m.startswith("p_at_") else ("p_at_k", int(m.split("_")[-1]))
-            r = grouped_bootstrap_ci(t, base, reps, 0.95, seed, keys, kk, key, score_digits)
+            r = grouped_bootstrap_ci(one(v), base, reps, 0.95, seed, keys, kk, key, score_digits, shared)
             parts.append(r.withColumn("metric", F.lit(f"{task}_{_NAMES[m]}")))
     out = parts[0]
     for p in parts[1:]:
