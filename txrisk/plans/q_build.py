@@ -17,6 +17,7 @@ from txrisk.sources.testbind import TEST_SPLITS, TX_SQL, tx_view
 DS_COLS = ["tx_id", S.SORT_KEY, "split", "row_idx", *S.FEATURE_COLUMNS, *S.LABEL_COLUMNS,
            "is_dex_candidate"]
 HOUR_MS = 3_600_000
+HOURLY_COLS = ["tx_id", S.SORT_KEY, "split", "row_idx", "to_addr_hash", *S.LABEL_COLUMNS, "is_dex_candidate"]
 _OTHER = [c for c in DS_COLS if c not in FEATURE_DOUBLES]
 
 
@@ -38,7 +39,8 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed table with ``hour_pressure``, W4 over an hour: the test events
-    are minutes apart, so a minute's count is nearly always 0."""
+    are minutes apart, so a minute's count is nearly always 0.  Only the columns that
+    strata and slices read are joined and stored."""
     from txrisk.operators.features import plan_time_ranges
     from txrisk.operators.trailing import time_order
     from txrisk.sources.sinks import materialized
@@ -46,7 +48,8 @@ def dataset_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pressed() -> DataFrame:
         tx = tx_view(spark, sf_dir)
         t = time_order(tx.select("tx_id", S.SORT_KEY), plan_time_ranges(tx), lookback_ms=HOUR_MS)
-        return dataset(spark, sf_dir).join(t.select("tx_id", F.col("pressure").cast("float").alias("hour_pressure")), "tx_id")
+        rows = dataset(spark, sf_dir).select(*HOURLY_COLS)
+        return rows.join(t.select("tx_id", F.col("pressure").cast("float").alias("hour_pressure")), "tx_id")
     return materialized(spark, "processed-hourly", f"{sf_dir}|{TEST_SPLITS!r}", pressed, source=f"{sf_dir}/events.parquet")
 
 
