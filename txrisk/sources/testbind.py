@@ -132,13 +132,19 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 BLEND_RUNS = {"blend_a": 0.5, "blend_b": 1.5}
 
 
-def blend_scores(ds: DataFrame, run_id: str, weight: float, digits: int = 4) -> DataFrame:
+def blend_columns(run_id: str, weight: float, digits: int = 4) -> dict:
+    """Each task's score as an expression over tx_id and the labels."""
     from txrisk.functions.scalar import seeded_uniform
     cols = {}
     for task, lab in S.TASKS.items():
         u = seeded_uniform(run_id, task, F.col("tx_id"))
         pos = F.greatest(F.col(lab), F.lit(0.0)).cast("double")
         cols[f"{task}_score"] = F.round((u + F.lit(weight) * pos) / F.lit(1.0 + weight), digits)
+    return cols
+
+
+def blend_scores(ds: DataFrame, run_id: str, weight: float, digits: int = 4) -> DataFrame:
+    cols = blend_columns(run_id, weight, digits)
     return ds.select(F.lit(run_id).alias("run_id"), "tx_id", *[v.alias(k) for k, v in cols.items()])
 
 
