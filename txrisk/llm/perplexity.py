@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.spark_io import conf_int, discard, fresh_name, materialize, sized, stored, text_slices, tidy
-from txrisk.llm.words import SPACE, find_words, hash_ranges, mix, window_hash
+from txrisk.llm.words import SPACE, Words, find_words, hash_ranges, mix, window_hash
 
 PAIR_SHARE = 2.0**-20
 BELOW, ABOVE = 4.5, 3.0    # how far a band goes from the median, in scaled deviations
@@ -328,15 +328,21 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [0.0, 1.0, 2.0, 3.0])
 
 
-def _repeat_words(h: np.ndarray) -> int:
-    if len(h) < 4:
-        return 0
-    _, inv, c = np.unique(window_hash(h, 3), return_inverse=True, return_counts=True)
-    twice = c[inv] > 1
-    cover = np.zeros(len(h), bool)
-    for k in range(3):
-        cover[k:k + len(twice)] |= twice
-    return int(cover.sum())
+def _repeat_words(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Words of each text in windows of three that the text holds twice or more."""
+    n = np.diff(ptr)
+    text = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    cover = np.zeros(len(h) + 1, bool)
+    inside = np.flatnonzero(text[2:] == text[:-2])
+    if len(inside):
+        key = mix(window_hash(h, 3)[inside] + (text[inside] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        twice = inside[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
+        for k in range(3):
+            cover[twice + k] = True
+    upto = np.concatenate([[0], np.cumsum(cover)])
+    return np.diff(upto[ptr])
 
 
 def _dup_lines(text: bytes) -> int:
@@ -344,6 +350,18 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def base_rules(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, w: Words, h: np.ndarray) -> dict:
+    """The columns of SCORES for texts with words ``w`` of hashes ``h``."""
+    n = np.diff(w.ptr)
+    chars = np.concatenate([[0], np.cumsum(((buf & 0xC0) != 0x80) & ~SPACE[buf])])
+    symbols = np.searchsorted(np.flatnonzero(SYMBOL[buf]), off)
+    repeat = _repeat_words(h, w.ptr)
+    dup = np.array([_dup_lines(buf[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])], np.int64)
+    return {"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "n_words": n, "word_chars": np.diff(chars[off]),
+            "n_symbols": np.diff(symbols), "n_dup_lines": dup, "n_repeat_words": repeat,
+            "base_failed": (n < 50) | (100 * repeat > 50 * n)}
+
+
 SCORES = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean")
 POSTINGS = "bucket int, keys binary, places binary, counts binary"
@@ -389,18 +407,11 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         place, waiting, held = 0, 0, []
         for rows, buf, off in text_slices(batches):
             w, h = _word_hashes(rows, buf, off)
-            n = np.diff(w.ptr)
             log, at, key = m.log_prob(h, w.ptr)
             lp = np.concatenate([[0], np.cumsum(log)])
-            chars = np.concatenate([[0], np.cumsum(((buf & 0xC0) != 0x80) & ~SPACE[buf])])
-            symbols = np.concatenate([[0], np.cumsum(SYMBOL[buf])])
-            repeat = np.array([_repeat_words(h[a:b]) for a, b in zip(w.ptr[:-1], w.ptr[1:])], np.int64)
-            dup = [_dup_lines(buf[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])]
+            n = np.diff(w.ptr)
             yield _batch(slice=np.full(len(n), slice_id), place=np.arange(place, place + len(n)),
-                         doc_id=rows.column("doc_id"), lang=rows.column("lang"), n_words=n,
-                         word_chars=np.diff(chars[off]), n_symbols=np.diff(symbols[off]), n_dup_lines=dup,
-                         n_repeat_words=repeat, base_failed=(n < 50) | (100 * repeat > 50 * n),
-                         log_sum=np.diff(lp[w.ptr]))
+                         **base_rules(rows, buf, off, w, h), log_sum=np.diff(lp[w.ptr]))
             if len(at):
                 held.append((np.searchsorted(w.ptr, at, side="right") - 1 + place, key))
             place, waiting = place + len(n), waiting + len(at)
@@ -481,10 +492,11 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     rows are judged and counted each, an empty table gives no rows; other
     columns are not read.  Texts of any length are read whole.
     """
+    from txrisk.llm.bigram_passes import score_all
     slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    fitted = fit(slim)
-    scores = materialize(score(slim, fitted), "quality-scores")
-    discard(docs.sparkSession, *fitted.scratch)
+    scored, scratch = score_all(slim)
+    scores = materialize(scored, "quality-scores")
+    discard(docs.sparkSession, *scratch)
     limits = sized(materialize(bands(scores, below, above), "quality-bands"))
     limits = limits.withColumnRenamed("lang", "_lang")
     ok = ~F.col("base_failed") & F.col("log_ppl").between(F.col("lower"), F.col("upper"))
