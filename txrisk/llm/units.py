@@ -58,6 +58,58 @@ def _take(src: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return src[np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - first, size)]
 
 
+class SlotTable:
+    """Numbers distinct 64-bit hashes 0, 1, ... in the order they are added.
+
+    A place of ``table`` holds a number or -1; a hash goes to the first free
+    place from its top bits on, so finding it takes a step or two however many
+    there are.  At most half of the places are taken.
+    """
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.keys = bits, np.zeros(0, np.uint64)
+        self.table = np.full(1 << bits, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it was not added."""
+        if len(self.keys) == 0:
+            return np.full(len(h), -1, np.int64)
+        at = self._places(h)
+        found = self.table[at].astype(np.int64)
+        other = np.flatnonzero((found >= 0) & (self.keys[found] != h))
+        at, h = at[other], h[other]
+        while len(other):  # places that another hash took: look at the next one
+            at = (at + 1) & (len(self.table) - 1)
+            slot = self.table[at]
+            found[other] = slot
+            go = (slot >= 0) & (self.keys[slot] != h)
+            other, at, h = other[go], at[go], h[go]
+        return found
+
+    def add(self, h: np.ndarray) -> None:
+        """Number hashes that differ from each other and from all added before."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, h])
+        if 2 * len(self.keys) > len(self.table):
+            while 2 * len(self.keys) > 1 << self.bits:
+                self.bits += 1
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            first = 0
+        slot = np.arange(first, len(self.keys), dtype=np.int32)
+        at = self._places(self.keys[first:])
+        while len(slot):
+            free = self.table[at] < 0
+            self.table[at[free]] = slot[free]  # of several for one place, one gets it
+            left = self.table[at] != slot
+            slot, at = slot[left], (at[left] + 1) & (len(self.table) - 1)
+
+
 class UnitEncoder:
     """Encodes texts given as bytes and offsets with a tokenizers library file."""
 
@@ -72,7 +124,7 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.slots = SlotTable()
         self.ids, self.iptr = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.raw, self.rptr = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
@@ -115,30 +167,26 @@ class UnitEncoder:
     def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray | None:
         """Memo slot of each unit; None if two different units share a hash."""
         h = hash_ranges(buf, start, end)
-        at = np.searchsorted(self.keys, h)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == h[known]
-        if not known.all():
-            fresh, where = np.unique(h[~known], return_index=True)
-            where = np.flatnonzero(~known)[where]
+        slot = self.slots.find(h)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            fresh, where, which = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
             ids, counts = self._ids_of(buf, start[where], end[where])
-            place = np.searchsorted(self.keys, fresh)
-            self.keys = np.insert(self.keys, place, fresh)
-            self.slot = np.insert(self.slot, place, len(self.iptr) - 1 + np.arange(len(fresh)))
+            slot[new] = len(self.slots) + which
+            self.slots.add(fresh)
             self.ids = np.concatenate([self.ids, ids])
             self.iptr = np.concatenate([self.iptr, self.iptr[-1] + np.cumsum(counts)])
             size = end[where] - start[where]
             self.raw = np.concatenate([self.raw, _take(buf, start[where], size)])
             self.rptr = np.concatenate([self.rptr, self.rptr[-1] + np.cumsum(size)])
-            at = np.searchsorted(self.keys, h)
-        slot = self.slot[at]
         size = end - start
         if (self.rptr[slot + 1] - self.rptr[slot] != size).any():
             return None
         return slot if np.array_equal(_take(self.raw, self.rptr[slot], size), buf) else None
 
     def _encode(self, buf: np.ndarray, off: np.ndarray, want_ids: bool) -> tuple[np.ndarray | None, np.ndarray]:
-        if len(self.keys) > MAX_UNITS or len(self.raw) > MAX_UNIT_BYTES:
+        if len(self.slots) > MAX_UNITS or len(self.raw) > MAX_UNIT_BYTES:
             self._clear()
         start, end, ptr = find_units(buf, off)
         if len(start) == 0:

@@ -59,7 +59,7 @@ def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     at = np.arange(int(size.sum()), dtype=np.int64)
     first = np.cumsum(size) - size
     at -= np.repeat(first, size)
-    raw = buf[at + np.repeat(start, size)]
+    raw = buf if len(at) == len(buf) else buf[at + np.repeat(start, size)]  # ranges may fill it
     v = _BYTE[raw] * _STEP[at & 4095]
     if int(size.max()) > 4096:
         v = v * (np.uint64(2) * (at >> 12).astype(np.uint64) + np.uint64(1))
