@@ -117,12 +117,12 @@ def test_query_scores_each_row_once(spark, monkeypatch, tmp_path):
     seen = spark.sparkContext.accumulator(0)
     fit, score = B.fit_mlp, B.score_models
 
-    @F.udf("long")
+    @F.udf("float")
     def tally(x):
         seen.add(1)
         return x
     monkeypatch.setattr(B, "fit_mlp", lambda train: fit(train, hidden=4, max_iter=1))
-    monkeypatch.setattr(B, "score_models", lambda m, d, keep: score(m, d, keep).withColumn("tx_id", tally("tx_id")))
+    monkeypatch.setattr(B, "score_models", lambda m, d, keep: score(m, d, keep).withColumn("revert_score", tally("revert_score")))
     metrics = {r.metric: r.value for r in q_mlp(spark, str(tmp_path)).collect()}
     assert len(metrics) == 9 and 0 <= metrics["revert_auc"] <= 1
     assert seen.value == 700 - 26 * 24 + 1  # hours from January 27 on
